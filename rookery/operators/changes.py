@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import latest_by_key
+from .skew import spread_join
 
 VOTE_KEY = ("camp_id", "user_id", "post_id")
 FOLLOW_KEY = ("user_id", "following")
@@ -100,7 +101,7 @@ def mark_notifications_seen(notifications: DataFrame, requests: DataFrame) -> Da
     Notifications created after that request stay unseen.
     """
     latest = requests.groupBy("user_id").agg(F.max("seen_time").alias("_seen_time"))
-    joined = notifications.join(latest, "user_id", "left")
+    joined = spread_join(notifications, latest, "user_id", "notification_id")
     hit = (F.col("seen") == 0) & (F.col("creation_time") <= F.col("_seen_time"))
     stored_time = F.col("seen_time") if "seen_time" in notifications.columns else F.lit(None)
     others = [c for c in notifications.columns if c not in ("seen", "seen_time")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hours, ntz
+from .skew import spread_join
 
 # Fixed values of the sign-up form.
 MAX_NAME = 25
@@ -53,7 +54,8 @@ def reject_taken_accounts(requests: DataFrame, users: DataFrame) -> DataFrame:
     asked = requests.withColumn("_email", F.lower("email")).withColumn("_handle", F.lower("username"))
     emails = users.select(F.lower("email").alias("_email")).distinct().withColumn("_email_used", F.lit(1))
     handles = users.select(F.lower("handle").alias("_handle")).distinct().withColumn("_handle_used", F.lit(1))
-    checked = asked.join(emails, "_email", "left").join(handles, "_handle", "left")
+    by_email = spread_join(asked, emails, "_email", "request_id")
+    checked = spread_join(by_email, handles, "_handle", "request_id", counted=asked)
     free = F.col("_email_used").isNull() & F.col("_handle_used").isNull()
 
     # Minimum per key instead of a window: it is combined before the shuffle,
@@ -65,7 +67,7 @@ def reject_taken_accounts(requests: DataFrame, users: DataFrame) -> DataFrame:
     winners = (
         first_email.select("_email", F.col("_first.request_id").alias("request_id"))
         .join(first_handle.select("_handle", F.col("_first.request_id").alias("request_id")), "request_id")
-        .join(open_requests.select("request_id", "request_time", "_email", "_handle"), ["request_id", "_email", "_handle"])
+        .join(open_requests.select("request_id", "request_time"), "request_id")
     )
     won = winners.select("request_id", F.lit(1).alias("_won"))
     won_email = winners.select("_email", place.alias("_email_won"))

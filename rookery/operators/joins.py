@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import top_k
+from .skew import spread_join
 
 AUTHOR_COLUMNS = ("first_name", "handle", "profile_photo")
 
@@ -21,7 +22,9 @@ def with_scores(
 ) -> DataFrame:
     """Post score, author score and, given (post_id, current_user_vote), the viewer's vote."""
     authors = user_scores.select(F.col("id").alias("user_id"), "user_score")
-    out = posts.join(post_scores, "post_id", "left").join(authors, "user_id", "left")
+    out = spread_join(
+        posts.join(post_scores, "post_id", "left"), authors, "user_id", "post_id", counted=posts
+    )
     if votes_of_viewer is None:
         return out.withColumn("current_user_vote", F.lit(0).cast("bigint"))
     vote = votes_of_viewer.select("post_id", "current_user_vote")

@@ -49,7 +49,7 @@ def reply_notifications(new_posts: DataFrame, posts: DataFrame) -> DataFrame:
 def mention_notifications(new_posts: DataFrame, users: DataFrame) -> DataFrame:
     """Tell every known user named with @handle, once per mention; refers to the new post."""
     known = users.select(F.lower("handle").alias("_handle"), F.col("id").alias("_mentioned"))
-    named = new_posts.select(
+    named = new_posts.filter(F.col("post_text").contains("@")).select(
         "post_id",
         "user_id",
         "creation_time",

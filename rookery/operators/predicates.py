@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ntz
 from ..functions.times import LOCAL_OFFSET_HOURS
 from .ranking import top_k
+from .skew import spread_join
 
 
 def live(posts: DataFrame) -> DataFrame:
@@ -35,9 +36,12 @@ def posts_in_camp(posts: DataFrame, camp_id: int) -> DataFrame:
     return posts.filter(F.col("camp_id") == camp_id)
 
 
-def restrict_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose `column` occurs in the same column of `ids`; the ids never leave the executors."""
-    return df.join(ids.select(column), column, "left_semi")
+def restrict_ids(df: DataFrame, ids: DataFrame, column: str, spread_by: str) -> DataFrame:
+    """Rows whose `column` occurs in the same column of `ids`; the ids never leave the executors.
+
+    `spread_by` tells apart rows that share an id, for ids that very many rows share.
+    """
+    return spread_join(df, ids.select(column).distinct(), column, spread_by, "left_semi")
 
 
 def keyset_page(
@@ -51,7 +55,7 @@ def keyset_page(
         if by is None:
             raise ValueError("a frame of cursors needs the column it is keyed by")
         posts = (
-            posts.join(cursor.select(by, "cursor"), by, "left")
+            spread_join(posts, cursor.select(by, "cursor"), by, "post_id")
             .filter(F.col("cursor").isNull() | (F.col("post_id") < F.col("cursor")))
             .drop("cursor")
         )

@@ -1,12 +1,13 @@
-"""Salted joins for fan-out on hot keys.
+"""Salted joins: a key that holds a large share of one side is spread over many tasks.
 
-Joins whose hot side is joined once are left to adaptive execution, which splits hot
-partitions. Feeds fan a followed author out to every follower twice, so they salt explicitly.
+Adaptive execution splits a hot partition only where both join inputs are plain shuffles.
+It cannot when one input is the output of an aggregation or join on the same key, or when
+the next step reuses the join's partitioning; those joins salt their hot keys here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALT = "_salt"
@@ -15,38 +16,63 @@ SALTS = "_salts"
 # A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer
 # than HOT_SHARE hot keys whatever the data: the list is always small enough to broadcast.
 HOT_SHARE = 1024
+# Smaller groups are no trouble for one task.
 MIN_HOT_ROWS = 1_000_000
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
-    """Hot keys with the number of salts each is spread over (`_salts`, at most `share`)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(key).isNotNull())
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, salts): hot keys and the number of salts each is spread over, at most HOT_SHARE."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
+    rows_per_salt = F.greatest(F.col("_total") / HOT_SHARE, F.lit(MIN_HOT_ROWS))
     return (
-        counts.filter(F.col("_n") > min_rows)
-        .crossJoin(F.broadcast(total))
-        .filter(F.col("_n") * share > F.col("_total"))
-        .select(key, F.ceil(F.col("_n") * share / F.col("_total")).cast("int").alias(SALTS))
+        counts.crossJoin(F.broadcast(total))
+        .filter(F.col("_n") > rows_per_salt)
+        .select(F.col(key), F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(SALTS))
     )
 
 
-def with_salts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Attach the salt count of every row's key; keys that are not hot have one."""
-    known = hot.withColumnRenamed(key, "_hot_key")
+def _with_salts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    known = hot.toDF("_hot_key", SALTS)
+    return df.join(F.broadcast(known), df[key] == F.col("_hot_key"), "left").drop("_hot_key")
+
+
+def one_salt(df: DataFrame, key: str, hot: DataFrame, spread_by: str) -> DataFrame:
+    """Give every row one salt of its key, chosen by the hash of `spread_by`.
+
+    The choice is repeatable, so a task that is run again sends rows to the same place.
+    Rows without a key match nothing and are spread as well.
+    """
+    salts = F.when(F.col(key).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce(SALTS, F.lit(1)))
     return (
-        df.join(F.broadcast(known), df[key] == F.col("_hot_key"), "left")
-        .drop("_hot_key")
-        .withColumn(SALTS, F.coalesce(SALTS, F.lit(1)))
+        _with_salts(df, key, hot)
+        .withColumn(SALT, F.pmod(F.hash(spread_by), salts))
+        .drop(SALTS)
     )
 
 
-def pick_salt(df: DataFrame, spread_by: Column) -> DataFrame:
-    """Give every row one salt, chosen by the hash of `spread_by`."""
-    return df.withColumn(SALT, F.pmod(F.hash(spread_by), F.col(SALTS))).drop(SALTS)
+def every_salt(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Repeat every row once per salt of its key."""
+    last = F.coalesce(SALTS, F.lit(1)) - 1
+    return (
+        _with_salts(df, key, hot)
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
+        .drop(SALTS)
+    )
 
 
-def all_salts(df: DataFrame) -> DataFrame:
-    """Repeat every row once per salt."""
-    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.col(SALTS) - 1))).drop(SALTS)
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: str,
+    how: str = "left",
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Join on `key` where few rows per key on the right meet many on the left.
+
+    `counted` is a frame with the left side's keys that is cheaper to count than `left`.
+    """
+    hot = hot_keys(left if counted is None else counted, key)
+    spread = one_salt(left, key, hot, spread_by)
+    return spread.join(every_salt(right, key, hot), [key, SALT], how).drop(SALT)

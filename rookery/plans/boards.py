@@ -10,18 +10,14 @@ from ..operators import aggregates
 from ..operators.joins import active_follow_edges
 from ..operators.predicates import search_users
 from ..sources.tables import SocialTables
-from .marts import Marts, flag_top_user
+from .marts import Marts
 
-_PERSON = ("id", "first_name", "handle", "profile_photo", "creation_time")
-
-
-def _people_rows(t: SocialTables, marts: Marts, people: DataFrame, viewer_id: int) -> DataFrame:
+def _people_rows(t: SocialTables, people: DataFrame, viewer_id: int) -> DataFrame:
     """Display rows of at most a page of people, with the viewer's follow value."""
     mine = t.follows.filter(F.col("user_id") == viewer_id)
     followed = active_follow_edges(mine).select(F.col("following").alias("id"), F.lit(1).alias("follow_value"))
     score = F.coalesce("user_score", F.lit(0))
-    rows = flag_top_user(people, marts.user_scores, "id").join(followed, "id", "left")
-    return rows.select(
+    return people.join(followed, "id", "left").select(
         "id",
         "first_name",
         "handle",
@@ -37,11 +33,11 @@ def _people_rows(t: SocialTables, marts: Marts, people: DataFrame, viewer_id: in
 
 
 def leaderboard(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
-    """The k users with the highest score. The cut comes first, names are joined to k rows."""
+    """The k users with the highest score. Everything else is joined to those k rows."""
     marts = marts or Marts.from_tables(t)
-    best = marts.user_scores.orderBy(*aggregates.by_score()).limit(k)
-    people = t.users.select(*_PERSON).join(F.broadcast(best), "id")
-    return _people_rows(t, marts, people, viewer_id).orderBy(F.col("user_score").desc(), "id")
+    best = marts.authors.withColumnRenamed("user_id", "id").orderBy(*aggregates.by_score()).limit(k)
+    people = t.users.select("id", "creation_time").join(F.broadcast(best), "id")
+    return _people_rows(t, people, viewer_id).orderBy(F.col("user_score").desc(), "id")
 
 
 def people_search(
@@ -49,6 +45,6 @@ def people_search(
 ) -> DataFrame:
     """The k oldest accounts matching the term, with score and the viewer's follow value."""
     marts = marts or Marts.from_tables(t)
-    found = search_users(t.users.select(*_PERSON), term, k)
-    people = marts.user_scores.join(F.broadcast(found), "id")
-    return _people_rows(t, marts, people, viewer_id).orderBy("creation_time", "id")
+    found = search_users(t.users, term, k).select("id", "creation_time")
+    people = marts.authors.withColumnRenamed("user_id", "id").join(F.broadcast(found), "id")
+    return _people_rows(t, people, viewer_id).orderBy("creation_time", "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import author_scores_by_name
 from ..operators.joins import votes_by_camp
 from ..operators.predicates import posts_in_camp
+from ..operators.skew import spread_join
 from ..sources.tables import SocialTables
 
 
@@ -16,7 +17,7 @@ def camp_wall(t: SocialTables, camp_id: int, name: str = "username") -> DataFram
     posts = posts_in_camp(t.posts, camp_id)
     votes = t.post_votes.filter(F.col("camp_id") == camp_id)
     names = author_scores_by_name(t.users, t.post_facts, t.post_votes, name)
-    # First one row per author, then one join by author: see post_cards.
     columns = list(dict.fromkeys([name, "first_name"]))
-    authors = t.users.select(F.col("id").alias("user_id"), *columns).join(names, name, "left")
-    return votes_by_camp(posts, votes).join(authors, "user_id", "left")
+    people = t.users.select(F.col("id").alias("user_id"), *columns)
+    authors = spread_join(people, names, name, "user_id")
+    return spread_join(votes_by_camp(posts, votes), authors, "user_id", "post_id", counted=t.post_facts)

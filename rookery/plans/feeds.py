@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -40,37 +40,31 @@ def feed_edges(t: SocialTables) -> DataFrame:
 
 
 def home_feed_ids(
-    t: SocialTables,
-    k: int = 5,
-    cursor: int | None = None,
-    viewers: DataFrame | None = None,
-    min_hot_rows: int = skew.MIN_HOT_ROWS,
+    t: SocialTables, k: int = 5, cursor: int | None = None, viewers: DataFrame | None = None
 ) -> DataFrame:
-    """(viewer_id, post_id, and salt of the post) of every home feed. See `home_feed`."""
+    """(viewer_id, author_id, post_id) of every home feed. See `home_feed`."""
     edges = feed_edges(t)
     if viewers is not None:
         edges = edges.join(viewers.select("viewer_id"), "viewer_id", "left_semi")
-    hot = skew.hot_keys(edges, "author_id", min_rows=min_hot_rows)
-
     newest = keyset_page(root_posts(t.post_facts).select("post_id", "user_id"), k, cursor, by="user_id")
     # At most k ids per author.
     authors = newest.groupBy(F.col("user_id").alias("author_id")).agg(
         F.sort_array(F.collect_list("post_id"), asc=False).alias("post_ids")
     )
-    spread_edges = skew.pick_salt(
-        skew.with_salts(edges, "author_id", hot).withColumn("_n", F.col(skew.SALTS)), F.col("viewer_id")
-    )
-    spread_authors = skew.all_salts(skew.with_salts(authors, "author_id", hot))
-    offers = spread_edges.join(spread_authors, ["author_id", skew.SALT])
+    offers = skew.spread_join(edges, authors, "author_id", "viewer_id", "inner", counted=_follower_rows(t))
 
     # A viewer's newest k posts come from the k followed authors with the newest post, so
     # authors are cut to k before their posts are unpacked; both cuts share one shuffle.
     best_authors = top_k(
         offers.withColumn("_newest", F.col("post_ids")[0]), ["viewer_id"], [F.col("_newest").desc()], k
     )
-    unpacked = best_authors.select("viewer_id", F.col("_n").alias(skew.SALTS), F.explode("post_ids").alias("post_id"))
-    feed = top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k)
-    return skew.pick_salt(feed, F.col("viewer_id"))
+    unpacked = best_authors.select("viewer_id", "author_id", F.explode("post_ids").alias("post_id"))
+    return top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k)
+
+
+def _follower_rows(t: SocialTables) -> DataFrame:
+    """One row per follow in force; counted to find authors with very many followers."""
+    return t.follows.filter(F.col("follow_value") == 1).select(F.col("following").alias("author_id"))
 
 
 def home_feed(
@@ -79,32 +73,29 @@ def home_feed(
     cursor: int | None = None,
     viewers: DataFrame | None = None,
     marts: Marts | None = None,
-    min_hot_rows: int = skew.MIN_HOT_ROWS,
 ) -> DataFrame:
     """For every viewer the newest k live root posts by followed users or themself, below the cursor.
 
     Only each author's newest k posts can appear anywhere, so posts are cut to those, and
     enriched once per post, before they meet the follow edges. An author followed by many is
-    spread over salts: when joining edges to authors, and again when feeds fetch the post.
+    spread over salts: when edges meet authors, and again when feeds fetch the post.
     `viewers` (viewer_id) limits the feeds built; one viewer is a filter on the result.
     """
     marts = marts or Marts.from_tables(t)
-    feed = home_feed_ids(t, k, cursor, viewers, min_hot_rows)
+    feed = home_feed_ids(t, k, cursor, viewers)
 
-    votes = t.post_votes if viewers is None else t.post_votes.join(
-        viewers.select(F.col("viewer_id").alias("user_id")), "user_id", "left_semi"
-    )
+    votes = t.post_votes
+    if viewers is not None:
+        ids = viewers.select(F.col("viewer_id").alias("user_id"))
+        votes = votes.join(ids, "user_id", "left_semi")
     feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
 
-    shown = keyset_page(root_posts(t.posts), k, cursor, by="user_id")
-    cards = post_cards(t, marts, shown.select(*_feed_columns(shown)))
-    hot = skew.hot_keys(feed_edges(t), "author_id", min_rows=min_hot_rows)
-    spread_cards = skew.all_salts(skew.with_salts(cards, "user_id", hot.withColumnRenamed("author_id", "user_id")))
-    return (
-        feed.join(spread_cards, ["post_id", skew.SALT])
-        .drop(skew.SALT)
-        .fillna(0, ["current_user_vote"])
-    )
+    shown = keyset_page(root_posts(t.posts).select(*_feed_columns(t.posts)), k, cursor, by="user_id")
+    cards = post_cards(t, marts, shown)
+    hot = skew.hot_keys(_follower_rows(t), "author_id")
+    spread_feed = skew.one_salt(feed, "author_id", hot, "viewer_id").drop("author_id")
+    spread_cards = skew.every_salt(cards, "user_id", hot)
+    return spread_feed.join(spread_cards, ["post_id", skew.SALT]).drop(skew.SALT).fillna(0, ["current_user_vote"])
 
 
 def _feed_columns(posts: DataFrame) -> list[str]:
@@ -120,8 +111,8 @@ def profile_feed(
     marts: Marts | None = None,
 ) -> DataFrame:
     """The newest k live root posts of every author, as one viewer sees them."""
-    shown = keyset_page(root_posts(t.posts), k, cursor, by="user_id")
-    return post_cards(t, marts or Marts.from_tables(t), shown.select(*_feed_columns(shown)), viewer_id)
+    shown = keyset_page(root_posts(t.posts).select(*_feed_columns(t.posts)), k, cursor, by="user_id")
+    return post_cards(t, marts or Marts.from_tables(t), shown, viewer_id)
 
 
 def top_of_day(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
@@ -156,23 +147,20 @@ def _by_post_score():
     return [F.col("post_score").desc_nulls_last(), F.col("post_id").desc()]
 
 
+def _days(posts: DataFrame) -> DataFrame:
+    """One row per local day with a live root post: a short list however many posts there are."""
+    return root_posts(posts).select(local_day(F.col("creation_time")).alias("day")).distinct()
+
+
 def active_days(posts: DataFrame) -> DataFrame:
     """Local days with a live root post, newest first, numbered from 0."""
-    days = root_posts(posts).select(local_day(F.col("creation_time")).alias("day")).distinct()
-    # One row per calendar day: the list stays small however many posts there are.
-    newer = days.select(F.col("day").alias("newer_day"))
-    return (
-        days.join(F.broadcast(newer), F.col("newer_day") > F.col("day"), "left")
-        .groupBy("day")
-        .agg(F.count("newer_day").alias("day_offset"))
-        .orderBy(F.col("day").desc())
-    )
+    newest_first = Window.orderBy(F.col("day").desc())
+    return _days(posts).withColumn("day_offset", (F.row_number().over(newest_first) - 1).cast("bigint"))
 
 
 def nth_active_day(posts: DataFrame, offset: int = 0) -> DataFrame:
     """The active day `offset` places back from the newest."""
-    days = root_posts(posts).select(local_day(F.col("creation_time")).alias("day")).distinct()
-    return days.orderBy(F.col("day").desc()).offset(offset).limit(1)
+    return _days(posts).orderBy(F.col("day").desc()).offset(offset).limit(1)
 
 
 def format_feed(feed: DataFrame, as_of: str | dt.datetime) -> DataFrame:

@@ -6,72 +6,82 @@ They are plain lazy frames. A job that builds several pages writes them once wit
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates
 from ..operators.joins import AUTHOR_COLUMNS
+from ..operators.skew import spread_join
 from ..sources.tables import SocialTables
 
+_SCHEMAS = {
+    "post_stats": "post_id BIGINT, post_score BIGINT, up_votes BIGINT, down_votes BIGINT",
+    "reply_counts": "post_id BIGINT, reply_count BIGINT",
+    "authors": "user_id BIGINT, first_name STRING, handle STRING, profile_photo STRING, "
+    "user_score BIGINT, is_top_user BOOLEAN",
+}
+
 
 @dataclass(frozen=True)
 class Marts:
-    post_stats: DataFrame  # post_id, post_score, up_votes, down_votes
-    reply_counts: DataFrame  # post_id, reply_count
-    user_scores: DataFrame  # id, user_score
+    """`authors` has one row per user: what a post shows about its author."""
+
+    post_stats: DataFrame
+    reply_counts: DataFrame
+    authors: DataFrame
 
     @classmethod
     def from_tables(cls, t: SocialTables) -> Marts:
+        scores = aggregates.user_score(t.users, t.post_facts, t.post_votes).withColumnRenamed("id", "user_id")
+        people = t.users.select(F.col("id").alias("user_id"), *AUTHOR_COLUMNS)
         return cls(
             post_stats=aggregates.post_stats(t.post_votes),
             reply_counts=aggregates.reply_count(t.post_facts),
-            user_scores=aggregates.user_score(t.users, t.post_facts, t.post_votes),
+            authors=flag_top_user(people.join(scores, "user_id", "left"), scores),
         )
 
     def save(self, path: str) -> None:
-        self.post_stats.write.parquet(f"{path}/post_stats")
-        self.reply_counts.write.parquet(f"{path}/reply_counts")
-        self.user_scores.write.parquet(f"{path}/user_scores")
+        for field in fields(self):
+            getattr(self, field.name).write.mode("errorifexists").parquet(f"{path}/{field.name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Marts:
         return cls(
-            post_stats=spark.read.schema(
-                "post_id BIGINT, post_score BIGINT, up_votes BIGINT, down_votes BIGINT"
-            ).parquet(f"{path}/post_stats"),
-            reply_counts=spark.read.schema("post_id BIGINT, reply_count BIGINT").parquet(f"{path}/reply_counts"),
-            user_scores=spark.read.schema("id BIGINT, user_score BIGINT").parquet(f"{path}/user_scores"),
+            **{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in _SCHEMAS.items()}
         )
 
-
-def flag_top_user(df: DataFrame, user_scores: DataFrame, column: str = "user_id") -> DataFrame:
-    """Add `is_top_user`; the other side is a single row, so it is always safe to broadcast."""
-    best = aggregates.top_user(user_scores).agg(F.max("id").alias("_top_id"))
-    return (
-        df.crossJoin(F.broadcast(best))
-        .withColumn("is_top_user", F.coalesce(F.col(column) == F.col("_top_id"), F.lit(False)))
-        .drop("_top_id")
-    )
+    def user_scores(self) -> DataFrame:
+        return self.authors.select(F.col("user_id").alias("id"), "user_score")
 
 
-def author_cards(t: SocialTables, marts: Marts) -> DataFrame:
-    """What a post shows about its author. Joined into one row per author first, so that
-    posts, where one author can hold many rows, are joined by author only once."""
-    people = t.users.select(F.col("id").alias("user_id"), *AUTHOR_COLUMNS)
-    scores = marts.user_scores.withColumnRenamed("id", "user_id")
-    return flag_top_user(people.join(scores, "user_id", "left"), marts.user_scores)
+def flag_top_user(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Add `is_top_user` to rows with a `user_id`, given (user_id, user_score) of everyone."""
+    best = aggregates.top_user(scores.withColumnRenamed("user_id", "id")).select("id")
+    return df.withColumn("is_top_user", F.coalesce(F.col("user_id") == best.scalar(), F.lit(False)))
 
 
-def post_cards(t: SocialTables, marts: Marts, posts: DataFrame, viewer_id: int | None = None) -> DataFrame:
-    """Posts with scores, counts and author. All joins but the last have one row per post.
+def post_cards(
+    t: SocialTables,
+    marts: Marts,
+    posts: DataFrame,
+    viewer_id: int | None = None,
+    all_posts: bool = False,
+) -> DataFrame:
+    """Posts with scores, counts and author.
 
     With a viewer, `current_user_vote` is that user's vote; without one the column is left out.
+    All joins but the one by author have one row per post on both sides. That one is salted for
+    `all_posts`; pages that show a few posts per author need no salting.
     """
     cards = posts.join(marts.post_stats, "post_id", "left").join(marts.reply_counts, "post_id", "left")
     if viewer_id is not None:
         mine = t.post_votes.filter(F.col("user_id") == viewer_id)
         votes = aggregates.viewer_vote(mine).drop("viewer_id")
         cards = cards.join(votes, "post_id", "left").fillna(0, ["current_user_vote"])
-    return cards.join(author_cards(t, marts), "user_id", "left").fillna(False, ["is_top_user"])
+    if all_posts:
+        cards = spread_join(cards, marts.authors, "user_id", "post_id", counted=t.post_facts)
+    else:
+        cards = cards.join(marts.authors, "user_id", "left")
+    return cards.fillna(False, ["is_top_user"])

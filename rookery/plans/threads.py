@@ -15,7 +15,7 @@ _COUNTS = ["reply_count", "up_votes", "down_votes", "user_score"]
 
 def post_detail(t: SocialTables, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
     """Every live post with author, scores, counts and the viewer's vote."""
-    cards = post_cards(t, marts or Marts.from_tables(t), live(t.posts), viewer_id)
+    cards = post_cards(t, marts or Marts.from_tables(t), live(t.posts), viewer_id, all_posts=True)
     return net_votes(cards).drop("post_score").fillna(0, _COUNTS)
 
 
@@ -44,15 +44,14 @@ def thread_members(posts: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def thread(
-    t: SocialTables, depth: int = 2, viewer_id: int = 0, marts: Marts | None = None, ordered: bool = False
+    t: SocialTables, depth: int = 2, viewer_id: int = 0, marts: Marts | None = None
 ) -> DataFrame:
-    """The page of every live post: the post and `depth` levels of replies with their figures.
-
-    Within a level the order is net votes, highest first. `ordered` sorts the whole result that
-    way; a range sort on the full order splits a long thread over many tasks.
-    """
+    """The page of every live post: the post and `depth` levels of replies with their figures."""
     members = thread_members(t.post_facts, depth)
-    pages = members.join(post_detail(t, viewer_id, marts), "post_id")
-    if ordered:
-        pages = pages.orderBy("thread_id", "level", F.col("net_votes").desc(), "post_id")
-    return pages
+    return members.join(post_detail(t, viewer_id, marts), "post_id")
+
+
+def in_page_order(pages: DataFrame) -> DataFrame:
+    """Threads as shown: level by level, net votes first. The range sort is on the whole
+    order, so a long thread is split over many tasks."""
+    return pages.orderBy("thread_id", "level", F.col("net_votes").desc(), "post_id")

@@ -12,7 +12,7 @@ from .. import functions as fn
 from ..operators import aggregates, changes, checks, joins, notices, predicates
 from ..plans import boards, camps, feeds, inbox, threads
 from ..plans.marts import Marts, flag_top_user
-from ..session import work_dir
+from ..session import work_dir, written_folder
 from ..sources import sinks
 from ..sources.star import TIE_BREAK, StarSource
 from ..sources.tables import load_tables, save_tables
@@ -256,7 +256,7 @@ def live_replies(s: StarSource) -> DataFrame:
 @_query
 def restrict_ids(s: StarSource) -> DataFrame:
     disliked = s.post_votes().filter(F.col("value") < 0)
-    return predicates.restrict_ids(s.post_facts(), disliked, "post_id").select("post_id", "user_id", "camp_id")
+    return predicates.restrict_ids(s.post_facts(), disliked, "post_id", "post_id").select("post_id", "user_id", "camp_id")
 
 
 @_query
@@ -461,6 +461,13 @@ def author_scores_by_name(s: StarSource) -> DataFrame:
 
 # --- pages
 
+
+def _marts(s: StarSource) -> Marts:
+    """The scores all pages share, written once per application."""
+    folder = written_folder(s.spark, (s.path, "marts"), lambda path: Marts.from_tables(s.tables()).save(path))
+    return Marts.load(s.spark, folder)
+
+
 _FEED = (
     "post_id",
     "user_id",
@@ -481,28 +488,29 @@ _FEED = (
 
 @_query
 def home_feed(s: StarSource) -> DataFrame:
-    return feeds.home_feed(s.tables()).select("viewer_id", *_FEED)
+    return feeds.home_feed(s.tables(), marts=_marts(s)).select("viewer_id", *_FEED)
 
 
 @_query
 def home_feed_next_page(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.home_feed(s.tables(), cursor=CURSOR).select("viewer_id", *_FEED))
+    return _text_digest(feeds.home_feed(s.tables(), cursor=CURSOR, marts=_marts(s)).select("viewer_id", *_FEED))
 
 
 @_query
 def profile_feed(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.profile_feed(s.tables(), viewer_id=VIEWER).select(*_FEED))
+    return _text_digest(feeds.profile_feed(s.tables(), viewer_id=VIEWER, marts=_marts(s)).select(*_FEED))
 
 
 @_query
 def top_of_day(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.top_of_day(s.tables(), viewer_id=VIEWER).select("day", *_FEED))
+    return _text_digest(feeds.top_of_day(s.tables(), viewer_id=VIEWER, marts=_marts(s)).select("day", *_FEED))
 
 
 @_query
 def top_of_window(s: StarSource) -> DataFrame:
     t = s.tables()
-    return feeds.top_of_window(t, predicates.day_window(t.posts, DAY), viewer_id=VIEWER).select(*_FEED)
+    day = predicates.day_window(t.posts, DAY)
+    return feeds.top_of_window(t, day, viewer_id=VIEWER, marts=_marts(s)).select(*_FEED)
 
 
 @_query
@@ -535,13 +543,14 @@ _DETAIL = (
 
 @_query
 def post_detail(s: StarSource) -> DataFrame:
-    return _text_digest(threads.post_detail(s.tables(), VIEWER).select(*_DETAIL, "post_text"))
+    return _text_digest(threads.post_detail(s.tables(), VIEWER, _marts(s)).select(*_DETAIL, "post_text"))
 
 
 @_query
 def thread(s: StarSource) -> DataFrame:
-    pages = threads.thread(s.tables(), viewer_id=VIEWER, ordered=True)
-    return _text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text"))
+    pages = threads.thread(s.tables(), viewer_id=VIEWER, marts=_marts(s))
+    shown = _text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text"))
+    return threads.in_page_order(shown)
 
 
 @_query
@@ -551,12 +560,12 @@ def notification_inbox(s: StarSource) -> DataFrame:
 
 @_query
 def leaderboard(s: StarSource) -> DataFrame:
-    return boards.leaderboard(s.tables(), viewer_id=VIEWER)
+    return boards.leaderboard(s.tables(), viewer_id=VIEWER, marts=_marts(s))
 
 
 @_query
 def people_search(s: StarSource) -> DataFrame:
-    return boards.people_search(s.tables(), SEARCH_TERM, viewer_id=VIEWER)
+    return boards.people_search(s.tables(), SEARCH_TERM, viewer_id=VIEWER, marts=_marts(s))
 
 
 @_query
@@ -683,7 +692,8 @@ def extract_mentions(s: StarSource) -> DataFrame:
 @_query
 def is_top_user(s: StarSource) -> DataFrame:
     scores = _scored_users(s)
-    return flag_top_user(s.users().select("id"), scores, "id")
+    people = s.users().select(F.col("id").alias("user_id"))
+    return flag_top_user(people, scores.withColumnRenamed("id", "user_id")).withColumnRenamed("user_id", "id")
 
 
 @_query
@@ -702,7 +712,7 @@ def vote_state(s: StarSource) -> DataFrame:
 
 @_query
 def format_feed(s: StarSource) -> DataFrame:
-    shown = feeds.format_feed(feeds.profile_feed(s.tables(), viewer_id=VIEWER), POSTS_AS_OF)
+    shown = feeds.format_feed(feeds.profile_feed(s.tables(), viewer_id=VIEWER, marts=_marts(s)), POSTS_AS_OF)
     return shown.select(
         "post_id",
         "user_id",
@@ -728,10 +738,7 @@ def format_feed(s: StarSource) -> DataFrame:
 
 @_query
 def marts(s: StarSource) -> DataFrame:
-    """Shared scores written once and read back."""
-    path = work_dir(s.spark, "marts")
-    Marts.from_tables(s.tables()).save(path)
-    saved = Marts.load(s.spark, path)
+    saved = _marts(s)
     return saved.post_stats.join(saved.reply_counts, "post_id", "full")
 
 

@@ -1,11 +1,12 @@
-"""Session settings and the shared work folder."""
+"""Session settings, the shared work folder and tables written once per application."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans are written for. Adaptive execution splits hot join
 # partitions; forcing it keeps the split even where it costs one more shuffle.
@@ -42,3 +43,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="rookery-")
     return f"{base.rstrip('/')}/rookery/{name}-{uuid.uuid4().hex}"
+
+
+_WRITTEN: dict[tuple[str, ...], str] = {}
+
+
+def written_folder(spark: SparkSession, key: tuple[str, ...], write: Callable[[str], None]) -> str:
+    """The folder `write` filled for `key`; it is called once per application."""
+    full_key = (spark.sparkContext.applicationId, *key)
+    if full_key not in _WRITTEN:
+        folder = work_dir(spark, key[-1])
+        write(folder)
+        _WRITTEN[full_key] = folder
+    return _WRITTEN[full_key]
+
+
+def written_table(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """`make()` as a table written once per application, which later queries read back."""
+    df = make()
+    folder = written_folder(spark, key, lambda path: df.write.parquet(path))
+    return spark.read.schema(df.schema).parquet(folder)

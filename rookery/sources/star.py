@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ntz
 from ..operators.changes import normalise_votes, reject_self_votes
 from ..operators.ranking import latest_by_key
+from ..session import written_table
 from .schemas import STAR
 from .tables import SocialTables
 
@@ -21,6 +23,9 @@ from .tables import SocialTables
 TIE_BREAK = ("line_number", "part_id", "price")
 
 
+_VALUES: dict[tuple[str, ...], object] = {}
+
+
 @dataclass(frozen=True)
 class StarSource:
     spark: SparkSession
@@ -29,33 +34,34 @@ class StarSource:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(STAR[name]).parquet(f"{self.path}/{name}.parquet")
 
-    def _count(self, name: str, alias: str) -> DataFrame:
-        """One row, for a broadcast cross join."""
-        return F.broadcast(self.read(name).agg(F.count(F.lit(1)).alias(alias)))
+    def _value(self, name: str, value: Column):
+        """One number of a source file, read once per application."""
+        key = (self.spark.sparkContext.applicationId, self.path, name, str(value))
+        if key not in _VALUES:
+            _VALUES[key] = self.read(name).agg(value).first()[0]
+        return _VALUES[key]
+
+    def _count(self, name: str) -> Column:
+        return F.lit(self._value(name, F.count(F.lit(1)))).cast("bigint")
 
     def users(self) -> DataFrame:
-        start = F.broadcast(self.read("orders").agg(F.min("o_orderdate").alias("t0")))
         key = F.col("c_custkey")
-        minutes = ((key * 37) % F.col("nc")).cast("int")
-        return (
-            self.read("customer")
-            .crossJoin(self._count("customer", "nc"))
-            .crossJoin(start)
-            .select(
-                key.alias("id"),
-                F.replace("c_name", F.lit("#"), F.lit("_")).alias("handle"),
-                F.concat(F.lit("u"), key.cast("string"), F.lit("@example.com")).alias("email"),
-                F.concat("c_mktsegment", F.lit(" person")).alias("first_name"),
-                F.when(key % 3 != 0, F.concat(F.lit("p"), key.cast("string"), F.lit(".jpg"))).alias("profile_photo"),
-                F.when(key % 4 != 0, F.col("c_mktsegment")).alias("bio"),
-                (F.col("t0") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("creation_time"),
-            )
+        start = ntz(self._value("orders", F.min("o_orderdate")))
+        minutes = ((key * 37) % self._count("customer")).cast("int")
+        return self.read("customer").select(
+            key.alias("id"),
+            F.replace("c_name", F.lit("#"), F.lit("_")).alias("handle"),
+            F.concat(F.lit("u"), key.cast("string"), F.lit("@example.com")).alias("email"),
+            F.concat("c_mktsegment", F.lit(" person")).alias("first_name"),
+            F.when(key % 3 != 0, F.concat(F.lit("p"), key.cast("string"), F.lit(".jpg"))).alias("profile_photo"),
+            F.when(key % 4 != 0, F.col("c_mktsegment")).alias("bio"),
+            (start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("creation_time"),
         )
 
     def post_facts(self) -> DataFrame:
         return self.read("orders").select(*self._fact_columns())
 
-    def _fact_columns(self):
+    def _fact_columns(self) -> list[Column]:
         key = F.col("o_orderkey")
         parent = F.when(key % 4 == 2, key - 1).when(key % 4 != 0, key - key % 4)
         minute = (key % 1440).cast("int")
@@ -78,14 +84,13 @@ class StarSource:
         greeting = F.when(
             key % 7 == 0, F.concat(F.lit("hi @"), F.col("mention"), F.lit(" and @nobody_here "))
         ).otherwise("")
+        # Documents are the largest table: a shuffle join at any size keeps the text spread out.
         return (
             self.read("orders")
-            .crossJoin(self._count("documents", "nd"))
-            .crossJoin(self._count("customer", "nc"))
-            .withColumn("doc_key", key % F.col("nd"))
-            .withColumn("mention_key", (key * 13) % F.col("nc"))
+            .withColumn("doc_key", key % self._count("documents"))
+            .withColumn("mention_key", (key * 13) % self._count("customer"))
             .join(mentioned, "mention_key")
-            .join(documents, "doc_key")
+            .join(documents.hint("merge"), "doc_key")
             .select(*self._fact_columns(), F.concat(greeting, F.col("text")).alias("post_text"))
         )
 
@@ -106,6 +111,10 @@ class StarSource:
         )
 
     def post_votes(self) -> DataFrame:
+        """The vote snapshot, written once per application."""
+        return written_table(self.spark, (self.path, "post_votes"), self._post_votes)
+
+    def _post_votes(self) -> DataFrame:
         events = normalise_votes(self.vote_events())
         current = latest_by_key(events, ["post_id", "user_id"], ["added_time", *TIE_BREAK])
         votes = current.select("camp_id", "user_id", "post_id", "value", "added_time")
@@ -133,6 +142,10 @@ class StarSource:
     FOLLOW_TIE_BREAK = ("post_id", *TIE_BREAK)
 
     def follows(self) -> DataFrame:
+        """The follow snapshot, written once per application."""
+        return written_table(self.spark, (self.path, "follows"), self._follows)
+
+    def _follows(self) -> DataFrame:
         events = self.follow_events().filter(F.col("user_id") != F.col("following"))
         current = latest_by_key(events, ["user_id", "following"], ["creation_time", *self.FOLLOW_TIE_BREAK])
         return current.select("user_id", "following", "follow_value", "creation_time")
@@ -140,19 +153,14 @@ class StarSource:
     def notifications(self) -> DataFrame:
         event = F.col("event_id")
         kind = F.col("event_type")
-        return (
-            self.read("events")
-            .crossJoin(self._count("customer", "nc"))
-            .crossJoin(self._count("orders", "no"))
-            .select(
-                event.alias("notification_id"),
-                "user_id",
-                ((event * 7) % F.col("nc")).alias("triggered_by_user_id"),
-                F.when(kind == "signup", 1).when(kind == "click", 2).when(kind == "view", 3).otherwise(0).alias("event_type_id"),
-                F.when(kind != "signup", (event * 11) % F.col("no")).alias("reference_post_id"),
-                F.when(F.col("value") > 50, 1).otherwise(0).alias("seen"),
-                F.col("ts").alias("creation_time"),
-            )
+        return self.read("events").select(
+            event.alias("notification_id"),
+            "user_id",
+            ((event * 7) % self._count("customer")).alias("triggered_by_user_id"),
+            F.when(kind == "signup", 1).when(kind == "click", 2).when(kind == "view", 3).otherwise(0).alias("event_type_id"),
+            F.when(kind != "signup", (event * 11) % self._count("orders")).alias("reference_post_id"),
+            F.when(F.col("value") > 50, 1).otherwise(0).alias("seen"),
+            F.col("ts").alias("creation_time"),
         )
 
     def tokens(self) -> DataFrame:
@@ -215,14 +223,14 @@ class StarSource:
 
     def tables(self) -> SocialTables:
         return SocialTables(
-            users=self.users(),
-            posts=self.posts(),
-            post_votes=self.post_votes(),
-            follows=self.follows(),
-            notifications=self.notifications(),
-            tokens=self.tokens(),
-            camp_directory=self.camp_directory(),
-            camps=self.camps(),
-            media=self.media(),
-            post_facts=self.post_facts(),
+            users=self.users,
+            posts=self.posts,
+            post_votes=self.post_votes,
+            follows=self.follows,
+            notifications=self.notifications,
+            tokens=self.tokens,
+            camp_directory=self.camp_directory,
+            camps=self.camps,
+            media=self.media,
+            post_facts=self.post_facts,
         )

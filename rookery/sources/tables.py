@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,37 +11,39 @@ from pyspark.sql.types import StructType
 from .schemas import NUMERIC_KEY, SOCIAL
 
 
-@dataclass(frozen=True)
 class SocialTables:
-    """The nine tables every plan reads.
+    """The nine tables every plan reads, as attributes.
 
-    `post_facts` is posts without the text. It defaults to a projection of posts;
-    a source that has to join for the text can supply a cheaper frame.
+    Tables are given as frames, or as functions that are called when the table is first read.
+    `post_facts` is posts without the text. It defaults to a projection of posts; a source
+    that has to join for the text can supply a cheaper frame.
     """
 
-    users: DataFrame
-    posts: DataFrame
-    post_votes: DataFrame
-    follows: DataFrame
-    notifications: DataFrame
-    tokens: DataFrame
-    camp_directory: DataFrame
-    camps: DataFrame
-    media: DataFrame
-    post_facts: DataFrame | None = None
-
-    def __post_init__(self) -> None:
-        if self.post_facts is None:
-            object.__setattr__(self, "post_facts", self.posts.drop("post_text"))
+    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(frames) - set(SOCIAL) - {"post_facts"}
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._frames = frames
+
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = self.__dict__["_frames"]
+        if name == "post_facts" and name not in frames:
+            frames[name] = self.posts.drop("post_text")
+        if name not in frames:
+            raise AttributeError(f"no table {name!r} was given")
+        if not isinstance(frames[name], DataFrame):
+            frames[name] = frames[name]()
+        return frames[name]
 
     def frames(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "post_facts"}
+        return {name: getattr(self, name) for name in SOCIAL if name in self._frames}
 
     def with_frames(self, **frames: DataFrame) -> SocialTables:
         """A copy with some tables replaced, for example by the result of a change job."""
-        if "posts" in frames and "post_facts" not in frames:
-            frames["post_facts"] = None
-        return replace(self, **frames)
+        kept = dict(self._frames)
+        if "posts" in frames:
+            kept.pop("post_facts", None)
+        return SocialTables(**{**kept, **frames})
 
 
 def load_tables(spark: SparkSession, path: str) -> SocialTables:

@@ -55,6 +55,7 @@ def main() -> int:
         master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
     )
     spark.sparkContext.setLogLevel("ERROR")
