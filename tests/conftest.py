@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).resolve().parent
+sys.path[:0] = [str(ROOT.parent), str(ROOT)]
 
 from rookery.session import build_session  # noqa: E402
 
