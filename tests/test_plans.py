@@ -87,8 +87,8 @@ def test_spread_join_spreads_the_hot_and_the_missing_key(spark, monkeypatch, no_
             counts = [r.n for r in sizes.collect()]
             return max(counts) / sum(counts)
 
-        assert largest(left.join(right, "k", "left")) > 0.5
-        assert largest(skew.spread_join(left, right, "k", "id")) < 0.32  # four partitions
+        assert largest(left.join(right, "k", "left")) > 0.4
+        assert largest(skew.spread_join(left, right, "k", "id")) < 0.3  # four partitions
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
