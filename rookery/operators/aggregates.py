@@ -57,16 +57,19 @@ def net_votes(stats: DataFrame) -> DataFrame:
     )
 
 
-def viewer_vote(votes: DataFrame) -> DataFrame:
+def viewer_vote(votes: DataFrame, camp_id: int | None = None) -> DataFrame:
+    """Sum of a user's votes per post, of one camp if given."""
+    if camp_id is not None:
+        votes = votes.filter(F.col("camp_id") == camp_id)
     return votes.groupBy(F.col("user_id").alias("viewer_id"), "post_id").agg(
         _votes_total().alias("current_user_vote")
     )
 
 
-def reply_count(posts: DataFrame) -> DataFrame:
-    """Replies per post that are not deleted."""
+def reply_count(posts: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """Replies per post, without the deleted ones unless asked for."""
     return (
-        live(posts)
+        (posts if include_deleted else live(posts))
         .filter(F.col("reply_to_id").isNotNull())
         .groupBy(F.col("reply_to_id").alias("post_id"))
         .agg(F.count(F.lit(1)).alias("reply_count"))
@@ -151,9 +154,17 @@ def profile_summary(users: DataFrame, user_scores: DataFrame) -> DataFrame:
     )
 
 
+_NEWEST_NOTICE = ("creation_time", "notification_id")
+
+
 def newest_notifications(notifications: DataFrame, k: int) -> DataFrame:
-    order = [F.col("creation_time").desc(), F.col("notification_id").desc()]
-    return top_k(notifications, ["user_id"], order, k)
+    """Each user's k newest notifications."""
+    return top_k(notifications, ["user_id"], [F.col(c).desc() for c in _NEWEST_NOTICE], k)
+
+
+def latest_notifications(notifications: DataFrame, k: int = 25) -> DataFrame:
+    """The k newest notifications of all users."""
+    return notifications.orderBy(*[F.col(c).desc() for c in _NEWEST_NOTICE]).limit(k)
 
 
 def unseen_count(notifications: DataFrame, k: int | None = 25) -> DataFrame:

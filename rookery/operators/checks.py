@@ -56,32 +56,29 @@ def reject_taken_accounts(requests: DataFrame, users: DataFrame) -> DataFrame:
     handles = users.select(F.lower("handle").alias("_handle")).distinct().withColumn("_handle_used", F.lit(1))
     by_email = spread_join(asked, emails, "_email", "request_id")
     checked = spread_join(by_email, handles, "_handle", "request_id", counted=asked)
-    free = F.col("_email_used").isNull() & F.col("_handle_used").isNull()
 
-    # Minimum per key instead of a window: it is combined before the shuffle,
-    # so an email asked for by a third of the batch is no hot window group.
+    # Minimum per key instead of a window: it is combined before the shuffle, so an email
+    # asked for by a third of the batch is no hot group. The first request for an email is
+    # accepted when it is also the first for its username; both sides of that test are small.
     place = F.struct("request_time", "request_id")
-    open_requests = checked.filter(free)
-    first_email = open_requests.groupBy("_email").agg(F.min(place).alias("_first"))
-    first_handle = open_requests.groupBy("_handle").agg(F.min(place).alias("_first"))
-    winners = (
-        first_email.select("_email", F.col("_first.request_id").alias("request_id"))
-        .join(first_handle.select("_handle", F.col("_first.request_id").alias("request_id")), "request_id")
-        .join(open_requests.select("request_id", "request_time"), "request_id")
+    open_requests = checked.filter(F.col("_email_used").isNull() & F.col("_handle_used").isNull())
+    first_email = open_requests.groupBy("_email").agg(F.min(F.struct(place.alias("place"), "_handle")).alias("_e"))
+    first_handle = open_requests.groupBy("_handle").agg(F.min(F.struct(place.alias("place"), "_email")).alias("_h"))
+    accepted = (
+        first_email.select("_email", "_e.place", "_e._handle")
+        .join(first_handle.select("_handle", "_h.place"), ["_handle", "place"])
     )
-    won = winners.select("request_id", F.lit(1).alias("_won"))
-    won_email = winners.select("_email", place.alias("_email_won"))
-    won_handle = winners.select("_handle", F.lit(1).alias("_handle_won"))
+    won_email = accepted.select("_email", F.col("place").alias("_email_won"))
+    won_handle = accepted.select("_handle", F.lit(1).alias("_handle_won"))
     status = (
         F.when(F.col("_email_used").isNotNull(), "email_taken")
-        .when(F.col("_won").isNotNull(), "accepted")
+        .when(F.col("_handle_used").isNull() & (F.col("_email_won") == place), "accepted")
         .when(F.col("_email_won") < place, "email_taken")
         .when(F.col("_handle_used").isNotNull() | F.col("_handle_won").isNotNull(), "handle_taken")
         .otherwise("deferred")
     )
     return (
-        checked.join(won, "request_id", "left")
-        .join(won_email, "_email", "left")
+        checked.join(won_email, "_email", "left")
         .join(won_handle, "_handle", "left")
         .withColumn("status", status)
         .select(*requests.columns, "status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -100,7 +101,8 @@ def quarter_window(df: DataFrame, as_of: dt.date, column: str) -> DataFrame:
 
 
 def _matches(term: str) -> Column:
-    pattern = f"%{term}%"
+    # A backslash before an ordinary character stands for that character.
+    pattern = "%" + re.sub(r"\\([^%_\\])", r"\1", term) + "%"
     return F.col("handle").ilike(pattern) | F.col("first_name").ilike(pattern)
 
 

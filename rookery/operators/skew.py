@@ -23,12 +23,10 @@ MIN_HOT_ROWS = 1_000_000
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, salts): hot keys and the number of salts each is spread over, at most HOT_SHARE."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    rows_per_salt = F.greatest(F.col("_total") / HOT_SHARE, F.lit(MIN_HOT_ROWS))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .filter(F.col("_n") > rows_per_salt)
-        .select(F.col(key), F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(SALTS))
+    total = counts.agg(F.sum("_n")).scalar()
+    rows_per_salt = F.greatest(total / HOT_SHARE, F.lit(MIN_HOT_ROWS))
+    return counts.filter(F.col("_n") > rows_per_salt).select(
+        F.col(key), F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(SALTS)
     )
 
 

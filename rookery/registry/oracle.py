@@ -197,7 +197,7 @@ _FOLLOW_ROWS = (
 _NOTICE = f"user_id, triggered_by_user_id, event_type_id, reference_post_id, {_time('creation_time')}"
 
 _PLAIN: dict[str, str] = {
-    "load_social_tables": """done AS (SELECT 1)
+    "load_tables": """done AS (SELECT 1)
         SELECT 'users' AS table_name, count(*) AS n_rows FROM users UNION ALL SELECT 'posts', count(*) FROM posts
         UNION ALL SELECT 'post_votes', count(*) FROM post_votes UNION ALL SELECT 'follows', count(*) FROM follows
         UNION ALL SELECT 'notifications', count(*) FROM notifications UNION ALL SELECT 'tokens', count(*) FROM tokens
@@ -209,6 +209,9 @@ _PLAIN: dict[str, str] = {
     "latest_post_id": "done AS (SELECT 1) SELECT max(post_id) AS latest_post_id, max(post_id) + 1 AS cursor FROM posts",
     "latest_post_id_by_user": """done AS (SELECT 1)
         SELECT user_id, max(post_id) AS latest_post_id, max(post_id) + 1 AS cursor FROM posts GROUP BY user_id""",
+    "normalise_votes": """done AS (SELECT 1)
+        SELECT user_id, post_id, raw_value, CASE WHEN raw_value = 1 THEN 1 WHEN raw_value = -1 THEN -1 ELSE 0 END AS exact_value,
+               CASE WHEN raw_value >= 0 THEN 1 ELSE -1 END AS sign_value FROM vote_events""",
     "normalise_votes_exact": f"""done AS (SELECT 1)
         SELECT camp_id, user_id, post_id, {_time('added_time')}, value FROM vote_events""",
     "normalise_votes_sign": f"""done AS (SELECT 1)
@@ -329,6 +332,15 @@ _PLAIN: dict[str, str] = {
         FROM notifications n LEFT JOIN users u ON u.id = n.triggered_by_user_id""",
     "viewer_vote": """done AS (SELECT 1)
         SELECT user_id AS viewer_id, post_id, CAST(sum(value) AS BIGINT) AS current_user_vote FROM post_votes GROUP BY user_id, post_id""",
+    "reply_count_all": """done AS (SELECT 1)
+        SELECT reply_to_id AS post_id, count(*) AS reply_count FROM posts WHERE reply_to_id IS NOT NULL GROUP BY reply_to_id""",
+    "viewer_vote_in_camp": """done AS (SELECT 1)
+        SELECT user_id AS viewer_id, post_id, CAST(sum(value) AS BIGINT) AS current_user_vote FROM post_votes
+        WHERE camp_id = 1 GROUP BY user_id, post_id""",
+    "latest_notifications": f"""done AS (SELECT 1)
+        SELECT n.notification_id, n.user_id, {_time('n.creation_time')}, u.profile_photo, u.handle, n.event_type_id, n.seen
+        FROM notifications n LEFT JOIN users u ON u.id = n.triggered_by_user_id
+        ORDER BY n.creation_time DESC, n.notification_id DESC LIMIT 25""",
     "daily_active_users": """acts AS (
           SELECT user_id, added_time AS t FROM post_votes UNION SELECT user_id, creation_time FROM posts)
         SELECT CAST(CAST(t AS DATE) AS STRING) AS day, count(DISTINCT user_id) AS active_users FROM acts
@@ -443,7 +455,7 @@ _SCORED: dict[str, str] = {
         SELECT p.post_id, p.user_id, u.first_name, c.post_score, n.user_score, {_digest('p.post_text')}
         FROM posts p LEFT JOIN users u ON u.id = p.user_id LEFT JOIN names n ON n.first_name = u.first_name
         LEFT JOIN camp_scores c ON c.post_id = p.post_id WHERE p.camp_id = 1""",
-    "score_level": f"done AS (SELECT 1) SELECT id, {_LEVEL} AS user_level FROM user_scores",
+    "level": f"done AS (SELECT 1) SELECT id, {_LEVEL} AS user_level FROM user_scores",
     "score_bars": f"done AS (SELECT 1) SELECT id, {_BARS} AS user_score_bars FROM user_scores",
     "score_bar_text": f"done AS (SELECT 1) SELECT id, {_BAR_TEXT} AS user_score_bars_print FROM user_scores",
     "blank_zero": f"""done AS (SELECT 1)

@@ -12,10 +12,9 @@ from .. import functions as fn
 from ..operators import aggregates, changes, checks, joins, notices, predicates
 from ..plans import boards, camps, feeds, inbox, threads
 from ..plans.marts import Marts, flag_top_user
-from ..session import work_dir, written_folder
-from ..sources import sinks
+from ..session import work_dir, written_folder, written_table
+from ..sources import sinks, tables
 from ..sources.star import TIE_BREAK, StarSource
-from ..sources.tables import load_tables, save_tables
 from ..streaming import activity as activity_stream
 from ..streaming import notices as notice_stream
 from ..streaming import votes as vote_stream
@@ -57,8 +56,10 @@ def _plain_types(df: DataFrame) -> DataFrame:
     """Times and days as text, so that session zones cannot matter to a comparison."""
 
     def plain(name: str, kind: str) -> Column:
-        if kind.startswith("timestamp"):
-            return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+        if kind == "timestamp_ntz":
+            text = F.col(name).cast("string")
+            fraction = F.rpad(F.substring(text, 21, 6), 6, "0")
+            return F.concat(F.substring(text, 1, 19), F.lit("."), fraction).alias(name)
         if kind == "date":
             return F.col(name).cast("string").alias(name)
         return F.col(name)
@@ -75,12 +76,12 @@ def _text_digest(df: DataFrame, column: str = "post_text") -> DataFrame:
 
 
 @_query
-def load_social_tables(s: StarSource) -> DataFrame:
+def load_tables(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "tables")
-    save_tables(s.tables(), path)
+    tables.save_tables(s.tables(), path)
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        for name, df in load_tables(s.spark, path).frames().items()
+        for name, df in tables.load_tables(s.spark, path).frames().items()
     ]
     out = counts[0]
     for more in counts[1:]:
@@ -123,6 +124,13 @@ def _vote_rows(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select("camp_id", "user_id", "post_id", "added_time", value)
 
 
+@_query
+def normalise_votes(s: StarSource) -> DataFrame:
+    exact = changes.normalise_votes(s.vote_events(), "exact").withColumnRenamed("value", "exact_value")
+    both = changes.normalise_votes(exact, "sign").withColumnRenamed("value", "sign_value")
+    return both.select("user_id", "post_id", "raw_value", "exact_value", "sign_value")
+
+
 @_query
 def normalise_votes_exact(s: StarSource) -> DataFrame:
     return _vote_rows(changes.normalise_votes(s.vote_events(), "exact"))
@@ -142,19 +150,25 @@ def reject_self_votes(s: StarSource) -> DataFrame:
 def apply_votes(s: StarSource) -> DataFrame:
     votes = changes.reject_self_votes(changes.normalise_votes(s.vote_events()), s.post_facts())
     early = F.col("added_time") < fn.ntz(SNAPSHOT_ENDS)
-    snapshot = changes.latest_by_key(votes.filter(early), changes.VOTE_KEY, ["added_time", *TIE_BREAK])
-    return changes.apply_votes(_vote_rows(snapshot), votes.filter(~early), TIE_BREAK)
+
+    def stored() -> DataFrame:
+        return _vote_rows(changes.latest_by_key(votes.filter(early), changes.VOTE_KEY, ["added_time", *TIE_BREAK]))
+
+    snapshot = written_table(s.spark, (s.path, "early_votes"), stored)
+    return changes.apply_votes(snapshot, votes.filter(~early), TIE_BREAK)
 
 
 @_query
 def apply_follows(s: StarSource) -> DataFrame:
     events = s.follow_events()
     early = F.col("creation_time") < fn.ntz(SNAPSHOT_ENDS)
-    snapshot = changes.latest_by_key(
-        changes.clean_follow_events(events.filter(early)),
-        changes.FOLLOW_KEY,
-        ["creation_time", *s.FOLLOW_TIE_BREAK],
-    ).select("user_id", "following", "follow_value", "creation_time")
+
+    def stored() -> DataFrame:
+        cleaned = changes.clean_follow_events(events.filter(early))
+        newest = changes.latest_by_key(cleaned, changes.FOLLOW_KEY, ["creation_time", *s.FOLLOW_TIE_BREAK])
+        return newest.select("user_id", "following", "follow_value", "creation_time")
+
+    snapshot = written_table(s.spark, (s.path, "early_follows"), stored)
     return changes.apply_follows(snapshot, events.filter(~early), s.FOLLOW_TIE_BREAK)
 
 
@@ -417,6 +431,16 @@ def reply_count(s: StarSource) -> DataFrame:
     return aggregates.reply_count(s.post_facts())
 
 
+@_query
+def reply_count_all(s: StarSource) -> DataFrame:
+    return aggregates.reply_count(s.post_facts(), include_deleted=True)
+
+
+@_query
+def viewer_vote_in_camp(s: StarSource) -> DataFrame:
+    return aggregates.viewer_vote(s.post_votes(), CAMP)
+
+
 @_query
 def vote_counts(s: StarSource) -> DataFrame:
     return aggregates.vote_counts(s.post_votes())
@@ -574,6 +598,14 @@ def camp_wall(s: StarSource) -> DataFrame:
     return _text_digest(wall.select("post_id", "user_id", "first_name", "post_score", "user_score", "post_text"))
 
 
+@_query
+def latest_notifications(s: StarSource) -> DataFrame:
+    newest = aggregates.latest_notifications(s.notifications())
+    return joins.with_actor(newest, s.users()).select(
+        "notification_id", "user_id", "creation_time", "profile_photo", "handle", "event_type_id", "seen"
+    )
+
+
 # --- notification generation
 
 
@@ -600,7 +632,7 @@ def _scored_users(s: StarSource) -> DataFrame:
 
 
 @_query
-def score_level(s: StarSource) -> DataFrame:
+def level(s: StarSource) -> DataFrame:
     score = F.col("user_score")
     return _scored_users(s).select("id", fn.level(score).alias("user_level"))
 

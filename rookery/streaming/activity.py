@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def daily_active_stream(acts: DataFrame, late_by: str = "1 day") -> DataFrame:
+def daily_active_stream(acts: DataFrame, late_days: int = 1) -> DataFrame:
     """Active users per closed UTC day of a stream of (user_id, time).
 
-    A day closes once the newest day seen is `late_by` past its end, and is emitted then.
-    Users are deduplicated per day in the state store, which forgets closed days.
+    A day stays open for late events until an event `late_days` past its end is seen; it is
+    emitted then. Users are deduplicated per day in the state store, which forgets closed days.
     """
-    day = F.date_trunc("day", F.col("time").cast("timestamp"))
     return (
-        acts.select("user_id", day.alias("day"))
-        .withWatermark("day", late_by)
+        acts.select("user_id", F.to_date("time").cast("timestamp").alias("day"))
+        # The watermark is on the start of the day, so one more day brings it to the end.
+        .withWatermark("day", f"{late_days + 1} days")
         .dropDuplicates(["day", "user_id"])
-        .groupBy(F.window("day", "1 day"))
+        .groupBy("day")
         .agg(F.count(F.lit(1)).alias("active_users"))
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "active_users")
+        .select(F.to_date("day").cast("string").alias("day"), "active_users")
     )
 
 
-def stream_daily_active(acts: DataFrame, path: str, late_by: str = "1 day") -> StreamingQuery:
+def stream_daily_active(acts: DataFrame, path: str, late_days: int = 1) -> StreamingQuery:
     """Append every closed day to the Parquet table `<path>/days`."""
     return (
-        daily_active_stream(acts, late_by)
+        daily_active_stream(acts, late_days)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{path}/days")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import VOTE_KEY, apply_votes, normalise_votes, reject_self_votes
@@ -32,11 +33,15 @@ def stream_votes(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        votes = reject_self_votes(normalise_votes(batch, rule), posts())
-        newest = latest_by_key(votes, VOTE_KEY, ["added_time", *tie_break])
-        newest.select(*VOTE_COLUMNS, *tie_break).write.mode("overwrite").parquet(
-            f"{path}/deltas/batch_id={batch_id}"
-        )
+        newest = latest_by_key(normalise_votes(batch, rule), VOTE_KEY, ["added_time", *tie_break])
+        newest = newest.select(*VOTE_COLUMNS, *tie_break).persist()
+        try:
+            # Votes go to recent posts: the id range lets the scan of posts skip most of them.
+            low, high = newest.agg(F.min("post_id"), F.max("post_id")).first()
+            voted = posts().filter(F.col("post_id").between(low, high))
+            reject_self_votes(newest, voted).write.mode("overwrite").parquet(f"{path}/deltas/batch_id={batch_id}")
+        finally:
+            newest.unpersist()
 
     return (
         events.writeStream.foreachBatch(write_batch)
@@ -46,15 +51,26 @@ def stream_votes(
     )
 
 
-def read_deltas(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/deltas").drop("batch_id")
+def read_deltas(spark: SparkSession, path: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Deltas of the batches after `after` and up to `until`; others are not read."""
+    deltas = spark.read.parquet(f"{path}/deltas")
+    if after is not None:
+        deltas = deltas.filter(F.col("batch_id") > after)
+    if until is not None:
+        deltas = deltas.filter(F.col("batch_id") <= until)
+    return deltas.drop("batch_id")
 
 
 def current_votes(
-    spark: SparkSession, path: str, snapshot: DataFrame | None = None, tie_break: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    snapshot: DataFrame | None = None,
+    tie_break: Sequence[str] = (),
+    after: int | None = None,
+    until: int | None = None,
 ) -> DataFrame:
-    """The newest vote per (camp, user, post) of snapshot and deltas."""
-    deltas = read_deltas(spark, path)
+    """The newest vote per (camp, user, post) of a snapshot and the deltas it does not hold yet."""
+    deltas = read_deltas(spark, path, after, until)
     if snapshot is None:
         return latest_by_key(deltas, VOTE_KEY, ["added_time", *tie_break]).select(*VOTE_COLUMNS)
     return apply_votes(snapshot.select(*VOTE_COLUMNS), deltas, tie_break)
@@ -66,6 +82,13 @@ def compact(
     target: str,
     snapshot: DataFrame | None = None,
     tie_break: Sequence[str] = (),
-) -> None:
-    """Write snapshot and deltas as a new snapshot in a new folder."""
-    current_votes(spark, path, snapshot, tie_break).write.mode("errorifexists").parquet(target)
+    after: int | None = None,
+) -> int:
+    """Write snapshot and newer deltas as a new snapshot in a new folder.
+
+    Returns the last batch it holds: pass it as `after` when reading with that snapshot.
+    """
+    last = spark.read.parquet(f"{path}/deltas").select(F.max("batch_id")).first()[0]
+    merged = current_votes(spark, path, snapshot, tie_break, after, until=last)
+    merged.write.mode("errorifexists").parquet(target)
+    return last

@@ -49,11 +49,14 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--zone", default="UTC")
+    parser.add_argument("--partitions", default="8")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = build_session(
         master="local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions=args.partitions,
+        spark__sql__session__timeZone=args.zone,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",

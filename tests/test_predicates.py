@@ -79,6 +79,8 @@ def test_search(spark, rows):
     assert [r.id for r in predicates.search_users(users, "DAVE", k=1).collect()] == [2]
     assert predicates.search_users(users, "_").count() == 4
     assert rows(predicates.search_users(users, "b_b"), "id") == [(3,)]
+    assert rows(predicates.search_users(users, "d\\ave_\\"), "id") == []  # ends in an escaped percent sign
+    assert rows(predicates.search_users(users, "D\\ave"), "id") == [(1,), (2,)]
     many = predicates.search_users_many(users, ["dave", "bob", "dave", "zzz"], k=1)
     assert rows(many, "term", "id") == [("bob", 3), ("dave", 2)]
     assert rows(predicates.user_by_handle(users, "DAVE_9"), "id") == [(1,)]

@@ -38,10 +38,21 @@ def test_vote_stream_equals_batch_with_late_events_and_restarts(spark, rows, tmp
         "camp_id BIGINT, user_id BIGINT, post_id BIGINT, value INT, added_time TIMESTAMP_NTZ",
     )
     target = str(tmp_path / "snapshot")
-    vote_stream.compact(spark, out, target, snapshot, tie_break=["seq"])
+    last = vote_stream.compact(spark, out, target, snapshot, tie_break=["seq"])
     merged = {r[:3]: r for r in expected}
     merged.update({(0, 0, 1): (0, 0, 1, 1, T0 + dt.timedelta(days=9)), (0, 99, 1): (0, 99, 1, 1, T0)})
-    assert rows(spark.read.parquet(target), *vote_stream.VOTE_COLUMNS) == sorted(merged.values())
+    compacted = spark.read.parquet(target)
+    assert rows(compacted, *vote_stream.VOTE_COLUMNS) == sorted(merged.values())
+
+    # With the new snapshot only later batches are read.
+    newer = [(0, 4, 1, 1.0, T0 + dt.timedelta(days=20), 999)]
+    add_file(spark.createDataFrame(newer, EVENTS), source)
+    stream = spark.readStream.schema(EVENTS).parquet(source)
+    vote_stream.stream_votes(stream, lambda: posts, out, tie_break=["seq"]).awaitTermination()
+    assert vote_stream.read_deltas(spark, out, after=last).count() == 1
+    merged[0, 4, 1] = (0, 4, 1, 1, T0 + dt.timedelta(days=20))
+    got = vote_stream.current_votes(spark, out, compacted, ["seq"], after=last)
+    assert rows(got, *vote_stream.VOTE_COLUMNS) == sorted(merged.values())
 
 
 def test_notification_streams_equal_batch(spark, rows, tmp_path):
