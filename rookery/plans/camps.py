@@ -14,10 +14,13 @@ from ..sources.tables import SocialTables
 
 def camp_wall(t: SocialTables, camp_id: int, name: str = "username") -> DataFrame:
     """All posts of a camp with the score from the camp's votes and the author's score by name."""
-    posts = posts_in_camp(t.posts, camp_id)
     votes = t.post_votes.filter(F.col("camp_id") == camp_id)
     names = author_scores_by_name(t.users, t.post_facts, t.post_votes, name)
     columns = list(dict.fromkeys([name, "first_name"]))
     people = t.users.select(F.col("id").alias("user_id"), *columns)
     authors = spread_join(people, names, name, "user_id")
-    return spread_join(votes_by_camp(posts, votes), authors, "user_id", "post_id", counted=t.post_facts)
+    facts = posts_in_camp(t.post_facts, camp_id)
+    signed = spread_join(facts, authors, "user_id", "post_id", counted=t.post_facts)
+    # The text joins last, on the key of the votes, so that it is shuffled once.
+    texts = posts_in_camp(t.posts, camp_id).select("camp_id", "post_id", "post_text")
+    return votes_by_camp(signed, votes).join(texts, ["camp_id", "post_id"])

@@ -27,6 +27,10 @@ from ..sources.tables import SocialTables
 from .marts import Marts, post_cards
 
 
+# A century has 36,525 days: at 12 bytes a row this bounds the broadcast winners by 50 MB.
+MAX_BROADCAST_PER_DAY = 100
+
+
 def feed_edges(t: SocialTables) -> DataFrame:
     """(viewer_id, author_id): whose posts a viewer sees, their own included.
 
@@ -90,12 +94,19 @@ def home_feed(
         votes = votes.join(ids, "user_id", "left_semi")
     feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
 
-    shown = keyset_page(root_posts(t.posts).select(*_feed_columns(t.posts)), k, cursor, by="user_id")
-    cards = post_cards(t, marts, shown)
+    # Figures and text are fetched by the same key, so the text skips the joins of the figures.
+    shown = keyset_page(root_posts(t.post_facts).select(*_feed_columns(t.post_facts)), k, cursor, by="user_id")
+    texts = keyset_page(root_posts(t.posts).select("post_id", "user_id", "post_text"), k, cursor, by="user_id")
     hot = skew.hot_keys(_follower_rows(t), "author_id")
-    spread_feed = skew.one_salt(feed, "author_id", hot, "viewer_id").drop("author_id")
-    spread_cards = skew.every_salt(cards, "user_id", hot)
-    return spread_feed.join(spread_cards, ["post_id", skew.SALT]).drop(skew.SALT).fillna(0, ["current_user_vote"])
+    key = ["post_id", skew.SALT]
+    return (
+        skew.one_salt(feed, "author_id", hot, "viewer_id")
+        .drop("author_id")
+        .join(skew.every_salt(post_cards(t, marts, shown), "user_id", hot), key)
+        .join(skew.every_salt(texts, "user_id", hot).drop("user_id"), key)
+        .drop(skew.SALT)
+        .fillna(0, ["current_user_vote"])
+    )
 
 
 def _feed_columns(posts: DataFrame) -> list[str]:
@@ -127,7 +138,9 @@ def top_of_day(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts |
     )
     scored = roots.join(marts.post_stats.select("post_id", "post_score"), "post_id", "left")
     best = top_k(scored, ["day"], _by_post_score(), k).select("post_id", "day")
-    # The text is fetched for the winners only.
+    if k <= MAX_BROADCAST_PER_DAY:
+        # At most k rows per calendar day, so the winners pick their posts without a shuffle of all text.
+        best = F.broadcast(best)
     shown = t.posts.select(*_feed_columns(t.posts)).join(best, "post_id")
     return post_cards(t, marts, shown, viewer_id)
 

@@ -72,16 +72,19 @@ def post_cards(
     """Posts with scores, counts and author.
 
     With a viewer, `current_user_vote` is that user's vote; without one the column is left out.
-    All joins but the one by author have one row per post on both sides. That one is salted for
-    `all_posts`; pages that show a few posts per author need no salting.
+    The author comes first: pages that rank posts by author are partitioned for it already, and
+    the joins by post that follow share one shuffle. Where `all_posts` are shown an author can
+    hold many of them, and the join by author is salted.
     """
-    cards = posts.join(marts.post_stats, "post_id", "left").join(marts.reply_counts, "post_id", "left")
-    if viewer_id is not None:
-        mine = t.post_votes.filter(F.col("user_id") == viewer_id)
-        votes = aggregates.viewer_vote(mine).drop("viewer_id")
-        cards = cards.join(votes, "post_id", "left").fillna(0, ["current_user_vote"])
     if all_posts:
-        cards = spread_join(cards, marts.authors, "user_id", "post_id", counted=t.post_facts)
+        cards = spread_join(posts, marts.authors, "user_id", "post_id", counted=t.post_facts)
     else:
-        cards = cards.join(marts.authors, "user_id", "left")
-    return cards.fillna(False, ["is_top_user"])
+        cards = posts.join(marts.authors, "user_id", "left")
+    cards = cards.join(marts.post_stats, "post_id", "left").join(marts.reply_counts, "post_id", "left")
+    missing = {"is_top_user": False}
+    if viewer_id is not None:
+        mine = t.post_votes.filter(F.col("user_id") == viewer_id)
+        vote = aggregates.post_score(mine).withColumnRenamed("post_score", "current_user_vote")
+        cards = cards.join(vote, "post_id", "left")
+        missing["current_user_vote"] = 0
+    return cards.fillna(missing)

@@ -15,8 +15,10 @@ _COUNTS = ["reply_count", "up_votes", "down_votes", "user_score"]
 
 def post_detail(t: SocialTables, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
     """Every live post with author, scores, counts and the viewer's vote."""
-    cards = post_cards(t, marts or Marts.from_tables(t), live(t.posts), viewer_id, all_posts=True)
-    return net_votes(cards).drop("post_score").fillna(0, _COUNTS)
+    cards = post_cards(t, marts or Marts.from_tables(t), live(t.post_facts), viewer_id, all_posts=True)
+    # The text joins last, so that it is shuffled once.
+    texts = live(t.posts).select("post_id", "post_text")
+    return net_votes(cards).drop("post_score").fillna(0, _COUNTS).join(texts, "post_id")
 
 
 def thread_members(posts: DataFrame, depth: int = 2) -> DataFrame:

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites in error messages cost several round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -60,6 +62,4 @@ def written_folder(spark: SparkSession, key: tuple[str, ...], write: Callable[[s
 
 def written_table(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
     """`make()` as a table written once per application, which later queries read back."""
-    df = make()
-    folder = written_folder(spark, key, lambda path: df.write.parquet(path))
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.parquet(written_folder(spark, key, lambda path: make().write.parquet(path)))

@@ -8,6 +8,7 @@ the whole of its source table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,12 @@ _VALUES: dict[tuple[str, ...], object] = {}
 
 @dataclass(frozen=True)
 class StarSource:
+    """Frames are built once per session and path, and shared by all queries on them."""
+
     spark: SparkSession
     path: str
 
+    @cache
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(STAR[name]).parquet(f"{self.path}/{name}.parquet")
 
@@ -44,6 +48,7 @@ class StarSource:
     def _count(self, name: str) -> Column:
         return F.lit(self._value(name, F.count(F.lit(1)))).cast("bigint")
 
+    @cache
     def users(self) -> DataFrame:
         key = F.col("c_custkey")
         start = ntz(self._value("orders", F.min("o_orderdate")))
@@ -58,6 +63,7 @@ class StarSource:
             (start + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("creation_time"),
         )
 
+    @cache
     def post_facts(self) -> DataFrame:
         return self.read("orders").select(*self._fact_columns())
 
@@ -75,6 +81,7 @@ class StarSource:
             F.when(key % 11 == 5, F.lit(1)).otherwise(0).alias("is_deleted"),
         ]
 
+    @cache
     def posts(self) -> DataFrame:
         key = F.col("o_orderkey")
         documents = self.read("documents").select(F.col("doc_id").alias("doc_key"), "text")
@@ -94,6 +101,7 @@ class StarSource:
             .select(*self._fact_columns(), F.concat(greeting, F.col("text")).alias("post_text"))
         )
 
+    @cache
     def vote_events(self) -> DataFrame:
         """Raw votes, several per voter and post."""
         post = F.col("l_orderkey")
@@ -110,6 +118,7 @@ class StarSource:
             F.col("l_extendedprice").alias("price"),
         )
 
+    @cache
     def post_votes(self) -> DataFrame:
         """The vote snapshot, written once per application."""
         return written_table(self.spark, (self.path, "post_votes"), self._post_votes)
@@ -120,6 +129,7 @@ class StarSource:
         votes = current.select("camp_id", "user_id", "post_id", "value", "added_time")
         return reject_self_votes(votes, self.post_facts())
 
+    @cache
     def follow_events(self) -> DataFrame:
         """Follows and unfollows, several per pair, self-follows included."""
         buyers = self.read("orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("user_id"))
@@ -141,6 +151,7 @@ class StarSource:
 
     FOLLOW_TIE_BREAK = ("post_id", *TIE_BREAK)
 
+    @cache
     def follows(self) -> DataFrame:
         """The follow snapshot, written once per application."""
         return written_table(self.spark, (self.path, "follows"), self._follows)
@@ -150,6 +161,7 @@ class StarSource:
         current = latest_by_key(events, ["user_id", "following"], ["creation_time", *self.FOLLOW_TIE_BREAK])
         return current.select("user_id", "following", "follow_value", "creation_time")
 
+    @cache
     def notifications(self) -> DataFrame:
         event = F.col("event_id")
         kind = F.col("event_type")
@@ -163,6 +175,7 @@ class StarSource:
             F.col("ts").alias("creation_time"),
         )
 
+    @cache
     def tokens(self) -> DataFrame:
         event = F.col("event_id")
         return (
@@ -177,21 +190,25 @@ class StarSource:
             )
         )
 
+    @cache
     def media(self) -> DataFrame:
         key = F.col("p_partkey")
         return self.read("part").select(
             key.alias("media_id"), F.concat(F.lit("m"), key.cast("string"), F.lit(".png")).alias("photo_url")
         )
 
+    @cache
     def camp_directory(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.read("customer").select(key.alias("record_id"), (key % 3).alias("camp_id"), key.alias("user_id"))
 
+    @cache
     def camps(self) -> DataFrame:
         return self.read("region").select(
             F.col("r_regionkey").cast("bigint").alias("camp_id"), F.col("r_name").alias("camp_name")
         )
 
+    @cache
     def registrations(self) -> DataFrame:
         """Sign-up requests with clashing and malformed entries."""
         kind = F.col("event_type")
