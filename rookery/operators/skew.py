@@ -66,11 +66,14 @@ def spread_join(
     spread_by: str,
     how: str = "left",
     counted: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on `key` where few rows per key on the right meet many on the left.
 
-    `counted` is a frame with the left side's keys that is cheaper to count than `left`.
+    `counted` is a frame with the left side's keys that is cheaper to count than `left`;
+    `hot` is the result of `hot_keys` where the caller has it.
     """
-    hot = hot_keys(left if counted is None else counted, key)
+    if hot is None:
+        hot = hot_keys(left if counted is None else counted, key)
     spread = one_salt(left, key, hot, spread_by)
     return spread.join(every_salt(right, key, hot), [key, SALT], how).drop(SALT)

@@ -43,8 +43,14 @@ def feed_edges(t: SocialTables) -> DataFrame:
     )
 
 
+def hot_authors(t: SocialTables) -> DataFrame:
+    """Authors with very many followers, for salted joins."""
+    followers = t.follows.filter(F.col("follow_value") == 1).select(F.col("following").alias("author_id"))
+    return skew.hot_keys(followers, "author_id")
+
+
 def home_feed_ids(
-    t: SocialTables, k: int = 5, cursor: int | None = None, viewers: DataFrame | None = None
+    t: SocialTables, hot: DataFrame, k: int = 5, cursor: int | None = None, viewers: DataFrame | None = None
 ) -> DataFrame:
     """(viewer_id, author_id, post_id) of every home feed. See `home_feed`."""
     edges = feed_edges(t)
@@ -55,7 +61,7 @@ def home_feed_ids(
     authors = newest.groupBy(F.col("user_id").alias("author_id")).agg(
         F.sort_array(F.collect_list("post_id"), asc=False).alias("post_ids")
     )
-    offers = skew.spread_join(edges, authors, "author_id", "viewer_id", "inner", counted=_follower_rows(t))
+    offers = skew.spread_join(edges, authors, "author_id", "viewer_id", "inner", hot=hot)
 
     # A viewer's newest k posts come from the k followed authors with the newest post, so
     # authors are cut to k before their posts are unpacked; both cuts share one shuffle.
@@ -66,11 +72,6 @@ def home_feed_ids(
     return top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k)
 
 
-def _follower_rows(t: SocialTables) -> DataFrame:
-    """One row per follow in force; counted to find authors with very many followers."""
-    return t.follows.filter(F.col("follow_value") == 1).select(F.col("following").alias("author_id"))
-
-
 def home_feed(
     t: SocialTables,
     k: int = 5,
@@ -86,7 +87,8 @@ def home_feed(
     `viewers` (viewer_id) limits the feeds built; one viewer is a filter on the result.
     """
     marts = marts or Marts.from_tables(t)
-    feed = home_feed_ids(t, k, cursor, viewers)
+    hot = hot_authors(t)
+    feed = home_feed_ids(t, hot, k, cursor, viewers)
 
     votes = t.post_votes
     if viewers is not None:
@@ -97,7 +99,6 @@ def home_feed(
     # Figures and text are fetched by the same key, so the text skips the joins of the figures.
     shown = keyset_page(root_posts(t.post_facts).select(*_feed_columns(t.post_facts)), k, cursor, by="user_id")
     texts = keyset_page(root_posts(t.posts).select("post_id", "user_id", "post_text"), k, cursor, by="user_id")
-    hot = skew.hot_keys(_follower_rows(t), "author_id")
     key = ["post_id", skew.SALT]
     return (
         skew.one_salt(feed, "author_id", hot, "viewer_id")
