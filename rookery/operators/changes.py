@@ -47,25 +47,28 @@ def merge_latest(
 ) -> DataFrame:
     """Upsert by key: the newest event replaces the stored row unless that is newer.
 
-    Events are cut to one row per key first. Stored rows are then updated by a left join,
-    which needs no shuffle of the snapshot while the batch is small enough to broadcast;
-    the second, key-only pass over the snapshot finds which events are new rows.
+    Columns of the snapshot that events do not carry, such as row ids, keep their stored value
+    and are NULL in new rows. Events are cut to one row per key first. Stored rows are then
+    updated by a left join, which needs no shuffle of the snapshot while the batch is small
+    enough to broadcast; the second, key-only pass over the snapshot finds the new rows.
     """
-    columns = snapshot.columns
-    newest = latest_by_key(events, keys, [time_col, *tie_break]).select(*columns)
-    values = [c for c in columns if c not in keys]
+    types = {f.name: f.dataType for f in snapshot.schema}
+    carried = [c for c in snapshot.columns if c in events.columns]
+    newest = latest_by_key(events, keys, [time_col, *tie_break])
+    newest = newest.select(*[F.col(c).cast(types[c]) for c in carried])
+    values = [c for c in carried if c not in keys]
     incoming = newest.select(*keys, F.struct(*values).alias("_new"))
     stored = snapshot.join(incoming, list(keys), "left")
     replace_row = F.col(f"_new.{time_col}") >= F.coalesce(time_col, f"_new.{time_col}")
     updated = stored.select(
         *[
-            F.col(c) if c in keys else F.when(replace_row, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            for c in columns
+            F.when(replace_row, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+            for c in snapshot.columns
         ]
     )
     known = snapshot.select(*keys).join(newest.select(*keys), list(keys), "left_semi")
     inserted = newest.join(known, list(keys), "left_anti")
-    return updated.unionByName(inserted)
+    return updated.unionByName(inserted, allowMissingColumns=True)
 
 
 def apply_votes(snapshot: DataFrame, events: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
@@ -102,13 +105,13 @@ def mark_notifications_seen(notifications: DataFrame, requests: DataFrame) -> Da
     """
     latest = requests.groupBy("user_id").agg(F.max("seen_time").alias("_seen_time"))
     joined = spread_join(notifications, latest, "user_id", "notification_id")
+    if "seen_time" not in notifications.columns:
+        joined = joined.withColumn("seen_time", F.lit(None).cast("timestamp_ntz"))
     hit = (F.col("seen") == 0) & (F.col("creation_time") <= F.col("_seen_time"))
-    stored_time = F.col("seen_time") if "seen_time" in notifications.columns else F.lit(None)
-    others = [c for c in notifications.columns if c not in ("seen", "seen_time")]
     return joined.select(
-        *others,
+        *[c for c in notifications.columns if c not in ("seen", "seen_time")],
         F.when(hit, 1).otherwise(F.col("seen")).alias("seen"),
-        F.when(hit, F.col("_seen_time")).otherwise(stored_time).alias("seen_time"),
+        F.when(hit, F.col("_seen_time")).otherwise(F.col("seen_time")).alias("seen_time"),
     )
 
 
@@ -138,7 +141,11 @@ def consume_tokens(tokens: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def join_camp(directory: DataFrame, requests: DataFrame) -> DataFrame:
-    """Add the (camp, user) pairs that are not members yet."""
+    """Add the (camp, user) pairs that are not members yet, with the time of the first request."""
     pair = ["camp_id", "user_id"]
-    fresh = requests.select(*pair).distinct().join(directory.select(*pair), pair, "left_anti")
+    if "added_time" in directory.columns and "added_time" in requests.columns:
+        asked = requests.groupBy(*pair).agg(F.min("added_time").alias("added_time"))
+    else:
+        asked = requests.select(*pair).distinct()
+    fresh = asked.join(directory.select(*pair), pair, "left_anti")
     return directory.unionByName(fresh, allowMissingColumns=True)

@@ -49,14 +49,8 @@ def hot_authors(t: SocialTables) -> DataFrame:
     return skew.hot_keys(followers, "author_id")
 
 
-def home_feed_ids(
-    t: SocialTables, hot: DataFrame, k: int = 5, cursor: int | None = None, viewers: DataFrame | None = None
-) -> DataFrame:
-    """(viewer_id, author_id, post_id) of every home feed. See `home_feed`."""
-    edges = feed_edges(t)
-    if viewers is not None:
-        edges = edges.join(viewers.select("viewer_id"), "viewer_id", "left_semi")
-    newest = keyset_page(root_posts(t.post_facts).select("post_id", "user_id"), k, cursor, by="user_id")
+def home_feed_ids(newest: DataFrame, edges: DataFrame, hot: DataFrame, k: int = 5) -> DataFrame:
+    """(viewer_id, author_id, post_id) of every home feed, from each author's newest k posts."""
     # At most k ids per author.
     authors = newest.groupBy(F.col("user_id").alias("author_id")).agg(
         F.sort_array(F.collect_list("post_id"), asc=False).alias("post_ids")
@@ -84,21 +78,23 @@ def home_feed(
     Only each author's newest k posts can appear anywhere, so posts are cut to those, and
     enriched once per post, before they meet the follow edges. An author followed by many is
     spread over salts: when edges meet authors, and again when feeds fetch the post.
-    `viewers` (viewer_id) limits the feeds built; one viewer is a filter on the result.
+    With `viewers` (viewer_id) only their feeds are built, from the posts of those they follow.
     """
     marts = marts or Marts.from_tables(t)
-    hot = hot_authors(t)
-    feed = home_feed_ids(t, hot, k, cursor, viewers)
-
-    votes = t.post_votes
+    edges, votes, hot = feed_edges(t), t.post_votes, hot_authors(t)
+    facts, texts = root_posts(t.post_facts), root_posts(t.posts)
     if viewers is not None:
-        ids = viewers.select(F.col("viewer_id").alias("user_id"))
-        votes = votes.join(ids, "user_id", "left_semi")
-    feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
+        edges = edges.join(viewers.select("viewer_id"), "viewer_id", "left_semi")
+        votes = votes.join(viewers.select(F.col("viewer_id").alias("user_id")), "user_id", "left_semi")
+        shown_authors = edges.select(F.col("author_id").alias("user_id")).distinct()
+        facts = facts.join(shown_authors, "user_id", "left_semi")
+        texts = texts.join(shown_authors, "user_id", "left_semi")
 
     # Figures and text are fetched by the same key, so the text skips the joins of the figures.
-    shown = keyset_page(root_posts(t.post_facts).select(*_feed_columns(t.post_facts)), k, cursor, by="user_id")
-    texts = keyset_page(root_posts(t.posts).select("post_id", "user_id", "post_text"), k, cursor, by="user_id")
+    shown = keyset_page(facts.select(*_feed_columns(t.post_facts)), k, cursor, by="user_id")
+    texts = keyset_page(texts.select("post_id", "user_id", "post_text"), k, cursor, by="user_id")
+    feed = home_feed_ids(shown.select("post_id", "user_id"), edges, hot, k)
+    feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
     key = ["post_id", skew.SALT]
     return (
         skew.one_salt(feed, "author_id", hot, "viewer_id")

@@ -13,22 +13,29 @@ from .marts import Marts, post_cards
 _COUNTS = ["reply_count", "up_votes", "down_votes", "user_score"]
 
 
-def post_detail(t: SocialTables, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
-    """Every live post with author, scores, counts and the viewer's vote."""
-    cards = post_cards(t, marts or Marts.from_tables(t), live(t.post_facts), viewer_id, all_posts=True)
+def post_detail(
+    t: SocialTables, viewer_id: int = 0, marts: Marts | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Every live post, or those of `ids` (post_id), with author, scores, counts and the viewer's vote."""
+    facts, texts = live(t.post_facts), live(t.posts).select("post_id", "post_text")
+    if ids is not None:
+        wanted = ids.select("post_id")
+        facts, texts = facts.join(wanted, "post_id", "left_semi"), texts.join(wanted, "post_id", "left_semi")
+    cards = post_cards(t, marts or Marts.from_tables(t), facts, viewer_id, all_posts=ids is None)
     # The text joins last, so that it is shuffled once.
-    texts = live(t.posts).select("post_id", "post_text")
     return net_votes(cards).drop("post_score").fillna(0, _COUNTS).join(texts, "post_id")
 
 
-def thread_members(posts: DataFrame, depth: int = 2) -> DataFrame:
-    """(thread_id, level, parent_id, post_id) for the page of every live post.
+def thread_members(posts: DataFrame, depth: int = 2, heads: DataFrame | None = None) -> DataFrame:
+    """(thread_id, level, parent_id, post_id) for the page of every live post, or those of `heads`.
 
     Level 0 is the post itself, level 1 its live replies, and so on. A post has at most one
     parent, so a post is in at most depth + 1 threads. Replies below a deleted post are in none.
     """
-    heads = live(posts).select("post_id")
-    level = heads.select(
+    first = live(posts).select("post_id")
+    if heads is not None:
+        first = first.join(heads.select("post_id"), "post_id", "left_semi")
+    level = first.select(
         F.col("post_id").alias("thread_id"),
         F.lit(0).alias("level"),
         F.lit(None).cast("bigint").alias("parent_id"),
@@ -46,11 +53,17 @@ def thread_members(posts: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def thread(
-    t: SocialTables, depth: int = 2, viewer_id: int = 0, marts: Marts | None = None
+    t: SocialTables,
+    depth: int = 2,
+    viewer_id: int = 0,
+    marts: Marts | None = None,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
-    """The page of every live post: the post and `depth` levels of replies with their figures."""
-    members = thread_members(t.post_facts, depth)
-    return members.join(post_detail(t, viewer_id, marts), "post_id")
+    """The page of every live post, or those of `heads` (post_id): the post and `depth` levels
+    of replies with their figures."""
+    members = thread_members(t.post_facts, depth, heads)
+    ids = None if heads is None else members
+    return members.join(post_detail(t, viewer_id, marts, ids), "post_id")
 
 
 def in_page_order(pages: DataFrame) -> DataFrame:

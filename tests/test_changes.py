@@ -133,3 +133,23 @@ def test_tokens_and_camps(spark, rows):
     directory = spark.createDataFrame([(1, 0, 5)], "record_id BIGINT, camp_id BIGINT, user_id BIGINT")
     requests = spark.createDataFrame([(0, 5), (1, 5), (1, 5)], "camp_id BIGINT, user_id BIGINT")
     assert rows(changes.join_camp(directory, requests), "camp_id", "user_id") == [(0, 5), (1, 5)]
+
+
+def test_changes_apply_to_tables_with_the_full_schema(spark, rows):
+    from rookery.sources.tables import conform
+
+    stored = spark.createDataFrame([(77, 0, 1, 5, "1", T[0])], "vote_id BIGINT, camp_id BIGINT, user_id BIGINT, post_id BIGINT, value STRING, added_time TIMESTAMP_NTZ")
+    snapshot = conform(stored, "post_votes")
+    got = changes.apply_votes(snapshot, votes(spark, [(0, 1, 5, -1, T[1]), (0, 2, 5, 1, T[1])]))
+    assert got.schema.simpleString() == snapshot.schema.simpleString()
+    found = [(i, u, int(v)) for i, u, v in rows(got, "vote_id", "user_id", "value")]
+    assert found == [(None, 2, 1), (77, 1, -1)]
+
+    notes = conform(spark.createDataFrame([(1, 10, 0, T[0])], "notification_id BIGINT, user_id BIGINT, seen INT, creation_time TIMESTAMP_NTZ"), "notifications")
+    requests = spark.createDataFrame([(10, T[1])], "user_id BIGINT, seen_time TIMESTAMP_NTZ")
+    assert rows(changes.mark_notifications_seen(notes, requests), "seen", "seen_time") == [(1, T[1])]
+
+    directory = conform(spark.createDataFrame([(1, 0, 5)], "record_id BIGINT, camp_id BIGINT, user_id BIGINT"), "camp_directory")
+    asked = spark.createDataFrame([(1, 5, T[3]), (1, 5, T[2])], "camp_id BIGINT, user_id BIGINT, added_time TIMESTAMP_NTZ")
+    joined = changes.join_camp(directory, asked)
+    assert rows(joined, "camp_id", "added_time") == [(0, None), (1, T[2])]

@@ -115,10 +115,18 @@ def test_home_feed_of_some_viewers_is_the_same_rows(net, social, spark, rows):
     t = net.tables(social)
     some = spark.createDataFrame([(3,), (8,)], "viewer_id BIGINT")
     whole = feeds.home_feed(t).filter(F.col("viewer_id").isin(3, 8))
-    columns = ["viewer_id", "post_id", "current_user_vote", "post_score"]
+    columns = ["viewer_id", "post_id", "current_user_vote", "post_score", "user_score", "post_text"]
     assert rows(feeds.home_feed(t, viewers=some), *columns) == rows(whole, *columns)
 
 
+def test_one_thread_is_the_same_rows(net, social, spark, rows):
+    t = net.tables(social)
+    some = spark.createDataFrame([(0,), (5,), (9,)], "post_id BIGINT")
+    columns = ["thread_id", "level", "post_id", "net_votes", "handle", "user_score", "post_text"]
+    whole = threads.thread(t, viewer_id=8).filter(F.col("thread_id").isin(0, 5, 9))
+    assert rows(threads.thread(t, viewer_id=8, heads=some), *columns) == rows(whole, *columns)
+
+
 def test_profile_feed_and_format(net, social, rows, salting):
     t = net.tables(social)
     expected = []
