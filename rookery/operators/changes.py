@@ -66,8 +66,9 @@ def merge_latest(
             for c in snapshot.columns
         ]
     )
-    known = snapshot.select(*keys).join(newest.select(*keys), list(keys), "left_semi")
-    inserted = newest.join(known, list(keys), "left_anti")
+    known = snapshot.select(*keys).join(incoming.select(*keys), list(keys), "left_semi")
+    # From `incoming`, not `newest`: the same columns let both joins read one shuffle of the batch.
+    inserted = incoming.join(known, list(keys), "left_anti").select(*keys, "_new.*")
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 

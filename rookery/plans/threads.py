@@ -58,12 +58,18 @@ def thread(
     viewer_id: int = 0,
     marts: Marts | None = None,
     heads: DataFrame | None = None,
+    detail: DataFrame | None = None,
 ) -> DataFrame:
     """The page of every live post, or those of `heads` (post_id): the post and `depth` levels
-    of replies with their figures."""
+    of replies with their figures.
+
+    A post shows on up to depth + 1 pages; `detail` is `post_detail` where the caller has
+    formatted it once per post.
+    """
     members = thread_members(t.post_facts, depth, heads)
-    ids = None if heads is None else members
-    return members.join(post_detail(t, viewer_id, marts, ids), "post_id")
+    if detail is None:
+        detail = post_detail(t, viewer_id, marts, ids=None if heads is None else members)
+    return members.join(detail, "post_id")
 
 
 def in_page_order(pages: DataFrame) -> DataFrame:

@@ -572,9 +572,9 @@ def post_detail(s: StarSource) -> DataFrame:
 
 @_query
 def thread(s: StarSource) -> DataFrame:
-    pages = threads.thread(s.tables(), viewer_id=VIEWER, marts=_marts(s))
-    shown = _text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text"))
-    return threads.in_page_order(shown)
+    t = s.tables()
+    detail = _text_digest(threads.post_detail(t, VIEWER, _marts(s)).select(*_DETAIL, "post_text"))
+    return threads.in_page_order(threads.thread(t, detail=detail))
 
 
 @_query
