@@ -50,11 +50,12 @@ def keyset_page(
 ) -> DataFrame:
     """The newest n posts below the cursor, over all posts or for every value of `by`.
 
-    A frame of cursors has the columns `by` and `cursor`; groups without one start at the top.
+    A frame of cursors, as `next_cursor` gives it, has the columns `by` and `cursor`; groups
+    without one start at the top.
     """
-    if isinstance(cursor, DataFrame):
-        if by is None:
-            raise ValueError("a frame of cursors needs the column it is keyed by")
+    if isinstance(cursor, DataFrame) and by is None:
+        posts = posts.filter(F.col("post_id") < cursor.select("cursor").scalar())
+    elif isinstance(cursor, DataFrame):
         posts = (
             spread_join(posts, cursor.select(by, "cursor"), by, "post_id")
             .filter(F.col("cursor").isNull() | (F.col("post_id") < F.col("cursor")))

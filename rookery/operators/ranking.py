@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 _RANK = "_rank"
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """First k rows of every group of `by` in `order`."""
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, page: int = 1) -> DataFrame:
+    """The first k rows of every group of `by` in `order`, or the k rows of a later page."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(_RANK, rank).filter(F.col(_RANK) <= k).drop(_RANK)
+    shown = df.withColumn(_RANK, rank).filter(F.col(_RANK) <= k * page)
+    if page > 1:
+        shown = shown.filter(F.col(_RANK) > k * (page - 1))
+    return shown.drop(_RANK)
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:

@@ -49,34 +49,39 @@ def hot_authors(t: SocialTables) -> DataFrame:
     return skew.hot_keys(followers, "author_id")
 
 
-def home_feed_ids(newest: DataFrame, edges: DataFrame, hot: DataFrame, k: int = 5) -> DataFrame:
-    """(viewer_id, author_id, post_id) of every home feed, from each author's newest k posts."""
-    # At most k ids per author.
+def home_feed_ids(
+    newest: DataFrame, edges: DataFrame, hot: DataFrame, k: int = 5, page: int = 1
+) -> DataFrame:
+    """(viewer_id, author_id, post_id) of a page of every home feed, from each author's newest
+    `k * page` posts."""
+    # At most k * page ids per author.
     authors = newest.groupBy(F.col("user_id").alias("author_id")).agg(
         F.sort_array(F.collect_list("post_id"), asc=False).alias("post_ids")
     )
     offers = skew.spread_join(edges, authors, "author_id", "viewer_id", "inner", hot=hot)
 
-    # A viewer's newest k posts come from the k followed authors with the newest post, so
-    # authors are cut to k before their posts are unpacked; both cuts share one shuffle.
-    best_authors = top_k(
-        offers.withColumn("_newest", F.col("post_ids")[0]), ["viewer_id"], [F.col("_newest").desc()], k
-    )
+    # A viewer's newest n posts come from the n followed authors with the newest post, so
+    # authors are cut to n before their posts are unpacked; both cuts share one shuffle.
+    offers = offers.withColumn("_newest", F.col("post_ids")[0])
+    best_authors = top_k(offers, ["viewer_id"], [F.col("_newest").desc()], k * page)
     unpacked = best_authors.select("viewer_id", "author_id", F.explode("post_ids").alias("post_id"))
-    return top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k)
+    return top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k, page)
 
 
 def home_feed(
     t: SocialTables,
     k: int = 5,
+    page: int = 1,
     cursor: int | None = None,
     viewers: DataFrame | None = None,
     marts: Marts | None = None,
 ) -> DataFrame:
-    """For every viewer the newest k live root posts by followed users or themself, below the cursor.
+    """For every viewer the newest k live root posts by followed users or themself.
 
-    Only each author's newest k posts can appear anywhere, so posts are cut to those, and
-    enriched once per post, before they meet the follow edges. An author followed by many is
+    Page n holds the k posts that follow those of the pages before, which is where each viewer's
+    own cursor leads; `cursor` starts all feeds below one post id instead. Only each author's newest
+    `k * page` posts can appear anywhere, so posts are cut to those, and enriched once per post,
+    before they meet the follow edges. An author followed by many is
     spread over salts: when edges meet authors, and again when feeds fetch the post.
     With `viewers` (viewer_id) only their feeds are built, from the posts of those they follow.
     """
@@ -91,9 +96,9 @@ def home_feed(
         texts = texts.join(shown_authors, "user_id", "left_semi")
 
     # Figures and text are fetched by the same key, so the text skips the joins of the figures.
-    shown = keyset_page(facts.select(*_feed_columns(t.post_facts)), k, cursor, by="user_id")
-    texts = keyset_page(texts.select("post_id", "user_id", "post_text"), k, cursor, by="user_id")
-    feed = home_feed_ids(shown.select("post_id", "user_id"), edges, hot, k)
+    shown = keyset_page(facts.select(*_feed_columns(t.post_facts)), k * page, cursor, by="user_id")
+    texts = keyset_page(texts.select("post_id", "user_id", "post_text"), k * page, cursor, by="user_id")
+    feed = home_feed_ids(shown.select("post_id", "user_id"), edges, hot, k, page)
     feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
     key = ["post_id", skew.SALT]
     return (

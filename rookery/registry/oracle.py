@@ -146,18 +146,18 @@ _FEED_TEXT = _FEED.format(text="post_text")
 _FEED_DIGEST = _FEED.format(text=_digest("post_text"))
 
 
-def _home_feed(where: str, columns: str) -> str:
+def _home_feed(first: int, last: int, columns: str) -> str:
     return f"""
 edges AS (SELECT DISTINCT user_id AS viewer_id, following AS author_id FROM follows WHERE follow_value = 1
           UNION SELECT id, id FROM users),
 ranked AS (
   SELECT e.viewer_id, p.post_id, row_number() OVER (PARTITION BY e.viewer_id ORDER BY p.post_id DESC) AS place
-  FROM edges e JOIN roots p ON p.user_id = e.author_id {where}),
+  FROM edges e JOIN roots p ON p.user_id = e.author_id),
 votes_cast AS (SELECT user_id, post_id, CAST(sum(value) AS BIGINT) AS vote FROM post_votes GROUP BY user_id, post_id),
 feed AS (
   SELECT f.viewer_id, c.* EXCLUDE (current_user_vote), COALESCE(v.vote, 0) AS current_user_vote
   FROM ranked f JOIN cards c ON c.post_id = f.post_id
-  LEFT JOIN votes_cast v ON v.user_id = f.viewer_id AND v.post_id = f.post_id WHERE f.place <= 5)
+  LEFT JOIN votes_cast v ON v.user_id = f.viewer_id AND v.post_id = f.post_id WHERE f.place BETWEEN {first} AND {last})
 SELECT viewer_id, {columns} FROM feed"""
 
 
@@ -282,7 +282,7 @@ _PLAIN: dict[str, str] = {
         SELECT post_id, user_id, camp_id FROM posts WHERE post_id IN (SELECT post_id FROM post_votes WHERE value < 0)""",
     "keyset_page": f"""done AS (SELECT 1)
         SELECT post_id, user_id, {_time('p.creation_time')} FROM posts p
-        WHERE reply_to_id IS NULL AND is_deleted = 0 AND post_id < 1000 ORDER BY post_id DESC LIMIT 5""",
+        WHERE reply_to_id IS NULL AND is_deleted = 0 ORDER BY post_id DESC LIMIT 5 OFFSET 5""",
     "keyset_page_by_author": f"""placed AS (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY post_id DESC) AS place
           FROM posts WHERE reply_to_id IS NULL AND is_deleted = 0)
@@ -414,8 +414,8 @@ _SCORED: dict[str, str] = {
     "author_scores_by_name": """done AS (SELECT 1)
         SELECT u.first_name, CAST(sum(v.value) AS BIGINT) AS user_score FROM users u
         LEFT JOIN posts p ON p.user_id = u.id LEFT JOIN post_votes v ON v.post_id = p.post_id GROUP BY u.first_name""",
-    "home_feed": _home_feed("", _FEED_TEXT),
-    "home_feed_next_page": _home_feed("WHERE p.post_id < 1000", _FEED_DIGEST),
+    "home_feed": _home_feed(1, 5, _FEED_TEXT),
+    "home_feed_next_page": _home_feed(6, 10, _FEED_DIGEST),
     "profile_feed": f"""placed AS (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY post_id DESC) AS place FROM cards
           WHERE reply_to_id IS NULL AND is_deleted = 0)

@@ -32,7 +32,6 @@ POSTS_AS_OF = "2002-01-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 TOKENS_AS_OF = "2024-01-15 00:00:00"
 SNAPSHOT_ENDS = "1999-01-01 00:00:00"
-CURSOR = 1000
 CAMP = 1
 
 _QUERIES: dict[str, Query] = {}
@@ -275,8 +274,10 @@ def restrict_ids(s: StarSource) -> DataFrame:
 
 @_query
 def keyset_page(s: StarSource) -> DataFrame:
-    page = predicates.keyset_page(predicates.root_posts(s.post_facts()), 5, CURSOR)
-    return page.select("post_id", "user_id", "creation_time")
+    roots = predicates.root_posts(s.post_facts())
+    first = predicates.keyset_page(roots, 5)
+    second = predicates.keyset_page(roots, 5, predicates.next_cursor(first))
+    return second.select("post_id", "user_id", "creation_time")
 
 
 @_query
@@ -517,7 +518,7 @@ def home_feed(s: StarSource) -> DataFrame:
 
 @_query
 def home_feed_next_page(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.home_feed(s.tables(), cursor=CURSOR, marts=_marts(s)).select("viewer_id", *_FEED))
+    return _text_digest(feeds.home_feed(s.tables(), page=2, marts=_marts(s)).select("viewer_id", *_FEED))
 
 
 @_query

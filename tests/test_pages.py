@@ -111,6 +111,16 @@ def test_home_feed(net, social, rows, salting):
         feed.unpersist()
 
 
+def test_later_pages_follow_each_viewers_cursor(net, social, rows, salting):
+    t = net.tables(social)
+    expected = []
+    for u in net.users:
+        shown = {f for v, f in net.edges if v == u["id"]} | {u["id"]}
+        ids = sorted((p["post_id"] for p in net.roots() if p["user_id"] in shown), reverse=True)
+        expected += [(u["id"], p) for p in ids[6:9]]
+    assert rows(feeds.home_feed(t, k=3, page=3), "viewer_id", "post_id") == sorted(expected)
+
+
 def test_home_feed_of_some_viewers_is_the_same_rows(net, social, spark, rows):
     t = net.tables(social)
     some = spark.createDataFrame([(3,), (8,)], "viewer_id BIGINT")
