@@ -12,6 +12,14 @@ from ..operators.predicates import search_users
 from ..sources.tables import SocialTables
 from .marts import Marts
 
+# A page of people up to this size is broadcast; larger ones are left to Spark's size check.
+MAX_BROADCAST_PAGE = 10_000
+
+
+def _page(people: DataFrame, k: int) -> DataFrame:
+    return F.broadcast(people) if k <= MAX_BROADCAST_PAGE else people
+
+
 def _people_rows(t: SocialTables, people: DataFrame, viewer_id: int) -> DataFrame:
     """Display rows of at most a page of people, with the viewer's follow value."""
     mine = t.follows.filter(F.col("user_id") == viewer_id)
@@ -36,7 +44,7 @@ def leaderboard(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts
     """The k users with the highest score. Everything else is joined to those k rows."""
     marts = marts or Marts.from_tables(t)
     best = marts.authors.withColumnRenamed("user_id", "id").orderBy(*aggregates.by_score()).limit(k)
-    people = t.users.select("id", "creation_time").join(F.broadcast(best), "id")
+    people = t.users.select("id", "creation_time").join(_page(best, k), "id")
     return _people_rows(t, people, viewer_id).orderBy(F.col("user_score").desc(), "id")
 
 
@@ -46,5 +54,5 @@ def people_search(
     """The k oldest accounts matching the term, with score and the viewer's follow value."""
     marts = marts or Marts.from_tables(t)
     found = search_users(t.users, term, k).select("id", "creation_time")
-    people = marts.authors.withColumnRenamed("user_id", "id").join(F.broadcast(found), "id")
+    people = marts.authors.withColumnRenamed("user_id", "id").join(_page(found, k), "id")
     return _people_rows(t, people, viewer_id).orderBy("creation_time", "id")
