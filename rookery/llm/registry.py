@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, license_scan, line_dedup, mixing, quality, simhash
+from . import decontam, exact_dedup, html_content, license_scan, line_dedup, mixing, pii, quality, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(spark, _table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
@@ -40,13 +48,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.main_texts(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("key")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_mix, op2_license_scan, op3_exact_dedup, op4_quality, op7_simhash, op8_line_dedup, op10_decontaminate]
+    found = [
+        op1_mix, op2_license_scan, op3_exact_dedup, op4_quality, op5_pii, op6_token_counts, op7_simhash,
+        op8_line_dedup, op9_html_content, op10_decontaminate,
+    ]
     return {f.__name__: f for f in found}
 
 
