@@ -2,11 +2,11 @@
 
 Seeds are emails, IP addresses, card numbers and phone numbers that their own form proves. Each seed, and each
 other string that looks like an identifier (an @ or at least `LEAST_DIGITS` digits), induces lexical patterns from the
-words around it. Spark scores the graph of patterns and instances in rounds: a pattern by the scores of the distinct instances it
-surrounds, an instance by its best pattern, seeds at 1. Patterns with a high score and enough support mark the
-strings they surround as identifiers, which the forms alone did not see.
+words around it. Spark scores the graph of patterns and instances in rounds: a pattern by the scores of the strings it
+surrounds over all places of its word in the corpus, an instance by its best pattern, seeds at 1. Patterns with a high rating and
+enough support mark the strings they surround as identifiers, which the forms alone did not see.
 
-Texts are read once; all rounds work on the edges. Edges are distinct before they are joined, patterns with too few
+Texts are read twice, for the strings and to count the patterns' words; all rounds work on the edges. Edges are distinct before they are joined, patterns with too few
 instances to ever be accepted are left out first, and sums are partial before their shuffle, so a frequent context
 is one row per map task.
 
@@ -40,6 +40,7 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_WORD = re.compile(r"[^ \t-\r]+")
 _LIKE = re.compile(r"[0-9@]+")
 #: What ends a string that looks like an identifier.
 _STOPS = frozenset(" \t\n\r\x0b\x0c\"'<>|,;:()[]{}=")
@@ -112,17 +113,12 @@ def lookalikes(text: str, taken: list[Span]) -> list[tuple[int, int]]:
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The contexts of a string: the word before, the two words before, and the words on both sides."""
-    before = _DIGIT.sub("0", text[max(0, start - 40) : start].lower()).split()
-    after = _DIGIT.sub("0", text[end : end + 40].lower()).split()
-    found = []
-    if before:
-        found.append(f"{before[-1]} _")
-        if len(before) > 1:
-            found.append(f"{before[-2]} {before[-1]} _")
-        if after:
-            found.append(f"{before[-1]} _ {after[0]}")
-    return found
+    """The contexts of a string: the word before it and the word after it, unless they hold digits."""
+    before = _WORD.findall(text[max(0, start - 40) : start].lower())
+    after = _WORD.findall(text[end : end + 40].lower())
+    found = [f"{before[-1]} _"] if before else []
+    found += [f"_ {after[0]}"] if after else []
+    return [p for p in found if not _DIGIT.search(p)]
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -152,33 +148,47 @@ def extracted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return stored(spark, texts.mapInArrow(_read, f"key string, doc_id {kind}, {_SCHEMA}"), "identifiers")
 
 
-def accepted_patterns(spark: SparkSession, each: DataFrame) -> DataFrame:
-    """(pattern, score) of the patterns that surround identifiers and little else."""
+def _word_counts(spark: SparkSession, docs: DataFrame, patterns_: DataFrame) -> DataFrame:
+    """(pattern, n): how often the word of each pattern stands in the whole corpus."""
+    cues = stored(spark, patterns_.withColumn("word", F.replace(F.replace("pattern", F.lit(" _"), F.lit("")), F.lit("_ "), F.lit(""))), "cues")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word"))
+    counts = words.join(cues.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return stored(spark, cues.join(counts, "word").select("pattern", "n"), "cue-counts")
+
+
+def accepted_patterns(spark: SparkSession, docs: DataFrame, each: DataFrame) -> DataFrame:
+    """(pattern, rating) of the patterns that surround identifiers and little else.
+
+    A pattern's rating is the summed scores of the strings it surrounds over all places of its word, so a word
+    that ordinary words follow too is rated near 0.
+    """
 
     def edges_of(column: str, seed: int) -> DataFrame:
         one = each.select(F.explode(column).alias("o"))
         return one.select(F.explode("o.patterns").alias("pattern"), F.col("o.instance").alias("instance"), F.lit(seed).alias("seed"))
 
-    edges = edges_of("seeds", 1).unionByName(edges_of("others", 0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = stored(spark, edges, "pattern-edges")
-    frequent = edges.groupBy("pattern").count().where(F.col("count") >= LEAST_SUPPORT).select("pattern")
-    edges = stored(spark, edges.join(stored(spark, frequent, "frequent-patterns"), "pattern", "left_semi"), "frequent-edges")
+    edges = edges_of("seeds", 1).unionByName(edges_of("others", 0)).groupBy("pattern", "instance")
+    edges = stored(spark, edges.agg(F.max("seed").alias("seed"), F.count("*").alias("places")), "pattern-edges")
+    frequent = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("seed").alias("seeds"))
+    frequent = frequent.where((F.col("instances") >= LEAST_SUPPORT) & (F.col("seeds") > 0)).select("pattern")
+    counts = _word_counts(spark, docs, frequent)
+    edges = stored(spark, edges.join(counts, "pattern"), "frequent-edges")
     scores = stored(spark, edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "instances")
     for k in range(ROUNDS):
-        rated = edges.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("support"), F.count("*").alias("n"))
-        rated = stored(spark, rated.withColumn("rating", F.col("support") / F.col("n")), "patterns")
+        rated = edges.join(scores, "instance").groupBy("pattern").agg(
+            F.sum("score").alias("support"), (F.sum(F.col("score") * F.col("places")) / F.max("n")).alias("rating")
+        )
+        rated = stored(spark, rated.where(F.col("support") >= LEAST_SUPPORT).select("pattern", F.least("rating", F.lit(1.0)).alias("rating")), "patterns")
         if k < ROUNDS - 1:
-            best = edges.join(rated.where(F.col("support") >= LEAST_SUPPORT), "pattern")
-            best = best.groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.max("rating")).alias("score"))
-            scores = stored(spark, scores.select("instance", F.col("score").alias("was")).join(best, "instance", "left").select("instance", F.coalesce("score", "was").alias("score")), "instances")
-    accepted = rated.where((F.col("support") >= LEAST_SUPPORT) & (F.col("rating") >= LEAST_SCORE))
-    return accepted.select("pattern", F.col("rating").alias("score"))
+            best = edges.join(rated, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("rating")).alias("best"))
+            scores = stored(spark, scores.join(best, "instance", "left").select("instance", F.coalesce("best", "score").alias("score")), "instances")
+    return rated.where(F.col("rating") >= LEAST_SCORE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(key, doc_id, base, found) of each row: its seeds, and the spans that patterns discovered."""
     each = extracted(spark, docs)
-    accepted = stored(spark, accepted_patterns(spark, each), "accepted-patterns")
+    accepted = stored(spark, accepted_patterns(spark, docs, each), "accepted-patterns")
     others = each.select("key", F.explode("others").alias("o")).select("key", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
     found = others.join(accepted, "pattern", "left_semi").select("key", F.struct(F.lit(FOUND).alias("kind"), "start", "end").alias("span"))
     found = found.groupBy(F.col("key").alias("of")).agg(F.array_sort(F.collect_set("span")).alias("found"))  # at most a document's

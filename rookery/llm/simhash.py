@@ -2,13 +2,14 @@
 
 Fingerprints at 3 or fewer differing bits are linked. Half that radius is one and a half bits: the 64 bits
 are cut into three blocks, and for each block a fingerprint emits itself with the block set aside and
-at most one of the other bits flipped (131 variants). Of two fingerprints at distance 3, some block holds one
-or three of the differing bits; with it set aside at most two remain, and each side flips one: they
+at most one of the other bits flipped (131 variants). Of two fingerprints at distance 3, some block holds exactly one
+of the differing bits, or one holds all three. With it set aside at most two remain, and each side flips one: they
 share a variant. Full balls of radius 2, which need no block, would be 2,081 variants.
 
-Within the fingerprints that share a variant, the block decides: those that are equal there differ in at most
-two bits, those that are equal but for one erased bit in at most three. Both kinds of groups are links
-by construction, so each is tied to its least member instead of emitting its pairs, and no link is lost.
+Within the fingerprints that share a variant, the block decides: those that are equal there but for one erased bit differ
+in at most three bits. Where several share a variant unflipped, all their differing bits are in the block, and the same
+is done there: each also emits its block with one bit flipped and one erased. All members of such
+a group are links by construction, so each is tied to the least member instead of emitting pairs, and no link is lost.
 Equal fingerprints are one node, so exact copies never meet, and a shared variant is shuffled once.
 
 Defined results: null, empty and blank texts have no words and the fingerprint zero, which is linked
@@ -76,28 +77,30 @@ def _signed(bits: int) -> int:
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in `fingerprint`, whose closure is that of all links."""
     every = (1 << 64) - 1
-    flips, blocks = [], []
+    pair = lambda flip, erased: F.struct(F.lit(_signed(flip)).alias("flip"), F.lit(_signed(erased)).alias("erased"))
+    flips, near, within = [], [], []
     for number, (low, width) in enumerate(BLOCKS):
         block = ((1 << width) - 1) << low
+        bits = [1 << b for b in range(low, low + width)]
         masks = [0] + [1 << b for b in range(64) if not block >> b & 1]
         flips += [F.struct(F.lit(number).alias("block"), F.lit(_signed(m)).alias("flip"), F.lit(_signed(every ^ block)).alias("rest")) for m in masks]
-        blocks.append(F.array(*[F.lit(_signed(m)) for m in [0] + [1 << b for b in range(low, low + width)]]))
+        near.append(F.array(*[pair(0, e) for e in [0, *bits]]))
+        within.append(F.array(*[pair(f, e) for f in bits for e in bits if f != e]))
+    of_block = lambda columns: F.element_at(F.array(*columns), F.col("block") + 1)
     fp = F.col("fp")
     variants = prints.select(F.col("fingerprint").alias("fp"), F.explode(F.array(*flips)).alias("f"))
-    variants = variants.select("fp", F.col("f.block").alias("block"), fp.bitwiseXOR(F.col("f.flip")).bitwiseAND(F.col("f.rest")).alias("variant"))
+    variants = variants.select("fp", F.col("f.block").alias("block"), (F.col("f.flip") == 0).cast("int").alias("plain"), fp.bitwiseXOR(F.col("f.flip")).bitwiseAND(F.col("f.rest")).alias("variant"))
 
     bucket = ["variant", "block"]
-    shared = variants.withColumn("n", F.count("*").over(Window.partitionBy(*bucket))).where("n > 1")
-    # What tells members of a bucket apart is the block; `inside` is the fingerprint but for the variant's part.
-    rest = F.element_at(F.array(*[F.lit(_signed(every ^ (((1 << w) - 1) << low))) for low, w in BLOCKS]), F.col("block") + 1)
-    shared = shared.withColumn("inside", fp.bitwiseAND(F.bitwise_not(rest)))
+    whole = Window.partitionBy(*bucket)
+    shared = variants.withColumn("n", F.count("*").over(whole)).withColumn("plains", F.sum("plain").over(whole)).where("n > 1")
+    shared = shared.withColumn("inside", fp.bitwiseAND(of_block([F.lit(_signed(((1 << w) - 1) << low)) for low, w in BLOCKS])))
     shared = shared.withColumn("least", F.min("fp").over(Window.partitionBy(*bucket, "inside")))
-    erased = F.element_at(F.array(*blocks), F.col("block") + 1)
-    # Members that are equal inside go on as one.
-    erased = F.when(fp == F.col("least"), erased).otherwise(F.array(F.lit(0).cast("long")))
-    near = shared.select(*bucket, "fp", "inside", F.explode(erased).alias("bit"))
-    near = near.withColumn("inside", F.col("inside").bitwiseAND(F.bitwise_not("bit")))
-    tied = near.select("fp", F.min("fp").over(Window.partitionBy(*bucket, "bit", "inside")).alias("least"))
+    # Members that are equal inside go on as one, but for what only an unflipped member can emit.
+    changes = F.when(fp == F.col("least"), of_block(near)).otherwise(F.array(pair(0, 0)))
+    changes = F.when((F.col("plain") == 1) & (F.col("plains") > 1), F.concat(changes, of_block(within))).otherwise(changes)
+    spread = shared.select(*bucket, "fp", "inside", F.explode(changes).alias("c")).select(*bucket, "fp", F.col("c.erased").alias("erased"), F.col("inside").bitwiseXOR(F.col("c.flip")).bitwiseAND(F.bitwise_not(F.col("c.erased"))).alias("inside"))
+    tied = spread.select("fp", F.min("fp").over(Window.partitionBy(*bucket, "erased", "inside")).alias("least"))
     return tied.where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 

@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from rookery.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    found = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            found.append((kind, *m.span()))
+    return found
+
+
+def test_base_spans_are_the_patterns_matches():
+    draw = random.Random(3)
+    for _ in range(20_000):
+        alphabet = draw.choice(["a@b.-_ %", "12.3 -+()", "0123456789 -", "1.+@a 9(-"])
+        text = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40)))
+        assert pii.base_spans(text) == plain(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + " " * 200_000, "1 " * 100_000):
+        pii.base_spans(text)
+        pii.lookalikes(text, [])
+
+
+def test_patterns_discover_unseen_identifiers_but_not_after_common_words(spark, docs, by_id):
+    rows = [(i, f"the one. reach me at mail: user{i}@site{i}.example.com today, the end") for i in range(20)]
+    rows += [(100, "write to mail: user at 98765-43210 please"), (101, "mail: user-98765@intranet today"), (102, "the 1234567 of it"), (103, None), (104, "")]
+    rows += [(200 + i, f"the 4{i}92.10.1 the word") for i in range(9)]
+    found = by_id(pii.span_digests(spark, docs(*rows)))
+    assert found[0].n_email == 1 and found[0].spans == "email:27:50"
+    assert found[101].spans == "id:6:25" and found[101].n_email == 0
+    assert found[102].spans == found[103].spans == found[104].spans == ""
+    assert found[0].base_sha256 == hashlib.sha256(b"email:27:50").hexdigest()
+    assert found[103].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_repeated_rows_and_empty_table(spark, docs):
+    row = (1, "call +1 (555) 555-0100 or 10.1.2.3")
+    found = pii.span_digests(spark, docs(row, row, (None, "x@y.zz"))).collect()
+    assert sorted((r.doc_id is None, r.n_phone, r.n_ip, r.n_email) for r in found) == [(False, 1, 1, 0)] * 2 + [(True, 0, 0, 1)]
+    assert pii.span_digests(spark, docs().limit(0)).count() == 0
