@@ -1,39 +1,36 @@
 """Connected components of any size by alternating star operations on a table of links.
 
-A large-star step ties every larger neighbour of a node to the smallest node of its neighbourhood, a
-small-star step does so with the smaller ones. Both keep the components, and rounds repeat until
-every node is tied to the smallest of its component. Each step is one aggregation (partial before its shuffle)
-and one join with a written table; nothing is gathered on the driver but a count and a checksum.
+Each link ties a node `a` to a smaller node `b`. A large-star step passes every tie on to the least node that `b` itself is
+tied to; a small-star step ties each node, and the others it was tied to, to the least of them. Both keep the
+components, and rounds repeat until every node is tied to the smallest of its component, a number of rounds that grows with the
+logarithm of the longest chain. A node to which very many are tied is a hot key of the large-star join only; that
+join reads written tables, so adaptive execution splits it. Nothing is gathered on the driver but a count and a checksum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def _tied(spark: SparkSession, sides: DataFrame, large: bool) -> DataFrame:
-    """`sides` has (u, v) for each neighbour v that counts for u; ties the neighbours to the least of all."""
-    least = stored(spark, sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    pairs = sides.join(least, "u")
-    if large:
-        tied = pairs.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        tied = pairs.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a != b")
-    return tied.distinct()
+def _round(spark: SparkSession, ties: DataFrame) -> DataFrame:
+    least = stored(spark, ties.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least")), "least")
+    large = ties.join(least, F.col("b") == F.col("of"), "left").select("a", F.coalesce("least", "b").alias("b"))
+    small = large.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    return small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("t")).select("t.*").where("a != b").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) of every node in the links (a, b), but for those that are their component's least."""
-    edges = stored(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    ties = stored(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     seen = None
     while True:
-        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        large = stored(spark, _tied(spark, both, large=True), "large-star")
-        edges = stored(spark, _tied(spark, large.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False), "small-star")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
+        watch = Observation()
+        counted = _round(spark, ties).observe(watch, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 31)).alias("sum"))
+        ties = stored(spark, counted, "ties")
+        now = (watch.get["n"], watch.get["sum"])
         if now == seen or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return ties.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now
