@@ -51,3 +51,29 @@ def same(a: Column, b: Column) -> Column:
 def row_key(*parts: Column) -> Column:
     """One text that names a row: its id (nothing for null) and what else tells rows apart."""
     return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+
+#: Bits in which rows are marked, and bits of one bitmap: a broadcast of at most 4 MB whatever the data.
+MARKS, MARKS_PER_MAP = 1 << 25, 1 << 15
+
+
+def marks(spark: SparkSession, keys: DataFrame) -> DataFrame:
+    """(map, bits): a bitmap over the hashes of the one column of `keys`."""
+    number = F.pmod(F.xxhash64(keys.columns[0]), F.lit(MARKS))
+    bits = keys.select(F.floor(number / MARKS_PER_MAP).alias("map"), (number % MARKS_PER_MAP).alias("bit"))
+    return stored(spark, bits.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), "marks")
+
+
+def marked(frame: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
+    """`frame` with a column `__marked`: whether the row's key may be among the marked ones.
+
+    Rows that are not marked need no exact join, and where that join carries texts, theirs are not shuffled.
+    """
+    number = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    rows = frame.withColumn("__number", number)
+    maps = F.broadcast(bitmaps.withColumnRenamed("map", "__map").withColumnRenamed("bits", "__bits"))
+    rows = rows.join(maps, F.floor(F.col("__number") / MARKS_PER_MAP) == F.col("__map"), "left")
+    place = (F.col("__number") % MARKS_PER_MAP).cast("int")
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    return rows.withColumn("__marked", hit).drop("__number", "__map", "__bits")

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, filled, row_key, same, stored
+from .common import SPACES, filled, marked, marks, row_key, same, stored
 
 #: Code points of the normalised text whose hash makes the second level.
 PREFIX = 256
@@ -77,10 +77,14 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with all columns, and one row of each group of equal texts."""
-    kept = exact_duplicates(spark, docs).where("kept")
-    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    found = exact_duplicates(spark, docs).where("group_size > 1")
+    found = found.groupBy(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).agg(F.count("*").alias("n"), F.max("kept").alias("keep"))
+    # Rows that go, or that repeat an id and a text; all other rows stay as they are.
+    found = stored(spark, found.where("n > 1 OR NOT keep").select("__key", "keep"), "repeated-rows")
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
-    left = keyed.join(stored(spark, kept, "kept"), "__key", "left_semi")
+    keyed = marked(keyed, "__key", marks(spark, found.select("__key")))
+    some = keyed.where("__marked").join(found, "__key", "left").where(F.coalesce("keep", F.lit(True)))
     # Rows that repeat an id and a text come together in that join already.
     turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc(F.length("text"))))
-    return left.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__key")
+    some = some.withColumn("__turn", turn).where("__turn = 1")
+    return keyed.where("NOT __marked").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import marked, marks, row_key, stored
 from .components import components
 
 SHINGLE = 3
@@ -123,11 +123,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows without an id stay; rows that repeat an id and a text become one.
     """
-    kept = near_duplicates(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = stored(spark, kept, "kept")
-    key = row_key(F.col("doc_id"), F.xxhash64("text"))
-    d = docs.where("doc_id IS NOT NULL")
-    left = d.join(kept, F.col("doc_id") == F.col("__keep"), "left_semi").withColumn("__key", key)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key"))
-    left = left.withColumn("__turn", turn).where("__turn = 1").drop("__turn", "__key")
-    return left.unionByName(docs.where("doc_id IS NULL"))
+    found = stored(spark, near_duplicates(spark, docs).where("doc_id IS NOT NULL"), "near-duplicates")
+    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
+    # Ids that go, or that several rows have; all other rows stay as they are.
+    ids = stored(spark, ids.where("n > 1 OR NOT keep").select("__id", "keep"), "repeated-ids")
+    rows = marked(docs.withColumn("__id", F.col("doc_id")), "__id", marks(spark, ids.select("__id")))
+    some = rows.where("__marked").join(ids, "__id", "left").where(F.coalesce("keep", F.lit(True)) | F.col("__id").isNull())
+    key = row_key(F.col("__id"), F.xxhash64("text"))
+    turn = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
+    some = some.withColumn("__key", key).withColumn("__turn", turn).where(F.col("__id").isNull() | (F.col("__turn") == 1))
+    return rows.where("NOT __marked").select(*docs.columns).unionByName(some.select(*docs.columns))
