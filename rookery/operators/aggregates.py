@@ -81,12 +81,13 @@ def author_score(posts: DataFrame, votes: DataFrame) -> DataFrame:
 
     Votes are summed by post before the join, so a post with many votes joins as one row.
     """
-    return (
-        posts.select("post_id", "user_id")
-        .join(post_score(votes), "post_id")
-        .groupBy("user_id")
-        .agg(_votes_total("post_score").alias("user_score"))
-    )
+    return author_score_of(posts, post_score(votes))
+
+
+def author_score_of(posts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Score of every author, given one row with `post_score` per voted post."""
+    voted = posts.select("post_id", "user_id").join(scores.select("post_id", "post_score"), "post_id")
+    return voted.groupBy("user_id").agg(_votes_total("post_score").alias("user_score"))
 
 
 def user_score(users: DataFrame, posts: DataFrame, votes: DataFrame) -> DataFrame:
@@ -109,13 +110,13 @@ def author_scores_by_name(
     users: DataFrame, posts: DataFrame, votes: DataFrame, name: str = "username"
 ) -> DataFrame:
     """Score per name; users who share a name share one score."""
-    scores = author_score(posts, votes).withColumnRenamed("user_id", "id")
-    return (
-        users.select("id", name)
-        .join(scores, "id", "left")
-        .groupBy(name)
-        .agg(_votes_total("user_score").alias("user_score"))
-    )
+    return scores_by_name(users, author_score(posts, votes).withColumnRenamed("user_id", "id"), name)
+
+
+def scores_by_name(users: DataFrame, scores: DataFrame, name: str) -> DataFrame:
+    """Summed scores per name, given (id, user_score)."""
+    named = users.select("id", name).join(scores, "id", "left")
+    return named.groupBy(name).agg(_votes_total("user_score").alias("user_score"))
 
 
 def activity(votes: DataFrame, posts: DataFrame) -> DataFrame:

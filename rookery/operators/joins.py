@@ -62,8 +62,13 @@ def votes_by_camp(posts: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def with_media(posts: DataFrame, media: DataFrame) -> DataFrame:
-    """Photos of a post; one row per photo, or one without a photo."""
-    return posts.join(media.select("media_id", "photo_url"), "media_id", "left")
+    """Photos of a post; one row per photo, or one without a photo.
+
+    Posts without media, most of them, do not take part in the join.
+    """
+    photos = media.select("media_id", "photo_url")
+    with_photo = posts.filter(F.col("media_id").isNotNull()).join(photos, "media_id", "left")
+    return with_photo.unionByName(posts.filter(F.col("media_id").isNull()), allowMissingColumns=True)
 
 
 def camp_members_with_score(
@@ -91,8 +96,13 @@ def with_actor(notifications: DataFrame, users: DataFrame) -> DataFrame:
     return notifications.join(actor, "triggered_by_user_id", "left")
 
 
+def ids_by_handle(users: DataFrame, out: str = "id") -> DataFrame:
+    """(_handle, id): the one user a handle stands for, ignoring case; the lowest id where several share it."""
+    return users.groupBy(F.lower("handle").alias("_handle")).agg(F.min("id").alias(out))
+
+
 def resolve_handles(events: DataFrame, users: DataFrame, out: str = "following") -> DataFrame:
     """Turn the `handle` of an event into a user id, ignoring case; unknown handles drop out."""
-    known = users.select(F.lower("handle").alias("_handle"), F.col("id").alias(out))
+    known = ids_by_handle(users, out)
     named = events.withColumn("_handle", F.lower("handle")).drop("handle")
     return named.join(known, "_handle").drop("_handle")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract_mentions
 from ..functions.text import FOLLOW, MENTIONED, REPLY
+from .joins import ids_by_handle
 
 NOTICE_COLUMNS = ("user_id", "triggered_by_user_id", "event_type_id", "reference_post_id", "creation_time")
 
@@ -48,7 +49,7 @@ def reply_notifications(new_posts: DataFrame, posts: DataFrame) -> DataFrame:
 
 def mention_notifications(new_posts: DataFrame, users: DataFrame) -> DataFrame:
     """Tell every known user named with @handle, once per mention; refers to the new post."""
-    known = users.select(F.lower("handle").alias("_handle"), F.col("id").alias("_mentioned"))
+    known = ids_by_handle(users, "_mentioned")
     named = new_posts.filter(F.col("post_text").contains("@")).select(
         "post_id",
         "user_id",

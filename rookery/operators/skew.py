@@ -13,26 +13,24 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 SALTS = "_salts"
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer
-# than HOT_SHARE hot keys whatever the data: the list is always small enough to broadcast.
-HOT_SHARE = 1024
-# Smaller groups are no trouble for one task.
-MIN_HOT_ROWS = 1_000_000
+# Rows of one key that one task takes, whatever the total; a key with more is hot.
+ROWS_PER_SALT = 1_000_000
+# Rows without a key match nothing and are dealt out over so many tasks.
+NULL_SALTS = 1024
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, salts): hot keys and the number of salts each is spread over, at most HOT_SHARE."""
+    """(key, salts): keys with more rows than one task takes, and how many salts they are spread over."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    rows_per_salt = F.greatest(total / HOT_SHARE, F.lit(MIN_HOT_ROWS))
-    return counts.filter(F.col("_n") > rows_per_salt).select(
-        F.col(key), F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(SALTS)
+    return counts.filter(F.col("_n") > ROWS_PER_SALT).select(
+        F.col(key), F.ceil(F.col("_n") / F.lit(ROWS_PER_SALT)).cast("int").alias(SALTS)
     )
 
 
 def _with_salts(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    # The list has at most a millionth of the rows; Spark broadcasts it where it finds it small.
     known = hot.toDF("_hot_key", SALTS)
-    return df.join(F.broadcast(known), df[key] == F.col("_hot_key"), "left").drop("_hot_key")
+    return df.join(known, df[key] == F.col("_hot_key"), "left").drop("_hot_key")
 
 
 def one_salt(df: DataFrame, key: str, hot: DataFrame, spread_by: str) -> DataFrame:
@@ -41,7 +39,7 @@ def one_salt(df: DataFrame, key: str, hot: DataFrame, spread_by: str) -> DataFra
     The choice is repeatable, so a task that is run again sends rows to the same place.
     Rows without a key match nothing and are spread as well.
     """
-    salts = F.when(F.col(key).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce(SALTS, F.lit(1)))
+    salts = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(F.coalesce(SALTS, F.lit(1)))
     return (
         _with_salts(df, key, hot)
         .withColumn(SALT, F.pmod(F.hash(spread_by), salts))
@@ -71,7 +69,7 @@ def spread_join(
     """Join on `key` where few rows per key on the right meet many on the left.
 
     `counted` is a frame with the left side's keys that is cheaper to count than `left`;
-    `hot` is the result of `hot_keys` where the caller has it.
+    `hot` is the result of `hot_keys` where the caller has it, as `Marts` stores it.
     """
     if hot is None:
         hot = hot_keys(left if counted is None else counted, key)

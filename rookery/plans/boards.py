@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import default_photo, level, score_bar_text, score_bars
@@ -12,12 +12,10 @@ from ..operators.predicates import search_users
 from ..sources.tables import SocialTables
 from .marts import Marts
 
-# A page of people up to this size is broadcast; larger ones are left to Spark's size check.
-MAX_BROADCAST_PAGE = 10_000
 
-
-def _page(people: DataFrame, k: int) -> DataFrame:
-    return F.broadcast(people) if k <= MAX_BROADCAST_PAGE else people
+def _placed(page: DataFrame, order: list[Column]) -> DataFrame:
+    """A page of people with each one's place on it. Spark knows the size of a limited page and broadcasts it if small."""
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def _people_rows(t: SocialTables, people: DataFrame, viewer_id: int) -> DataFrame:
@@ -37,15 +35,17 @@ def _people_rows(t: SocialTables, people: DataFrame, viewer_id: int) -> DataFram
         score_bar_text(score_bars(score)).alias("user_score_bars_print"),
         F.coalesce("follow_value", F.lit(0)).alias("follow_value"),
         "is_top_user",
+        "place",
     )
 
 
 def leaderboard(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
     """The k users with the highest score. Everything else is joined to those k rows."""
     marts = marts or Marts.from_tables(t)
-    best = marts.authors.withColumnRenamed("user_id", "id").orderBy(*aggregates.by_score()).limit(k)
-    people = t.users.select("id", "creation_time").join(_page(best, k), "id")
-    return _people_rows(t, people, viewer_id).orderBy(F.col("user_score").desc(), "id")
+    order = aggregates.by_score()
+    best = _placed(marts.authors.withColumnRenamed("user_id", "id").orderBy(*order).limit(k), order)
+    people = t.users.select("id", "creation_time").join(best, "id")
+    return _people_rows(t, people, viewer_id).orderBy("place")
 
 
 def people_search(
@@ -54,5 +54,6 @@ def people_search(
     """The k oldest accounts matching the term, with score and the viewer's follow value."""
     marts = marts or Marts.from_tables(t)
     found = search_users(t.users, term, k).select("id", "creation_time")
-    people = marts.authors.withColumnRenamed("user_id", "id").join(_page(found, k), "id")
-    return _people_rows(t, people, viewer_id).orderBy("creation_time", "id")
+    found = _placed(found, [F.col("creation_time"), F.col("id")])
+    people = marts.authors.withColumnRenamed("user_id", "id").join(found, "id")
+    return _people_rows(t, people, viewer_id).orderBy("place")

@@ -19,6 +19,7 @@ from ..functions import (
     time_ago,
     truncate_post,
 )
+from ..functions.times import LOCAL_OFFSET_HOURS
 from ..operators import aggregates, skew
 from ..operators.joins import active_follow_edges
 from ..operators.predicates import keyset_page, root_posts
@@ -27,8 +28,8 @@ from ..sources.tables import SocialTables
 from .marts import Marts, post_cards
 
 
-# A century has 36,525 days: at 12 bytes a row this bounds the broadcast winners by 50 MB.
-MAX_BROADCAST_PER_DAY = 100
+# Ids in a block of an author's posts, for feeds that start at each viewer's own cursor.
+BLOCK = 64
 
 
 def feed_edges(t: SocialTables) -> DataFrame:
@@ -43,12 +44,6 @@ def feed_edges(t: SocialTables) -> DataFrame:
     )
 
 
-def hot_authors(t: SocialTables) -> DataFrame:
-    """Authors with very many followers, for salted joins."""
-    followers = t.follows.filter(F.col("follow_value") == 1).select(F.col("following").alias("author_id"))
-    return skew.hot_keys(followers, "author_id")
-
-
 def home_feed_ids(
     newest: DataFrame, edges: DataFrame, hot: DataFrame, k: int = 5, page: int = 1
 ) -> DataFrame:
@@ -59,61 +54,117 @@ def home_feed_ids(
         F.sort_array(F.collect_list("post_id"), asc=False).alias("post_ids")
     )
     offers = skew.spread_join(edges, authors, "author_id", "viewer_id", "inner", hot=hot)
+    return _newest_offers(offers, k, page)
+
 
-    # A viewer's newest n posts come from the n followed authors with the newest post, so
-    # authors are cut to n before their posts are unpacked; both cuts share one shuffle.
+def _newest_offers(offers: DataFrame, k: int, page: int = 1) -> DataFrame:
+    """The newest posts of every viewer, from rows (viewer_id, author_id, post_ids) with falling ids.
+
+    A viewer's newest n posts come from the n followed authors with the newest post, so
+    authors are cut to n before their posts are unpacked; both cuts share one shuffle.
+    """
     offers = offers.withColumn("_newest", F.col("post_ids")[0])
     best_authors = top_k(offers, ["viewer_id"], [F.col("_newest").desc()], k * page)
     unpacked = best_authors.select("viewer_id", "author_id", F.explode("post_ids").alias("post_id"))
     return top_k(unpacked, ["viewer_id"], [F.col("post_id").desc()], k, page)
 
 
+def author_blocks(posts: DataFrame, k: int) -> DataFrame:
+    """(author_id, low, newer_low, post_ids): each author's posts in blocks of falling ids.
+
+    A block holds `BLOCK` ids and the k that follow, so that the k ids below any of its own are in it. `low` is
+    the least of its own ids and `newer_low` that of the block before, NULL for the newest.
+    """
+    by_author = Window.partitionBy("user_id")
+    place = F.row_number().over(by_author.orderBy(F.col("post_id").desc())) - 1
+    numbered = posts.select("user_id", "post_id", F.floor(place / BLOCK).alias("_block"))
+    blocks = numbered.groupBy("user_id", "_block").agg(F.sort_array(F.collect_list("post_id"), asc=False).alias("_own"))
+    order = by_author.orderBy("_block")
+    blocks = blocks.withColumn("low", F.array_min("_own"))
+    older = F.slice(F.coalesce(F.lead("_own").over(order), F.array().cast("array<bigint>")), 1, k)
+    return blocks.select(
+        F.col("user_id").alias("author_id"),
+        "low",
+        F.lag("low").over(order).alias("newer_low"),
+        F.concat("_own", older).alias("post_ids"),
+    )
+
+
+def home_feed_ids_below(
+    posts: DataFrame, edges: DataFrame, cursors: DataFrame, hot: DataFrame, k: int = 5
+) -> DataFrame:
+    """(viewer_id, author_id, post_id) of the newest k posts below each viewer's own cursor.
+
+    Every edge takes the one block of its author that holds the newest post below the cursor, not
+    the author's whole list. Viewers without a cursor start at the newest post.
+    """
+    if k > BLOCK:
+        raise ValueError(f"pages of more than {BLOCK} posts do not fit a block and the one after it")
+    own = edges.join(cursors.select("viewer_id", "cursor"), "viewer_id", "left")
+    offers = skew.spread_join(own, author_blocks(posts, k), "author_id", "viewer_id", "inner", hot=hot)
+    cursor = F.col("cursor")
+    starts = F.when(cursor.isNull(), F.col("newer_low").isNull()).otherwise(
+        (F.col("low") < cursor) & (F.col("newer_low").isNull() | (F.col("newer_low") >= cursor))
+    )
+    below = F.filter("post_ids", lambda i: F.col("cursor").isNull() | (i < F.col("cursor")))
+    return _newest_offers(offers.filter(starts).withColumn("post_ids", F.slice(below, 1, k)), k)
+
+
 def home_feed(
     t: SocialTables,
     k: int = 5,
     page: int = 1,
-    cursor: int | None = None,
+    cursor: int | DataFrame | None = None,
     viewers: DataFrame | None = None,
     marts: Marts | None = None,
 ) -> DataFrame:
     """For every viewer the newest k live root posts by followed users or themself.
 
-    Page n holds the k posts that follow those of the pages before, which is where each viewer's
-    own cursor leads; `cursor` starts all feeds below one post id instead. Only each author's newest
-    `k * page` posts can appear anywhere, so posts are cut to those, and enriched once per post,
-    before they meet the follow edges. An author followed by many is
-    spread over salts: when edges meet authors, and again when feeds fetch the post.
+    Page n holds the k posts that follow those of the pages before. `cursor` starts below a post id instead: one id
+    for all feeds, or a frame (viewer_id, cursor) with each viewer's own, which shows no post twice when
+    new ones arrive between two pages (`home_feed_cursors` gives the next page's). Only each author's newest
+    `k * page` posts can appear on a page without a frame of cursors, so posts are cut to those
+    before they meet the follow edges. Only ids are ranked; text is fetched by post id. An author followed
+    by many is spread over salts: when edges meet authors, and again when feeds fetch the post.
     With `viewers` (viewer_id) only their feeds are built, from the posts of those they follow.
     """
     marts = marts or Marts.from_tables(t)
-    edges, votes, hot = feed_edges(t), t.post_votes, hot_authors(t)
-    facts, texts = root_posts(t.post_facts), root_posts(t.posts)
+    edges, votes, hot = feed_edges(t), t.post_votes, marts.hot_followed
+    ids = root_posts(t.post_facts).select("post_id", "user_id")
     if viewers is not None:
         edges = edges.join(viewers.select("viewer_id"), "viewer_id", "left_semi")
         votes = votes.join(viewers.select(F.col("viewer_id").alias("user_id")), "user_id", "left_semi")
-        shown_authors = edges.select(F.col("author_id").alias("user_id")).distinct()
-        facts = facts.join(shown_authors, "user_id", "left_semi")
-        texts = texts.join(shown_authors, "user_id", "left_semi")
-
-    # Figures and text are fetched by the same key, so the text skips the joins of the figures.
-    shown = keyset_page(facts.select(*_feed_columns(t.post_facts)), k * page, cursor, by="user_id")
-    texts = keyset_page(texts.select("post_id", "user_id", "post_text"), k * page, cursor, by="user_id")
-    feed = home_feed_ids(shown.select("post_id", "user_id"), edges, hot, k, page)
+        ids = ids.join(edges.select(F.col("author_id").alias("user_id")).distinct(), "user_id", "left_semi")
+
+    if isinstance(cursor, DataFrame):
+        if page != 1:
+            raise ValueError("a frame of cursors says where the page starts; page must be 1")
+        feed = home_feed_ids_below(ids, edges, cursor, hot, k)
+        shown = feed.select("post_id", F.col("author_id").alias("user_id")).distinct()
+    else:
+        shown = keyset_page(ids, k * page, cursor, by="user_id")
+        feed = home_feed_ids(shown, edges, hot, k, page)
+    cards = _with_text(t, post_cards(t, marts, shown))
     feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
     key = ["post_id", skew.SALT]
     return (
         skew.one_salt(feed, "author_id", hot, "viewer_id")
         .drop("author_id")
-        .join(skew.every_salt(post_cards(t, marts, shown), "user_id", hot), key)
-        .join(skew.every_salt(texts, "user_id", hot).drop("user_id"), key)
+        .join(skew.every_salt(cards, "user_id", hot), key)
         .drop(skew.SALT)
         .fillna(0, ["current_user_vote"])
     )
 
 
-def _feed_columns(posts: DataFrame) -> list[str]:
-    wanted = ("post_id", "user_id", "camp_id", "creation_time", "post_text")
-    return [c for c in wanted if c in posts.columns]
+def home_feed_cursors(feed: DataFrame) -> DataFrame:
+    """(viewer_id, cursor): where each viewer's next page starts, below the least post id shown."""
+    return feed.groupBy("viewer_id").agg(F.min("post_id").alias("cursor"))
+
+
+def _with_text(t: SocialTables, cards: DataFrame) -> DataFrame:
+    """Adds what a page shows of the post itself; text meets the ranked posts by post id only."""
+    wanted = ("post_id", "camp_id", "reply_to_id", "creation_time", "post_text")
+    return cards.join(root_posts(t.posts).select(*[c for c in wanted if c in t.posts.columns]), "post_id")
 
 
 def profile_feed(
@@ -124,8 +175,8 @@ def profile_feed(
     marts: Marts | None = None,
 ) -> DataFrame:
     """The newest k live root posts of every author, as one viewer sees them."""
-    shown = keyset_page(root_posts(t.posts).select(*_feed_columns(t.posts)), k, cursor, by="user_id")
-    return post_cards(t, marts or Marts.from_tables(t), shown, viewer_id)
+    shown = keyset_page(root_posts(t.post_facts).select("post_id", "user_id"), k, cursor, by="user_id")
+    return _with_text(t, post_cards(t, marts or Marts.from_tables(t), shown, viewer_id))
 
 
 def top_of_day(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts | None = None) -> DataFrame:
@@ -136,15 +187,11 @@ def top_of_day(t: SocialTables, k: int = 100, viewer_id: int = 0, marts: Marts |
     """
     marts = marts or Marts.from_tables(t)
     roots = root_posts(t.post_facts).select(
-        "post_id", local_day(F.col("creation_time")).alias("day")
+        "post_id", "user_id", local_day(F.col("creation_time")).alias("day")
     )
-    scored = roots.join(marts.post_stats.select("post_id", "post_score"), "post_id", "left")
-    best = top_k(scored, ["day"], _by_post_score(), k).select("post_id", "day")
-    if k <= MAX_BROADCAST_PER_DAY:
-        # At most k rows per calendar day, so the winners pick their posts without a shuffle of all text.
-        best = F.broadcast(best)
-    shown = t.posts.select(*_feed_columns(t.posts)).join(best, "post_id")
-    return post_cards(t, marts, shown, viewer_id)
+    scored = roots.join(marts.figures.select("post_id", "post_score"), "post_id", "left")
+    best = top_k(scored, ["day"], _by_post_score(), k, place="place").select("post_id", "user_id", "day", "place")
+    return _with_text(t, post_cards(t, marts, best, viewer_id))
 
 
 def top_of_window(
@@ -152,10 +199,24 @@ def top_of_window(
 ) -> DataFrame:
     """The k live root posts with the highest score among `posts`, for example a `day_window`."""
     marts = marts or Marts.from_tables(t)
-    roots = root_posts(posts)
-    scored = roots.join(marts.post_stats.select("post_id", "post_score"), "post_id", "left")
-    best = scored.orderBy(*_by_post_score()).limit(k).drop("post_score")
-    return post_cards(t, marts, best.select(*_feed_columns(best)), viewer_id)
+    roots = root_posts(posts).select("post_id", "user_id")
+    scored = roots.join(marts.figures.select("post_id", "post_score"), "post_id", "left")
+    best = scored.orderBy(*_by_post_score()).limit(k)
+    best = best.withColumn("place", F.row_number().over(Window.orderBy(*_by_post_score()))).drop("post_score")
+    return _with_text(t, post_cards(t, marts, best, viewer_id))
+
+
+def top_of_nth_day(
+    t: SocialTables, offset: int = 0, k: int = 100, viewer_id: int = 0, marts: Marts | None = None
+) -> DataFrame:
+    """The board of the active day `offset` places back, both of its midnights included, as one plan.
+
+    The day is a scalar subquery, so nothing runs while the plan is built.
+    """
+    day = nth_active_day(t.post_facts, offset).select("day").scalar()
+    start = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(LOCAL_OFFSET_HOURS))
+    end = start + F.make_dt_interval(F.lit(1))
+    return top_of_window(t, t.post_facts.filter(F.col("creation_time").between(start, end)), k, viewer_id, marts)
 
 
 def _by_post_score():

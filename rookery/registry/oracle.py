@@ -56,7 +56,7 @@ notifications AS (
 tokens AS (
   SELECT event_id AS token_id, user_id, concat('tok', CAST(event_id AS STRING)) AS token,
          CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE NULL END AS used, ts AS creation_time
-  FROM events WHERE event_type = 'signup'),
+  FROM events),
 media AS (SELECT p_partkey AS media_id, concat('m', CAST(p_partkey AS STRING), '.png') AS photo_url FROM part),
 camp_directory AS (SELECT c_custkey AS record_id, c_custkey % 3 AS camp_id, c_custkey AS user_id FROM customer),
 registrations AS (
@@ -146,13 +146,13 @@ _FEED_TEXT = _FEED.format(text="post_text")
 _FEED_DIGEST = _FEED.format(text=_digest("post_text"))
 
 
-def _home_feed(first: int, last: int, columns: str) -> str:
+def _home_feed(first: int, last: int, columns: str, below: str = "") -> str:
     return f"""
 edges AS (SELECT DISTINCT user_id AS viewer_id, following AS author_id FROM follows WHERE follow_value = 1
           UNION SELECT id, id FROM users),
 ranked AS (
   SELECT e.viewer_id, p.post_id, row_number() OVER (PARTITION BY e.viewer_id ORDER BY p.post_id DESC) AS place
-  FROM edges e JOIN roots p ON p.user_id = e.author_id),
+  FROM edges e JOIN roots p ON p.user_id = e.author_id {below}),
 votes_cast AS (SELECT user_id, post_id, CAST(sum(value) AS BIGINT) AS vote FROM post_votes GROUP BY user_id, post_id),
 feed AS (
   SELECT f.viewer_id, c.* EXCLUDE (current_user_vote), COALESCE(v.vote, 0) AS current_user_vote
@@ -161,6 +161,14 @@ feed AS (
 SELECT viewer_id, {columns} FROM feed"""
 
 
+def _window_board(start: str) -> str:
+    return f"""shown AS (
+          SELECT c.*, row_number() OVER (ORDER BY post_score DESC NULLS LAST, post_id DESC) AS place
+          FROM cards c WHERE reply_to_id IS NULL AND is_deleted = 0
+          AND c.creation_time - INTERVAL '5' HOUR BETWEEN {start} AND {start} + INTERVAL '1' DAY)
+        SELECT CAST(place AS INTEGER) AS place, {_FEED_TEXT} FROM shown WHERE place <= 3"""
+
+
 _DETAIL = (
     "c.post_id, c.camp_id, c.user_id, c.first_name, c.handle, c.profile_photo, "
     "strftime(c.creation_time, '%Y-%m-%d %H:%M:%S.%f') AS creation_time, COALESCE(c.user_score, 0) AS user_score, c.current_user_vote, "
@@ -168,6 +176,16 @@ _DETAIL = (
     "COALESCE(c.up_votes, 0) - COALESCE(c.down_votes, 0) AS net_votes, c.is_top_user, " + _digest("c.post_text")
 )
 
+_THREADS = """alive AS (SELECT post_id, reply_to_id FROM posts WHERE is_deleted = 0),
+        members AS (
+          SELECT post_id AS thread_id, 0 AS level, CAST(NULL AS BIGINT) AS parent_id, post_id FROM alive
+          UNION ALL SELECT h.post_id, 1, h.post_id, a.post_id FROM alive h JOIN alive a ON a.reply_to_id = h.post_id
+          UNION ALL SELECT h.post_id, 2, a.post_id, b.post_id FROM alive h JOIN alive a ON a.reply_to_id = h.post_id
+                    JOIN alive b ON b.reply_to_id = a.post_id)"""
+
+_ASKED = """asked AS (
+          SELECT post_id FROM post_votes WHERE user_id = 8 AND value < 0 UNION SELECT post_id FROM posts WHERE user_id = 8)"""
+
 _PEOPLE = f"""u.id, u.first_name, u.handle, {_PHOTO.format('u.profile_photo')} AS profile_photo, {_time('u.creation_time')},
   {_SCORE0} AS user_score, {_LEVEL} AS user_level, {_BARS} AS user_score_bars, {_BAR_TEXT} AS user_score_bars_print,
   CASE WHEN f.following IS NULL THEN 0 ELSE 1 END AS follow_value, u.id = best.id AS is_top_user
@@ -196,13 +214,25 @@ _FOLLOW_ROWS = (
 )
 _NOTICE = f"user_id, triggered_by_user_id, event_type_id, reference_post_id, {_time('creation_time')}"
 
+
+def _load_tables() -> str:
+    from .queries import FILLED
+
+    def text(column: str) -> str:
+        plain = f"CAST({column} AS STRING)"
+        return f"COALESCE({f'substr({plain}, 1, 19)' if column.endswith('_time') else plain}, '-')"
+
+    parts = []
+    for table, columns in FILLED.items():
+        source = "(SELECT r_regionkey AS camp_id, r_name AS camp_name FROM region)" if table == "camps" else table
+        digest = f"md5(concat_ws('|', {', '.join(map(text, columns.split()))}))"
+        content = f"CAST(sum(CAST('0x' || substr({digest}, 1, 8) AS BIGINT)) AS BIGINT)"
+        parts.append(f"SELECT '{table}' AS table_name, count(*) AS n_rows, {content} AS content FROM {source}")
+    return "done AS (SELECT 1) " + " UNION ALL ".join(parts)
+
+
 _PLAIN: dict[str, str] = {
-    "load_tables": """done AS (SELECT 1)
-        SELECT 'users' AS table_name, count(*) AS n_rows FROM users UNION ALL SELECT 'posts', count(*) FROM posts
-        UNION ALL SELECT 'post_votes', count(*) FROM post_votes UNION ALL SELECT 'follows', count(*) FROM follows
-        UNION ALL SELECT 'notifications', count(*) FROM notifications UNION ALL SELECT 'tokens', count(*) FROM tokens
-        UNION ALL SELECT 'camp_directory', count(*) FROM camp_directory UNION ALL SELECT 'camps', count(*) FROM region
-        UNION ALL SELECT 'media', count(*) FROM media""",
+    "load_tables": _load_tables(),
     "append_events": """done AS (SELECT 1)
         SELECT strftime(added_time, '%Y-%m') AS event_month, count(*) AS n_events, CAST(sum(value) AS BIGINT) AS score
         FROM vote_events GROUP BY 1""",
@@ -292,8 +322,8 @@ _PLAIN: dict[str, str] = {
                CAST(CAST(creation_time + INTERVAL '5' HOUR AS DATE) AS STRING) AS day_ahead FROM posts""",
     "day_window": f"""done AS (SELECT 1)
         SELECT post_id, user_id, {_time('p.creation_time')} FROM posts p
-        WHERE p.creation_time - INTERVAL '5' HOUR >= TIMESTAMP '1998-06-10 00:00:00'
-          AND p.creation_time - INTERVAL '5' HOUR <= TIMESTAMP '1998-06-11 00:00:00'""",
+        WHERE p.creation_time - INTERVAL '5' HOUR >= TIMESTAMP '1995-11-23 00:00:00'
+          AND p.creation_time - INTERVAL '5' HOUR <= TIMESTAMP '1995-11-24 00:00:00'""",
     "quarter_window": f"""done AS (SELECT 1)
         SELECT user_id, post_id, {_time('v.added_time')} FROM post_votes v
         WHERE v.added_time >= TIMESTAMP '2000-04-01 00:00:00' AND v.added_time < TIMESTAMP '2000-07-01 00:00:00'""",
@@ -419,33 +449,35 @@ _SCORED: dict[str, str] = {
     "profile_feed": f"""placed AS (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY post_id DESC) AS place FROM cards
           WHERE reply_to_id IS NULL AND is_deleted = 0)
-        SELECT {_FEED_DIGEST} FROM placed WHERE place <= 10""",
+        SELECT {_FEED_DIGEST} FROM placed WHERE place <= 2""",
     "top_of_day": f"""placed AS (
           SELECT d.day, c.*, row_number() OVER (PARTITION BY d.day ORDER BY c.post_score DESC NULLS LAST, c.post_id DESC) AS place
           FROM days d JOIN cards c ON c.post_id = d.post_id)
-        SELECT day, {_FEED_DIGEST} FROM placed WHERE place <= 100""",
-    "top_of_window": f"""shown AS (
-          SELECT * FROM cards c WHERE reply_to_id IS NULL AND is_deleted = 0
-          AND c.creation_time - INTERVAL '5' HOUR >= TIMESTAMP '1998-06-10 00:00:00'
-          AND c.creation_time - INTERVAL '5' HOUR <= TIMESTAMP '1998-06-11 00:00:00'
-          ORDER BY post_score DESC NULLS LAST, post_id DESC LIMIT 100)
-        SELECT {_FEED_TEXT} FROM shown""",
+        SELECT day, CAST(place AS INTEGER) AS place, {_FEED_DIGEST} FROM placed WHERE place <= 2""",
+    "top_of_window": _window_board("TIMESTAMP '1995-11-23 00:00:00'"),
+    "top_of_nth_day": _window_board("(SELECT CAST(day AS TIMESTAMP) FROM (SELECT DISTINCT day FROM days) d ORDER BY day DESC LIMIT 1 OFFSET 100)"),
+    "home_feed_after_cursor": _home_feed(
+        1, 5, _FEED_DIGEST,
+        "JOIN (SELECT max(post_id) AS newest FROM posts) n ON e.viewer_id % 5 = 0 OR p.post_id < n.newest - (e.viewer_id * 7919) % n.newest",
+    ),
+    "home_feed_of_viewers": _home_feed(1, 5, _FEED_DIGEST)
+    + " WHERE viewer_id IN (SELECT id FROM users WHERE first_name = 'MACHINERY person')",
+    "post_detail_of_ids": f"{_ASKED} SELECT {_DETAIL} FROM cards c JOIN asked USING (post_id) WHERE c.is_deleted = 0",
     "active_days": """done AS (SELECT 1)
         SELECT day, row_number() OVER (ORDER BY day DESC) - 1 AS day_offset FROM (SELECT DISTINCT day FROM days) d ORDER BY day DESC""",
     "nth_active_day": """done AS (SELECT 1)
         SELECT day FROM (SELECT DISTINCT day FROM days) d ORDER BY day DESC LIMIT 1 OFFSET 9""",
     "post_detail": f"done AS (SELECT 1) SELECT {_DETAIL} FROM cards c WHERE c.is_deleted = 0",
-    "thread": f"""alive AS (SELECT post_id, reply_to_id FROM posts WHERE is_deleted = 0),
-        members AS (
-          SELECT post_id AS thread_id, 0 AS level, CAST(NULL AS BIGINT) AS parent_id, post_id FROM alive
-          UNION ALL SELECT h.post_id, 1, h.post_id, a.post_id FROM alive h JOIN alive a ON a.reply_to_id = h.post_id
-          UNION ALL SELECT h.post_id, 2, a.post_id, b.post_id FROM alive h JOIN alive a ON a.reply_to_id = h.post_id
-                    JOIN alive b ON b.reply_to_id = a.post_id)
+    "thread": f"""{_THREADS}
         SELECT m.thread_id, m.level, m.parent_id, {_DETAIL} FROM members m JOIN cards c ON c.post_id = m.post_id""",
+    "thread_of_heads": f"""{_ASKED}, {_THREADS}
+        SELECT m.thread_id, m.level, m.parent_id, {_DETAIL} FROM members m JOIN cards c ON c.post_id = m.post_id
+        JOIN asked k ON k.post_id = m.thread_id""",
     "leaderboard": f"""done AS (SELECT 1)
-        SELECT {_PEOPLE} ORDER BY s.user_score DESC NULLS LAST, u.id LIMIT 100""",
+        SELECT CAST(row_number() OVER (ORDER BY s.user_score DESC NULLS LAST, u.id) AS INTEGER) AS place, {_PEOPLE}
+        ORDER BY s.user_score DESC NULLS LAST, u.id LIMIT 100""",
     "people_search": f"""done AS (SELECT 1)
-        SELECT {_PEOPLE} WHERE u.handle ILIKE '%mach_nery%' OR u.first_name ILIKE '%mach_nery%'
+        SELECT CAST(row_number() OVER (ORDER BY u.creation_time, u.id) AS INTEGER) AS place, {_PEOPLE} WHERE u.handle ILIKE '%mach_nery%' OR u.first_name ILIKE '%mach_nery%'
         ORDER BY u.creation_time, u.id LIMIT 50""",
     "camp_wall": f"""camp_scores AS (
           SELECT p.post_id, CAST(sum(v.value) AS BIGINT) AS post_score FROM posts p
@@ -473,7 +505,7 @@ _SCORED: dict[str, str] = {
                strftime(placed.creation_time - INTERVAL '5' HOUR, '%m-%d') AS date_display,
                CAST(length(placed.post_text) AS INTEGER) AS post_length,
                CASE WHEN length(placed.post_text) > 400 THEN 1 ELSE 0 END AS post_length_flag, {_shortened('placed.post_text')} AS post_text
-        FROM placed WHERE place <= 10""",
+        FROM placed WHERE place <= 2""",
     "marts": """done AS (SELECT 1)
         SELECT COALESCE(c.post_id, r.post_id) AS post_id, s.post_score, c.up_votes, c.down_votes, r.reply_count
         FROM counts c JOIN post_scores s ON s.post_id = c.post_id FULL JOIN replies r ON r.post_id = c.post_id""",

@@ -26,7 +26,13 @@ VIEWER = 8
 HANDLE = "customer_000000008"
 SEARCH_TERM = "mach_nery"
 SEARCH_TERMS = ["MACHINERY", "00007", "furn%person"]
-DAY = dt.date(1998, 6, 10)
+# A day with many posts at sf0.01, one of them at exactly local midnight.
+DAY = dt.date(1995, 11, 23)
+# Board and profile sizes that leave posts out on the test files.
+DAY_BOARD = 2
+WINDOW_BOARD = 3
+PROFILE = 2
+NTH_DAY = 100
 QUARTER_AS_OF = dt.date(2000, 5, 15)
 POSTS_AS_OF = "2002-01-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -71,6 +77,32 @@ def _text_digest(df: DataFrame, column: str = "post_text") -> DataFrame:
     return df.withColumn("text_length", F.length(column)).withColumn("text_md5", F.md5(column)).drop(column)
 
 
+#: Columns that the test files fill, whose values `load_tables` compares.
+FILLED = {
+    "users": "id handle email first_name profile_photo bio creation_time",
+    "posts": "post_id camp_id user_id reply_to_id media_id creation_time is_deleted post_text",
+    "post_votes": "camp_id user_id post_id value added_time",
+    "follows": "user_id following follow_value creation_time",
+    "notifications": "notification_id user_id triggered_by_user_id event_type_id reference_post_id seen creation_time",
+    "tokens": "token_id user_id token used creation_time",
+    "camp_directory": "record_id camp_id user_id",
+    "camps": "camp_id camp_name",
+    "media": "media_id photo_url",
+}
+
+
+def _content_sum(df: DataFrame, columns: list[str]) -> Column:
+    """One number of all values: the summed first 32 bits of each row's digest."""
+
+    def text(c: str) -> Column:
+        kind = dict(df.dtypes)[c]
+        plain = F.col(c).cast("bigint" if kind.startswith("decimal") else kind).cast("string")
+        return F.coalesce(F.substring(plain, 1, 19) if kind == "timestamp_ntz" else plain, F.lit("-"))
+
+    digest = F.md5(F.concat_ws("|", *map(text, columns)))
+    return F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).cast("bigint")
+
+
 # --- sources and sinks
 
 
@@ -79,7 +111,9 @@ def load_tables(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "tables")
     tables.save_tables(s.tables(), path)
     counts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        df.agg(F.count(F.lit(1)).alias("n_rows"), _content_sum(df, FILLED[name].split()).alias("content")).select(
+            F.lit(name).alias("table_name"), "n_rows", "content"
+        )
         for name, df in tables.load_tables(s.spark, path).frames().items()
     ]
     out = counts[0]
@@ -489,7 +523,7 @@ def author_scores_by_name(s: StarSource) -> DataFrame:
 
 def _marts(s: StarSource) -> Marts:
     """The scores all pages share, written once per application."""
-    folder = written_folder(s.spark, (s.path, "marts"), lambda path: Marts.from_tables(s.tables()).save(path))
+    folder = written_folder(s.spark, (s.path, "marts"), lambda path: Marts.save(s.tables(), path))
     return Marts.load(s.spark, folder)
 
 
@@ -521,21 +555,49 @@ def home_feed_next_page(s: StarSource) -> DataFrame:
     return _text_digest(feeds.home_feed(s.tables(), page=2, marts=_marts(s)).select("viewer_id", *_FEED))
 
 
+@_query
+def home_feed_after_cursor(s: StarSource) -> DataFrame:
+    # Each viewer's own cursor; every fifth viewer starts at the newest post.
+    viewers = s.users().select(F.col("id").alias("viewer_id"))
+    newest = s.post_facts().agg(F.max("post_id")).scalar()
+    cursors = viewers.filter(F.col("viewer_id") % 5 != 0).withColumn(
+        "cursor", (newest - (F.col("viewer_id") * 7919) % newest).cast("bigint")
+    )
+    feed = feeds.home_feed(s.tables(), cursor=cursors, marts=_marts(s))
+    return _text_digest(feed.select("viewer_id", *_FEED))
+
+
+def _some_viewers(s: StarSource) -> DataFrame:
+    """The viewers of one request: users of one name."""
+    return s.users().filter(F.col("first_name") == "MACHINERY person").select(F.col("id").alias("viewer_id"))
+
+
+@_query
+def home_feed_of_viewers(s: StarSource) -> DataFrame:
+    feed = feeds.home_feed(s.tables(), viewers=_some_viewers(s), marts=_marts(s))
+    return _text_digest(feed.select("viewer_id", *_FEED))
+
+
 @_query
 def profile_feed(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.profile_feed(s.tables(), viewer_id=VIEWER, marts=_marts(s)).select(*_FEED))
+    return _text_digest(feeds.profile_feed(s.tables(), PROFILE, viewer_id=VIEWER, marts=_marts(s)).select(*_FEED))
 
 
 @_query
 def top_of_day(s: StarSource) -> DataFrame:
-    return _text_digest(feeds.top_of_day(s.tables(), viewer_id=VIEWER, marts=_marts(s)).select("day", *_FEED))
+    return _text_digest(feeds.top_of_day(s.tables(), DAY_BOARD, VIEWER, _marts(s)).select("day", "place", *_FEED))
 
 
 @_query
 def top_of_window(s: StarSource) -> DataFrame:
     t = s.tables()
-    day = predicates.day_window(t.posts, DAY)
-    return feeds.top_of_window(t, day, viewer_id=VIEWER, marts=_marts(s)).select(*_FEED)
+    day = predicates.day_window(t.post_facts, DAY)
+    return feeds.top_of_window(t, day, WINDOW_BOARD, VIEWER, _marts(s)).select("place", *_FEED)
+
+
+@_query
+def top_of_nth_day(s: StarSource) -> DataFrame:
+    return feeds.top_of_nth_day(s.tables(), NTH_DAY, WINDOW_BOARD, VIEWER, _marts(s)).select("place", *_FEED)
 
 
 @_query
@@ -578,6 +640,24 @@ def thread(s: StarSource) -> DataFrame:
     return threads.in_page_order(threads.thread(t, detail=detail))
 
 
+def _voted_down(s: StarSource) -> DataFrame:
+    """The posts of one request: those the viewer voted down or wrote."""
+    down = s.post_votes().filter((F.col("user_id") == VIEWER) & (F.col("value") < 0)).select("post_id")
+    return down.unionByName(s.post_facts().filter(F.col("user_id") == VIEWER).select("post_id")).distinct()
+
+
+@_query
+def post_detail_of_ids(s: StarSource) -> DataFrame:
+    detail = threads.post_detail(s.tables(), VIEWER, _marts(s), ids=_voted_down(s))
+    return _text_digest(detail.select(*_DETAIL, "post_text"))
+
+
+@_query
+def thread_of_heads(s: StarSource) -> DataFrame:
+    pages = threads.thread(s.tables(), viewer_id=VIEWER, marts=_marts(s), heads=_voted_down(s))
+    return _text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text"))
+
+
 @_query
 def notification_inbox(s: StarSource) -> DataFrame:
     return inbox.notification_inbox(s.tables(), EVENTS_AS_OF)
@@ -595,7 +675,7 @@ def people_search(s: StarSource) -> DataFrame:
 
 @_query
 def camp_wall(s: StarSource) -> DataFrame:
-    wall = camps.camp_wall(s.tables(), CAMP, name="first_name")
+    wall = camps.camp_wall(s.tables(), CAMP, name="first_name", marts=_marts(s))
     return _text_digest(wall.select("post_id", "user_id", "first_name", "post_score", "user_score", "post_text"))
 
 
@@ -745,7 +825,7 @@ def vote_state(s: StarSource) -> DataFrame:
 
 @_query
 def format_feed(s: StarSource) -> DataFrame:
-    shown = feeds.format_feed(feeds.profile_feed(s.tables(), viewer_id=VIEWER, marts=_marts(s)), POSTS_AS_OF)
+    shown = feeds.format_feed(feeds.profile_feed(s.tables(), PROFILE, viewer_id=VIEWER, marts=_marts(s)), POSTS_AS_OF)
     return shown.select(
         "post_id",
         "user_id",
@@ -772,7 +852,7 @@ def format_feed(s: StarSource) -> DataFrame:
 @_query
 def marts(s: StarSource) -> DataFrame:
     saved = _marts(s)
-    return saved.post_stats.join(saved.reply_counts, "post_id", "full")
+    return saved.figures
 
 
 # --- streams

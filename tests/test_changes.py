@@ -100,7 +100,7 @@ def test_only_the_owner_deletes(spark, rows):
 
 
 def test_mark_notifications_seen(spark, rows, monkeypatch):
-    monkeypatch.setattr("rookery.operators.skew.MIN_HOT_ROWS", 1)
+    monkeypatch.setattr("rookery.operators.skew.ROWS_PER_SALT", 1)
     notes = spark.createDataFrame(
         [(1, 10, 0, None, T[1]), (2, 10, 1, T[2], T[1]), (3, 10, 0, None, T[6]), (4, 20, 0, None, T[1])],
         "notification_id BIGINT, user_id BIGINT, seen INT, seen_time TIMESTAMP_NTZ, creation_time TIMESTAMP_NTZ",

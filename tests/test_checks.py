@@ -68,7 +68,7 @@ def one_by_one(users, requests):
 
 
 def test_deferred_requests_settle_to_the_sequential_answer(spark, monkeypatch):
-    monkeypatch.setattr("rookery.operators.skew.MIN_HOT_ROWS", 3)
+    monkeypatch.setattr("rookery.operators.skew.ROWS_PER_SALT", 3)
     rng = random.Random(3)
     users = [(i, f"u{i}@x.co", f"h{i}") for i in range(5)]
     requests = [(f"u{rng.randint(0, 30)}@x.co", f"H{rng.randint(0, 30)}") for _ in range(60)]

@@ -79,7 +79,7 @@ def net(request):
 @pytest.fixture(params=["plain", "salted"])
 def salting(request, monkeypatch):
     if request.param == "salted":
-        monkeypatch.setattr("rookery.operators.skew.MIN_HOT_ROWS", 3)
+        monkeypatch.setattr("rookery.operators.skew.ROWS_PER_SALT", 3)
 
 
 def test_home_feed(net, social, rows, salting):
@@ -211,13 +211,12 @@ def test_score_invariants(net, social):
 
 def test_leaderboard_and_search(net, social, tmp_path, spark):
     t = net.tables(social)
-    Marts.from_tables(t).save(str(tmp_path / "marts"))
+    Marts.save(t, str(tmp_path / "marts"))
     scores = net.user_score()
     ranked = sorted(range(len(net.users)), key=lambda u: (u not in scores, -scores.get(u, 0), u))
     for marts in (None, Marts.load(spark, str(tmp_path / "marts"))):
         board = boards.leaderboard(t, k=7, viewer_id=1, marts=marts).collect()
-        assert {r.id for r in board} == set(ranked[:7])
-        assert [r.user_score for r in board] == sorted((scores.get(u, 0) for u in ranked[:7]), reverse=True)
+        assert [(r.place, r.id) for r in board] == list(enumerate(ranked[:7], 1))
         assert all(r.follow_value == int((1, r.id) in net.edges) for r in board)
         assert [r.id for r in board if r.is_top_user] == [net.top_user()]
         found = boards.people_search(t, "N2", k=4, viewer_id=1, marts=marts).collect()
@@ -225,6 +224,34 @@ def test_leaderboard_and_search(net, social, tmp_path, spark):
         assert [r.id for r in found] == [u["id"] for u in oldest[:4]]
 
 
+def test_unvoted_users_come_after_negative_scores(social):
+    users = [{"id": i, "handle": f"u{i}", "first_name": "n"} for i in range(4)]
+    posts = [{"post_id": i, "user_id": i, "is_deleted": 0} for i in range(4)]
+    votes = [{"user_id": 9, "post_id": 0, "value": -1}] + [{"user_id": v, "post_id": 2, "value": 1} for v in range(5)]
+    t = social(users=users, posts=posts, post_votes=votes, follows=[])
+    board = boards.leaderboard(t).collect()
+    assert [(r.place, r.id, r.user_score) for r in board] == [(1, 2, 5), (2, 0, -1), (3, 1, 0), (4, 3, 0)]
+
+
+def test_each_viewers_cursor_repeats_nothing_when_posts_arrive(net, social, spark, rows, salting, monkeypatch):
+    monkeypatch.setattr(feeds, "BLOCK", 4)
+    t = net.tables(social)
+    first = feeds.home_feed(t, k=3).select("viewer_id", "post_id").collect()
+    cursors = {}
+    for r in first:
+        cursors[r.viewer_id] = min(r.post_id, cursors.get(r.viewer_id, r.post_id))
+    late = [{**net.posts[net.roots()[0]["post_id"]], "post_id": 1_000_000 + u["id"], "user_id": u["id"], "reply_to_id": None, "is_deleted": 0} for u in net.users]
+    grown = t.with_frames(posts=t.posts.unionByName(social(posts=late).posts))
+    given = spark.createDataFrame(list(cursors.items()), "viewer_id BIGINT, cursor BIGINT")
+    expected = []
+    for u in net.users:
+        shown = {f for v, f in net.edges if v == u["id"]} | {u["id"]}
+        ids = sorted((p["post_id"] for p in [*net.roots(), *late] if p["user_id"] in shown), reverse=True)
+        expected += [(u["id"], p) for p in [i for i in ids if i < cursors.get(u["id"], 10**9)][:3]]
+    got = rows(feeds.home_feed(grown, k=3, cursor=given), "viewer_id", "post_id")
+    assert got == sorted(expected) and not {(r.viewer_id, r.post_id) for r in first} & set(got)
+
+
 def test_camp_wall(net, social, rows, salting):
     t = net.tables(social)
     camp = [p for p in net.posts if p["camp_id"] == 1]

@@ -66,7 +66,7 @@ def hot_frame(spark, n=60000):
 
 
 def test_spread_join_is_the_plain_join(spark, rows, monkeypatch, no_broadcast):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 100)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 100)
     left = hot_frame(spark, 3000)
     right = spark.range(0, 3000, 5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     right = right.unionByName(spark.createDataFrame([(7, 1), (7, 2)], "k BIGINT, v BIGINT"))
@@ -75,7 +75,7 @@ def test_spread_join_is_the_plain_join(spark, rows, monkeypatch, no_broadcast):
 
 
 def test_spread_join_spreads_the_hot_and_the_missing_key(spark, monkeypatch, no_broadcast):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 100)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 100)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         left = hot_frame(spark)
@@ -93,13 +93,71 @@ def test_spread_join_spreads_the_hot_and_the_missing_key(spark, monkeypatch, no_
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_hot_keys_are_few_whatever_the_data(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 0)
-    df = spark.range(200000).select((F.col("id") % 5000).alias("k"))
-    assert skew.hot_keys(df, "k").count() == 0
-    df = spark.range(200000).select((F.col("id") % 900).alias("k"))
-    hot = skew.hot_keys(df, "k")
-    assert hot.count() <= skew.HOT_SHARE and hot.agg(F.max(skew.SALTS)).first()[0] <= 2
+def test_salts_grow_with_the_key_whatever_the_total(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 100)
+    for others in (0, 100_000):
+        sizes = {1: 100, 2: 101, 3: 950, 4: 20_000}
+        key = [F.when(F.col("id") < sum(sizes[j] for j in sizes if j <= k), k) for k in sizes]
+        df = spark.range(sum(sizes.values())).select(F.coalesce(*key).cast("bigint").alias("k"))
+        df = df.unionByName(spark.range(10, 10 + others).select(F.col("id").alias("k")))
+        assert {r.k: r[skew.SALTS] for r in skew.hot_keys(df, "k").collect()} == {2: 2, 3: 10, 4: 200}
+
+
+def test_top_k_is_cut_before_the_shuffle_for_any_k(spark):
+    from rookery.operators.ranking import top_k
+
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    sizes = ((1000, 1), (1001, 1), (5, 200), (5, 201))
+    assert [optimized(top_k(df, ["k"], [F.col("id").desc()], *size)).count("WindowGroupLimit") for size in sizes] == [1] * 4
+
+
+@pytest.fixture
+def star(spark):
+    from rookery.sources.star import StarSource
+
+    return StarSource(spark, "/root/testdata/sf0.001")
+
+
+def test_boards_have_one_shape_for_any_size(star):
+    from rookery.plans import boards, feeds
+    from rookery.plans.marts import Marts
+
+    t = star.tables()
+    marts = Marts.from_tables(t)
+    for board in (feeds.top_of_day, boards.leaderboard):
+        sizes = (100, 101, 10_000, 10_001)
+        shapes = [re.sub(r"[0-9]+", "", plan_of(board(t, k, marts=marts))) for k in sizes]
+        assert len({s.count("hint") + s.count("WindowGroupLimit") for s in shapes}) == 1
+        assert all("ResolvedHint" not in plan for plan in (boards.leaderboard(t, k, marts=marts)._jdf.queryExecution().optimizedPlan().toString() for k in sizes))
+
+
+def test_text_is_fetched_by_post_id_only(star, no_broadcast):
+    from rookery.plans import feeds
+    from rookery.plans.marts import Marts
+
+    t = star.tables()
+    for page in (feeds.home_feed(t, marts=Marts.from_tables(t)), feeds.profile_feed(t, marts=Marts.from_tables(t))):
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        for node in re.findall(r"(?:Window|WindowGroupLimit) \[.*", plan):
+            assert "post_text" not in node
+        optimized = page._jdf.queryExecution().optimizedPlan().toString()
+        below_rank = optimized.split("Window [row_number")[1:]
+        assert below_rank and all("post_text" not in part.split("\n")[0] for part in below_rank)
+        assert plan.count("post_text") > 0
+
+
+def test_marts_sum_votes_once(star, spark, tmp_path):
+    from rookery.plans.marts import Marts
+
+    t = star.tables()
+    Marts.save(t, str(tmp_path / "m"))
+    saved = Marts.load(spark, str(tmp_path / "m"))
+    votes = t.post_votes.inputFiles()[0].rsplit("/", 1)[0]
+    rest = Marts.from_tables(t, saved.figures)
+    for frame in (rest.authors, rest.hot_authors, rest.hot_followed):
+        assert all(votes not in f for f in frame.inputFiles())
+    whole = Marts.from_tables(t)
+    assert sorted(whole.authors.collect()) == sorted(saved.authors.collect())
 
 
 def test_adaptive_execution_splits_hot_joins_with_plain_tables(spark, tmp_path, no_broadcast):

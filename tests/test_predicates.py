@@ -23,7 +23,7 @@ def test_roots_and_replies(posts, rows):
 
 
 def test_paging_covers_everything_once(spark, rows, monkeypatch):
-    monkeypatch.setattr("rookery.operators.skew.MIN_HOT_ROWS", 5)
+    monkeypatch.setattr("rookery.operators.skew.ROWS_PER_SALT", 5)
     df = spark.range(1, 200).select(
         F.col("id").alias("post_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5).alias("user_id")
     )
@@ -45,7 +45,7 @@ def test_paging_covers_everything_once(spark, rows, monkeypatch):
 
 
 def test_restrict_ids_with_a_hot_id(spark, rows, monkeypatch):
-    monkeypatch.setattr("rookery.operators.skew.MIN_HOT_ROWS", 10)
+    monkeypatch.setattr("rookery.operators.skew.ROWS_PER_SALT", 10)
     df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
     ids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k BIGINT")
     expected = [(i,) for i in range(300) if i % 3 == 0 or i in (1, 2)]
@@ -113,3 +113,5 @@ def test_resolve_handles(spark, rows):
     users = spark.createDataFrame([(1, "Ann"), (2, "bob")], "id BIGINT, handle STRING")
     events = spark.createDataFrame([(5, "ANN"), (6, "nobody")], "user_id BIGINT, handle STRING")
     assert rows(joins.resolve_handles(events, users)) == [(5, 1)]
+    twins = spark.createDataFrame([(3, "Bob"), (2, "bob")], "id BIGINT, handle STRING")
+    assert rows(joins.resolve_handles(spark.createDataFrame([(5, "bob")], events.schema), twins)) == [(5, 2)]
