@@ -26,6 +26,11 @@ def local_day(ts: Column, offset: int = LOCAL_OFFSET_HOURS) -> Column:
     return F.to_date(ts - hours(offset))
 
 
+def local_month(ts: Column) -> Column:
+    """Month of the local day, as text such as 2024-03."""
+    return F.date_format(local_day(ts), "yyyy-MM")
+
+
 def age_seconds(ts: Column, as_of: str | dt.datetime | Column) -> Column:
     """Whole seconds from `ts` to `as_of`, rounded down, independent of the session zone."""
     gap = ntz(as_of) - ts

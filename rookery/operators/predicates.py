@@ -84,7 +84,12 @@ def day_window(
     """
     start = dt.datetime.combine(day, dt.time()) + dt.timedelta(hours=offset)
     end = start + dt.timedelta(days=1)
-    return posts.filter(F.col(column).between(ntz(start), ntz(end)))
+    shown = posts.filter(F.col(column).between(ntz(start), ntz(end)))
+    if "local_month" in posts.columns and column == "creation_time" and offset == LOCAL_OFFSET_HOURS:
+        # Saved posts are partitioned by it; the next midnight can be in the next month.
+        months = sorted({d.strftime("%Y-%m") for d in (day, day + dt.timedelta(days=1))})
+        shown = shown.filter(F.col("local_month").isin(months))
+    return shown
 
 
 def quarter_bounds(as_of: dt.date) -> tuple[dt.datetime, dt.datetime]:
@@ -126,4 +131,6 @@ def search_users_many(users: DataFrame, terms: Sequence[str], k: int = 50) -> Da
 
 
 def user_by_handle(users: DataFrame, handle: str) -> DataFrame:
-    return users.filter(F.lower("handle") == handle.lower())
+    """The users of a handle, ignoring case; saved users have it in lower case, which the scan filters by."""
+    name = F.col("handle_lower") if "handle_lower" in users.columns else F.lower("handle")
+    return users.filter(name == handle.lower())

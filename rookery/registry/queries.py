@@ -858,33 +858,52 @@ def marts(s: StarSource) -> DataFrame:
 # --- streams
 
 
-def _event_files(df: DataFrame, path: str, time_col: str, files: int = 4) -> DataFrame:
-    """Write events as files by time and open them as a stream."""
-    df.repartitionByRange(files, time_col).sortWithinPartitions(time_col).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+#: Rounds in which events arrive, each processed before the next one is written.
+ROUNDS = 4
+
+
+def _arriving(df: DataFrame, path: str, time_col: str, run: Callable[[DataFrame], object]) -> None:
+    """Let events arrive in rounds, up to twenty hours late, and run the stream after each.
+
+    Every round adds files to the source and is a restart from the stream's checkpoint.
+    """
+    late = F.pmod(F.hash(*df.columns), F.lit(20 * 3600))
+    arrival = F.unix_seconds(F.col(time_col).cast("timestamp")) + late
+    cuts = df.agg(F.percentile_approx(arrival, [i / ROUNDS for i in range(1, ROUNDS)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.filter(arrival > low)
+        part = part if high is None else part.filter(arrival <= high)
+        part.write.mode("append").parquet(path)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @_query
 def stream_votes(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "vote-stream")
-    events = _event_files(s.vote_events(), f"{path}/events", "added_time")
-    vote_stream.stream_votes(events, s.post_facts, path, tie_break=TIE_BREAK).awaitTermination()
+    _arriving(
+        s.vote_events(), f"{path}/events", "added_time",
+        lambda events: vote_stream.stream_votes(events, s.post_facts, path, tie_break=TIE_BREAK),
+    )
     return vote_stream.current_votes(s.spark, path, tie_break=TIE_BREAK)
 
 
 @_query
 def stream_notifications(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "notice-stream")
-    posts = _event_files(s.posts(), f"{path}/posts", "creation_time")
-    follows = _event_files(s.follow_events(), f"{path}/follows", "creation_time")
-    notice_stream.stream_post_notifications(posts, s.post_facts, s.users, path).awaitTermination()
-    notice_stream.stream_follow_notifications(follows, path).awaitTermination()
+    _arriving(
+        s.posts(), f"{path}/posts", "creation_time",
+        lambda posts: notice_stream.stream_post_notifications(posts, s.post_facts, s.users, path),
+    )
+    _arriving(
+        s.follow_events(), f"{path}/follows", "creation_time",
+        lambda follows: notice_stream.stream_follow_notifications(follows, path),
+    )
     return notice_stream.read_notices(s.spark, path)
 
 
 @_query
 def stream_daily_active(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "activity-stream")
-    acts = _event_files(aggregates.activity(s.post_votes(), s.post_facts()), f"{path}/acts", "time")
-    activity_stream.stream_daily_active(acts, path).awaitTermination()
+    acts = aggregates.activity(s.post_votes(), s.post_facts())
+    _arriving(acts, f"{path}/acts", "time", lambda arrived: activity_stream.stream_daily_active(arrived, path))
     return s.spark.read.parquet(f"{path}/days")

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Streaming state lives on disk, not on the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Top-k of any k is cut before its shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
     # Call sites in error messages cost several round trips per column expression.

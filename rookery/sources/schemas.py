@@ -41,6 +41,9 @@ SOCIAL = {
     "media": ("media_id BIGINT, post_id BIGINT, photo_url STRING, added_time TIMESTAMP_NTZ"),
 }
 
+# Columns that saved tables have besides, to be filtered by.
+LAYOUT = {"users": "handle_lower STRING", "posts": "local_month STRING"}
+
 # Key to read a table in parallel over JDBC.
 NUMERIC_KEY = {
     "users": "id",

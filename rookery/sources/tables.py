@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .schemas import NUMERIC_KEY, SOCIAL
+from ..functions.times import local_month
+from .schemas import LAYOUT, NUMERIC_KEY, SOCIAL
 
 
 class SocialTables:
@@ -47,9 +48,15 @@ class SocialTables:
 
 
 def load_tables(spark: SparkSession, path: str) -> SocialTables:
-    """Read `<path>/<table>` with fixed schemas; missing columns read as NULL."""
+    """Read `<path>/<table>` with fixed schemas; missing columns read as NULL.
+
+    The columns of `LAYOUT` come along, so that filters on them skip files.
+    """
     return SocialTables(
-        **{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SOCIAL.items()}
+        **{
+            name: spark.read.schema(", ".join([schema, *filter(None, [LAYOUT.get(name)])])).parquet(f"{path}/{name}")
+            for name, schema in SOCIAL.items()
+        }
     )
 
 
@@ -65,9 +72,19 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def save_tables(tables: SocialTables, path: str) -> None:
-    """Write a snapshot of all tables to a new folder; the folder being read is never overwritten."""
+    """Write a snapshot of all tables to a new folder; the folder being read is never overwritten.
+
+    Posts are partitioned by local month and sorted by id within it, users are sorted by their handle in lower case.
+    """
     for name, df in tables.frames().items():
-        conform(df, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+        rows = conform(df, name)
+        if name == "users":
+            rows = rows.withColumn("handle_lower", F.lower("handle")).repartitionByRange("handle_lower").sortWithinPartitions("handle_lower")
+        elif name == "posts":
+            rows = rows.withColumn("local_month", local_month(F.col("creation_time")))
+            rows = rows.repartitionByRange("local_month", "post_id").sortWithinPartitions("local_month", "post_id")
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy("local_month") if name == "posts" else writer).parquet(f"{path}/{name}")
 
 
 def jdbc_options(

@@ -31,10 +31,17 @@ def _start(events: DataFrame, make: Callable[[DataFrame], DataFrame], path: str,
 def stream_post_notifications(
     new_posts: DataFrame, posts: Callable[[], DataFrame], users: Callable[[], DataFrame], path: str
 ) -> StreamingQuery:
-    """Reply and mention notifications of all waiting posts."""
+    """Reply and mention notifications of all waiting posts.
+
+    Each batch reads the posts in the range of its parents' ids only, and users only if it mentions any.
+    """
 
     def make(batch: DataFrame) -> DataFrame:
-        return reply_notifications(batch, posts()).unionByName(mention_notifications(batch, users()))
+        low, high, mentions = batch.agg(
+            F.min("reply_to_id"), F.max("reply_to_id"), F.count_if(F.col("post_text").contains("@"))
+        ).first()
+        notices = reply_notifications(batch, posts().filter(F.col("post_id").between(low, high)))
+        return notices.unionByName(mention_notifications(batch, users())) if mentions else notices
 
     return _start(new_posts, make, path, "posts")
 

@@ -33,15 +33,12 @@ def stream_votes(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # Votes go to recent posts: the id range lets the scan of posts skip most of them.
+        low, high = batch.agg(F.min("post_id"), F.max("post_id")).first()
+        voted = posts().filter(F.col("post_id").between(low, high))
         newest = latest_by_key(normalise_votes(batch, rule), VOTE_KEY, ["added_time", *tie_break])
-        newest = newest.select(*VOTE_COLUMNS, *tie_break).persist()
-        try:
-            # Votes go to recent posts: the id range lets the scan of posts skip most of them.
-            low, high = newest.agg(F.min("post_id"), F.max("post_id")).first()
-            voted = posts().filter(F.col("post_id").between(low, high))
-            reject_self_votes(newest, voted).write.mode("overwrite").parquet(f"{path}/deltas/batch_id={batch_id}")
-        finally:
-            newest.unpersist()
+        newest = reject_self_votes(newest.select(*VOTE_COLUMNS, *tie_break), voted)
+        newest.write.mode("overwrite").parquet(f"{path}/deltas/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write_batch)
@@ -86,9 +83,21 @@ def compact(
 ) -> int:
     """Write snapshot and newer deltas as a new snapshot in a new folder.
 
-    Returns the last batch it holds: pass it as `after` when reading with that snapshot.
+    Returns the last batch it holds: pass it as `after` when reading with that snapshot, and to
+    `retire_deltas` when no reader uses the snapshot before.
     """
     last = spark.read.parquet(f"{path}/deltas").select(F.max("batch_id")).first()[0]
     merged = current_votes(spark, path, snapshot, tie_break, after, until=last)
     merged.write.mode("errorifexists").parquet(target)
     return last
+
+
+def retire_deltas(spark: SparkSession, path: str, until: int) -> None:
+    """Delete the deltas of the batches up to `until`, which a snapshot holds."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/deltas")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=")[1]) <= until:
+            files.delete(status.getPath(), True)
