@@ -8,7 +8,7 @@ with hashes short enough to keep the guarantee.
 
 Fingerprints of documents stay narrow (row key, place, hash) and meet the benchmark's table, which is written first
 so that Spark knows its size and broadcasts it only below its threshold; else the join is shuffled and hot hashes are split.
-Texts are read again for documents with hits only.
+Texts are shuffled for documents with hits only, which a bitmap of fixed size tells from most others.
 
 Defined results: null and empty texts and items have no words; items with the same window all count;
 rows that repeat an id and a text have equal results; null item ids are left out; an empty benchmark
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, filled, row_key, stored
+from .common import alnum_words, filled, marked, marks, row_key, stored
 
 #: Words in a window, and in what is hashed of it.
 WINDOW = 10
@@ -97,7 +97,9 @@ def matched_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame)
 def _extended(spark: SparkSession, docs: DataFrame, hits: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """The windows around the hits that are a benchmark window word by word."""
     found = hits.groupBy("key").agg(F.collect_set(F.struct("length", "hash")).alias("hits"))  # at most a document's fingerprints
-    text = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text").join(stored(spark, found, "documents-with-hits"), "key")
+    found = stored(spark, found, "documents-with-hits")
+    text = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
+    text = marked(text, "key", marks(spark, found.select("key"))).where("__marked").join(found, "key")
     text = text.dropDuplicates(["key"]).select("key", "hits", alnum_words(filled("text")).alias("words"))
     parts = None
     for length in lengths:
@@ -144,5 +146,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with all columns, without the documents that hold a benchmark window."""
     _, matches = matched_windows(spark, docs, benchmark)
-    bad = stored(spark, matches.select(F.col("key").alias("__bad")).distinct(), "contaminated")
-    return docs.withColumn("__key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    bad = stored(spark, matches.select(F.col("key").alias("__key")).distinct(), "contaminated")
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.xxhash64("text")))
+    keyed = marked(keyed, "__key", marks(spark, bad))
+    clean = keyed.where("NOT __marked").unionByName(keyed.where("__marked").join(bad, "__key", "left_anti"))
+    return clean.select(*docs.columns)
