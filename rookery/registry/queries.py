@@ -179,30 +179,48 @@ def reject_self_votes(s: StarSource) -> DataFrame:
     return _vote_rows(changes.reject_self_votes(s.vote_events(), s.post_facts()), "raw_value")
 
 
-@_query
-def apply_votes(s: StarSource) -> DataFrame:
-    votes = changes.reject_self_votes(changes.normalise_votes(s.vote_events()), s.post_facts())
-    early = F.col("added_time") < fn.ntz(SNAPSHOT_ENDS)
+def _valid_votes(s: StarSource) -> DataFrame:
+    return changes.reject_self_votes(changes.normalise_votes(s.vote_events()), s.post_facts())
+
+
+def _early_votes(s: StarSource) -> DataFrame:
+    """The snapshot that `apply_votes` merges into."""
 
     def stored() -> DataFrame:
-        return _vote_rows(changes.latest_by_key(votes.filter(early), changes.VOTE_KEY, ["added_time", *TIE_BREAK]))
+        early = _valid_votes(s).filter(F.col("added_time") < fn.ntz(SNAPSHOT_ENDS))
+        return _vote_rows(changes.latest_by_key(early, changes.VOTE_KEY, ["added_time", *TIE_BREAK]))
 
-    snapshot = written_table(s.spark, (s.path, "early_votes"), stored)
-    return changes.apply_votes(snapshot, votes.filter(~early), TIE_BREAK)
+    return written_table(s.spark, (s.state(), "early_votes"), stored)
 
 
-@_query
-def apply_follows(s: StarSource) -> DataFrame:
-    events = s.follow_events()
-    early = F.col("creation_time") < fn.ntz(SNAPSHOT_ENDS)
+def _early_follows(s: StarSource) -> DataFrame:
+    """The snapshot that `apply_follows` merges into."""
 
     def stored() -> DataFrame:
-        cleaned = changes.clean_follow_events(events.filter(early))
+        early = s.follow_events().filter(F.col("creation_time") < fn.ntz(SNAPSHOT_ENDS))
+        cleaned = changes.clean_follow_events(early)
         newest = changes.latest_by_key(cleaned, changes.FOLLOW_KEY, ["creation_time", *s.FOLLOW_TIE_BREAK])
         return newest.select("user_id", "following", "follow_value", "creation_time")
 
-    snapshot = written_table(s.spark, (s.path, "early_follows"), stored)
-    return changes.apply_follows(snapshot, events.filter(~early), s.FOLLOW_TIE_BREAK)
+    return written_table(s.spark, (s.state(), "early_follows"), stored)
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Write every snapshot and the marts, which all queries on the folder then read."""
+    s = StarSource(spark, sf_dir)
+    s.post_votes(), s.follows(), _early_votes(s), _early_follows(s), _marts(s)
+
+
+@_query
+def apply_votes(s: StarSource) -> DataFrame:
+    late = _valid_votes(s).filter(F.col("added_time") >= fn.ntz(SNAPSHOT_ENDS))
+    return changes.apply_votes(_early_votes(s), late, TIE_BREAK)
+
+
+@_query
+def apply_follows(s: StarSource) -> DataFrame:
+    late = s.follow_events().filter(F.col("creation_time") >= fn.ntz(SNAPSHOT_ENDS))
+    return changes.apply_follows(_early_follows(s), late, s.FOLLOW_TIE_BREAK)
 
 
 @_query
@@ -214,7 +232,7 @@ def resolve_handles(s: StarSource) -> DataFrame:
 
 @_query
 def apply_post_deletes(s: StarSource) -> DataFrame:
-    # Returned items ask for deletion: line 1 in the name of the owner, others in that of a voter.
+    # A batch of requests, not all events: returned items ask for deletion, line 1 in the name of the owner, others in that of a voter.
     items = s.read("lineitem").filter(F.col("l_returnflag") == "A").withColumnRenamed("l_orderkey", "post_id")
     owners = s.post_facts().select("post_id", F.col("user_id").alias("owner"))
     requests = items.join(owners, "post_id").select(
@@ -225,6 +243,7 @@ def apply_post_deletes(s: StarSource) -> DataFrame:
 
 @_query
 def mark_notifications_seen(s: StarSource) -> DataFrame:
+    # A batch of requests: views only, so that some users ask for nothing.
     requests = s.read("events").filter(F.col("event_type") == "view").select(
         "user_id", F.col("ts").alias("seen_time")
     )
@@ -255,6 +274,7 @@ def apply_profile_edits(s: StarSource) -> DataFrame:
 
 @_query
 def consume_tokens(s: StarSource) -> DataFrame:
+    # A batch of uses: some tokens stay unused.
     uses = s.read("events").filter(F.col("value") > 50).select(
         F.concat(F.lit("tok"), F.col("event_id").cast("string")).alias("token")
     )
@@ -523,7 +543,7 @@ def author_scores_by_name(s: StarSource) -> DataFrame:
 
 def _marts(s: StarSource) -> Marts:
     """The scores all pages share, written once per application."""
-    folder = written_folder(s.spark, (s.path, "marts"), lambda path: Marts.save(s.tables(), path))
+    folder = written_folder(s.spark, (s.state(), "marts"), lambda path: Marts.save(s.tables(), path))
     return Marts.load(s.spark, folder)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +42,29 @@ def build_session(app_name: str = "rookery", master: str | None = None, **extra:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the session's `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder:
-    executors of a cluster could not see it.
+    Only a session whose one process is the whole cluster may lack that setting; its folder is
+    temporary and removed at exit. Executors of a cluster could not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="rookery-")
+        base = _own_folder().name
     return f"{base.rstrip('/')}/rookery/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="rookery-")
+
+
+def folder_state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of what lies in a folder: it changes when the tables there do."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return ";".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
 _WRITTEN: dict[tuple[str, ...], str] = {}
 
 

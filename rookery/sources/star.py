@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import ntz
 from ..operators.changes import normalise_votes, reject_self_votes
 from ..operators.ranking import latest_by_key
-from ..session import written_table
+from ..session import folder_state, written_table
 from .schemas import STAR
 from .tables import SocialTables
 
@@ -34,13 +34,18 @@ class StarSource:
     spark: SparkSession
     path: str
 
+    @cache
+    def state(self) -> str:
+        """The folder and what lies in it, to which everything written for it belongs."""
+        return f"{self.path} {folder_state(self.spark, self.path)}"
+
     @cache
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(STAR[name]).parquet(f"{self.path}/{name}.parquet")
 
     def _value(self, name: str, value: Column):
         """One number of a source file, read once per application."""
-        key = (self.spark.sparkContext.applicationId, self.path, name, str(value))
+        key = (self.spark.sparkContext.applicationId, self.state(), name, str(value))
         if key not in _VALUES:
             _VALUES[key] = self.read(name).agg(value).first()[0]
         return _VALUES[key]
@@ -121,7 +126,7 @@ class StarSource:
     @cache
     def post_votes(self) -> DataFrame:
         """The vote snapshot, written once per application."""
-        return written_table(self.spark, (self.path, "post_votes"), self._post_votes)
+        return written_table(self.spark, (self.state(), "post_votes"), self._post_votes)
 
     def _post_votes(self) -> DataFrame:
         events = normalise_votes(self.vote_events())
@@ -154,7 +159,7 @@ class StarSource:
     @cache
     def follows(self) -> DataFrame:
         """The follow snapshot, written once per application."""
-        return written_table(self.spark, (self.path, "follows"), self._follows)
+        return written_table(self.spark, (self.state(), "follows"), self._follows)
 
     def _follows(self) -> DataFrame:
         events = self.follow_events().filter(F.col("user_id") != F.col("following"))

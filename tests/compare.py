@@ -9,6 +9,7 @@ import argparse
 import glob
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -55,6 +56,7 @@ def main() -> int:
     args = parser.parse_args()
     spark = build_session(
         master="local[8]",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="rookery-compare-"),
         spark__sql__shuffle__partitions=args.partitions,
         spark__sql__session__timeZone=args.zone,
         spark__ui__enabled="false",

@@ -87,3 +87,30 @@ def test_tables_are_written_once(spark):
     folder = session.written_folder(spark, key, lambda path: calls.append(path))
     assert session.written_table(spark, key, make).inputFiles()[0].removeprefix("file://").startswith(folder)
     assert not any(isinstance(c, str) for c in calls)
+
+
+def test_saved_tables_are_filtered_by_layout(social, spark, tmp_path):
+    from rookery.operators import predicates
+    from rookery.sources.tables import load_tables, save_tables
+
+    day = dt.date(2022, 1, 31)
+    times = [dt.datetime(2022, 1, 31, 5), dt.datetime(2022, 1, 31, 4, 59), dt.datetime(2022, 2, 1, 5), dt.datetime(2022, 3, 1), None]
+    posts = [{"post_id": i, "creation_time": t} for i, t in enumerate(times)]
+    save_tables(social(posts=posts, users=[{"id": 1, "handle": "Ann"}, {"id": 2, "handle": "bob"}]), str(tmp_path / "t"))
+    t = load_tables(spark, str(tmp_path / "t"))
+    shown = predicates.day_window(t.posts, day)
+    assert sorted(r.post_id for r in shown.collect()) == [0, 2]
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "local_month" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    found = predicates.user_by_handle(t.users, "ANN")
+    assert [r.id for r in found.collect()] == [1]
+    assert "EqualTo(handle_lower,ann)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_written_for_a_folder_follow_its_files(spark, tmp_path):
+    from rookery.session import folder_state
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    before = folder_state(spark, str(tmp_path))
+    spark.range(4).write.parquet(str(tmp_path / "b.parquet"))
+    assert folder_state(spark, str(tmp_path)) != before == before

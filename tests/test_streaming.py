@@ -54,6 +54,11 @@ def test_vote_stream_equals_batch_with_late_events_and_restarts(spark, rows, tmp
     got = vote_stream.current_votes(spark, out, compacted, ["seq"], after=last)
     assert rows(got, *vote_stream.VOTE_COLUMNS) == sorted(merged.values())
 
+    # Retired deltas are gone; the snapshot and later batches give the same votes.
+    vote_stream.retire_deltas(spark, out, last)
+    assert vote_stream.read_deltas(spark, out).count() == 1
+    assert rows(vote_stream.current_votes(spark, out, compacted, ["seq"]), *vote_stream.VOTE_COLUMNS) == sorted(merged.values())
+
 
 def test_notification_streams_equal_batch(spark, rows, tmp_path):
     users = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "cat")], "id BIGINT, handle STRING")
