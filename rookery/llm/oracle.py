@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import BLOCK, CONTAINMENT, STEP, templates
-from .mixing import MOST, SEED, WEIGHTS
+from .mixing import MOST, SEEDS, WEIGHTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -11,7 +11,7 @@ _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWE
 
 _MIX = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), sums AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT] AS weight
@@ -32,13 +32,16 @@ WITH sized AS (
       ELSE weight * rest::DOUBLE / left_weight END AS target
   FROM sums, share
 ), rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+  SELECT rid, doc_id, size, targets.source, source_size, target, seed, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || seed), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source, range({SEEDS}) seeds(seed)
+), tried AS (
+  SELECT *, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+), seeds AS (
+  SELECT source, arg_min(seed, (abs(taken - target), seed)) AS seed FROM (SELECT source, seed, target, sum(taken) AS taken FROM tried GROUP BY source, seed, target) GROUP BY source
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken
+FROM tried JOIN seeds ON tried.seed = seeds.seed AND tried.source IS NOT DISTINCT FROM seeds.source
 """
 
 
