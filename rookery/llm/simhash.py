@@ -76,30 +76,31 @@ def _signed(bits: int) -> int:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in `fingerprint`, whose closure is that of all links."""
-    every = (1 << 64) - 1
-    pair = lambda flip, erased: F.struct(F.lit(_signed(flip)).alias("flip"), F.lit(_signed(erased)).alias("erased"))
-    flips, near, within = [], [], []
-    for number, (low, width) in enumerate(BLOCKS):
-        block = ((1 << width) - 1) << low
-        bits = [1 << b for b in range(low, low + width)]
-        masks = [0] + [1 << b for b in range(64) if not block >> b & 1]
-        flips += [F.struct(F.lit(number).alias("block"), F.lit(_signed(m)).alias("flip"), F.lit(_signed(every ^ block)).alias("rest")) for m in masks]
-        near.append(F.array(*[pair(0, e) for e in [0, *bits]]))
-        within.append(F.array(*[pair(f, e) for f in bits for e in bits if f != e]))
+    # Written as one text each: hundreds of column calls would take longer than the query's small tables.
+    texts = lambda rows: "array(" + ", ".join(f"struct({x} AS x, {y} AS y)" for x, y in rows) + ")"
+    bits = [range(low, low + width) for low, width in BLOCKS]
+    flips = texts((n, b) for n, block in enumerate(bits) for b in [-1, *range(64)] if b not in block)
+    near = [texts((-1, e) for e in [-1, *block]) for block in bits]
+    within = [texts((f, e) for f in block for e in block if f != e) for block in bits]
     of_block = lambda columns: F.element_at(F.array(*columns), F.col("block") + 1)
+    bit = lambda c: F.when(c < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), c))
+    insides = of_block([F.lit(_signed(((1 << w) - 1) << low)) for low, w in BLOCKS])
     fp = F.col("fp")
-    variants = prints.select(F.col("fingerprint").alias("fp"), F.explode(F.array(*flips)).alias("f"))
-    variants = variants.select("fp", F.col("f.block").alias("block"), (F.col("f.flip") == 0).cast("int").alias("plain"), fp.bitwiseXOR(F.col("f.flip")).bitwiseAND(F.col("f.rest")).alias("variant"))
+    variants = prints.select(F.col("fingerprint").alias("fp"), F.explode(F.expr(flips)).alias("c"))
+    variants = variants.select("fp", F.col("c.x").alias("block"), (F.col("c.y") < 0).cast("int").alias("plain"), fp.bitwiseXOR(bit(F.col("c.y"))).alias("variant"))
+    variants = variants.withColumn("variant", F.col("variant").bitwiseAND(F.bitwise_not(insides)))
 
     bucket = ["variant", "block"]
     whole = Window.partitionBy(*bucket)
     shared = variants.withColumn("n", F.count("*").over(whole)).withColumn("plains", F.sum("plain").over(whole)).where("n > 1")
-    shared = shared.withColumn("inside", fp.bitwiseAND(of_block([F.lit(_signed(((1 << w) - 1) << low)) for low, w in BLOCKS])))
+    shared = shared.withColumn("inside", fp.bitwiseAND(insides))
     shared = shared.withColumn("least", F.min("fp").over(Window.partitionBy(*bucket, "inside")))
     # Members that are equal inside go on as one, but for what only an unflipped member can emit.
-    changes = F.when(fp == F.col("least"), of_block(near)).otherwise(F.array(pair(0, 0)))
-    changes = F.when((F.col("plain") == 1) & (F.col("plains") > 1), F.concat(changes, of_block(within))).otherwise(changes)
-    spread = shared.select(*bucket, "fp", "inside", F.explode(changes).alias("c")).select(*bucket, "fp", F.col("c.erased").alias("erased"), F.col("inside").bitwiseXOR(F.col("c.flip")).bitwiseAND(F.bitwise_not(F.col("c.erased"))).alias("inside"))
+    changes = F.when(fp == F.col("least"), of_block(map(F.expr, near))).otherwise(F.expr(texts([(-1, -1)])))
+    changes = F.when((F.col("plain") == 1) & (F.col("plains") > 1), F.concat(changes, of_block(map(F.expr, within)))).otherwise(changes)
+    spread = shared.select(*bucket, "fp", "inside", F.explode(changes).alias("c"))
+    inside = F.col("inside").bitwiseXOR(bit(F.col("c.x"))).bitwiseAND(F.bitwise_not(bit(F.col("c.y"))))
+    spread = spread.select(*bucket, "fp", F.col("c.y").alias("erased"), inside.alias("inside"))
     tied = spread.select("fp", F.min("fp").over(Window.partitionBy(*bucket, "erased", "inside")).alias("least"))
     return tied.where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
