@@ -162,8 +162,11 @@ def home_feed_cursors(feed: DataFrame) -> DataFrame:
 
 
 def _with_text(t: SocialTables, cards: DataFrame) -> DataFrame:
-    """Adds what a page shows of the post itself; text meets the ranked posts by post id only."""
-    wanted = ("post_id", "camp_id", "reply_to_id", "creation_time", "post_text")
+    """Adds what a page shows of the post itself; text meets the ranked posts by post id only.
+
+    `media_id` comes along, by which `with_media` adds a page's photos.
+    """
+    wanted = ("post_id", "camp_id", "reply_to_id", "media_id", "creation_time", "post_text")
     return cards.join(root_posts(t.posts).select(*[c for c in wanted if c in t.posts.columns]), "post_id")
 
 

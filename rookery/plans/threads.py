@@ -73,6 +73,6 @@ def thread(
 
 
 def in_page_order(pages: DataFrame) -> DataFrame:
-    """Threads as shown: level by level, net votes first. The range sort is on the whole
-    order, so a long thread is split over many tasks."""
+    """One or a few threads as shown: level by level, net votes first. The range sort is on the whole
+    order, so a long thread is split over many tasks. All threads at once need no order among them."""
     return pages.orderBy("thread_id", "level", F.col("net_votes").desc(), "post_id")

@@ -323,7 +323,7 @@ def live_replies(s: StarSource) -> DataFrame:
 @_query
 def restrict_ids(s: StarSource) -> DataFrame:
     disliked = s.post_votes().filter(F.col("value") < 0)
-    return predicates.restrict_ids(s.post_facts(), disliked, "post_id", "post_id").select("post_id", "user_id", "camp_id")
+    return predicates.restrict_ids(s.post_facts(), disliked, "post_id", "user_id").select("post_id", "user_id", "camp_id")
 
 
 @_query
@@ -657,7 +657,7 @@ def post_detail(s: StarSource) -> DataFrame:
 def thread(s: StarSource) -> DataFrame:
     t = s.tables()
     detail = _text_digest(threads.post_detail(t, VIEWER, _marts(s)).select(*_DETAIL, "post_text"))
-    return threads.in_page_order(threads.thread(t, detail=detail))
+    return threads.thread(t, detail=detail)
 
 
 def _voted_down(s: StarSource) -> DataFrame:
@@ -675,7 +675,7 @@ def post_detail_of_ids(s: StarSource) -> DataFrame:
 @_query
 def thread_of_heads(s: StarSource) -> DataFrame:
     pages = threads.thread(s.tables(), viewer_id=VIEWER, marts=_marts(s), heads=_voted_down(s))
-    return _text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text"))
+    return threads.in_page_order(_text_digest(pages.select("thread_id", "level", "parent_id", *_DETAIL, "post_text")))
 
 
 @_query
