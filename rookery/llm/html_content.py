@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -67,47 +67,59 @@ _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """An open element. What it inherits is worked out when it opens, so deep pages cost no more than flat ones."""
+
     tag: str
-    #: -1 boilerplate without doubt, 1 content without doubt, else 0.
-    sure: int
-    hint: float
+    #: -1 boilerplate without doubt, 1 content without doubt, else 0; and what its names suggest.
+    sure: int = 0
+    hint: float = 0.0
     #: Whether the hint is a name that articles have.
-    strong: bool
-    depth: int
-    number: int
+    strong: bool = False
+    parent: Element | None = None
+    number: int = 0
+    depth: int = field(init=False, default=0)
+    in_content: bool = field(init=False, default=False)
+    in_comments: bool = field(init=False, default=False)
+    #: The weight of the innermost element, this one included, that tells anything.
+    telling: float = field(init=False, default=0.0)
+    #: What the surroundings of a block in it say, as a weight.
+    place: float = field(init=False, default=0.0)
+
+    def __post_init__(self) -> None:
+        up = self.parent
+        outer, place = (up.telling, up.place) if up else (0.0, 0.0)
+        self.depth = up.depth + 1 if up else 1
+        self.in_content = self.sure > 0 or self.hint > 0 or bool(up and up.in_content)
+        self.in_comments = self.hint <= -SURE or bool(up and up.in_comments)
+        self.telling = SURE * self.sure or self.hint or outer
+        if self.sure or self.hint < 0:
+            place = self.telling
+        elif self.hint > 0:
+            # A name such as `text` says little inside something named `sidebar`.
+            place = self.hint if self.strong or not outer else outer
+        self.place = place
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    around: list[Element] = field(repr=False)
+    inside: Element | None
 
     @property
     def place(self) -> float:
-        """What the innermost telling element around the block says, as a weight."""
-        for e in reversed(self.around):
-            if e.sure < 0 or e.hint < 0:
-                return SURE * e.sure or e.hint
-            if e.sure > 0:
-                return SURE
-            if e.hint > 0:
-                # A name such as `text` says little inside something named `sidebar`.
-                outer = self.around[: e.depth]
-                doubt = next((x for x in reversed(outer) if x.sure or x.hint), None)
-                return e.hint if e.strong or not doubt else SURE * doubt.sure or doubt.hint
-        return 0.0
+        return self.inside.place if self.inside else 0.0
 
     @property
     def sure(self) -> int:
         return (self.place >= SURE) - (self.place <= -SURE)
 
 
-def _element(tag: str, rest: str, around: list[Element], number: int) -> Element:
-    in_content = any(e.sure > 0 or e.hint > 0 for e in around)
-    in_comments = any(e.hint <= -SURE for e in around)
+def _element(tag: str, rest: str, parent: Element | None, number: int) -> Element:
+    in_content = bool(parent and parent.in_content)
+    in_comments = bool(parent and parent.in_comments)
     sure = -1 if tag in BOILER_TAGS or tag == "header" and not in_content else 1 if tag in CONTENT_TAGS and not in_comments else 0
     hint, strong = 0.0, False
     for name, *values in _ATTRIBUTE.findall(rest) if rest.strip() else ():
@@ -126,13 +138,14 @@ def _element(tag: str, rest: str, around: list[Element], number: int) -> Element
                 hint, strong = HINT, strong or bool(words & STRONG_WORDS)
     if sure * hint < 0:  # a tag that is boilerplate wins over a name, a name that is boilerplate over `article`
         sure, hint = (sure, 0.0) if sure < 0 else (0, hint)
-    return Element(tag, sure, hint, strong, len(around), number)
+    return Element(tag, sure, hint, strong, parent, number)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
     found: list[Block] = []
     open_tags: list[Element] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, links, number, at = 0, 0, 0, 0
 
@@ -140,7 +153,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            found.append(Block(text, linked, list(open_tags)))
+            found.append(Block(text, linked, open_tags[-1] if open_tags else None))
         parts.clear()
         linked = 0
 
@@ -150,6 +163,13 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text)
 
+    def close(tag: str) -> None:
+        while opened[tag]:
+            last = open_tags.pop()
+            opened[last.tag] -= 1
+            if last.tag == tag:
+                break
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -163,17 +183,10 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCK_TAGS:
+            elif tag in BLOCK_TAGS or tag in ("button", "select"):
                 flush()
                 links = 0
-                k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].tag == tag), None)
-                if k is not None:
-                    del open_tags[k:]
-            elif open_tags and tag in BOILER_TAGS:
-                flush()
-                k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].tag == tag), None)
-                if k is not None:
-                    del open_tags[k:]
+                close(tag)
             continue
         if tag in RAW_TAGS:
             if not m["rest"].endswith("/"):
@@ -189,9 +202,10 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID_TAGS:
                 continue
             if open_tags and (open_tags[-1].tag == "p" or open_tags[-1].tag == tag and tag in CLOSES_ITSELF):
-                open_tags.pop()
+                close(open_tags[-1].tag)
             number += 1
-            open_tags.append(_element(tag, m["rest"], open_tags, number))
+            open_tags.append(_element(tag, m["rest"], open_tags[-1] if open_tags else None, number))
+            opened[tag] += 1
     flush()
     return found
 
@@ -200,7 +214,7 @@ def features(block: Block) -> list[str]:
     """What a block looks like, apart from its surroundings."""
     words = block.text.count(" ") + 1
     stops = sum(block.text.count(c) for c in ".,;:?!")
-    tag = block.around[-1].tag if block.around else ""
+    tag = block.inside.tag if block.inside else ""
     return [
         f"words {min(8, int(math.log2(words)))}",
         f"linked {min(4, int(5 * block.linked / max(1, len(block.text))))}",
@@ -227,14 +241,15 @@ def _ties(found: list[Block]) -> list[dict[int, float]]:
     last: dict[int, int] = {}
     for i, block in enumerate(found):
         if i:
-            before = found[i - 1].around
-            common = 0
-            for x, y in zip(before, block.around):
-                if x.number != y.number:
-                    break
-                common += 1
-            tie(i - 1, i, NEXT / (1 + max(len(before), len(block.around)) - common))
-        parent = block.around[-2].number if len(block.around) > 1 else 0
+            a, b = found[i - 1].inside, block.inside
+            deepest = max(a.depth if a else 0, b.depth if b else 0)
+            while a is not b:
+                if a and (not b or a.depth >= b.depth):
+                    a = a.parent
+                else:
+                    b = b.parent
+            tie(i - 1, i, NEXT / (1 + deepest - (a.depth if a else 0)))
+        parent = block.inside.parent.number if block.inside and block.inside.parent else 0
         if parent in last:
             tie(last[parent], i, NEAR / 2)
         last[parent] = i

@@ -17,6 +17,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -107,7 +108,7 @@ def lookalikes(text: str, taken: list[Span]) -> list[tuple[int, int]]:
         if k < len(spans) and spans[k][0] < end:
             continue
         part = text[start:end]
-        if len(part) <= 80 and ("@" in part.strip("@") or len(_DIGIT.findall(part)) >= LEAST_DIGITS):
+        if "@" in part.strip("@") or len(_DIGIT.findall(part)) >= LEAST_DIGITS:
             found.append((start, end))
     return found
 
@@ -128,7 +129,7 @@ _SCHEMA = "base array<struct<kind:string,start:long,end:long>>, seeds array<stru
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def seen(text: str, spans: list[tuple[int, int]]) -> list[dict]:
-        return [{"start": s, "end": e, "instance": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, e in spans]
+        return [{"start": s, "end": e, "instance": hashlib.md5(text[s:e].lower().encode()).hexdigest(), "patterns": patterns(text, s, e)} for s, e in spans]
 
     for batch in batches:
         base, seeds, others = [], [], []

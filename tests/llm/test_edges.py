@@ -251,6 +251,11 @@ def test_page_without_an_article():
     assert html_content.main_text(page, {}) == "Title here First paragraph, long enough to be text. Second & last, with a link in it."
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    assert html_content.main_text("<div>word " * 20_000, {}).count("word") in (0, 20_000)
+    assert html_content.main_text("</p></div>" * 20_000 + "<article>" + "<div><p>text" * 5_000 + "</article>", {}).count("text") == 5_000
+
+
 def test_minimum_cut_equals_all_cuts():
     import itertools
     import random
