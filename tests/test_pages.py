@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from collections import defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,8 +47,6 @@ class Network:
         self.follows += [{"user_id": 1, "following": 29, "follow_value": 0}] if (1, 29) not in self.edges else []
 
     def tables(self, social):
-        from decimal import Decimal
-
         votes = [{**v, "value": Decimal(v["value"])} for v in self.votes]
         return social(users=self.users, posts=self.posts, post_votes=votes, follows=self.follows)
 
@@ -227,7 +226,7 @@ def test_leaderboard_and_search(net, social, tmp_path, spark):
 def test_unvoted_users_come_after_negative_scores(social):
     users = [{"id": i, "handle": f"u{i}", "first_name": "n"} for i in range(4)]
     posts = [{"post_id": i, "user_id": i, "is_deleted": 0} for i in range(4)]
-    votes = [{"user_id": 9, "post_id": 0, "value": -1}] + [{"user_id": v, "post_id": 2, "value": 1} for v in range(5)]
+    votes = [{"user_id": 9, "post_id": 0, "value": Decimal(-1)}] + [{"user_id": v, "post_id": 2, "value": Decimal(1)} for v in range(5)]
     t = social(users=users, posts=posts, post_votes=votes, follows=[])
     board = boards.leaderboard(t).collect()
     assert [(r.place, r.id, r.user_score) for r in board] == [(1, 2, 5), (2, 0, -1), (3, 1, 0), (4, 3, 0)]
