@@ -96,17 +96,25 @@ def matched_windows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame)
 
 def _extended(spark: SparkSession, docs: DataFrame, hits: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """The windows around the hits that are a benchmark window word by word."""
-    found = hits.groupBy("key").agg(F.collect_set(F.struct("length", "hash")).alias("hits"))  # at most a document's fingerprints
-    found = stored(spark, found, "documents-with-hits")
+    found = hits.groupBy("key", "length").agg(F.collect_set("hash").alias("hashes"))  # at most a document's fingerprints
+    # Dealt into as many buckets as each then holds, so that a very long document full of hits is looked up fast.
+    n = F.ceil(F.sqrt(F.size("hashes"))).cast("int")
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter("hashes", lambda h: F.pmod(h, n) == b))
+    found = stored(spark, found.select("key", "length", buckets.alias("buckets")), "documents-with-hits")
     text = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
-    text = marked(text, "key", marks(spark, found.select("key"))).where("__marked").join(found, "key")
-    text = text.dropDuplicates(["key"]).select("key", "hits", alnum_words(filled("text")).alias("words"))
+    text = marked(text, "key", marks(spark, found.select("key"))).where("__marked").drop("__marked")
     parts = None
     for length in lengths:
         gram, among = _plan(length)
-        wanted = F.transform(F.filter("hits", lambda h: h["length"] == length), lambda h: h["hash"])
-        some = text.select("key", "words", wanted.alias("wanted"), _grams(F.col("words"), gram).alias("grams")).where(F.size("wanted") > 0)
-        places = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(F.col("wanted"), F.get(F.col("grams"), i)))
+        some = text.join(found.where(F.col("length") == length).drop("length"), "key").dropDuplicates(["key"])
+        some = some.select("key", "buckets", alnum_words(filled("text")).alias("words"))
+        some = some.select("key", "buckets", "words", _grams(F.col("words"), gram).alias("grams"))
+
+        def wanted(i: Column) -> Column:
+            hash_ = F.get(F.col("grams"), i)
+            return F.array_contains(F.get(F.col("buckets"), F.pmod(hash_, F.size("buckets")).cast("int")), hash_)
+
+        places = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), wanted)
         # Every window that holds the hit: it starts up to `among - 1` words before.
         around = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), p - (among - 1)), p))))
         around = F.filter(around, lambda s: s + length <= F.size("words"))
