@@ -31,8 +31,11 @@ from .common import filled
 
 #: Bound on the pages that train the classifier.
 FIT_PAGES = 20_000
-#: Weight of surroundings that leave no doubt, of class names, and of the ties between blocks.
-SURE, HINT, NEXT, NEAR = 12.0, 6.0, 0.6, 0.8
+#: Weight of surroundings that leave no doubt, of class names, and of the ties between blocks. The classifier and the
+#: ties together (at most `OWN` and 2 * NEXT + NEAR) outvote a name, but not tags.
+SURE, HINT, NEXT, NEAR = 12.0, 5.0, 0.6, 0.8
+#: Bound on the classifier's log odds.
+OWN = 4.0
 
 #: Tags that end a run of text.
 BLOCK_TAGS = frozenset(
@@ -58,6 +61,12 @@ COMMENT_WORDS = frozenset("comment comments disqus reply replies respond discuss
 STRONG_WORDS = frozenset("article main post entry story".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 HEADER_WORDS = frozenset("header head top".split())
+#: What a section in an article has to be named, by these words alone, to be no part of it.
+THREAD_WORDS = frozenset("comment comments disqus thread".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Tags whose names inside content are topics, and those whose ids are places that links lead to.
+TOPIC_TAGS = HEADINGS | {"section"}
+ANCHOR_TAGS = frozenset("p li dt dd dl ol ul table tr td th pre blockquote figure figcaption details".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
@@ -69,38 +78,76 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(eq=False)
 class Element:
-    """An open element. What it inherits is worked out when it opens, so deep pages cost no more than flat ones."""
+    """An open element, and what it inherits, which is worked out in order of opening, so deep pages cost no more than flat ones."""
 
     tag: str
-    #: -1 boilerplate without doubt, 1 content without doubt, else 0; and what its names suggest.
-    sure: int = 0
-    hint: float = 0.0
-    #: Whether the hint is a name that articles have.
-    strong: bool = False
+    #: The attributes that may tell something, as (name, value).
+    attributes: list[tuple[str, str]]
     parent: Element | None = None
     number: int = 0
-    depth: int = field(init=False, default=0)
+    depth: int = field(init=False, default=1)
+    #: Whether the page overrules what the names call boilerplate, because most of its text is in here.
+    overruled: bool = False
+    #: Code points of text in here, blocks in here that surroundings mark as content and that are no headings, and paragraphs
+    #: of which surroundings say nothing.
+    chars: int = 0
+    marked: int = 0
+    plain: int = 0
+    #: -1 boilerplate without doubt, 1 content without doubt, else 0; and what its names suggest.
+    sure: int = field(init=False, default=0)
+    hint: float = field(init=False, default=0.0)
     in_content: bool = field(init=False, default=False)
     in_comments: bool = field(init=False, default=False)
+    #: The innermost element without doubt, this one included, that is content.
+    article: Element | None = field(init=False, default=None)
     #: The weight of the innermost element, this one included, that tells anything.
     telling: float = field(init=False, default=0.0)
     #: What the surroundings of a block in it say, as a weight.
     place: float = field(init=False, default=0.0)
 
     def __post_init__(self) -> None:
+        self.depth = self.parent.depth + 1 if self.parent else 1
+
+    def work_out(self) -> None:
         up = self.parent
         outer, place = (up.telling, up.place) if up else (0.0, 0.0)
-        self.depth = up.depth + 1 if up else 1
+        strong, comments = self._read_names(bool(up and up.in_content), bool(up and up.in_comments))
         self.in_content = self.sure > 0 or self.hint > 0 or bool(up and up.in_content)
-        self.in_comments = self.hint <= -SURE or bool(up and up.in_comments)
+        self.in_comments = comments or bool(up and up.in_comments)
+        self.article = self if self.sure > 0 else up.article if up else None
         self.telling = SURE * self.sure or self.hint or outer
         if self.sure or self.hint < 0:
             place = self.telling
         elif self.hint > 0:
             # A name such as `text` says little inside something named `sidebar`.
-            place = self.hint if self.strong or not outer else outer
+            place = self.hint if strong or not outer else outer
         self.place = place
 
+    def _read_names(self, in_content: bool, in_comments: bool) -> tuple[bool, bool]:
+        """Sets `sure` and `hint`; whether the hint is a name that articles have, and whether it is one of comments."""
+        tag = self.tag
+        sure = -1 if tag in BOILER_TAGS or tag == "header" and not in_content else 1 if tag in CONTENT_TAGS and not in_comments else 0
+        hint, strong, comments = 0.0, False, False
+        for name, value in self.attributes:
+            if name == "role":
+                sure = -1 if value in BOILER_ROLES else 1 if value in ("main", "article") else sure
+            elif name not in ("class", "id"):
+                sure = -1  # hidden
+            elif tag not in ("html", "body"):
+                words = set(_SPLIT.split(value))
+                # Headings and sections of an article are named by their topic, and so are the places its links lead to.
+                topic = in_content and (tag in TOPIC_TAGS and not words - {""} <= THREAD_WORDS or name == "id" and tag in ANCHOR_TAGS)
+                if words & COMMENT_WORDS and not topic and not self.overruled:
+                    hint, comments = -HINT, True
+                elif not (topic or self.overruled) and (words & BOILER_WORDS or words & HEADER_WORDS and not in_content and not words & CONTENT_WORDS):
+                    hint = -HINT
+                elif words & CONTENT_WORDS and hint >= 0:
+                    hint, strong = HINT, strong or bool(words & STRONG_WORDS)
+        if sure * hint < 0:  # a tag that is boilerplate wins over a name, a name that is boilerplate over `article`
+            sure, hint = (sure, 0.0) if sure < 0 else (0, hint)
+        self.sure, self.hint = sure, hint
+        return strong, comments
+
 
 @dataclass
 class Block:
@@ -117,37 +164,56 @@ class Block:
         return (self.place >= SURE) - (self.place <= -SURE)
 
 
-def _element(tag: str, rest: str, parent: Element | None, number: int) -> Element:
-    in_content = bool(parent and parent.in_content)
-    in_comments = bool(parent and parent.in_comments)
-    sure = -1 if tag in BOILER_TAGS or tag == "header" and not in_content else 1 if tag in CONTENT_TAGS and not in_comments else 0
-    hint, strong = 0.0, False
+def _attributes(rest: str) -> list[tuple[str, str]]:
+    found = []
     for name, *values in _ATTRIBUTE.findall(rest) if rest.strip() else ():
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            sure = -1
-        elif name == "role":
-            sure = -1 if value in BOILER_ROLES else 1 if value in ("main", "article") else sure
-        elif name in ("class", "id") and tag not in ("html", "body"):
-            words = set(_SPLIT.split(value))
-            if words & COMMENT_WORDS:
-                hint = -SURE
-            elif words & BOILER_WORDS or words & HEADER_WORDS and not in_content and not words & CONTENT_WORDS:
-                hint = min(hint, -HINT)
-            elif words & CONTENT_WORDS and hint >= 0:
-                hint, strong = HINT, strong or bool(words & STRONG_WORDS)
-    if sure * hint < 0:  # a tag that is boilerplate wins over a name, a name that is boilerplate over `article`
-        sure, hint = (sure, 0.0) if sure < 0 else (0, hint)
-    return Element(tag, sure, hint, strong, parent, number)
+        if name in ("class", "id", "role", "hidden") or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            found.append((name, value))
+    return found
+
+
+def _place(found: list[Block], elements: list[Element]) -> None:
+    """What surroundings say, but for names of boilerplate on wrappers that hold most of the text there is.
+
+    Inside an article the article's text counts, elsewhere the page's, and there, as for comments anywhere, the name
+    stands if content is marked outside the wrapper: comments and notices are often longer than what they belong to.
+    Outside of comments an unmarked paragraph counts as content too.
+    """
+    for e in elements:
+        e.work_out()
+    if not any(e.hint < 0 for e in elements):
+        return
+    page = Element("", [])
+    for b in found:
+        inside = b.inside or page
+        if inside.place > -SURE:
+            inside.chars += len(b.text)
+            inside.marked += inside.place > 0 and inside.tag not in HEADINGS
+            inside.plain += not inside.place and inside.tag == "p"
+    for e in reversed(elements):
+        up = e.parent or page
+        up.chars += e.chars
+        up.marked += e.marked
+        up.plain += e.plain
+    for e in elements:
+        article = e.parent.article if e.parent else None
+        alone = page.marked == e.marked and (not e.in_comments or page.plain == e.plain)
+        within = article.chars if article and not e.in_comments else page.chars
+        e.overruled = e.hint < 0 and 2 * e.chars > within and (alone or bool(article) and not e.in_comments)
+    if any(e.overruled for e in elements):
+        for e in elements:
+            e.work_out()
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
     found: list[Block] = []
+    elements: list[Element] = []
     open_tags: list[Element] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, number, at = 0, 0, 0, 0
+    linked, links, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -203,10 +269,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             if open_tags and (open_tags[-1].tag == "p" or open_tags[-1].tag == tag and tag in CLOSES_ITSELF):
                 close(open_tags[-1].tag)
-            number += 1
-            open_tags.append(_element(tag, m["rest"], open_tags[-1] if open_tags else None, number))
+            elements.append(Element(tag, _attributes(m["rest"]), open_tags[-1] if open_tags else None, len(elements) + 1))
+            open_tags.append(elements[-1])
             opened[tag] += 1
     flush()
+    _place(found, elements)
     return found
 
 
@@ -227,7 +294,7 @@ def features(block: Block) -> list[str]:
 
 def _capacity(block: Block, odds: dict[str, float]) -> float:
     """Above 0 towards content, below towards boilerplate."""
-    own = max(-4.0, min(4.0, sum(odds.get(f, 0.0) for f in features(block))))
+    own = max(-OWN, min(OWN, sum(odds.get(f, 0.0) for f in features(block))))
     return own + block.place
 
 

@@ -251,6 +251,30 @@ def test_page_without_an_article():
     assert html_content.main_text(page, {}) == "Title here First paragraph, long enough to be text. Second & last, with a link in it."
 
 
+def test_names_inside_an_article_drop_none_of_its_text():
+    text = "A paragraph with enough words to be text, and an end."
+    for part in (f'<section id="discussion"><h2>H</h2><p>{text}</section>', f'<h2 id="social-impact">H</h2><p>{text}', f'<section class="related-work"><h2>H</h2><p>{text}</section>', f'<h2>H</h2><p id="search-space">{text}'):
+        assert html_content.main_text(f"<article><p>First.</p>{part}<p>Last.</article>", {}) == f"First. H {text} Last."
+    wrapped = f'<article><h1>H</h1><p>First.<div class="social-story"><p>{text}<p>{text}</div></article>'
+    assert html_content.main_text(wrapped, {}) == f"H First. {text} {text}"
+    page = f'<nav><a href=x>Home</a></nav><div class="content with-sidebar"><p>{text}<p>{text}<div class="sidebar">More</div></div>'
+    assert html_content.main_text(page, {}) == f"{text} {text}"
+    # Boilerplate and comments stand, however long they are.
+    for name in ("comments", "cookie-notice"):
+        page = f'<article><p>{text}</article><div class="{name}"><p>{text}<p>{text}<p>{text}</div>'
+        assert html_content.main_text(page, {}) == text
+    assert html_content.main_text(f'<article><p>{text}<div class="ad">Buy</div><section id="comments"><p>{text}<p>{text}</section></article>', {}) == text
+    assert html_content.main_text(f'<p>{text}<div id="content"><p>{text}</div><div class="comments"><p>{text}<p>{text}<p>{text}</div>', {}).count(text) == 2
+
+
+def test_classifier_and_ties_together_outvote_names_but_not_tags():
+    text = "one two three"
+    yes = {f"tag {t}": 4.0 for t in ("div", "p", "footer")}
+    page = f'<div id="content"><p>{text}</p><div class="ad">{text}</div><p>{text}</p><footer>x</footer></div>'
+    assert html_content.main_text(page, yes).count(text) == 3
+    assert html_content.main_text(page, {}).count(text) == 2 and not html_content.main_text(page, yes).endswith("x")
+
+
 def test_deep_and_broken_pages_take_linear_time():
     assert html_content.main_text("<div>word " * 20_000, {}).count("word") in (0, 20_000)
     assert html_content.main_text("</p></div>" * 20_000 + "<article>" + "<div><p>text" * 5_000 + "</article>", {}).count("text") == 5_000
