@@ -3,10 +3,10 @@
 Seeds are emails, IP addresses, card numbers and phone numbers that their own form proves. Each seed, and each
 other string that looks like an identifier (an @ or at least `LEAST_DIGITS` digits), induces lexical patterns from the
 words around it. Spark scores the graph of patterns and instances in rounds: a pattern by the scores of the strings it
-surrounds over all places of its word in the corpus, an instance by its best pattern, seeds at 1. Patterns with a high rating and
+surrounds over all places of its cue in the corpus, an instance by its best pattern, seeds at 1. Patterns with a high rating and
 enough support mark the strings they surround as identifiers, which the forms alone did not see.
 
-Texts are read twice, for the strings and to count the patterns' words; all rounds work on the edges. Edges are distinct before they are joined, patterns with too few
+Texts are read twice, for the strings and to count the patterns' cues; all rounds work on the edges. Edges are distinct before they are joined, patterns with too few
 instances to ever be accepted are left out first, and sums are partial before their shuffle, so a frequent context
 is one row per map task.
 
@@ -41,11 +41,19 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^ \t-\r]+")
 _LIKE = re.compile(r"[0-9@]+")
 #: What ends a string that looks like an identifier.
 _STOPS = frozenset(" \t\n\r\x0b\x0c\"'<>|,;:()[]{}=")
 
+# Cues are cut alike around a string and in the whole corpus, by Python and by Spark: before a string a word with the
+# marks behind it, after it a word with the marks ahead of it. So each cue stands next to one place only.
+_GAP, _MARKS = r"\x20\x09-\x0D", r"\"'<>|,;:()\[\]{}="
+_ENDS = _MARKS + ".!?"
+BEFORE, AFTER = rf"[^{_GAP}{_MARKS}]++[{_MARKS}]*+|[{_MARKS}]++", rf"[{_ENDS}]*+[^{_GAP}{_ENDS}]++|[{_ENDS}]++"
+_BEFORE, _AFTER, _SPACES, _AHEAD = re.compile(BEFORE), re.compile(AFTER), frozenset(" \t\n\r\x0b\x0c"), _STOPS | frozenset(".!?")
+#: Code points around a string in which its cues lie.
+REACH = 40
+
 Span = tuple[str, int, int]
 
 
@@ -114,11 +122,18 @@ def lookalikes(text: str, taken: list[Span]) -> list[tuple[int, int]]:
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The contexts of a string: the word before it and the word after it, unless they hold digits."""
-    before = _WORD.findall(text[max(0, start - 40) : start].lower())
-    after = _WORD.findall(text[end : end + 40].lower())
-    found = [f"{before[-1]} _"] if before else []
-    found += [f"_ {after[0]}"] if after else []
+    """The contexts of a string: the cue before it and the cue after it, unless they hold digits or the string ends inside one."""
+    found = []
+    if start and text[start - 1] in _STOPS:
+        low = max(0, start - REACH)
+        cues = list(_BEFORE.finditer(text, low, start))
+        if cues and (cues[-1].start() > low or not low):
+            found.append(f"{cues[-1][0].lower()} _")
+    if end < len(text) and (text[end] in _SPACES or text[end] in _AHEAD and text[end - 1] not in _AHEAD):
+        high = min(len(text), end + REACH)
+        cue = _AFTER.search(text, end, high)
+        if cue and (cue.end() < high or high == len(text)):
+            found.append(f"_ {cue[0].lower()}")
     return [p for p in found if not _DIGIT.search(p)]
 
 
@@ -129,7 +144,14 @@ _SCHEMA = "base array<struct<kind:string,start:long,end:long>>, seeds array<stru
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def seen(text: str, spans: list[tuple[int, int]]) -> list[dict]:
-        return [{"start": s, "end": e, "instance": hashlib.md5(text[s:e].lower().encode()).hexdigest(), "patterns": patterns(text, s, e)} for s, e in spans]
+        found, taken = [], set()
+        for s, e in spans:
+            # A place counts once, also where strings of several kinds start or end there.
+            around = [(p, s if p.endswith(" _") else -e) for p in patterns(text, s, e)]
+            of = [p for p in around if p not in taken]
+            taken.update(of)
+            found.append({"start": s, "end": e, "instance": hashlib.md5(text[s:e].lower().encode()).hexdigest(), "patterns": [p for p, _ in of]})
+        return found
 
     for batch in batches:
         base, seeds, others = [], [], []
@@ -149,19 +171,22 @@ def extracted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return stored(spark, texts.mapInArrow(_read, f"key string, doc_id {kind}, {_SCHEMA}"), "identifiers")
 
 
-def _word_counts(spark: SparkSession, docs: DataFrame, patterns_: DataFrame) -> DataFrame:
-    """(pattern, n): how often the word of each pattern stands in the whole corpus."""
-    cues = stored(spark, patterns_.withColumn("word", F.replace(F.replace("pattern", F.lit(" _"), F.lit("")), F.lit("_ "), F.lit(""))), "cues")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word"))
-    counts = words.join(cues.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    return stored(spark, cues.join(counts, "word").select("pattern", "n"), "cue-counts")
+def _cue_counts(spark: SparkSession, docs: DataFrame, patterns_: DataFrame) -> DataFrame:
+    """(pattern, n): how often the cue of each pattern stands in the whole corpus, cut as around the strings."""
+    ahead = F.col("pattern").endswith(" _")
+    cue = F.when(ahead, F.expr("substring(pattern, 1, length(pattern) - 2)")).otherwise(F.expr("substring(pattern, 3)"))
+    cues = stored(spark, patterns_.select("pattern", ahead.alias("ahead"), cue.alias("cue")), "cues")
+    cut = [F.struct(F.lit(is_ahead).alias("ahead"), F.regexp_extract_all("text", F.lit(how), F.lit(0)).alias("cues")) for is_ahead, how in ((True, BEFORE), (False, AFTER))]
+    each = docs.select(F.explode(F.array(*cut)).alias("c")).select("c.ahead", F.explode("c.cues").alias("cue")).withColumn("cue", F.lower("cue"))
+    counts = each.join(cues.select("ahead", "cue"), ["ahead", "cue"], "left_semi").groupBy("ahead", "cue").agg(F.count("*").alias("n"))
+    return stored(spark, cues.join(counts, ["ahead", "cue"]).select("pattern", "n"), "cue-counts")
 
 
 def accepted_patterns(spark: SparkSession, docs: DataFrame, each: DataFrame) -> DataFrame:
     """(pattern, rating) of the patterns that surround identifiers and little else.
 
-    A pattern's rating is the summed scores of the strings it surrounds over all places of its word, so a word
-    that ordinary words follow too is rated near 0.
+    A pattern's rating is the summed scores of the strings it surrounds over all places of its cue, glued to what it
+    surrounds or not, so a cue that ordinary words follow too is rated near 0.
     """
 
     def edges_of(column: str, seed: int) -> DataFrame:
@@ -172,7 +197,7 @@ def accepted_patterns(spark: SparkSession, docs: DataFrame, each: DataFrame) ->
     edges = stored(spark, edges.agg(F.max("seed").alias("seed"), F.count("*").alias("places")), "pattern-edges")
     frequent = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("seed").alias("seeds"))
     frequent = frequent.where((F.col("instances") >= LEAST_SUPPORT) & (F.col("seeds") > 0)).select("pattern")
-    counts = _word_counts(spark, docs, frequent)
+    counts = _cue_counts(spark, docs, frequent)
     edges = stored(spark, edges.join(counts, "pattern"), "frequent-edges")
     scores = stored(spark, edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "instances")
     for k in range(ROUNDS):

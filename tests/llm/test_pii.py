@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from rookery.llm import pii
 
 PATTERNS = {
@@ -53,6 +55,29 @@ def test_patterns_discover_unseen_identifiers_but_not_after_common_words(spark,
     assert found[103].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_cues_glued_to_a_string_count_at_all_their_places(spark, docs, by_id):
+    rows = [(i, f"word{i} tel:+1555{i:07d} end{i}") for i in range(10)] + [(50, "then tel:5551234567 or so")]
+    # A comma is glued to words everywhere and stands alone twice.
+    rows += [(100 + i, f"see{i} u{i}@x.example, or some, words, of, text") for i in range(8)] + [(200, "a , b , c 12345, other"), (201, 'say (x) and "y".')]
+    found = by_id(pii.span_digests(spark, docs(*rows)))
+    assert found[50].spans == "id:9:19" and found[200].spans == ""
+    assert found[3].n_phone == 1 and found[103].n_email == 1
+
+
+def test_cues_are_cut_alike_around_strings_and_in_texts(spark):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("ab+@.,:;()[]\"' \n!?=é") for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for how in (pii.BEFORE, pii.AFTER):
+        for row in table.select("text", F.regexp_extract_all("text", F.lit(how), F.lit(0)).alias("cues")).collect():
+            assert row.cues == re.findall(how, row.text)
+    for text in texts:
+        before, after = ([c.lower() for c in re.findall(how, text)] for how in (pii.BEFORE, pii.AFTER))
+        for m in re.finditer(r"[ab@+é]+", text):
+            for p in pii.patterns(text, *m.span()):
+                assert p[:-2] in before if p.endswith(" _") else p[2:] in after
+
+
 def test_repeated_rows_and_empty_table(spark, docs):
     row = (1, "call +1 (555) 555-0100 or 10.1.2.3")
     found = pii.span_digests(spark, docs(row, row, (None, "x@y.zz"))).collect()
