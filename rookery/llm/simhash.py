@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import marked, marks, row_key, stored
@@ -59,15 +59,16 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        prints = pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["doc_id", "fingerprint"])
+        *others, texts = batch.columns
+        prints = pa.array([fingerprint(t.as_py() or b"") for t in texts.cast(pa.binary())], pa.int64())
+        yield pa.RecordBatch.from_arrays([*others, prints], names=[*batch.schema.names[:-1], "fingerprint"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {kind}, fingerprint long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, `more`, fingerprint) of each row."""
+    texts = docs.select("doc_id", *more, "text")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
+    return texts.mapInArrow(_fingerprint_batches, ", ".join([*kinds, "fingerprint long"]))
 
 
 def _signed(bits: int) -> int:
@@ -105,32 +106,40 @@ def links(prints: DataFrame) -> DataFrame:
     return tied.where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint in hex, component_id) of every row; one row per document, no pairs."""
-    prints = stored(spark, fingerprints(docs), "fingerprints")
+def _grouped(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """`prints` with the component and the smallest id in it, which another component may have too where ids are repeated."""
+    prints = stored(spark, prints, "fingerprints")
     nodes = stored(spark, prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     found = components(spark, links(nodes))
     of = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     of = of.select("fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("component"))
     of = stored(spark, of, "fingerprint-components")
     least = stored(spark, of.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
-    of = stored(spark, of.join(least, "component").select("fingerprint", "component_id"), "components")
+    of = stored(spark, of.join(least, "component").select("fingerprint", "component", "component_id"), "components")
+    return prints.join(of, "fingerprint")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint in hex, component_id) of every row; one row per document, no pairs."""
     print_hex = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return prints.join(of, "fingerprint").select("doc_id", print_hex.alias("fingerprint"), "component_id")
+    return _grouped(spark, fingerprints(docs)).select("doc_id", print_hex.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with all columns, and of each group of near-duplicates the document with the smallest id.
+    """`docs` with all columns, and of each group of near-duplicates one row, with the smallest id.
 
-    Rows without an id stay; rows that repeat an id and a text become one.
+    Rows without an id stay; of rows that share an id, each is decided by its own text.
     """
-    found = stored(spark, near_duplicates(spark, docs).where("doc_id IS NOT NULL"), "near-duplicates")
-    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
-    # Ids that go, or that several rows have; all other rows stay as they are.
-    ids = stored(spark, ids.where("n > 1 OR NOT keep").select("__id", "keep"), "repeated-ids")
-    rows = marked(docs.withColumn("__id", F.col("doc_id")), "__id", marks(spark, ids.select("__id")))
-    some = rows.where("__marked").join(ids, "__id", "left").where(F.coalesce("keep", F.lit(True)) | F.col("__id").isNull())
-    key = row_key(F.col("__id"), F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))
-    some = some.withColumn("__key", key).withColumn("__turn", turn).where(F.col("__id").isNull() | (F.col("__turn") == 1))
+    found = _grouped(spark, fingerprints(docs, F.xxhash64("text").alias("of_text"))).where("doc_id IS NOT NULL")
+    found = stored(spark, found.select("doc_id", "of_text", "component", "component_id"), "near-duplicates")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("of_text"))
+    keep = (F.col("doc_id") == F.col("component_id")) & (turn == 1)
+    each = found.withColumn("keep", keep).groupBy("doc_id", "of_text").agg(F.max("keep").alias("keep"), F.min("keep").alias("all"))
+    # Rows that go, or that are there more than once; all other rows stay as they are.
+    each = stored(spark, each.where("NOT all").select(row_key(F.col("doc_id"), F.col("of_text")).alias("__key"), "keep"), "repeated-rows")
+    key = row_key(F.col("doc_id"), F.xxhash64("text"))
+    rows = marked(docs.withColumn("__key", key), "__key", marks(spark, each.select("__key")))
+    some = rows.where("__marked").join(each, "__key", "left").where(F.coalesce("keep", F.lit(True)))
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    some = some.withColumn("__turn", turn).where(F.col("keep").isNull() | (F.col("__turn") == 1))
     return rows.where("NOT __marked").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -180,6 +180,18 @@ def test_simhash_blank_texts_repeats_and_null_ids(spark, docs):
     assert simhash.near_duplicates(spark, docs().limit(0)).count() == 0
 
 
+def test_near_duplicates_that_share_an_id(spark, docs):
+    words = [f"word{i}" for i in range(400)]
+    near = " ".join([*words[:399], "other"])
+    apart = "something else entirely, with words of its own " * 3
+    assert (simhash.fingerprint(" ".join(words).encode()) ^ simhash.fingerprint(near.encode())).bit_count() <= 3
+    # Two near copies under one id; a row of an id that is kept elsewhere, near a row with a smaller id.
+    rows = [(5, " ".join(words)), (5, near), (7, apart), (7, "one two"), (6, "One  two"), (3, "last of all"), (3, "last of all"), (3, "unlike that one")]
+    left = simhash.drop_near_duplicates(spark, docs(*rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id != 5) == [(3, "last of all"), (3, "unlike that one"), (6, "One  two"), (7, apart)]
+    assert len([r for r in left if r.doc_id == 5]) == 1
+
+
 def test_links_lose_no_pair(spark):
     import random
 
