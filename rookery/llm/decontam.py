@@ -11,7 +11,7 @@ so that Spark knows its size and broadcasts it only below its threshold; else th
 Texts are shuffled for documents with hits only, which a bitmap of fixed size tells from most others.
 
 Defined results: null and empty texts and items have no words; items with the same window all count;
-rows that repeat an id and a text have equal results; null item ids are left out; an empty benchmark
+rows that repeat an id and a text have equal results; items with a null id count as hits and are in no list of items; an empty benchmark
 leaves all documents clean; empty tables give empty results.
 """
 
@@ -51,7 +51,7 @@ def _chosen(hashes: Column, among: int) -> Column:
 
 def _windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, length, words) of each window, as one text."""
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", alnum_words(filled("text")).alias("words"))
+    items = benchmark.select("item_id", alnum_words(filled("text")).alias("words"))
     items = items.withColumn("length", F.least(F.lit(WINDOW), F.size("words"))).where("length > 0")
     starts = F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)
     items = items.select("item_id", "length", "words", F.explode(starts).alias("start"))

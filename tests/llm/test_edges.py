@@ -339,6 +339,16 @@ def test_windows_and_short_items(spark, docs, by_id):
     assert found[1].items_sha256 == sha("1,5") and found[4].items_sha256 == sha("") and found[6].n_words == 30_013
 
 
+def test_items_without_an_id_count_as_hits(spark, docs, by_id):
+    items = spark.createDataFrame([(None, "one two three four"), (None, "one two three four"), (7, "five six")], "item_id long, text string")
+    table = docs((1, "x one two three four y"), (2, "one two three"), (3, "one two three four five six"))
+    found = by_id(decontam.contamination(spark, table, items))
+    assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in found.items()} == {
+        1: (4, 0, sha(""), True), 2: (0, 0, sha(""), False), 3: (6, 1, sha("7"), True),
+    }
+    assert [r.doc_id for r in decontam.drop_contaminated(spark, table, items).collect()] == [2]
+
+
 def test_repetitive_texts_and_empty_tables(spark, docs):
     items = spark.createDataFrame([(1, "to " * 30), (2, "to " * 12)], "item_id long, text string")
     row = (1, "to " * 3000 + "end")
