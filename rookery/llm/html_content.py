@@ -45,7 +45,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is no text of the page, up to their end tag.
-RAW_TAGS = frozenset("script style noscript template textarea title svg iframe object math".split())
+RAW_TAGS = frozenset("script style template textarea title".split())
 #: Block tags that end an open paragraph, and those whose sibling ends them.
 CLOSES_ITSELF = frozenset("p li dt dd option tr td th".split())
 BOILER_TAGS = frozenset("nav aside footer form menu head search dialog button select label input".split())

@@ -279,6 +279,11 @@ def test_names_inside_an_article_drop_none_of_its_text():
     assert html_content.main_text(f'<p>{text}<div id="content"><p>{text}</div><div class="comments"><p>{text}<p>{text}<p>{text}</div>', {}).count(text) == 2
 
 
+def test_formulas_and_fallback_text_of_an_article_stay():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. <object data=f>Fallback</object> <svg><text>Label</text></svg> <noscript>Shown</noscript><script>var x</script></article>"
+    assert html_content.main_text(page, {}) == "So x=2 holds. Fallback Label Shown"
+
+
 def test_classifier_and_ties_together_outvote_names_but_not_tags():
     text = "one two three"
     yes = {f"tag {t}": 4.0 for t in ("div", "p", "footer")}
