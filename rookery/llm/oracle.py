@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import fill_middle, importance
 from .license_scan import BLOCK, CONTAINMENT, STEP, templates
 from .mixing import MOST, SEEDS, WEIGHTS
 
@@ -117,10 +118,65 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM texts LEFT JOIN hit USING (rid) LEFT JOIN by_item USING (rid)
 """
 
+_MIDDLE = rf"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    [('0x' || substr(sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')), 8 * k + 1, 8))::BIGINT for k in range(4)] AS h
+  FROM documents
+), placed AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= {fill_middle.RATE} THEN 'plain'
+      WHEN h[4] % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+# The CRC of a word goes byte by byte through a table that follows from the polynomial.
+_IMPORTANCE = rf"""
+WITH RECURSIVE steps AS (
+  SELECT range AS b, range::BIGINT AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
+source_words AS (SELECT rid, unnest(words) AS word FROM texts),
+target_words AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+bytes AS (
+  SELECT word, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i::INT + 1, 2))::BIGINT) AS codes
+  FROM (SELECT word FROM source_words UNION SELECT word FROM target_words)
+), buckets AS (
+  SELECT word, xor(list_reduce(codes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % {importance.BUCKETS} AS bucket
+  FROM bytes, crc
+), s AS (SELECT bucket, count(*) AS n FROM source_words JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target_words JOIN buckets USING (word) GROUP BY bucket),
+sizes AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + {importance.BUCKETS} AS of_s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + {importance.BUCKETS} AS of_t),
+gains AS (
+  SELECT s.bucket, floor({importance.SCALE} * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * of_s / ((s.n + 1.0::DOUBLE) * of_t)))::BIGINT AS gain FROM sizes, s LEFT JOIN t ON s.bucket = t.bucket
+), weights AS (
+  SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS total FROM source_words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    floor(-{importance.SCALE}.0::DOUBLE * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS draw
+  FROM texts LEFT JOIN weights USING (rid)
+), ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY weight + draw DESC, doc_id NULLS LAST) AS place, count(*) OVER () * {importance.PERCENT} // 100 AS n_drawn
+  FROM scored WHERE n_features >= {importance.LEAST_WORDS}
+)
+SELECT doc_id::BIGINT AS doc_id, n_features::BIGINT AS n_features, weight, weight + draw AS score, CASE WHEN place <= n_drawn THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (rid)
+"""
+
 SQL = {
     "op1_mix": _MIX,
     "op2_license_scan": _license_sql(),
     "op3_exact_dedup": _EXACT,
     "op8_line_dedup": _LINES,
     "op10_decontaminate": _WINNOW,
+    "op12_fill_middle": _MIDDLE,
+    "op13_importance": _IMPORTANCE,
 }

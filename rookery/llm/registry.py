@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_content, license_scan, line_dedup, mixing, pii, quality, simhash, token_counts
+from . import (
+    decontam, exact_dedup, fill_middle, html_content, importance, license_scan, line_dedup, mixing, packing, pii, quality, simhash,
+    token_counts,
+)
 from .common import reach_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +63,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("key")
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance.importance_ranks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return ranks.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_mix, op2_license_scan, op3_exact_dedup, op4_quality, op5_pii, op6_token_counts, op7_simhash,
-        op8_line_dedup, op9_html_content, op10_decontaminate,
+        op8_line_dedup, op9_html_content, op10_decontaminate, op11_pack, op12_fill_middle, op13_importance,
     ]
     return {f.__name__: f for f in found}
 

@@ -33,7 +33,7 @@ def collected(spark, name):
 def test_the_contract_has_all_queries():
     names = set(contract.queries())
     assert set(registry.queries()) < names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
