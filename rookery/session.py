@@ -65,6 +65,26 @@ def folder_state(spark: SparkSession, path: str) -> str:
     return ";".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def finished_versions(spark: SparkSession, path: str, name: str, marker: str | None = "_SUCCESS") -> list[int]:
+    """The numbers n of the folders `<path>/<name>=<n>`, rising; only of those that hold `marker`, which Spark writes last."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith(f"{name}=")]
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().split("=")[1]) for p in found if marker is None or files.exists(hadoop_path(p, marker)))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
 _WRITTEN: dict[tuple[str, ...], str] = {}
 
 
