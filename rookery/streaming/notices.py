@@ -1,7 +1,8 @@
 """New posts and follow events to notifications.
 
 The tables joined against grow while the stream runs, so they are given as functions
-and read afresh for every batch.
+and read afresh for every batch. A reply that arrives before the post it answers waits: it is written to a pending table and matched
+again in every later batch, until its parent is there.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.notices import follow_notifications, mention_notifications, reply_notifications
+from ..session import delete_folder, finished_versions
 
+_REPLY = ("post_id", "reply_to_id", "user_id", "creation_time")
 
-def _start(events: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, name: str) -> StreamingQuery:
+
+def _start(events: DataFrame, make: Callable[[DataFrame, int], DataFrame], path: str, name: str) -> StreamingQuery:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        notices = make(batch).withColumn("seen", F.lit(0))
+        notices = make(batch, batch_id).withColumn("seen", F.lit(0))
         notices.write.mode("overwrite").parquet(f"{path}/notices/source={name}/batch_id={batch_id}")
 
     return (
@@ -28,19 +32,49 @@ def _start(events: DataFrame, make: Callable[[DataFrame], DataFrame], path: str,
     )
 
 
+def pending_replies(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Replies whose parent had not arrived by the last batch (before the batch `before`); None before any."""
+    done = [b for b in finished_versions(spark, f"{path}/pending", "batch_id") if before is None or b < before]
+    return spark.read.parquet(f"{path}/pending/batch_id={done[-1]}") if done else None
+
+
+def _take_replies(batch: DataFrame, batch_id: int, posts: Callable[[], DataFrame], path: str, wait_days: int | None) -> DataFrame:
+    """Notifications of the batch's replies and of the waiting ones whose parent is there now; the rest goes on waiting."""
+    spark = batch.sparkSession
+    replies = batch.filter(F.col("reply_to_id").isNotNull()).select(*_REPLY)
+    waiting = pending_replies(spark, path, batch_id)
+    if waiting is not None:
+        replies = replies.unionByName(waiting)
+    low, high, newest = replies.agg(F.min("reply_to_id"), F.max("reply_to_id"), F.max("creation_time")).first()
+    # The table of posts may hold those of this batch already, or not yet.
+    own = batch.select("post_id", "user_id")
+    parents = posts().select("post_id", "user_id").filter(F.col("post_id").between(low, high)).unionByName(own).dropDuplicates(["post_id"])
+    alone = replies.join(parents.select(F.col("post_id").alias("reply_to_id")), "reply_to_id", "left_anti").select(*_REPLY)
+    if wait_days is not None and newest is not None:
+        alone = alone.filter(F.col("creation_time") >= F.lit(newest) - F.make_dt_interval(F.lit(wait_days)))
+    alone.write.mode("overwrite").parquet(f"{path}/pending/batch_id={batch_id}")
+    for old in finished_versions(spark, f"{path}/pending", "batch_id"):
+        if old < batch_id - 1:  # a repetition of this batch starts from the one before
+            delete_folder(spark, f"{path}/pending/batch_id={old}")
+    return reply_notifications(replies, parents)
+
+
 def stream_post_notifications(
-    new_posts: DataFrame, posts: Callable[[], DataFrame], users: Callable[[], DataFrame], path: str
+    new_posts: DataFrame,
+    posts: Callable[[], DataFrame],
+    users: Callable[[], DataFrame],
+    path: str,
+    wait_days: int | None = None,
 ) -> StreamingQuery:
     """Reply and mention notifications of all waiting posts.
 
-    Each batch reads the posts in the range of its parents' ids only, and users only if it mentions any.
+    Each batch reads the posts in the range of its parents' ids only, and users only if it mentions any. Replies
+    wait for their parent for good, or until a reply `wait_days` newer has arrived.
     """
 
-    def make(batch: DataFrame) -> DataFrame:
-        low, high, mentions = batch.agg(
-            F.min("reply_to_id"), F.max("reply_to_id"), F.count_if(F.col("post_text").contains("@"))
-        ).first()
-        notices = reply_notifications(batch, posts().filter(F.col("post_id").between(low, high)))
+    def make(batch: DataFrame, batch_id: int) -> DataFrame:
+        mentions = batch.agg(F.count_if(F.col("post_text").contains("@"))).first()[0]
+        notices = _take_replies(batch, batch_id, posts, path, wait_days)
         return notices.unionByName(mention_notifications(batch, users())) if mentions else notices
 
     return _start(new_posts, make, path, "posts")
@@ -48,7 +82,7 @@ def stream_post_notifications(
 
 def stream_follow_notifications(follow_events: DataFrame, path: str) -> StreamingQuery:
     """Follow notifications of all waiting follow events."""
-    return _start(follow_events, follow_notifications, path, "follows")
+    return _start(follow_events, lambda batch, _: follow_notifications(batch), path, "follows")
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
