@@ -108,7 +108,7 @@ def quarter_window(df: DataFrame, as_of: dt.date, column: str) -> DataFrame:
 
 def _matches(term: str) -> Column:
     # A backslash before an ordinary character stands for that character.
-    pattern = "%" + re.sub(r"\\([^%_\\])", r"\1", term) + "%"
+    pattern = "%" + re.sub(r"(\\[%_\\])|\\(.)", r"\1\2", term) + "%"
     return F.col("handle").ilike(pattern) | F.col("first_name").ilike(pattern)
 
 
