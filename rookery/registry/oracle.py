@@ -215,6 +215,18 @@ _FOLLOW_ROWS = (
 _NOTICE = f"user_id, triggered_by_user_id, event_type_id, reference_post_id, {_time('creation_time')}"
 
 
+_EDITED = """edits AS (
+          SELECT user_id, concat(event_type, ' name') AS first_name, concat('bio of ', props) AS bio,
+                 CASE WHEN event_type = 'click' THEN concat('e', CAST(event_id AS STRING), '.png') END AS photo,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+                 row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts DESC, event_id DESC) AS prn
+          FROM events)
+        SELECT u.id, COALESCE(e.first_name, u.first_name) AS first_name, COALESCE(e.bio, u.bio) AS bio,
+               COALESCE(f.photo, u.profile_photo) AS profile_photo
+        FROM users u LEFT JOIN edits e ON e.user_id = u.id AND e.rn = 1
+        LEFT JOIN edits f ON f.user_id = u.id AND f.photo IS NOT NULL AND f.prn = 1"""
+
+
 def _load_tables() -> str:
     from .queries import FILLED
 
@@ -253,6 +265,11 @@ _PLAIN: dict[str, str] = {
         SELECT camp_id, user_id, post_id, value, {_time('added_time')} FROM post_votes""",
     "apply_follows": f"""done AS (SELECT 1)
         SELECT user_id, following, follow_value, {_time('creation_time')} FROM follows""",
+    "apply_votes_bucketed": f"""done AS (SELECT 1)
+        SELECT camp_id, user_id, post_id, value, {_time('added_time')} FROM post_votes""",
+    "apply_follows_bucketed": f"""done AS (SELECT 1)
+        SELECT user_id, following, follow_value, {_time('creation_time')} FROM follows""",
+    "apply_profile_edits_bucketed": _EDITED,
     "resolve_handles": f"""done AS (SELECT 1)
         SELECT user_id, following, follow_value, {_time('creation_time')} FROM follow_rows""",
     "apply_post_deletes": """asked AS (
@@ -264,16 +281,7 @@ _PLAIN: dict[str, str] = {
         SELECT n.notification_id, n.user_id, CASE WHEN n.seen = 0 AND n.creation_time <= a.at THEN 1 ELSE n.seen END AS seen,
                strftime(CASE WHEN n.seen = 0 AND n.creation_time <= a.at THEN a.at END, '%Y-%m-%d %H:%M:%S.%f') AS seen_time
         FROM notifications n LEFT JOIN asked a ON a.user_id = n.user_id""",
-    "apply_profile_edits": """edits AS (
-          SELECT user_id, concat(event_type, ' name') AS first_name, concat('bio of ', props) AS bio,
-                 CASE WHEN event_type = 'click' THEN concat('e', CAST(event_id AS STRING), '.png') END AS photo,
-                 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
-                 row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts DESC, event_id DESC) AS prn
-          FROM events)
-        SELECT u.id, COALESCE(e.first_name, u.first_name) AS first_name, COALESCE(e.bio, u.bio) AS bio,
-               COALESCE(f.photo, u.profile_photo) AS profile_photo
-        FROM users u LEFT JOIN edits e ON e.user_id = u.id AND e.rn = 1
-        LEFT JOIN edits f ON f.user_id = u.id AND f.photo IS NOT NULL AND f.prn = 1""",
+    "apply_profile_edits": _EDITED,
     "consume_tokens": """done AS (SELECT 1)
         SELECT t.token_id, t.token, CASE WHEN e.event_id IS NOT NULL THEN 1 ELSE t.used END AS used
         FROM tokens t LEFT JOIN events e ON e.event_id = t.token_id AND e.value > 50""",
@@ -335,6 +343,14 @@ _PLAIN: dict[str, str] = {
           FROM users u JOIN (VALUES ('MACHINERY'), ('00007'), ('furn%person')) t(term)
           ON u.handle ILIKE concat('%', t.term, '%') OR u.first_name ILIKE concat('%', t.term, '%'))
         SELECT term, id, handle, first_name, {_time('creation_time')} FROM found WHERE place <= 50""",
+    "search_users_indexed": rf"""terms AS (
+          SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN lpad(p_partkey::VARCHAR, 4, '0') WHEN 1 THEN 'R_0%' || (p_partkey % 97)
+            WHEN 2 THEN (p_partkey % 9) || '_' || (p_partkey % 7) WHEN 3 THEN substr('Machinery Furniture Building', (p_partkey % 27 + 1)::INT, 2)
+            WHEN 4 THEN '%e' || (p_partkey % 10) ELSE 'er\_' || lpad(p_partkey::VARCHAR, 9, '0') END AS term FROM part),
+        found AS (
+          SELECT t.term, u.*, row_number() OVER (PARTITION BY t.term ORDER BY creation_time, id) AS place
+          FROM users u JOIN terms t ON lower(u.handle) LIKE lower('%' || t.term || '%') ESCAPE '\' OR lower(u.first_name) LIKE lower('%' || t.term || '%') ESCAPE '\')
+        SELECT term, id, handle, first_name, {_time('creation_time')} FROM found WHERE place <= 50""",
     "user_by_handle": f"""done AS (SELECT 1)
         SELECT id, handle, first_name, {_time('creation_time')} FROM users WHERE lower(handle) = 'customer_000000008'""",
     "posts_in_camp": "done AS (SELECT 1) SELECT post_id, user_id, camp_id FROM posts WHERE camp_id = 1",
@@ -375,6 +391,13 @@ _PLAIN: dict[str, str] = {
           SELECT user_id, added_time AS t FROM post_votes UNION SELECT user_id, creation_time FROM posts)
         SELECT CAST(CAST(t AS DATE) AS STRING) AS day, count(DISTINCT user_id) AS active_users FROM acts
         WHERE t >= TIMESTAMP '2000-04-01 00:00:00' AND t < TIMESTAMP '2000-07-01 00:00:00' GROUP BY 1 ORDER BY 1""",
+    "active_users_by_period": """acts AS (
+          SELECT user_id, CAST(added_time AS DATE) AS d FROM post_votes UNION SELECT user_id, CAST(creation_time AS DATE) FROM posts),
+        periods AS (SELECT g.grain, CAST(date_trunc(g.grain, d) AS DATE) AS start, user_id FROM acts CROSS JOIN (VALUES ('day'), ('week'), ('quarter'), ('year')) g(grain))
+        SELECT grain, CAST(start AS STRING) AS start, count(DISTINCT user_id) AS exact_users, TRUE AS is_near FROM periods GROUP BY grain, start""",
+    "stream_active_users": """acts AS (
+          SELECT CAST(added_time AS DATE) AS d FROM post_votes UNION SELECT CAST(creation_time AS DATE) FROM posts)
+        SELECT CAST(d AS STRING) AS start, TRUE AS is_same FROM acts""",
     "unseen_count": """placed AS (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY creation_time DESC, notification_id DESC) AS place FROM notifications)
         SELECT user_id, count(*) FILTER (WHERE seen = 0) AS unseen_count FROM placed WHERE place <= 25 GROUP BY user_id""",
@@ -415,6 +438,8 @@ _PLAIN: dict[str, str] = {
         SELECT camp_id, user_id, post_id, value, {_time('added_time')} FROM post_votes""",
     "stream_notifications": f"""{_MENTIONS}, made AS ({_MENTION_ROWS} UNION ALL {_REPLY_ROWS} UNION ALL {_FOLLOW_ROWS})
         SELECT {_NOTICE}, 0 AS seen FROM made""",
+    "stream_notifications_shuffled": f"""{_MENTIONS}, made AS ({_MENTION_ROWS} UNION ALL {_REPLY_ROWS})
+        SELECT {_NOTICE}, 0 AS seen FROM made""",
     "stream_daily_active": """acts AS (
           SELECT user_id, CAST(added_time AS DATE) AS d FROM post_votes UNION SELECT user_id, CAST(creation_time AS DATE) FROM posts)
         SELECT CAST(d AS STRING) AS day, count(DISTINCT user_id) AS active_users FROM acts
@@ -422,6 +447,9 @@ _PLAIN: dict[str, str] = {
 }
 
 _SCORED: dict[str, str] = {
+    "stream_scores": """done AS (SELECT 1)
+        SELECT 'post' AS of, c.post_id AS id, s.post_score AS score, c.up_votes, c.down_votes FROM counts c JOIN post_scores s ON s.post_id = c.post_id
+        UNION ALL SELECT 'author', id, user_score, NULL, NULL FROM user_scores WHERE user_score IS NOT NULL""",
     "export_json": """done AS (SELECT 1)
         SELECT CAST(to_json({'post_id': post_id, 'up_votes': up_votes, 'down_votes': down_votes}) AS VARCHAR) AS json FROM counts""",
     "with_scores": """done AS (SELECT 1)

@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import aggregates, changes, checks, joins, notices, predicates
+from ..operators import aggregates, changes, checks, joins, notices, predicates, search, sketches
 from ..plans import boards, camps, feeds, inbox, threads
 from ..plans.marts import Marts, flag_top_user
 from ..session import work_dir, written_folder, written_table
 from ..sources import sinks, tables
+from ..sources.buckets import BucketedTable
 from ..sources.star import TIE_BREAK, StarSource
 from ..streaming import activity as activity_stream
 from ..streaming import notices as notice_stream
+from ..streaming import scores as score_stream
 from ..streaming import votes as vote_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +225,52 @@ def apply_follows(s: StarSource) -> DataFrame:
     return changes.apply_follows(_early_follows(s), late, s.FOLLOW_TIE_BREAK)
 
 
+def _in_buckets(s: StarSource, snapshot: DataFrame, name: str, keys: list[str], **layout) -> BucketedTable:
+    schema = ", ".join(f"{n} {t}" for n, t in snapshot.dtypes)
+    table = BucketedTable(s.spark, work_dir(s.spark, name), schema, keys, **layout)
+    table.create(snapshot)
+    return table
+
+
+def _in_turn(events: DataFrame, time_col: str) -> list[DataFrame]:
+    """A batch of events cut by their time into rounds."""
+    seconds = F.unix_seconds(F.col(time_col).cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(seconds, [i / ROUNDS for i in range(1, ROUNDS)])).first()[0]
+    low = [None, *cuts]
+    return [
+        events.filter((F.lit(True) if a is None else seconds > a) & (F.lit(True) if b is None else seconds <= b))
+        for a, b in zip(low, [*low[1:], None])
+    ]
+
+
+@_query
+def apply_votes_bucketed(s: StarSource) -> DataFrame:
+    early = _early_votes(s)
+    table = _in_buckets(s, early, "votes", list(changes.VOTE_KEY), buckets=2, near="post_id", width=4096)
+    late = _valid_votes(s).filter(F.col("added_time") >= fn.ntz(SNAPSHOT_ENDS))
+    for events in _in_turn(late, "added_time"):
+        table.merge(events, lambda rows, batch: changes.apply_votes(rows, batch, TIE_BREAK))
+    return table.read()
+
+
+@_query
+def apply_follows_bucketed(s: StarSource) -> DataFrame:
+    table = _in_buckets(s, _early_follows(s), "follows", list(changes.FOLLOW_KEY), buckets=8)
+    late = s.follow_events().filter(F.col("creation_time") >= fn.ntz(SNAPSHOT_ENDS))
+    for events in _in_turn(late, "creation_time"):
+        table.merge(events, lambda rows, batch: changes.apply_follows(rows, batch, s.FOLLOW_TIE_BREAK))
+    return table.read()
+
+
+@_query
+def apply_profile_edits_bucketed(s: StarSource) -> DataFrame:
+    users = s.users().select("id", "first_name", "bio", "profile_photo")
+    table = _in_buckets(s, users, "users", ["id"], buckets=8)
+    for edits in _in_turn(_profile_edits(s), "edit_time"):
+        table.merge(edits, lambda rows, batch: changes.apply_profile_edits(rows, batch, ["event_id"]), keys=["user_id"])
+    return table.read()
+
+
 @_query
 def resolve_handles(s: StarSource) -> DataFrame:
     handles = s.users().select(F.col("id").alias("following"), F.upper("handle").alias("handle"))
@@ -375,6 +423,23 @@ def search_users_many(s: StarSource) -> DataFrame:
     return predicates.search_users_many(s.users(), SEARCH_TERMS).select("term", *_PERSON)
 
 
+@_query
+def search_users_indexed(s: StarSource) -> DataFrame:
+    key, number = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    terms = s.read("part").select(
+        F.when(key % 6 == 0, F.lpad(number, 4, "0"))
+        .when(key % 6 == 1, F.concat(F.lit("R_0%"), (key % 97).cast("string")))
+        .when(key % 6 == 2, F.concat((key % 9).cast("string"), F.lit("_"), (key % 7).cast("string")))
+        .when(key % 6 == 3, F.substring(F.lit("Machinery Furniture Building"), (key % 27 + 1).cast("int"), F.lit(2)))
+        .when(key % 6 == 4, F.concat(F.lit("%e"), (key % 10).cast("string")))
+        .otherwise(F.concat(F.lit(r"er\_"), F.lpad(number, 9, "0")))
+        .alias("term")
+    )
+    folder = written_folder(s.spark, (s.state(), "name_index"), lambda path: search.save_name_index(s.users(), path))
+    found = search.search_users_indexed(s.users(), terms, search.load_name_index(s.spark, folder))
+    return found.select("term", *_PERSON)
+
+
 @_query
 def user_by_handle(s: StarSource) -> DataFrame:
     return predicates.user_by_handle(s.users(), HANDLE).select(*_PERSON)
@@ -517,6 +582,28 @@ def daily_active_users(s: StarSource) -> DataFrame:
     return aggregates.daily_active_users(s.post_votes(), s.post_facts(), QUARTER_AS_OF)
 
 
+def _daily_sketches(s: StarSource) -> DataFrame:
+    acts = aggregates.activity(s.post_votes(), s.post_facts())
+    return written_table(s.spark, (s.state(), "daily_sketches"), lambda: sketches.daily_sketches(acts))
+
+
+@_query
+def active_users_by_period(s: StarSource) -> DataFrame:
+    """Estimates from the days' sketches beside exact counts: four standard errors apart at most."""
+    stored = _daily_sketches(s)
+    acts = aggregates.activity(s.post_votes(), s.post_facts()).withColumn("day", F.to_date("time"))
+    found = []
+    for grain in ("day", "week", "quarter", "year"):
+        exact = acts.groupBy(sketches.period(F.col("day"), grain).alias("start")).agg(F.count_distinct("user_id").alias("exact_users"))
+        both = sketches.active_users(stored, grain).join(exact, "start", "full")
+        near = F.abs(F.col("active_users") - F.col("exact_users")) <= 4 * sketches.STANDARD_ERROR * F.col("exact_users")
+        found.append(both.select(F.lit(grain).alias("grain"), "start", "exact_users", F.coalesce(near, F.lit(False)).alias("is_near")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @_query
 def profile_summary(s: StarSource) -> DataFrame:
     scores = aggregates.user_score(s.users(), s.post_facts(), s.post_votes())
@@ -882,13 +969,13 @@ def marts(s: StarSource) -> DataFrame:
 ROUNDS = 4
 
 
-def _arriving(df: DataFrame, path: str, time_col: str, run: Callable[[DataFrame], object]) -> None:
-    """Let events arrive in rounds, up to twenty hours late, and run the stream after each.
+def _arriving(df: DataFrame, path: str, time_col: str | None, run: Callable[[DataFrame], object]) -> None:
+    """Let events arrive in rounds, up to twenty hours late or without a time in any order, and run the stream after each.
 
     Every round adds files to the source and is a restart from the stream's checkpoint.
     """
     late = F.pmod(F.hash(*df.columns), F.lit(20 * 3600))
-    arrival = F.unix_seconds(F.col(time_col).cast("timestamp")) + late
+    arrival = late if time_col is None else F.unix_seconds(F.col(time_col).cast("timestamp")) + late
     cuts = df.agg(F.percentile_approx(arrival, [i / ROUNDS for i in range(1, ROUNDS)])).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = df if low is None else df.filter(arrival > low)
@@ -907,6 +994,34 @@ def stream_votes(s: StarSource) -> DataFrame:
     return vote_stream.current_votes(s.spark, path, tie_break=TIE_BREAK)
 
 
+@_query
+def stream_scores(s: StarSource) -> DataFrame:
+    path = work_dir(s.spark, "score-stream")
+    layout = {"buckets": 1, "width": 8192, "author_buckets": 8}
+    _arriving(
+        s.vote_events(), f"{path}/events", "added_time",
+        lambda events: score_stream.stream_scores(events, s.post_facts, path, tie_break=TIE_BREAK, **layout),
+    )
+    posts = score_stream.post_figures(s.spark, path, **layout)
+    authors = score_stream.author_scores(s.spark, path, **layout)
+    none = F.lit(None).cast("bigint")
+    return posts.select(F.lit("post").alias("of"), F.col("post_id").alias("id"), F.col("post_score").alias("score"), "up_votes", "down_votes").unionByName(
+        authors.select(F.lit("author").alias("of"), F.col("user_id").alias("id"), F.col("user_score").alias("score"), none.alias("up_votes"), none.alias("down_votes"))
+    )
+
+
+@_query
+def stream_notifications_shuffled(s: StarSource) -> DataFrame:
+    # Posts arrive in any order, and only those that have arrived are known.
+    path = work_dir(s.spark, "shuffled-notice-stream")
+    arrived = lambda: s.spark.read.parquet(f"{path}/posts")
+    _arriving(
+        s.posts(), f"{path}/posts", None,
+        lambda posts: notice_stream.stream_post_notifications(posts, arrived, s.users, path),
+    )
+    return notice_stream.read_notices(s.spark, path)
+
+
 @_query
 def stream_notifications(s: StarSource) -> DataFrame:
     path = work_dir(s.spark, "notice-stream")
@@ -927,3 +1042,15 @@ def stream_daily_active(s: StarSource) -> DataFrame:
     acts = aggregates.activity(s.post_votes(), s.post_facts())
     _arriving(acts, f"{path}/acts", "time", lambda arrived: activity_stream.stream_daily_active(arrived, path))
     return s.spark.read.parquet(f"{path}/days")
+
+
+@_query
+def stream_active_users(s: StarSource) -> DataFrame:
+    # Days stay open for good: votes arrive in any order.
+    path = work_dir(s.spark, "sketch-stream")
+    acts = aggregates.activity(s.post_votes(), s.post_facts())
+    _arriving(acts, f"{path}/acts", None, lambda arrived: sketches.stream_daily_sketches(arrived, path))
+    counted = sketches.active_users(sketches.read_sketches(s.spark, path))
+    at_once = sketches.active_users(_daily_sketches(s)).withColumnRenamed("active_users", "at_once")
+    same = (F.col("active_users") == F.col("at_once")).alias("is_same")
+    return counted.join(at_once, "start", "full").select("start", F.coalesce(same, F.lit(False)).alias("is_same"))
