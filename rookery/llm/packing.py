@@ -128,7 +128,8 @@ def pack(spark: SparkSession, docs: DataFrame, size: int = SIZE, end: int = END,
     counts = short.groupBy("group", "length").agg(F.count("*").alias("n"))
     slots = counts.groupBy("group").applyInPandas(_slots(size), "group long, length long, turn long, sequence_id long, offset long")
     turn = F.row_number().over(Window.partitionBy("group", "length").orderBy("__place")).cast("long")
-    packed = short.withColumn("turn", turn).join(slots, ["group", "length", "turn"])
+    # There are as many slots as pieces, whatever Spark takes the size of the packed groups for.
+    packed = short.withColumn("turn", turn).join(slots.hint("merge"), ["group", "length", "turn"])
     # A whole sequence needs no place among others.
     whole = cut.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("__place")).withColumn("offset", F.lit(0).cast("long"))
     columns = [c for c in cut.columns if c != "__place"] + ["sequence_id", "offset"]
