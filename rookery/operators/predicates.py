@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ntz
 from ..functions.times import LOCAL_OFFSET_HOURS
+from .prefilter import restrict_by_bitmap
 from .ranking import top_k
 from .skew import spread_join
 
@@ -37,11 +38,15 @@ def posts_in_camp(posts: DataFrame, camp_id: int) -> DataFrame:
     return posts.filter(F.col("camp_id") == camp_id)
 
 
-def restrict_ids(df: DataFrame, ids: DataFrame, column: str, spread_by: str) -> DataFrame:
+def restrict_ids(df: DataFrame, ids: DataFrame, column: str, spread_by: str, bitmap: bool = False) -> DataFrame:
     """Rows whose `column` occurs in the same column of `ids`; the ids never leave the executors.
 
-    `spread_by` tells apart rows that share an id, for ids that very many rows share.
+    `spread_by` tells apart rows that share an id, for ids that very many rows share. With `bitmap` the ids are counted
+    first, and where a bitmap of them can be broadcast, most rows without a partner are dropped before any shuffle: worth it for a list
+    too long to be broadcast itself that leaves out most rows.
     """
+    if bitmap:
+        df = restrict_by_bitmap(df, ids, column)
     return spread_join(df, ids.select(column).distinct(), column, spread_by, "left_semi")
 
 

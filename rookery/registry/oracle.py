@@ -335,6 +335,8 @@ _PLAIN: dict[str, str] = {
     "quarter_window": f"""done AS (SELECT 1)
         SELECT user_id, post_id, {_time('v.added_time')} FROM post_votes v
         WHERE v.added_time >= TIMESTAMP '2000-04-01 00:00:00' AND v.added_time < TIMESTAMP '2000-07-01 00:00:00'""",
+    "restrict_ids_bitmap": f"""done AS (SELECT 1)
+        SELECT camp_id, user_id, post_id, {_time('added_time')}, value FROM post_votes WHERE post_id IN (SELECT post_id FROM posts WHERE camp_id = 1)""",
     "search_users": f"""done AS (SELECT 1)
         SELECT id, handle, first_name, {_time('u.creation_time')} FROM users u
         WHERE handle ILIKE '%mach_nery%' OR first_name ILIKE '%mach_nery%' ORDER BY u.creation_time, id LIMIT 50""",
@@ -496,6 +498,15 @@ _SCORED: dict[str, str] = {
     "nth_active_day": """done AS (SELECT 1)
         SELECT day FROM (SELECT DISTINCT day FROM days) d ORDER BY day DESC LIMIT 1 OFFSET 9""",
     "post_detail": f"done AS (SELECT 1) SELECT {_DETAIL} FROM cards c WHERE c.is_deleted = 0",
+    "post_detail_colocated": f"done AS (SELECT 1) SELECT {_DETAIL} FROM cards c WHERE c.is_deleted = 0",
+    "with_post_stats_colocated": "done AS (SELECT 1) SELECT post_id, reply_count, up_votes, down_votes FROM cards",
+    "top_of_day_kept": """placed AS (
+          SELECT d.day, c.post_id, c.post_score, row_number() OVER (PARTITION BY d.day ORDER BY c.post_score DESC NULLS LAST, c.post_id DESC) AS place
+          FROM days d JOIN cards c ON c.post_id = d.post_id)
+        SELECT day, CAST(place AS INTEGER) AS place, post_id AS id, post_score AS score FROM placed WHERE place <= 2""",
+    "leaderboard_kept": """done AS (SELECT 1)
+        SELECT CAST(row_number() OVER (ORDER BY user_score DESC NULLS LAST, id) AS INTEGER) AS place, id, user_score AS score FROM user_scores
+        ORDER BY user_score DESC NULLS LAST, id LIMIT 100""",
     "thread": f"""{_THREADS}
         SELECT m.thread_id, m.level, m.parent_id, {_DETAIL} FROM members m JOIN cards c ON c.post_id = m.post_id""",
     "thread_of_heads": f"""{_ASKED}, {_THREADS}

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import aggregates, changes, checks, joins, notices, predicates, search, sketches
+from ..operators.boards import KeptBoards
 from ..plans import boards, camps, feeds, inbox, threads
 from ..plans.marts import Marts, flag_top_user
 from ..session import work_dir, written_folder, written_table
-from ..sources import sinks, tables
+from ..sources import colocated, sinks, tables
 from ..sources.buckets import BucketedTable
 from ..sources.star import TIE_BREAK, StarSource
+from ..sources.tables import SocialTables
 from ..streaming import activity as activity_stream
 from ..streaming import notices as notice_stream
 from ..streaming import scores as score_stream
@@ -374,6 +376,12 @@ def restrict_ids(s: StarSource) -> DataFrame:
     return predicates.restrict_ids(s.post_facts(), disliked, "post_id", "user_id").select("post_id", "user_id", "camp_id")
 
 
+@_query
+def restrict_ids_bitmap(s: StarSource) -> DataFrame:
+    wanted = predicates.posts_in_camp(s.post_facts(), CAMP)
+    return _vote_rows(predicates.restrict_ids(s.post_votes(), wanted, "post_id", "user_id", bitmap=True))
+
+
 @_query
 def keyset_page(s: StarSource) -> DataFrame:
     roots = predicates.root_posts(s.post_facts())
@@ -634,6 +642,13 @@ def _marts(s: StarSource) -> Marts:
     return Marts.load(s.spark, folder)
 
 
+def _by_post(s: StarSource) -> tuple[SocialTables, Marts]:
+    """The tables of posts and the marts, with posts, texts and figures bucketed by post."""
+    name = lambda path: path.rstrip("/").split("/")[-1].replace("-", "_")
+    folder = written_folder(s.spark, (s.state(), "by_post"), lambda path: colocated.save_by_post(s.tables(), _marts(s), name(path), path, 8))
+    return colocated.load_by_post(s.tables(), _marts(s), name(folder))
+
+
 _FEED = (
     "post_id",
     "user_id",
@@ -740,6 +755,19 @@ def post_detail(s: StarSource) -> DataFrame:
     return _text_digest(threads.post_detail(s.tables(), VIEWER, _marts(s)).select(*_DETAIL, "post_text"))
 
 
+@_query
+def post_detail_colocated(s: StarSource) -> DataFrame:
+    t, figures = _by_post(s)
+    return _text_digest(threads.post_detail(t, VIEWER, figures).select(*_DETAIL, "post_text"))
+
+
+@_query
+def with_post_stats_colocated(s: StarSource) -> DataFrame:
+    t, figures = _by_post(s)
+    stats = joins.with_post_stats(t.post_facts, figures.figures)
+    return stats.select("post_id", "reply_count", "up_votes", "down_votes")
+
+
 @_query
 def thread(s: StarSource) -> DataFrame:
     t = s.tables()
@@ -775,6 +803,47 @@ def leaderboard(s: StarSource) -> DataFrame:
     return boards.leaderboard(s.tables(), viewer_id=VIEWER, marts=_marts(s))
 
 
+def _vote_rounds(s: StarSource) -> tuple[score_stream.ScoreTables, list[DataFrame]]:
+    """Tables of scores, and the batches of votes they are to take in: the early ones, then the others in rounds."""
+    votes = s.vote_events()
+    early = F.col("added_time") < fn.ntz(SNAPSHOT_ENDS)
+    scores = score_stream.ScoreTables(s.spark, work_dir(s.spark, "board-scores"), votes, TIE_BREAK, width=8192, author_buckets=8)
+    return scores, [votes.filter(early), *_in_turn(votes.filter(~early), "added_time")]
+
+
+@_query
+def leaderboard_kept(s: StarSource) -> DataFrame:
+    scores, batches = _vote_rounds(s)
+    board = KeptBoards(s.spark, work_dir(s.spark, "leaderboard"), [], 100, lower_id_first=True)
+    people = s.users().select("id")
+
+    def everyone() -> DataFrame:
+        return people.join(scores.authors.read().select(F.col("user_id").alias("id"), F.col("user_score").alias("score")), "id", "left")
+
+    board.create(people.withColumn("score", F.lit(None).cast("bigint")))
+    for n, batch in enumerate(batches):
+        score_stream.process_votes(scores, batch, n, s.post_facts)
+        changed = scores.changed_authors(n).select(F.col("user_id").alias("id"), F.col("user_score").alias("score"))
+        board.update(changed, everyone)
+    return board.shown()
+
+
+@_query
+def top_of_day_kept(s: StarSource) -> DataFrame:
+    scores, batches = _vote_rounds(s)
+    board = KeptBoards(s.spark, work_dir(s.spark, "day-boards"), ["day"], DAY_BOARD)
+    roots = predicates.root_posts(s.post_facts()).select(F.col("post_id").alias("id"), fn.local_day(F.col("creation_time")).alias("day"))
+
+    def scored(figures: DataFrame, how: str) -> DataFrame:
+        return roots.join(figures.select(F.col("post_id").alias("id"), F.col("post_score").alias("score")), "id", how)
+
+    board.create(roots.withColumn("score", F.lit(None).cast("bigint")))
+    for n, batch in enumerate(batches):
+        score_stream.process_votes(scores, batch, n, s.post_facts)
+        board.update(scored(scores.changed_posts(n), "inner"), lambda: scored(scores.posts.read(), "left"))
+    return board.shown()
+
+
 @_query
 def people_search(s: StarSource) -> DataFrame:
     return boards.people_search(s.tables(), SEARCH_TERM, viewer_id=VIEWER, marts=_marts(s))

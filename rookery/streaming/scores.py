@@ -85,6 +85,16 @@ class ScoreTables:
         per_author = per_post.groupBy(F.col("author_id").alias("user_id")).agg(F.sum("post_score").alias("user_score"))
         self.authors.merge(per_author, add_by("user_id"), version)
 
+    def changed_posts(self, batch_id: int) -> DataFrame:
+        """The figures of the posts whose votes the batch changed; only their buckets are read."""
+        ids = self.changes(batch_id).select("post_id").distinct()
+        return self.posts.read(only=self.posts.touched(ids)).join(ids, "post_id", "left_semi")
+
+    def changed_authors(self, batch_id: int) -> DataFrame:
+        """The scores of these posts' authors."""
+        ids = self.changes(batch_id).select(F.col("author_id").alias("user_id")).distinct()
+        return self.authors.read(only=self.authors.touched(ids)).join(ids, "user_id", "left_semi")
+
     def retire(self, batch_id: int) -> None:
         """Delete what only batches before `batch_id` need. Its own repetition stays possible."""
         for table in (self.votes, self.posts, self.authors):
