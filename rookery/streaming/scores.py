@@ -11,7 +11,9 @@ Votes on posts that are not there yet wait, because whose score they change (and
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -72,7 +74,6 @@ class ScoreTables:
         def replace(rows: DataFrame, events: DataFrame) -> DataFrame:
             return rows.join(events, list(VOTE_KEY), "left_anti").unionByName(events.select(*rows.columns))
 
-        self.votes.merge(changes, replace, version)
         new, old = F.col("value").cast("bigint"), F.coalesce("old_value", F.lit(0)).cast("bigint")
         up: Callable[[Column], Column] = lambda v: (v > 0).cast("bigint")
         down: Callable[[Column], Column] = lambda v: (v < 0).cast("bigint")
@@ -81,9 +82,17 @@ class ScoreTables:
             F.sum(up(new) - up(old)).alias("up_votes"),
             F.sum(down(new) - down(old)).alias("down_votes"),
         )
-        self.posts.merge(per_post, add_by("post_id"), version)
         per_author = per_post.groupBy(F.col("author_id").alias("user_id")).agg(F.sum("post_score").alias("user_score"))
-        self.authors.merge(per_author, add_by("user_id"), version)
+        merges = [
+            (self.votes, changes, replace),
+            (self.posts, per_post, add_by("post_id")),
+            (self.authors, per_author, add_by("user_id")),
+        ]
+        # None needs another's result, so their jobs run side by side.
+        with ThreadPoolExecutor(len(merges)) as pool:
+            jobs = [pool.submit(inheritable_thread_target(table.merge), events, change, version) for table, events, change in merges]
+        for job in jobs:
+            job.result()
 
     def changed_posts(self, batch_id: int) -> DataFrame:
         """The figures of the posts whose votes the batch changed; only their buckets are read."""

@@ -1,6 +1,7 @@
 """What the plans must and must not contain."""
 
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,36 @@ def test_adaptive_execution_splits_hot_joins_with_plain_tables(spark, tmp_path,
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_joins_by_post_need_no_shuffle(spark, social, tmp_path, no_broadcast):
+    from rookery.operators import joins
+    from rookery.plans import threads
+    from rookery.plans.marts import Marts
+    from rookery.sources import colocated
+
+    posts = [{"post_id": i, "user_id": i % 5, "camp_id": 0, "is_deleted": 0, "reply_to_id": i - 1 if i % 3 else None, "post_text": f"text {i}"} for i in range(90)]
+    votes = [{"camp_id": 0, "user_id": u, "post_id": p, "value": Decimal(1)} for u in range(3) for p in range(0, 90, 2)]
+    t = social(users=[{"id": i, "handle": f"u{i}"} for i in range(5)], posts=posts, post_votes=votes)
+    marts = Marts.from_tables(t)
+    path = str(tmp_path / "by-post")
+    colocated.save_by_post(t, marts, "plan_test", path, 4)
+    for known in (True, False):
+        if not known:  # another application opens the folder
+            for table in colocated.TABLES:
+                spark.sql(f"DROP TABLE plan_test_{table}")
+            colocated.open_by_post(spark, "plan_test", path, 4)
+        bucketed, figures = colocated.load_by_post(t, marts, "plan_test")
+        joined = joins.with_post_stats(bucketed.post_facts, figures.figures).join(bucketed.posts.select("post_id", "post_text"), "post_id")
+        plan = plan_of(joined)
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        assert joined.count() == 90
+        # Whole pages shuffle narrow rows to their authors and back, and no text.
+        detail = threads.post_detail(bucketed, 1, figures)
+        plain = threads.post_detail(t, 1, marts)
+        assert detail.exceptAll(plain.select(*detail.columns)).count() == 0 and detail.count() == plain.count() == 90
+    for line in plan_of(detail).splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "post_text" not in line
+    scans = [line for line in plan_of(detail).splitlines() if "post_text" in line and "Scan parquet" in line]
+    assert scans and all("Bucketed: true" in line for line in scans)

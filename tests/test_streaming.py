@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from rookery.operators import aggregates, changes, notices
 from rookery.streaming import activity, notices as notice_stream, scores as score_stream, votes as vote_stream
 
@@ -161,15 +163,13 @@ def test_a_batch_that_fails_half_way_counts_once(spark, rows, tmp_path, monkeypa
     tables = score_stream.ScoreTables(spark, str(tmp_path), first, ["seq"], buckets=1, width=10, author_buckets=1)
     score_stream.process_votes(tables, first, 0, lambda: posts)
 
-    def fail(*_):
+    def fail(rows, events):
         raise RuntimeError("lost")
 
     # The votes have taken the batch in, its figures have not.
-    monkeypatch.setattr(score_stream, "add_by", fail)
-    try:
+    monkeypatch.setattr(score_stream, "add_by", lambda key: fail)
+    with pytest.raises(RuntimeError):
         score_stream.process_votes(tables, second, 1, lambda: posts)
-    except RuntimeError:
-        pass
     monkeypatch.undo()
     assert tables.votes.versions()[-1] == 2 and tables.posts.versions()[-1] == 1
     score_stream.process_votes(tables, second, 1, lambda: posts)
