@@ -40,17 +40,28 @@ def build_session(app_name: str = "rookery", master: str | None = None, **extra:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's `spark.checkpoint.dir`.
+    """A new folder below the application's own in the session's `spark.checkpoint.dir`; `discard_work` deletes them all.
 
     Only a session whose one process is the whole cluster may lack that setting; its folder is
     temporary and removed at exit. Executors of a cluster could not see such a folder.
     """
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = _own_folder().name
-    return f"{base.rstrip('/')}/rookery/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rookery/{spark.sparkContext.applicationId}"
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Delete everything this application wrote below its work folder. Frames that read it cannot be used any more."""
+    delete_folder(spark, _application_dir(spark))
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        del _WRITTEN[key]
 
 
 @cache

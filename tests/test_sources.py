@@ -114,3 +114,18 @@ def test_tables_written_for_a_folder_follow_its_files(spark, tmp_path):
     before = folder_state(spark, str(tmp_path))
     spark.range(4).write.parquet(str(tmp_path / "b.parquet"))
     assert folder_state(spark, str(tmp_path)) != before == before
+
+
+def test_work_folders_are_deleted_at_once(spark, tmp_path, monkeypatch):
+    from rookery import session
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert session.work_dir(spark, "thing").startswith(f"{base}/rookery/{spark.sparkContext.applicationId}/thing-")
+    # As another application, so that the other tests keep their tables.
+    monkeypatch.setattr(session, "_application_dir", lambda spark: str(tmp_path / "work"))
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    one = session.written_folder(spark, ("x", "once"), lambda p: spark.range(2).write.parquet(p))
+    assert (tmp_path / "work").exists() and session.written_folder(spark, ("x", "once"), None) == one
+    session.discard_work(spark)
+    assert not (tmp_path / "work").exists()
+    assert session.written_folder(spark, ("x", "once"), lambda p: spark.range(2).write.parquet(p)) != one
