@@ -106,14 +106,26 @@ def _frequent(longest: int) -> Callable:
     return run
 
 
-def head_vocabulary(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int]]:
-    """CRC states of frequent words and buckets of frequent pairs, at most `HEAD` each."""
+def head_vocabulary(spark: SparkSession, docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int]]:
+    """CRC states of frequent words and buckets of frequent pairs, at most `HEAD` each.
+
+    Words are in by the magnitude (in bits) of their counts: as many magnitudes, from the highest, as `HEAD` has room for whole.
+    """
     counts = docs.select("text").mapInArrow(_frequent(longest), "size int, gram binary, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    counts = stored(spark, counts.withColumn("magnitude", F.floor(F.log2("n")).cast("int")), "frequent")
+    levels = counts.groupBy("size", "magnitude").count().collect()  # at most 64 for either size
     states: dict[bytes, int] = {}
     pairs: dict[tuple[bytes, bytes], int] = {}
     for size in range(1, longest + 1):
-        top = counts.where(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(HEAD).select("gram")
-        for row in top.collect():
+        least, total = None, 0
+        for level in sorted((r for r in levels if r.size == size), key=lambda r: -r.magnitude):
+            total += level["count"]
+            if total > HEAD:
+                break
+            least = level.magnitude
+        if least is None:
+            continue
+        for row in counts.where((F.col("size") == size) & (F.col("magnitude") >= least)).select("gram").collect():  # at most HEAD
             gram = bytes(row.gram)
             if size == 1:
                 states[gram] = zlib.crc32(gram)
@@ -180,7 +192,7 @@ def scored(spark: SparkSession, docs: DataFrame, target: DataFrame, longest: int
     """(doc_id, `more`, n_words, n_features, weight, score) of each row of `docs`."""
     if longest not in (1, 2):
         raise ValueError("features are words, or words and pairs: longest is 1 or 2")
-    head = spark.sparkContext.broadcast(head_vocabulary(docs, longest, buckets))
+    head = spark.sparkContext.broadcast(head_vocabulary(spark, docs, longest, buckets))
     gains = bucket_gains(bucket_totals(docs, head, longest, buckets), bucket_totals(target, head, longest, buckets))
     texts = docs.select("doc_id", *more, "text")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]

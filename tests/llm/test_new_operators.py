@@ -224,7 +224,7 @@ def test_importance_of_nothing(spark, docs):
 
 
 def test_head_is_bounded_and_its_states_go_on(spark, docs):
-    states, pairs = importance.head_vocabulary(docs((1, "to be or not to be " + "q" * 100), (2, "to go")), 2)
+    states, pairs = importance.head_vocabulary(spark, docs((1, "to be or not to be " + "q" * 100), (2, "to go")), 2)
     assert states == {w: zlib.crc32(w) for w in (b"to", b"be", b"or", b"not", b"go")}
     assert pairs[b"to", b"be"] == zlib.crc32(b"to be") % importance.BUCKETS
     known = importance.Head(states, {}, 97)
