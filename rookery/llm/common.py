@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import os
 import string
+from collections.abc import Callable
+from contextvars import ContextVar
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_dir
+from ..session import delete_folder, work_dir
 
 #: The white space that separates words and is ignored around lines.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: The folders written since `settled` began, while it runs.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """`frame` written to the shared folder and read back.
 
@@ -22,9 +29,27 @@ def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """
     path = work_dir(spark, f"llm-{name}")
     frame.write.parquet(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`make()` written and read back, with every table that was stored on the way deleted."""
+    outer = _passing.get()
+    token = _passing.set([])
+    try:
+        found = stored(spark, make(), name)
+        *gone, kept = _passing.get()
+        for path in gone:
+            delete_folder(spark, path)
+    finally:
+        _passing.reset(token)
+    if outer is not None:
+        outer.append(kept)
+    return found
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
@@ -67,25 +92,33 @@ def row_key(*parts: Column) -> Column:
     return F.concat_ws(":", *[p.cast("string") for p in parts])
 
 
-#: Bits in which rows are marked, and bits of one bitmap: a broadcast of at most 4 MB whatever the data.
-MARKS, MARKS_PER_MAP = 1 << 25, 1 << 15
+#: Bits per marked key, least and most bits of all bitmaps (a broadcast of at most 32 MB whatever the data), and bits of one bitmap.
+BITS_PER_KEY, LEAST_MARKS, MOST_MARKS, MARKS_PER_MAP = 16, 1 << 22, 1 << 28, 1 << 15
+
+
+@dataclass(frozen=True)
+class Marks:
+    """Bitmaps (map, bits) over the hashes of keys, and how many bits there are in all."""
+
+    bitmaps: DataFrame
+    bits: int
 
 
-def marks(spark: SparkSession, keys: DataFrame) -> DataFrame:
-    """(map, bits): a bitmap over the hashes of the one column of `keys`."""
-    number = F.pmod(F.xxhash64(keys.columns[0]), F.lit(MARKS))
-    bits = keys.select(F.floor(number / MARKS_PER_MAP).alias("map"), (number % MARKS_PER_MAP).alias("bit"))
-    return stored(spark, bits.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), "marks")
+def marks(spark: SparkSession, keys: DataFrame) -> Marks:
+    """The bitmaps of the one column of `keys`, sized by its rows. Beyond the most bits more other rows are marked, and nothing else changes."""
+    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (keys.count() * BITS_PER_KEY).bit_length()))
+    number = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
+    places = keys.select(F.floor(number / MARKS_PER_MAP).alias("map"), (number % MARKS_PER_MAP).alias("bit"))
+    return Marks(stored(spark, places.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), "marks"), bits)
 
 
-def marked(frame: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
+def marked(frame: DataFrame, key: str, known: Marks) -> DataFrame:
     """`frame` with a column `__marked`: whether the row's key may be among the marked ones.
 
     Rows that are not marked need no exact join, and where that join carries texts, theirs are not shuffled.
     """
-    number = F.pmod(F.xxhash64(key), F.lit(MARKS))
-    rows = frame.withColumn("__number", number)
-    maps = F.broadcast(bitmaps.withColumnRenamed("map", "__map").withColumnRenamed("bits", "__bits"))
+    rows = frame.withColumn("__number", F.pmod(F.xxhash64(key), F.lit(known.bits)))
+    maps = F.broadcast(known.bitmaps.toDF("__map", "__bits"))
     rows = rows.join(maps, F.floor(F.col("__number") / MARKS_PER_MAP) == F.col("__map"), "left")
     place = (F.col("__number") % MARKS_PER_MAP).cast("int")
     byte = F.conv(F.hex(F.substr("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -3,13 +3,13 @@
 Each link ties a node `a` to a smaller node `b`. A large-star step passes every tie on to the least node that `b` itself is
 tied to; a small-star step ties each node, and the others it was tied to, to the least of them. Both keep the
 components, and rounds repeat until every node is tied to the smallest of its component, a number of rounds that grows with the
-logarithm of the longest chain. A node to which very many are tied is a hot key of the large-star join only; that
-join reads written tables, so adaptive execution splits it. Nothing is gathered on the driver but a count and a checksum.
+logarithm of the longest chain. A node to which very many are tied, or that is tied to very many, is a hot key of a join only; these
+joins read written tables, so adaptive execution splits it. Nothing is gathered on the driver but a count and a checksum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -17,8 +17,10 @@ from .common import stored
 
 def _round(spark: SparkSession, ties: DataFrame) -> DataFrame:
     least = stored(spark, ties.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least")), "least")
-    large = ties.join(least, F.col("b") == F.col("of"), "left").select("a", F.coalesce("least", "b").alias("b"))
-    small = large.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    large = stored(spark, ties.join(least, F.col("b") == F.col("of"), "left").select("a", F.coalesce("least", "b").alias("b")), "large")
+    # A node may be tied to very many: its least is summed up first and joined back.
+    smallest = stored(spark, large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least")), "smallest")
+    small = large.join(smallest, F.col("a") == F.col("of"))
     return small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("t")).select("t.*").where("a != b").distinct()
 
 

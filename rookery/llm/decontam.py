@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, filled, marked, marks, row_key, stored
+from .common import alnum_words, filled, marked, marks, row_key, settled, stored
 
 #: Words in a window, and in what is hashed of it.
 WINDOW = 10
@@ -153,8 +153,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with all columns, without the documents that hold a benchmark window."""
-    _, matches = matched_windows(spark, docs, benchmark)
-    bad = stored(spark, matches.select(F.col("key").alias("__key")).distinct(), "contaminated")
+    bad = settled(spark, lambda: matched_windows(spark, docs, benchmark)[1].select(F.col("key").alias("__key")).distinct(), "contaminated")
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.xxhash64("text")))
     keyed = marked(keyed, "__key", marks(spark, bad))
     clean = keyed.where("NOT __marked").unionByName(keyed.where("__marked").join(bad, "__key", "left_anti"))

@@ -3,8 +3,8 @@
 Texts are equal when identical without white space. Rows are first told apart by the length of
 that normalised text, then by a hash of its beginning, and only rows that still share both are grouped by
 the SHA-256 of the whole. Every level reads and shuffles only the rows that the one before left.
-The text is read once: the scan leaves one narrow row per document, and no text is shuffled. The digest is
-taken in that scan, because the result names it for every row and a second read would cost more.
+`exact_duplicates` names the digest of every row, kept or not, so it takes it in the one scan that leaves a narrow row per document;
+`drop_exact_duplicates` digests only what shares length and prefix with another row. No text is shuffled but, where rows are dropped, theirs.
 
 Counts and keepers are aggregated before they are shuffled, so a group that holds a third of all rows is
 one row per map task; the joins back to the rows read written tables, so adaptive execution can split hot keys.
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, filled, marked, marks, row_key, same, stored
+from .common import SPACES, filled, marked, marks, same, stored
 
 #: Code points of the normalised text whose hash makes the second level.
 PREFIX = 256
@@ -76,15 +76,18 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with all columns, and one row of each group of equal texts."""
-    found = exact_duplicates(spark, docs).where("group_size > 1")
-    found = found.groupBy(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).agg(F.count("*").alias("n"), F.max("kept").alias("keep"))
-    # Rows that go, or that repeat an id and a text; all other rows stay as they are.
-    found = stored(spark, found.where("n > 1 OR NOT keep").select("__key", "keep"), "repeated-rows")
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
-    keyed = marked(keyed, "__key", marks(spark, found.select("__key")))
-    some = keyed.where("__marked").join(found, "__key", "left").where(F.coalesce("keep", F.lit(True)))
-    # Rows that repeat an id and a text come together in that join already.
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc(F.length("text"))))
-    some = some.withColumn("__turn", turn).where("__turn = 1")
-    return keyed.where("NOT __marked").select(*docs.columns).unionByName(some.select(*docs.columns))
+    """`docs` with all columns, and one row of each group of equal texts.
+
+    Lengths and prefix hashes are taken in a first read; whole texts are digested in the second, and only those that share both.
+    """
+    norm = normalised(F.col("text"))
+    level = F.concat_ws(":", F.length(norm).cast("string"), F.xxhash64(F.left(norm, F.lit(PREFIX))).cast("string"))
+    counts = docs.select(level.alias("__level")).groupBy("__level").agg(F.count("*").alias("n"))
+    shared = stored(spark, counts.where("n > 1").select("__level"), "shared-lengths-and-prefixes")
+    rows = marked(docs.withColumn("__level", level), "__level", marks(spark, shared))
+    alike = rows.where("__marked").select(*docs.columns, F.sha2(norm, 256).alias("__sha"), F.monotonically_increasing_id().alias("__place"))
+    alike = stored(spark, alike, "alike")
+    first = F.min(F.struct(-F.length(filled("text")), F.col("doc_id").isNull(), F.col("doc_id"), F.col("__place").alias("place")))
+    kept = alike.groupBy("__sha").agg(first.alias("first")).select(F.col("first.place").alias("__place"))
+    kept = alike.join(stored(spark, kept, "kept"), "__place", "left_semi")
+    return rows.where("NOT __marked").select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -1,5 +1,7 @@
 import pytest
 
+#: Names that operators use inside.
+CLASHING = ("keep", "kept", "n", "count", "map", "bits", "bit", "of", "component", "words", "node", "place", "bucket", "first", "level", "turn", "score", "start", "end", "n_words", "fingerprint")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -8,8 +10,8 @@ def docs(spark):
     """A documents table with columns whose names operators use inside, from (doc_id, text) or (doc_id, text, source)."""
 
     def make(*rows):
-        data = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", None if r[1] is None else len(r[1]), "x", 1) for r in rows]
-        return spark.createDataFrame(data, DOCS + ", key string, size int")
+        data = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", None if r[1] is None else len(r[1]), "x", 1, *["y"] * len(CLASHING)) for r in rows]
+        return spark.createDataFrame(data, DOCS + ", key string, size int, " + ", ".join(f"`{n}` string" for n in CLASHING))
 
     return make
 

@@ -68,6 +68,12 @@ def test_token_counts_equal_the_library(spark, texts):
         assert (found[i].n_bytes, found[i].n_tokens, found[i].over_limit) == (len(text.encode()), n, n > 512)
 
 
+def shingles(text):
+    words = text.lower().split()
+    size = min(5, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
 def plain_simhash(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -130,9 +136,11 @@ def test_pipeline_stages(spark, duck, texts):
                 groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
             assert ids == {min(g)[1] for g in groups.values()}
         elif name == "simhash near-dedup":
-            prints = {i: plain_simhash(t) for i, t in was.items()}
-            gone = {i for i in was if any(j < i and (prints[i] ^ prints[j]).bit_count() <= 3 for j in was)}
-            assert gone >= set(was) - ids and all(any(i != j and (prints[i] ^ prints[j]).bit_count() <= 3 for j in was) for i in set(was) - ids)
+            sets = {i: shingles(t) for i, t in was.items()}
+            close = [(i, j) for i in was for j in was if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+            # Only near copies of others go, never the smallest of a group, and of nine pairs in ten one.
+            assert set(was) - ids <= {j for _, j in close}
+            assert close and sum(not {i, j} <= ids for i, j in close) >= 0.9 * len(close)
         elif name == "benchmark decontamination":
             con = duckdb.connect()
             con.register("documents", after.toPandas())
