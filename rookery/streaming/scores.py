@@ -90,7 +90,7 @@ class ScoreTables:
         ]
         # None needs another's result, so their jobs run side by side.
         with ThreadPoolExecutor(len(merges)) as pool:
-            jobs = [pool.submit(inheritable_thread_target(table.merge), events, change, version) for table, events, change in merges]
+            jobs = [pool.submit(inheritable_thread_target(self.spark)(table.merge), events, change, version) for table, events, change in merges]
         for job in jobs:
             job.result()
 

@@ -23,11 +23,12 @@ def optimized(df):
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - STREAMS))
 def test_no_python_and_no_cartesian_product(spark, name):
-    plan = plan_of(queries()[name](spark, SF))
+    df = queries()[name](spark, SF)
+    plan = plan_of(df)
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|PythonUDF", plan)
     assert "CartesianProduct" not in plan
     # The only cross joins are with the one row that holds a total.
-    for line in re.findall(r"Join Cross.*", optimized(queries()[name](spark, SF))):
+    for line in re.findall(r"Join Cross.*", optimized(df)):
         assert "rightHint=(strategy=broadcast)" in line
 
 
