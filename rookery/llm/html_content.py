@@ -5,8 +5,8 @@ A naive Bayes classifier over what a block looks like (words, links, punctuation
 blocks whose surroundings leave no doubt, such as `article` and `nav`; at most about `FIT_PAGES` pages, chosen by a
 hash of their text, take part. Its log odds, with the surroundings' own weight, are the capacities to the
 two terminals; neighbours in page order and in the DOM are tied by smoothness edges, and the minimum cut
-separates content from boilerplate. Blocks whose own capacity outweighs all their ties are settled first, which
-changes no minimum; what remains goes through maximum flow.
+separates content from boilerplate. Blocks whose own capacity outweighs all their ties are settled first and blocks with one or two ties are
+taken out, which changes no minimum; what remains goes through maximum flow.
 
 Each page is one row of one task and no page is shuffled; the classifier is a table of a fixed number of features.
 
@@ -324,7 +324,12 @@ def _ties(found: list[Block]) -> list[dict[int, float]]:
 
 
 def minimum_cut(capacity: list[float], ties: list[dict[int, float]]) -> list[bool]:
-    """Which nodes are on the side of the positive terminal in a minimum cut."""
+    """Which nodes are on the side of the positive terminal in a minimum cut.
+
+    Nodes that outweigh their ties are settled first. A node with one or two ties is then taken out: the cost of its better side, given
+    its neighbours' sides, is again a capacity of each and a tie between them. Blocks tied in page order and to their siblings vanish
+    that way one by one, in time linear in their number; a maximum flow settles what is tied more closely.
+    """
     side: list[bool | None] = [None] * len(capacity)
     own = list(capacity)
     left = [dict(t) for t in ties]
@@ -338,9 +343,47 @@ def minimum_cut(capacity: list[float], ties: list[dict[int, float]]) -> list[boo
             own[j] += weight if side[i] else -weight
             del left[j][i]
             queue.append(j)
-    rest = [i for i, s in enumerate(side) if s is None]
+    taken = _take_out(own, left, side)
+    _settle_by_flow(own, left, side, {i for i, _, _ in taken})
+    for i, value, around in reversed(taken):
+        yes = -value + sum(w for j, w in around if not side[j])
+        side[i] = yes < sum(w for j, w in around if side[j])
+    return [bool(s) for s in side]
+
+
+def _take_out(own: list[float], left: list[dict[int, float]], side: list[bool | None]) -> list[tuple[int, float, list[tuple[int, float]]]]:
+    """Takes nodes with at most two ties out of `own` and `left`; returns each with its capacity and ties at that time."""
+    taken, gone = [], [s is not None for s in side]
+    queue = deque(i for i, s in enumerate(side) if s is None and len(left[i]) <= 2)
+    while queue:
+        i = queue.popleft()
+        if gone[i] or len(left[i]) > 2:
+            continue
+        gone[i] = True
+        around = list(left[i].items())
+        taken.append((i, own[i], around))
+        for j, _ in around:
+            del left[j][i]
+        if around:
+            c = own[i]
+            (u, p), (v, q) = around if len(around) == 2 else (around[0], (-1, 0.0))
+            # What the node costs at best for the sides of u and v.
+            none, first, second, both = min(0.0, p + q - c), min(p, q - c), min(q, p - c), min(p + q, -c)
+            bend = first + second - none - both  # never below 0
+            own[u] -= first - none - bend / 2
+            if v >= 0:
+                own[v] -= second - none - bend / 2
+                if bend > 0:
+                    left[u][v] = left[v][u] = left[u].get(v, 0.0) + bend / 2
+            queue.extend(j for j, _ in around if len(left[j]) <= 2)
+    return taken
+
+
+def _settle_by_flow(own: list[float], left: list[dict[int, float]], side: list[bool | None], taken: set[int]) -> None:
+    """Settles the nodes that remain, by blocking flows from the positive terminal to the negative one."""
+    rest = [i for i, s in enumerate(side) if s is None and i not in taken]
     if not rest:
-        return [bool(s) for s in side]
+        return
     source, sink = -1, -2
     flow: dict[int, dict[int, float]] = {i: dict(left[i]) for i in rest}
     flow[source], flow[sink] = {}, {}
@@ -349,23 +392,35 @@ def minimum_cut(capacity: list[float], ties: list[dict[int, float]]) -> list[boo
         flow[a][b] = abs(own[i])
         flow[b].setdefault(a, 0.0)
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             a = queue.popleft()
             for b, room in flow[a].items():
-                if room > 1e-9 and b not in came:
-                    came[b] = a
+                if room > 1e-9 and b not in level:
+                    level[b] = level[a] + 1
                     queue.append(b)
-        if sink not in came:
-            return [i in came if s is None else s for i, s in enumerate(side)]
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        room = min(flow[a][b] for a, b in path)
-        for a, b in path:
-            flow[a][b] -= room
-            flow[b][a] = flow[b].get(a, 0.0) + room
+        if sink not in level:
+            break
+        ahead = {a: [b for b in flow[a] if level.get(b) == level[a] + 1] for a in level}
+        path = [source]
+        while path:
+            a = path[-1]
+            if a == sink:
+                room = min(flow[x][y] for x, y in zip(path, path[1:]))
+                for x, y in zip(path, path[1:]):
+                    flow[x][y] -= room
+                    flow[y][x] = flow[y].get(x, 0.0) + room
+                path = [source]
+            elif ahead[a] and flow[a][ahead[a][-1]] > 1e-9:
+                path.append(ahead[a][-1])
+            elif ahead[a]:
+                ahead[a].pop()
+            else:  # nothing goes on from here
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
+    for i in rest:
+        side[i] = i in level
 
 
 def main_text(page: str, odds: dict[str, float]) -> str:
