@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame operations only.
 
-A text's blocks are its windows of 64 words, a new one every 32 words, so every passage of up to 32 words
-lies in a block whole. A block matches a template when it holds at least `CONTAINMENT` of the template's distinct words.
+Templates of up to 32 words are looked for in blocks of 64 words, a new one every 32, so every passage of their length
+lies in a block whole; longer templates, whole licence texts among them, in blocks of their own, as long as the next power of two asks for. A block
+matches a template when it holds at least `CONTAINMENT` of the template's distinct words.
 The words of all templates are counted over the whole corpus and put in order of that frequency, the rarest
 first; words outside the templates' vocabulary can add to no overlap and are left out of the sets.
 
@@ -11,7 +12,7 @@ first; words outside the templates' vocabulary can add to no overlap and are lef
 * positional filter: what follows a shared word in the two orders must be enough for `need`.
 
 What passes is verified by intersecting the sets. Blocks are built inside their document's row, so only matches are shuffled, and
-the templates are parameters, which bounds all that is broadcast.
+the templates are parameters (`NOTICES` unless others are given), which bounds all that is broadcast.
 
 The three base phrases are templates too. Their places are found in the matched blocks word by word, each place in
 the block in whose first half it starts. The other templates add labels of their own.
@@ -24,6 +25,8 @@ empty result.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +35,13 @@ from .common import alnum_words, filled, row_key, stored
 
 #: Least part of a template's distinct words that a block holds.
 CONTAINMENT = 0.8
-BLOCK, STEP = 64, 32
+#: Words between the starts of blocks, at least; a block is twice as long.
+STEP = 32
 
 #: Base phrases and their labels.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: Notices of at most `STEP` words, with the labels they add.
+#: Notices with the labels they add.
 NOTICES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -52,16 +56,31 @@ NOTICES = {
 }
 
 
-def templates() -> list[tuple[str, str, list[str]]]:
-    """(kind, label, words) of every template."""
-    return [("base", k, v.split()) for k, v in PHRASES.items()] + [("notice", k, v.split()) for k, v in NOTICES.items()]
+Template = tuple[str, str, list[str]]
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text, as the scan takes them."""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def templates(notices: Mapping[str, str] = NOTICES) -> list[Template]:
+    """(kind, label, words) of every template that has words: the base phrases and the notices."""
+    found = [("base", k, plain_words(v)) for k, v in PHRASES.items()] + [("notice", k, plain_words(v)) for k, v in notices.items()]
+    return [t for t in found if t[2]]
+
+
+def step_of(words: list[str]) -> int:
+    """Words between the blocks in which a template is looked for."""
+    return max(STEP, 1 << (len(words) - 1).bit_length())
 
 
 def _need(n: int) -> int:
     return math.ceil(CONTAINMENT * n - 1e-9)
 
 
-def _vocabulary(docs: DataFrame, found: list[tuple[str, str, list[str]]]) -> list[str]:
+def _vocabulary(docs: DataFrame, found: list[Template]) -> list[str]:
     """The templates' words, the rarest in the corpus first."""
     words = sorted({w for _, _, t in found for w in t})
     counts = docs.select(F.explode(alnum_words(filled("text"))).alias("word")).where(F.col("word").isin(words))
@@ -73,50 +92,59 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _template_table(spark: SparkSession, found: list[tuple[str, str, list[str]]], order: list[str]) -> DataFrame:
-    """(token, i, n, need, kind, label, phrase, tokens): one row per prefix token of each template."""
+def _template_table(spark: SparkSession, found: list[Template], order: list[str]) -> DataFrame:
+    """(step, token, i, n, need, kind, label, phrase, tokens): one row per prefix token of each template."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for kind, label, words in found:
         tokens = sorted(set(words), key=rank.__getitem__)
         n, need = len(tokens), _need(len(tokens))
         for i, token in enumerate(tokens[: n - need + 1]):
-            rows.append(F.struct(F.lit(token).alias("token"), F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(need).alias("need"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), _strings(words).alias("phrase"), _strings(tokens).alias("template")))
+            rows.append(F.struct(F.lit(step_of(words)).alias("step"), F.lit(token).alias("token"), F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(need).alias("need"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), _strings(words).alias("phrase"), _strings(tokens).alias("template")))
     return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
 
-def _blocks(docs: DataFrame, order: list[str], prefix: list[str]) -> DataFrame:
-    """(key, doc_id, n_words, blocks): the blocks with a prefix token, each with its words and its set in global order."""
+def _blocks(docs: DataFrame, order: list[str], prefixes: dict[int, list[str]]) -> DataFrame:
+    """(key, doc_id, n_words, blocks): the blocks with a prefix token of their step's templates, each with its words and its set in global order."""
     each = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "doc_id", alnum_words(filled("text")).alias("words"))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(prefix))
-    numbers = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), F.floor(p / STEP).cast("int") - 1), F.floor(p / STEP).cast("int")))))
 
-    def block(b: Column) -> Column:
-        words = F.slice("words", b * STEP + 1, BLOCK)
-        return F.struct(b.alias("block"), words.alias("words"), F.array_intersect(_strings(order), words).alias("tokens"))
+    def of_step(step: int) -> Column:
+        prefix = prefixes[step]
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(prefix))
+        numbers = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), F.floor(p / step).cast("int") - 1), F.floor(p / step).cast("int")))))
+
+        def block(b: Column) -> Column:
+            words = F.slice("words", b * step + 1, 2 * step)
+            return F.struct(F.lit(step).alias("step"), b.alias("block"), words.alias("words"), F.array_intersect(_strings(order), words).alias("tokens"))
 
-    hit = F.arrays_overlap("words", _strings(prefix))
-    blocks = F.when(hit, F.transform(numbers, block))
+        return F.when(F.arrays_overlap("words", _strings(prefix)), F.transform(numbers, block))
+
+    steps = [of_step(step) for step in sorted(prefixes)]
+    blocks = steps[0] if len(steps) == 1 else F.flatten(F.array_compact(F.array(*steps)))
     return each.select("key", "doc_id", F.size("words").cast("long").alias("n_words"), blocks.alias("blocks"))
 
 
-def scan(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, docs: DataFrame, notices: Mapping[str, str] = NOTICES) -> tuple[DataFrame, DataFrame]:
     """Each document's (key, doc_id, n_words), and its matches (key, block, kind, label, containment, n_places, first, last)."""
-    found = templates()
+    found = templates(notices)
     order = _vocabulary(docs, found)
     table = _template_table(spark, found, order)
     rank = {w: i for i, w in enumerate(order)}
-    prefix = sorted({w for _, _, t in found for w in sorted(set(t), key=rank.__getitem__)[: len(set(t)) - _need(len(set(t))) + 1]})
-    each = stored(spark, _blocks(docs, order, prefix), "license-blocks")
+    prefixes: dict[int, set[str]] = {}
+    for _, _, words in found:
+        tokens = sorted(set(words), key=rank.__getitem__)
+        prefixes.setdefault(step_of(words), set()).update(tokens[: len(tokens) - _need(len(tokens)) + 1])
+    each = stored(spark, _blocks(docs, order, {step: sorted(words) for step, words in prefixes.items()}), "license-blocks")
 
-    blocks = each.where("blocks IS NOT NULL").select("key", F.explode("blocks").alias("b")).select("key", "b.*").dropDuplicates(["key", "block"])
-    tokens = blocks.select("key", "block", "words", "tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("j", "token"))
+    blocks = each.where("blocks IS NOT NULL").select("key", F.explode("blocks").alias("b")).select("key", "b.*").dropDuplicates(["key", "step", "block"])
+    tokens = blocks.select("key", "step", "block", "words", "tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("j", "token"))
     left = F.least(F.col("n") - F.col("i"), F.col("size") - F.col("j"))
-    candidates = tokens.join(F.broadcast(table), "token").where((F.col("size") >= F.col("need")) & (F.col("j") <= F.col("size") - F.col("need")) & (left >= F.col("need")))
+    candidates = tokens.join(F.broadcast(table), ["step", "token"]).where((F.col("size") >= F.col("need")) & (F.col("j") <= F.col("size") - F.col("need")) & (left >= F.col("need")))
     shared = F.size(F.array_intersect("template", "tokens"))
     matches = candidates.where(shared >= F.col("need")).withColumn("containment", shared / F.col("n"))
     starts = F.sequence(F.lit(0), F.least(F.lit(STEP), F.size("words")) - 1)
     places = F.when(F.col("kind") == "base", F.filter(starts, lambda s: F.slice("words", s + 1, F.size("phrase")) == F.col("phrase"))).otherwise(F.array().cast("array<int>"))
+    # All base phrases are looked for in the shortest blocks.
     matches = matches.select("key", "block", "kind", "label", "containment", places.alias("places")).distinct()
     base = F.col("block").cast("long") * STEP
     return each.select("key", "doc_id", "n_words"), matches.select(
@@ -125,9 +153,9 @@ def scan(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def license_labels(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def license_labels(spark: SparkSession, docs: DataFrame, notices: Mapping[str, str] = NOTICES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document."""
-    each, matches = scan(spark, docs)
+    each, matches = scan(spark, docs, notices)
     is_place = F.col("n_places") > 0
     own = (F.col("kind") != "base") | is_place
     by_doc = matches.groupBy("key").agg(

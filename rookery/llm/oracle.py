@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from . import fill_middle, importance
-from .license_scan import BLOCK, CONTAINMENT, STEP, templates
+from .license_scan import CONTAINMENT, STEP, step_of, templates
 from .mixing import MOST, SEEDS, WEIGHTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,16 +49,21 @@ FROM tried JOIN seeds ON tried.seed = seeds.seed AND tried.source IS NOT DISTINC
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{kind}', '{label}', '{' '.join(words)}')" for kind, label, words in templates())
+    found = templates()
+    assert all(step_of(words) == STEP for _, _, words in found)  # one length of blocks
+    # Of a template's words a block may lack so many; one of one more is in every block that matches.
+    any_word = sorted({w for _, _, words in found for w in sorted(set(words))[: len(set(words)) - math.ceil(CONTAINMENT * len(set(words)) - 1e-9) + 1]})
+    needed = ", ".join(f"'{w}'" for w in any_word)
+    values = ", ".join(f"('{kind}', '{label}', '{' '.join(words)}')" for kind, label, words in found)
     return rf"""
 WITH worded AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
 templates AS (SELECT kind, label, string_split(phrase, ' ') AS phrase, list_distinct(string_split(phrase, ' ')) AS tokens FROM (VALUES {values}) v(kind, label, phrase)),
 numbered AS (SELECT rid, words, unnest(range(0, len(words), {STEP})) AS first FROM worded),
-blocks AS (SELECT rid, first, words[first + 1:first + {BLOCK}] AS words FROM numbered),
+blocks AS (SELECT rid, first, words[first + 1:first + {2 * STEP}] AS words FROM numbered),
 matched AS (
   SELECT rid, first, blocks.words, kind, label, phrase, len(list_intersect(tokens, blocks.words))::DOUBLE / len(tokens) AS containment
   FROM blocks, templates
-  WHERE list_has_any(blocks.words, ['license', 'licensed', 'reserved', 'redistribution', 'permission', 'terms'])
+  WHERE list_has_any(blocks.words, [{needed}])
     AND len(list_intersect(tokens, blocks.words))::DOUBLE / len(tokens) >= {CONTAINMENT}
 ), placed AS (
   SELECT *, CASE WHEN kind = 'base' THEN list_filter(range(0, least({STEP}, len(words))), lambda s: words[s + 1:s + len(phrase)] = phrase) ELSE []::BIGINT[] END AS places
