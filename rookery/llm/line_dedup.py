@@ -1,10 +1,10 @@
 """Line dedup with two Bloom filters.
 
-A first read sets one filter for line hashes seen once and one for those seen again. Both have a fixed size
-(`BITS` each, so what is merged and broadcast is bounded whatever the input); where they fill up, more lines
+A first read sets one filter for line hashes seen once and one for those seen again. Both are sized by a count of all lines,
+`BITS_PER_LINE` for each, up to `MOST_BITS`, so what is merged and broadcast is bounded whatever the input; where they fill up beyond that, more lines
 are suspected, and nothing else changes. A second read tests each line against the second filter, and only suspected lines
 go on: their SHA-256 is shuffled with the document's id to confirm that two documents hold it and
-to choose the smallest id. Of the texts, only those with suspected lines are written and joined with their lists of lines to drop.
+to choose the smallest id. Texts are read a third time, and only those that lose lines are joined with their lists of lines to drop.
 
 Each task merges its own filters; the parts of a filter meet by segment, streamed, so a merging task holds
 a segment or a few and not one filter per task. A line that a third of all documents hold is one row per map task
@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, filled, row_key, stored
+from .common import SPACES, filled, marked, marks, row_key, stored
 
 #: Lines whose key has fewer code points stay.
 LEAST_POINTS = 10
-#: Bits of each filter, bits set per line, and segments in which filters are merged.
-BITS = 1 << 26
+#: Bits of each filter per line of the input, its least and most bits (64 MB), bits set per line, and segments in which filters are merged.
+BITS_PER_LINE = 8
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 PROBES = 3
 SEGMENTS = 64
 
@@ -107,7 +108,14 @@ def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict({"segment": [s], "twice": [zlib.compress(twice, 1)]})
 
 
-def seen_twice(docs: DataFrame, bits: int = BITS) -> bytes:
+def filter_bits(docs: DataFrame) -> int:
+    """Bits of each filter for all lines of the texts."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = docs.agg(F.sum(breaks)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n_lines * BITS_PER_LINE).bit_length()))
+
+
+def seen_twice(docs: DataFrame, bits: int) -> bytes:
     """The filter of the line hashes that may be in two documents."""
     parts = docs.select("text").mapInArrow(_filters_of_task(bits), "segment long, once binary, twice binary")
     merged = parts.repartition(SEGMENTS, "segment").mapInArrow(_merge_segments, "segment long, twice binary")
@@ -122,13 +130,13 @@ def _suspects(filter_bytes, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(filter_bytes.value, np.uint8)
         for batch in batches:
-            per_text = [list(_keys(text)) for text in _texts(batch.column(2))]
+            per_text = [list(_keys(text)) for text in _texts(batch.column(1))]
             flat = [k for keys in per_text for k in keys]
             if not flat:
                 continue
             hit = iter(_has(bitmap, _places(flat, bits)).tolist())
             found = [[hashlib.sha256(k).digest() for k in keys if next(hit)] for keys in per_text]
-            out = batch.append_column("suspects", pa.array(found, pa.list_(pa.binary())))
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "suspects"])
             yield out.filter(pa.array([bool(f) for f in found]))
 
     return run
@@ -150,31 +158,31 @@ def _key() -> F.Column:
     return row_key(F.col("doc_id"), F.xxhash64("text"))
 
 
-def rewritten(spark: SparkSession, docs: DataFrame, bits: int = BITS) -> DataFrame:
+def rewritten(spark: SparkSession, docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(key, kept_text, n_dropped) of the documents that lose lines; `key` names the row."""
+    bits = bits or filter_bits(docs)
     twice = spark.sparkContext.broadcast(seen_twice(docs, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.where("doc_id IS NOT NULL").select(_key().alias("key"), "doc_id", "text")
-    suspected = known.mapInArrow(_suspects(twice, bits), f"key string, doc_id {kind}, text string, suspects array<binary>")
-    suspected = stored(spark, suspected, "suspects")
+    suspected = stored(spark, known.select("doc_id", "text").mapInArrow(_suspects(twice, bits), f"doc_id {kind}, suspects array<binary>"), "suspects")
     lines = suspected.select("doc_id", F.explode("suspects").alias("line"))
     repeated = lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = stored(spark, repeated.where("first != last").select("line", "first"), "repeated-lines")
     drops = lines.join(repeated, "line").where("doc_id != first").select("doc_id", "line")
-    drops = drops.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))  # at most a document's lines
-    losing = suspected.select("key", "doc_id", "text").join(drops, "doc_id").select("key", "text", "drops")
+    drops = stored(spark, drops.groupBy("doc_id").agg(F.collect_set("line").alias("drops")), "drops")  # at most a document's lines
+    losing = marked(known, "doc_id", marks(spark, drops.select("doc_id"))).where("__marked").join(drops, "doc_id").select("key", "text", "drops")
     kept = losing.mapInArrow(_rewrite, "key string, kept_text string, n_dropped long")
     return stored(spark, kept.dropDuplicates(["key"]), "rewritten")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, bits: int = BITS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, bits: int | None = None) -> DataFrame:
     """`docs` with all columns, without the lines that an earlier document holds."""
     new = rewritten(spark, docs, bits).select(F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
     text = F.when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
     return docs.withColumn("__key", _key()).join(new, "__key", "left").withColumn("text", text).select(*docs.columns)
 
 
-def line_counts(spark: SparkSession, docs: DataFrame, bits: int = BITS) -> DataFrame:
+def line_counts(spark: SparkSession, docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each document."""
     new = rewritten(spark, docs, bits).select(F.col("key").alias("of"), "n_dropped", F.sha2("kept_text", 256).alias("new_sha"))
     text = filled("text")

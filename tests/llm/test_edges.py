@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from rookery.llm import components, decontam, exact_dedup, html_content, license_scan, line_dedup, mixing, quality, simhash, token_counts
@@ -67,6 +68,63 @@ def test_license_places_and_notices(spark, docs, by_id):
     assert found[7].labels == "reserved"
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts_as_templates(spark, docs, by_id):
+    words = MIT_TEXT.split()
+    assert len(words) > 150
+    notices = {"mit-text": MIT_TEXT, "short": "all rights reserved", "empty": ""}
+    fill = lambda n: "x " * n
+    rows = [
+        (1, fill(333) + MIT_TEXT + fill(77)),
+        (2, fill(200) + " ".join(w for k, w in enumerate(words) if k % 12) + fill(9)),  # a twelfth of the words is missing
+        (3, " ".join(words[: len(words) // 2])),
+        (4, fill(20) + "All rights reserved. Apache License"),
+        (5, " ".join(w + " " + fill(6) for w in words)),  # far too thin
+    ]
+    found = by_id(license_scan.license_labels(spark, docs(*rows), notices))
+    assert {i: r.labels for i, r in found.items()} == {1: "mit-text", 2: "mit-text", 3: "", 4: "apache,short", 5: ""}
+    assert found[1].score == 1.0 and 0.8 <= found[2].score < 1.0
+    assert (found[4].n_base, found[4].first_word) == (1, 23)
+
+
+def test_scattered_notices_equal_plain_code(spark, docs, by_id):
+    """Also texts that share no run of words with a template."""
+    import random
+
+    draw = random.Random(21)
+    found_templates = license_scan.templates()
+    texts = {1: "under cc by nc 4 0", 2: "This work is under a Creative Commons attribution 4 0 international"}
+    for i in range(3, 150):
+        parts = []
+        for _ in range(draw.randrange(1, 4)):
+            words = list(draw.choice(found_templates)[2])
+            draw.shuffle(words)
+            parts += words[: draw.randrange(len(words) // 2, len(words) + 1)] + ["x"] * draw.randrange(60)
+        texts[i] = " ".join(parts)
+    found = by_id(license_scan.license_labels(spark, docs(*texts.items())))
+    for i, text in texts.items():
+        words = license_scan.plain_words(text)
+        labels, score = set(), 0.0
+        for first in range(0, max(1, len(words)), 32):
+            block = words[first : first + 64]
+            for kind, label, phrase in found_templates:
+                share = len(set(phrase) & set(block)) / len(set(phrase))
+                places = [s for s in range(min(32, len(block))) if block[s : s + len(phrase)] == phrase]
+                if share >= 0.8 and (kind != "base" or places):
+                    labels.add(label)
+                    score = max(score, share)
+        assert (found[i].labels, found[i].score) == (",".join(sorted(labels)), score), text
+
+
 def test_license_repeats_and_empty(spark, docs):
     row = (1, "the MIT license")
     assert [(r.n_base, r.labels) for r in license_scan.license_labels(spark, docs(row, row, (None, "mit license"))).collect()] == [(1, "mit")] * 3
@@ -120,7 +178,6 @@ def test_quality_learns_and_filters_with_all_columns(spark, docs):
 
 
 def test_statistics_do_not_depend_on_the_batch():
-    import numpy as np
     import pyarrow as pa
 
     texts = ["a b a", None, "", "é ü!\nline\nline\n", LONG[:3000], "To To To of"]
@@ -175,23 +232,9 @@ def test_simhash_blank_texts_repeats_and_null_ids(spark, docs):
     table = docs((5, None), (4, ""), (7, " \n"), (8, "one two"), (8, "one two"), (None, "one  TWO"), (9, LONG))
     found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, table).collect()}
     assert found == {(5, 4), (4, 4), (7, 4), (8, 8), (None, 8), (9, 9)}
-    left = simhash.drop_near_duplicates(spark, table)
-    assert left.columns == table.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 4, 8, 9]
     assert simhash.near_duplicates(spark, docs().limit(0)).count() == 0
 
 
-def test_near_duplicates_that_share_an_id(spark, docs):
-    words = [f"word{i}" for i in range(400)]
-    near = " ".join([*words[:399], "other"])
-    apart = "something else entirely, with words of its own " * 3
-    assert (simhash.fingerprint(" ".join(words).encode()) ^ simhash.fingerprint(near.encode())).bit_count() <= 3
-    # Two near copies under one id; a row of an id that is kept elsewhere, near a row with a smaller id.
-    rows = [(5, " ".join(words)), (5, near), (7, apart), (7, "one two"), (6, "One  two"), (3, "last of all"), (3, "last of all"), (3, "unlike that one")]
-    left = simhash.drop_near_duplicates(spark, docs(*rows)).collect()
-    assert sorted((r.doc_id, r.text) for r in left if r.doc_id != 5) == [(3, "last of all"), (3, "unlike that one"), (6, "One  two"), (7, apart)]
-    assert len([r for r in left if r.doc_id == 5]) == 1
-
-
 def test_links_lose_no_pair(spark):
     import random
 
@@ -244,6 +287,22 @@ def test_full_filters_change_nothing(spark, docs):
     assert sorted(small) == sorted(line_dedup.line_counts(spark, docs(*rows)).collect())
 
 
+def test_filters_are_sized_by_the_lines(spark, docs):
+    rows = [(i, "\n".join(f"line number {i * 1000 + k} of all" for k in range(100))) for i in range(3000)] + [(9000, None)]
+    table = docs(*rows)
+    bits = line_dedup.filter_bits(table)
+    assert bits == 1 << 22 and line_dedup.filter_bits(docs((1, None))) == line_dedup.LEAST_BITS == line_dedup.filter_bits(docs().limit(0))
+
+    def share(bits):
+        """Of all lines, which stand once, those that are suspected."""
+        bitmap = np.frombuffer(line_dedup.seen_twice(table, bits), np.uint8)
+        keys = [k for _, t in rows[:300] for k in line_dedup._keys(t.encode())]
+        return line_dedup._has(bitmap, line_dedup._places(keys, bits)).mean()
+
+    # A filter of a 64th of the size suspects all lines.
+    assert share(bits) < 0.1 and share(bits // 64) > 0.9
+
+
 def test_line_repeats_null_ids_and_empty(spark, docs):
     row = (1, "only in one document")
     found = line_dedup.line_counts(spark, docs(row, row, (None, row[1]), (None, row[1]))).collect()
@@ -302,8 +361,8 @@ def test_minimum_cut_equals_all_cuts():
     import random
 
     draw = random.Random(2)
-    for _ in range(200):
-        n = draw.randint(1, 7)
+    for _ in range(400):
+        n = draw.randint(1, 9)
         capacity = [draw.choice([-1, 1]) * draw.random() for _ in range(n)]
         ties = [{} for _ in range(n)]
         for a, b in itertools.combinations(range(n), 2):
@@ -318,6 +377,51 @@ def test_minimum_cut_equals_all_cuts():
         assert cost(html_content.minimum_cut(capacity, ties)) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("kind", ["tiny", "even", "mixed"])
+@pytest.mark.parametrize("shape", ["list", "nested", "dense"])
+def test_undecided_blocks_take_linear_time(kind, shape):
+    import random
+    import time
+
+    draw = random.Random(3)
+    n = 20_000 if shape != "dense" else 4_000
+    weight = {"tiny": lambda: draw.choice([-1, 1]) * 0.001, "even": lambda: draw.choice([-1, 1]) * 0.5, "mixed": lambda: draw.uniform(-1, 1)}[kind]
+    capacity = [weight() for _ in range(n)]
+    ties = [{} for _ in range(n)]
+
+    def tie(a, b, w):
+        ties[a][b] = ties[b][a] = w
+
+    for i in range(n - 1):
+        tie(i, i + 1, 0.6)
+    for i in range(n):
+        if shape == "nested" and i % 2 == 0 and i + 2 < n:
+            tie(i, i + 2, 0.4)
+        if shape == "dense":
+            for step in (2, 3):
+                if i + step < n:
+                    tie(i, i + step, 0.4)
+    started = time.time()
+    side = html_content.minimum_cut(capacity, ties)
+    assert len(side) == n and time.time() - started < (2 if shape != "dense" else 20)
+
+
+def test_classifier_and_cut_decide_where_no_tag_does(spark):
+    import re
+
+    duck = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    pages = [r.html for r in duck]
+    odds = html_content.train(spark.createDataFrame([(p,) for p in pages], "html string"))
+    # The same pages with nothing but plain elements without names.
+    bare = [re.sub(r"<(/?)(article|main|nav|header|footer|aside|section|form)\b[^>]*>", r"<\1div>", re.sub(r'\s(class|id|role)="[^"]*"', "", p)) for p in pages]
+    kept = lost = added = 0
+    for page, plain in zip(pages, bare):
+        article, found = html_content.main_text(page, odds).split(), html_content.main_text(plain, odds).split()
+        own, seen = set(article), set(found)
+        kept, lost, added = kept + len(own & seen), lost + len(own - seen), added + len(seen - own)
+    assert kept >= 0.9 * (kept + lost) and kept >= 0.8 * (kept + added), (kept, lost, added)
+
+
 def test_pages_null_broken_repeated_and_empty(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>a <b>b<br>c", "x"), (3, "u", "<p>a <b>b<br>c", "x"), (None, "u", "<article>" + "<p>w w w." * 5000, "x"), (4, "u", "1 < 2 &nbsp; & <unclosed", "x")]
