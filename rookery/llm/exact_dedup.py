@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, filled, marked, marks, same, stored
+from .common import SPACES, filled, marked, marks, stored
 
 #: Code points of the normalised text whose hash makes the second level.
 PREFIX = 256
@@ -50,27 +50,28 @@ def _shared(spark: SparkSession, rows: DataFrame, keys: list[str], name: str) ->
 
 
 def duplicate_groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(sha256, keep_id, group_size) of every text that more than one row has."""
+    """(sha256, keep_id, keep_place, group_size) of every text that more than one row has."""
     by_length = _shared(spark, rows, ["norm_length"], "same-length")
     by_prefix = _shared(spark, by_length, ["norm_length", "prefix_hash"], "same-prefix")
-    first = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id")))
+    first = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("place")))
     groups = by_prefix.groupBy("text_sha256").agg(F.count("*").alias("group_size"), first.alias("first"))
-    groups = groups.where("group_size > 1").select(F.col("text_sha256").alias("sha256"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    groups = groups.where("group_size > 1").select(
+        F.col("text_sha256").alias("sha256"), F.col("first.doc_id").alias("keep_id"), F.col("first.place").alias("keep_place"), "group_size"
+    )
     return stored(spark, groups, "equal-texts")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row, dropped ones too."""
-    rows = stored(spark, fingerprints(docs), "fingerprints")
+    rows = stored(spark, fingerprints(docs).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
     groups = duplicate_groups(spark, rows)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("points")))
-    each = rows.withColumn("turn", turn).join(groups, F.col("text_sha256") == F.col("sha256"), "left")
+    each = rows.join(groups, F.col("text_sha256") == F.col("sha256"), "left")
     keep = F.when(F.col("sha256").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return each.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (same(F.col("doc_id"), keep) & (F.col("turn") == 1)).alias("kept"),
+        (F.col("sha256").isNull() | (F.col("place") == F.col("keep_place"))).alias("kept"),
         "text_sha256",
     )
 
