@@ -23,6 +23,7 @@ def camp_wall(t: SocialTables, camp_id: int, name: str = "username", marts: Mart
     authors = spread_join(people, names, name, "user_id")
     facts = posts_in_camp(t.post_facts, camp_id)
     signed = spread_join(facts, authors, "user_id", "post_id", counted=facts)
-    # The text joins last, on the key of the votes, so that it is shuffled once.
-    texts = posts_in_camp(t.posts, camp_id).select("camp_id", "post_id", "post_text")
-    return votes_by_camp(signed, votes).join(texts, ["camp_id", "post_id"])
+    # The text joins last, on the key of the votes, so that it is shuffled once, or not at all where it is found later.
+    posts, finders = t.text_refs()
+    texts = posts_in_camp(posts, camp_id).select("camp_id", "post_id", *finders)
+    return t.add_text(votes_by_camp(signed, votes).join(texts, ["camp_id", "post_id"]))

@@ -144,16 +144,17 @@ def home_feed(
     else:
         shown = keyset_page(ids, k * page, cursor, by="user_id")
         feed = home_feed_ids(shown, edges, hot, k, page)
-    cards = _with_text(t, post_cards(t, marts, shown))
+    cards = _with_text_refs(t, post_cards(t, marts, shown))
     feed = feed.join(aggregates.viewer_vote(votes), ["viewer_id", "post_id"], "left")
     key = ["post_id", skew.SALT]
-    return (
+    shown_cards = (
         skew.one_salt(feed, "author_id", hot, "viewer_id")
         .drop("author_id")
         .join(skew.every_salt(cards, "user_id", hot), key)
         .drop(skew.SALT)
         .fillna(0, ["current_user_vote"])
     )
+    return t.add_text(shown_cards)
 
 
 def home_feed_cursors(feed: DataFrame) -> DataFrame:
@@ -161,13 +162,18 @@ def home_feed_cursors(feed: DataFrame) -> DataFrame:
     return feed.groupBy("viewer_id").agg(F.min("post_id").alias("cursor"))
 
 
-def _with_text(t: SocialTables, cards: DataFrame) -> DataFrame:
-    """Adds what a page shows of the post itself; text meets the ranked posts by post id only.
+def _with_text_refs(t: SocialTables, cards: DataFrame) -> DataFrame:
+    """Adds what a page shows of the post itself, and its text or what finds it; both meet the ranked posts by post id only.
 
     `media_id` comes along, by which `with_media` adds a page's photos.
     """
-    wanted = ("post_id", "camp_id", "reply_to_id", "media_id", "creation_time", "post_text")
-    return cards.join(root_posts(t.posts).select(*[c for c in wanted if c in t.posts.columns]), "post_id")
+    posts, finders = t.text_refs()
+    wanted = ("post_id", "camp_id", "reply_to_id", "media_id", "creation_time", *finders)
+    return cards.join(root_posts(posts).select(*[c for c in wanted if c in posts.columns]), "post_id")
+
+
+def _with_text(t: SocialTables, cards: DataFrame) -> DataFrame:
+    return t.add_text(_with_text_refs(t, cards))
 
 
 def profile_feed(
