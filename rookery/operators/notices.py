@@ -49,13 +49,13 @@ def reply_notifications(new_posts: DataFrame, posts: DataFrame) -> DataFrame:
 
 def mention_notifications(new_posts: DataFrame, users: DataFrame) -> DataFrame:
     """Tell every known user named with @handle, once per mention; refers to the new post."""
+    return notify_mentioned(new_posts.filter(F.col("post_text").contains("@")).withColumn("names", extract_mentions(F.col("post_text"))), users)
+
+
+def notify_mentioned(new_posts: DataFrame, users: DataFrame) -> DataFrame:
+    """`mention_notifications` of posts whose `names` are those they mention."""
     known = ids_by_handle(users, "_mentioned")
-    named = new_posts.filter(F.col("post_text").contains("@")).select(
-        "post_id",
-        "user_id",
-        "creation_time",
-        F.explode(extract_mentions(F.col("post_text"))).alias("_name"),
-    ).withColumn("_handle", F.lower("_name"))
+    named = new_posts.select("post_id", "user_id", "creation_time", F.explode("names").alias("_name")).withColumn("_handle", F.lower("_name"))
     return named.join(known, "_handle").select(
         F.col("_mentioned").alias("user_id"),
         F.col("user_id").alias("triggered_by_user_id"),

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.notices import follow_notifications, mention_notifications, reply_notifications
+from ..functions import extract_mentions
+from ..operators.notices import follow_notifications, notify_mentioned, reply_notifications
 from ..session import delete_folder, finished_versions
 
 _REPLY = ("post_id", "reply_to_id", "user_id", "creation_time")
@@ -68,14 +69,21 @@ def stream_post_notifications(
 ) -> StreamingQuery:
     """Reply and mention notifications of all waiting posts.
 
-    Each batch reads the posts in the range of its parents' ids only, and users only if it mentions any. Replies
+    Each batch reads its texts once, to write down the names they mention; then the posts in the range of its parents' ids
+    only, and users only if it mentions any. Replies
     wait for their parent for good, or until a reply `wait_days` newer has arrived.
     """
 
     def make(batch: DataFrame, batch_id: int) -> DataFrame:
-        mentions = batch.agg(F.count_if(F.col("post_text").contains("@"))).first()[0]
-        notices = _take_replies(batch, batch_id, posts, path, wait_days)
-        return notices.unionByName(mention_notifications(batch, users())) if mentions else notices
+        folder = f"{path}/read/batch_id={batch_id}"
+        batch.select(*_REPLY, extract_mentions(F.col("post_text")).alias("names")).write.mode("overwrite").parquet(folder)
+        for old in finished_versions(batch.sparkSession, f"{path}/read", "batch_id"):
+            if old != batch_id:
+                delete_folder(batch.sparkSession, f"{path}/read/batch_id={old}")
+        read = batch.sparkSession.read.parquet(folder)
+        mentions = read.agg(F.count_if(F.size("names") > 0)).first()[0]
+        notices = _take_replies(read, batch_id, posts, path, wait_days)
+        return notices.unionByName(notify_mentioned(read, users())) if mentions else notices
 
     return _start(new_posts, make, path, "posts")
 

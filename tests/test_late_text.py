@@ -61,3 +61,22 @@ def test_pages_are_those_of_plain_tables(spark, rows, social, page):
     expected = PAGES[page](joined, marts)
     found = rows(PAGES[page](late, marts), *expected.columns)
     assert found and found == rows(expected)
+
+
+def test_a_batch_of_posts_reads_its_texts_once(spark, social, tmp_path):
+    from rookery.streaming import notices
+
+    posts = social(posts=[{"post_id": i, "user_id": i % 3, "reply_to_id": i - 1 if i else None, "post_text": "hi @u1" if i % 2 else None} for i in range(20)]).posts
+    path = str(tmp_path / "s")
+    posts.drop("post_text").write.parquet(f"{path}/posts")
+    texts = posts.select(F.col("post_id").alias("k"), "post_text")
+    texts.write.parquet(f"{path}/texts")
+    stream = spark.readStream.schema(posts.drop("post_text").schema).parquet(f"{path}/posts")
+    joined = stream.join(spark.read.parquet(f"{path}/texts"), F.col("k") == F.col("post_id"))
+    users = social(users=[{"id": i, "handle": f"u{i}"} for i in range(3)]).users
+    notices.stream_post_notifications(joined, lambda: posts, lambda: users, path).awaitTermination()
+    # What is kept of a batch has the names and no text.
+    kept = spark.read.parquet(f"{path}/read")
+    assert "post_text" not in kept.columns and kept.count() == 20
+    found = notices.read_notices(spark, path)
+    assert found.count() == 19 + 10
