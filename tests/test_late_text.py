@@ -80,3 +80,13 @@ def test_a_batch_of_posts_reads_its_texts_once(spark, social, tmp_path):
     assert "post_text" not in kept.columns and kept.count() == 20
     found = notices.read_notices(spark, path)
     assert found.count() == 19 + 10
+
+
+def test_sorts_of_posts_grow_in_number(spark, social, tmp_path, monkeypatch):
+    from rookery.sources import tables
+
+    t = social(posts=[{"post_id": i, "post_text": "x"} for i in range(200)])
+    monkeypatch.setattr(tables, "POSTS_PER_TASK", 10)
+    tables.save_tables(t, str(tmp_path / "t"))
+    saved = spark.read.parquet(str(tmp_path / "t" / "posts"))
+    assert len(saved.inputFiles()) > 10 and saved.count() == 200
