@@ -82,6 +82,18 @@ def test_a_batch_of_posts_reads_its_texts_once(spark, social, tmp_path):
     assert found.count() == 19 + 10
 
 
+def test_tables_by_post_without_texts(spark, social, tmp_path):
+    from rookery.operators import joins
+    from rookery.sources import colocated
+
+    t = social(posts=[{"post_id": i, "user_id": 1, "post_text": "x"} for i in range(20)])
+    marts, path = Marts.from_tables(t), str(tmp_path / "by")
+    colocated.save_by_post(t, marts, "no_texts", path, 4, ("facts", "figures"))
+    loaded, figures = colocated.load_by_post(t, marts, "no_texts", texts=False)
+    assert joins.with_post_stats(loaded.post_facts, figures.figures).count() == 20
+    assert not (tmp_path / "by" / "texts").exists()
+
+
 def test_sorts_of_posts_grow_in_number(spark, social, tmp_path, monkeypatch):
     from rookery.sources import tables
 
