@@ -10,6 +10,8 @@ the least similarity, and does not grow with the documents.
 The two of a bucket that just two share are tied; where more do, all are tied to the least instead of emitting pairs. Ties are tested by all bits
 of the fingerprints, which leaves few that are not near copies, and these by the shingles themselves; what passes is joined to groups.
 
+Pairs that share no variant are found exactly, by the prefixes of their shingles (`missed_links`): every two near copies are in one group.
+
 Buckets are aggregated before they are shuffled, so a bucket that very many fingerprints share is one row per task. Only variants of buckets
 that more than two share are shuffled again, to be tied to their least; a bitmap tells them from the others, and the tables are written ones, so adaptive
 execution splits a hot bucket. Texts are read twice, the second time only where a tie has to be tested, and a third time to write the
@@ -100,17 +102,25 @@ def words_used(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return n
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of at least this similarity, each of `n` or other sizes, the first so many elements in any common order share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     return (t.as_py() or b"" for t in column.cast(pa.binary()))
 
 
-def _fingerprints(size: int) -> Callable:
+def _fingerprints(size: int, similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *others, texts = batch.columns
-            found = [fingerprint_words(shingle_hashes(t, size)) for t in _texts(texts)]
-            columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "words", "ends"])
+            found = []
+            for t in _texts(texts):
+                hashes = shingle_hashes(t, size)
+                found.append((*fingerprint_words(hashes), hashes[: prefix_length(len(hashes), similarity)].view(np.int64)))
+            columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "words", "ends", "prefix"])
 
     return run
 
@@ -154,12 +164,23 @@ def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, nodes: DataFr
     words = lambda name: nodes.select(F.col("node").alias(name), F.col("words").alias(f"words_{name}"))
     close = tied.join(words("a"), "a").join(words("b"), "b").where(_bits_apart("words_a", "words_b") <= most)
     close = stored(spark, close.select("a", "b"), "close-ties")
-    # The text of a node is that of its first row.
-    tested = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    return _alike(close, shingle_sets(spark, docs, prints, _ends_of(close), shingle), similarity)
+
+
+def _ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def shingle_sets(spark: SparkSession, docs: DataFrame, prints: DataFrame, tested: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes in `tested`; the text of a node is that of its first row."""
     keys = stored(spark, prints.join(tested, F.col("place") == F.col("node"), "left_semi").select("key", F.col("place").alias("node")), "tested")
     texts = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
     texts = marked(texts, "key", marks(spark, keys.select("key"))).where("__marked").join(keys, "key").dropDuplicates(["node"])
-    sets = stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>"), "shingles")
+    return stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>"), "shingles")
+
+
+def _alike(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are near copies by their shingles."""
     of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
     pairs = close.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -167,15 +188,50 @@ def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, nodes: DataFr
     return pairs.where(alike).select("a", "b")
 
 
+def missed_links(spark: SparkSession, docs: DataFrame, prints: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the groups of `groups` (node, component) that a pair of near copies links which shares no variant.
+
+    Exact, by prefixes: of two near copies the first shingles in any one order, a fifth of them, share one. First in order of the hashes, which needs no
+    counts and leaves the nodes that share one with another group. Then among these in order of how many have a shingle, where those that one
+    node alone has come first and need no bucket, and very frequent ones last. What shares a bucket across groups is tested.
+    """
+    first = prints.join(groups, F.col("place") == F.col("node"))
+    first = first.select("node", "component", F.explode("prefix").alias("token"))
+    spans = F.min("component") != F.max("component")
+    across = stored(spark, first.groupBy("token").agg(spans.alias("spans")).where("spans").select("token"), "tokens-across")
+    held = marked(first, "token", marks(spark, across)).where("__marked").join(across, "token", "left_semi")
+    nodes = stored(spark, held.select("node").distinct(), "nodes-across")
+    sets = shingle_sets(spark, docs, prints, nodes, shingle)
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    counts = stored(spark, each.groupBy("token").agg(F.count("*").alias("n_nodes")).where("n_nodes > 1"), "token-counts")
+    known = each.join(counts, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("n_nodes", "token"))).alias("shared"))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    taken = known.select("node", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("t"))
+    posted = stored(spark, taken.join(groups, "node").select("node", "component", "n", F.col("t.token").alias("token")), "postings")
+    open_tokens = stored(spark, posted.groupBy("token").agg(spans.alias("spans")).where("spans").select("token"), "open-tokens")
+    posted = stored(spark, posted.join(open_tokens, "token", "left_semi"), "open-postings")
+    side = lambda x: posted.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n")])
+    sized = (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & (F.col("n_b") >= F.col("n_a") * similarity - 1e-9)
+    met = side("a").join(side("b"), "token").where(F.col("component_a") > F.col("component_b")).where(sized)
+    close = stored(spark, met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "close-across")
+    found = _alike(close, sets, similarity)
+    of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    return found.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+
+
 def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(key, doc_id, place, component) of each row; `key` names its id and text, and `place` the row."""
     n = words_used(similarity, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "doc_id", F.monotonically_increasing_id().alias("place"), "text")
-    prints = stored(spark, rows.mapInArrow(_fingerprints(shingle), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>"), "fingerprints")
+    prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>"), "fingerprints")
     nodes = stored(spark, prints.groupBy("words", "ends").agg(F.min("place").alias("node")), "nodes")
     found = components(spark, links(spark, docs, prints, nodes, n, shingle, similarity))
-    of = nodes.join(found, "node", "left").select("words", "ends", F.coalesce("component", "node").alias("component"))
+    groups = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    groups = stored(spark, groups, "groups-by-variants")
+    joined = components(spark, missed_links(spark, docs, prints, groups, shingle, similarity))
+    joined = groups.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    of = nodes.join(joined, "node").select("words", "ends", "component")
     return prints.join(stored(spark, of, "node-components"), ["words", "ends"]).select("key", "doc_id", "place", "component")
 
 

@@ -102,3 +102,25 @@ def test_fingerprints_differ_as_much_as_the_sets():
         assert n or x == y
     assert len(near_copies.shingle_hashes(b"one two", 5)) == 1 and len(near_copies.shingle_hashes(b" \n", 5)) == 0
     assert near_copies.fingerprint_words(near_copies.shingle_hashes(b"", 5))[0] == [0] * near_copies.WORDS
+
+
+def test_no_link_at_the_threshold_is_left_out(spark, docs, monkeypatch):
+    """Groups are those of all pairs at the similarity, also where the variants find none, and with a passage that all have."""
+    draw = random.Random(23)
+    passage, texts = [f"p{i}" for i in range(14)], {}
+    for _ in range(50):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([30, 60, 200]))]
+        for _ in range(draw.randrange(1, 5)):
+            texts[len(texts)] = " ".join([*changed(words, draw.randrange(0, max(2, len(words) // 35)), draw), *passage])
+    sets = {i: shingles(t) for i, t in texts.items()}
+    least = {i: i for i in sets}
+    close = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    for _ in sets:
+        for a, b in close:
+            least[a] = least[b] = min(least[a], least[b])
+    for finds in (True, False):
+        if not finds:
+            monkeypatch.setattr(near_copies, "links", lambda spark, *_: spark.createDataFrame([], "a long, b long"))
+        found = {r.doc_id: r.component for r in near_copies.grouped(spark, docs(*texts.items())).collect()}
+        groups = {c: min(i for i in found if found[i] == c) for c in found.values()}
+        assert {i: groups[c] for i, c in found.items()} == least and len(close) > 30
