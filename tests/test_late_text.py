@@ -102,3 +102,15 @@ def test_sorts_of_posts_grow_in_number(spark, social, tmp_path, monkeypatch):
     tables.save_tables(t, str(tmp_path / "t"))
     saved = spark.read.parquet(str(tmp_path / "t" / "posts"))
     assert len(saved.inputFiles()) > 10 and saved.count() == 200
+
+
+def test_posts_without_a_text_do_not_arrive(spark):
+    s = StarSource(spark, "/root/testdata/sf0.001")
+    assert sorted(r.post_id for r in s.post_arrivals().collect()) == sorted(r.post_id for r in s.posts().select("post_id").collect())
+    few = s.read("documents").limit(0).select(F.col("doc_id"), "text")
+
+    class Empty(StarSource):
+        def read(self, name):
+            return few if name == "documents" else StarSource.read(self, name)
+
+    assert Empty(spark, "/root/testdata/sf0.001").post_refs().count() > 0 == Empty(spark, "/root/testdata/sf0.001").post_arrivals().count()
