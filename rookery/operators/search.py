@@ -16,6 +16,8 @@ from .ranking import top_k
 #: Characters of the longest gram.
 GRAM = 3
 NAMES = ("handle", "first_name")
+#: What the index holds of a user beside the gram: what a term is compared with and matches are ordered by.
+_INDEXED = "gram string, id bigint, handle string, first_name string, creation_time timestamp_ntz"
 
 
 def _runs_of(text: Column, n: int) -> Column:
@@ -44,9 +46,9 @@ def term_grams(pattern: Column) -> Column:
 
 
 def save_name_index(users: DataFrame, path: str) -> None:
-    """Write the index of all users below `path`: (gram, id) in order of the grams, and how many users have each gram."""
+    """Write the index of all users below `path`: each gram with the users that have it, in order of the grams, and how many these are."""
     grams = F.array_distinct(F.concat(*[name_grams(F.col(c)) for c in NAMES]))
-    rows = users.select("id", F.explode(grams).alias("gram")).select("gram", "id")
+    rows = users.select("id", *NAMES, "creation_time", F.explode(grams).alias("gram")).select("gram", "id", *NAMES, "creation_time")
     rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("errorifexists").parquet(f"{path}/grams")
     counts = users.sparkSession.read.schema("gram string, id bigint").parquet(f"{path}/grams").groupBy("gram").agg(F.count("*").alias("n"))
     counts.write.mode("errorifexists").parquet(f"{path}/counts")
@@ -54,13 +56,17 @@ def save_name_index(users: DataFrame, path: str) -> None:
 
 def load_name_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return (
-        spark.read.schema("gram string, id bigint").parquet(f"{path}/grams"),
+        spark.read.schema(_INDEXED).parquet(f"{path}/grams"),
         spark.read.schema("gram string, n bigint").parquet(f"{path}/counts"),
     )
 
 
 def search_users_indexed(users: DataFrame, terms: DataFrame, index: tuple[DataFrame, DataFrame], k: int | None = 50) -> DataFrame:
-    """`search_users` for every distinct `term` of a frame; column `term` tells which one matched. `k=None` gives all matches."""
+    """`search_users` for every distinct `term` of a frame; column `term` tells which one matched. `k=None` gives all matches.
+
+    Terms are compared with the names in the index, and each is cut to its k before users are joined: candidates, of which a frequent gram has
+    very many, are not shuffled.
+    """
     grams, counts = index
     asked = terms.select("term").distinct().withColumn("_pattern", term_pattern(F.col("term")))
     needed = asked.select("term", "_pattern", F.explode(term_grams(F.col("_pattern"))).alias("gram"))
@@ -69,9 +75,12 @@ def search_users_indexed(users: DataFrame, terms: DataFrame, index: tuple[DataFr
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_least")
     )
     wanted = rarest.filter(F.col("_least.n") > 0).select("term", "_pattern", F.col("_least.gram").alias("gram"))
-    candidates = grams.join(wanted, "gram").select("id", "term", "_pattern")
     matches = F.lit(False)
     for name in NAMES:
         matches = matches | F.coalesce(F.ilike(F.col(name), F.col("_pattern")), F.lit(False))
-    found = users.join(candidates, "id").filter(matches).drop("_pattern")
-    return found if k is None else top_k(found, ["term"], [F.col(c).asc() for c in _OLDEST], k)
+    oldest = [F.col(c).asc() for c in _OLDEST]
+    found = grams.join(wanted, "gram").filter(matches).select("term", "_pattern", *_OLDEST)
+    if k is not None:
+        found = top_k(found, ["term"], oldest, k)
+    found = users.join(found.select("id", "term", "_pattern"), "id").filter(matches).drop("_pattern")
+    return found if k is None else top_k(found, ["term"], oldest, k)
