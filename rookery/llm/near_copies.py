@@ -102,9 +102,13 @@ def words_used(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return n
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Of two sets of at least this similarity, each of `n` or other sizes, the first so many elements in any common order share one."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def prefix_length(n: int, similarity: float) -> tuple[int, int]:
+    """How many elements to take, first in any common order, of a set of `n`; and how many of them a set of at least this similarity has among its own."""
+    spare = lambda n: n - math.ceil(similarity * n - 1e-9)
+    if 2 * spare(n) + 1 > n:
+        return n, min(n, 1)
+    # The first k common elements are among the first spare + k of either set; the other set may be smaller.
+    return 2 * spare(n) + 1, spare(math.ceil(similarity * n - 1e-9)) + 1
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -118,9 +122,11 @@ def _fingerprints(size: int, similarity: float) -> Callable:
             found = []
             for t in _texts(texts):
                 hashes = shingle_hashes(t, size)
-                found.append((*fingerprint_words(hashes), hashes[: prefix_length(len(hashes), similarity)].view(np.int64)))
+                length, need = prefix_length(len(hashes), similarity)
+                found.append((*fingerprint_words(hashes), hashes[:length].view(np.int64), need))
             columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*others, *columns], names=[*batch.schema.names[:-1], "words", "ends", "prefix"])
+            needs = pa.array([f[3] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*others, *columns, needs], names=[*batch.schema.names[:-1], "words", "ends", "prefix", "need"])
 
     return run
 
@@ -191,20 +197,20 @@ def _alike(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def missed_links(spark: SparkSession, docs: DataFrame, prints: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): the groups of `groups` (node, component) that a pair of near copies links which shares no variant.
 
-    Exact, by prefixes: of two near copies the first shingles in any one order, a fifth of them, share one. First in order of the hashes, which needs no
-    counts and leaves the nodes that share one with another group. Then among these in order of how many have a shingle, where those that one
+    Exact, by prefixes: of two near copies the first shingles in any one order, two fifths of them, share some. First in order of the hashes, which needs no
+    counts and leaves the nodes that share enough of them with other groups. Then among these in order of how many have a shingle, where those that one
     node alone has come first and need no bucket, and very frequent ones last. What shares a bucket across groups is tested.
     """
     first = prints.join(groups, F.col("place") == F.col("node"))
-    first = first.select("node", "component", F.explode("prefix").alias("token"))
+    first = first.select("node", "component", "need", F.explode("prefix").alias("token"))
     spans = F.min("component") != F.max("component")
     across = stored(spark, first.groupBy("token").agg(spans.alias("spans")).where("spans").select("token"), "tokens-across")
     held = marked(first, "token", marks(spark, across)).where("__marked").join(across, "token", "left_semi")
-    nodes = stored(spark, held.select("node").distinct(), "nodes-across")
+    nodes = stored(spark, held.groupBy("node", "need").agg(F.count("*").alias("n")).where("n >= need").select("node"), "nodes-across")
     sets = shingle_sets(spark, docs, prints, nodes, shingle)
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     counts = stored(spark, each.groupBy("token").agg(F.count("*").alias("n_nodes")).where("n_nodes > 1"), "token-counts")
-    known = each.join(counts, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("n_nodes", "token"))).alias("shared"))
+    known = marked(each, "token", marks(spark, counts.select("token"))).where("__marked").join(counts, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("n_nodes", "token"))).alias("shared"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     taken = known.select("node", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("t"))
     posted = stored(spark, taken.join(groups, "node").select("node", "component", "n", F.col("t.token").alias("token")), "postings")
@@ -224,7 +230,7 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, simila
     n = words_used(similarity, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "doc_id", F.monotonically_increasing_id().alias("place"), "text")
-    prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>"), "fingerprints")
+    prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>, need long"), "fingerprints")
     nodes = stored(spark, prints.groupBy("words", "ends").agg(F.min("place").alias("node")), "nodes")
     found = components(spark, links(spark, docs, prints, nodes, n, shingle, similarity))
     groups = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -124,3 +124,14 @@ def test_no_link_at_the_threshold_is_left_out(spark, docs, monkeypatch):
         found = {r.doc_id: r.component for r in near_copies.grouped(spark, docs(*texts.items())).collect()}
         groups = {c: min(i for i in found if found[i] == c) for c in found.values()}
         assert {i: groups[c] for i, c in found.items()} == least and len(close) > 30
+
+
+def test_prefixes_share_what_they_need():
+    draw = random.Random(4)
+    for _ in range(3000):
+        t, n = draw.choice([0.3, 0.5, 0.8, 0.9]), draw.randrange(1, 60)
+        a = set(draw.sample(range(200), n))
+        b = set(draw.sample(sorted(a), draw.randrange(1, n + 1))) | set(draw.sample(range(200), draw.randrange(0, 4)))
+        if similarity(a, b) >= t:
+            (p, need), (q, _) = (near_copies.prefix_length(len(x), t) for x in (a, b))
+            assert len(set(sorted(a)[:p]) & set(sorted(b)[:q])) >= need >= 1
