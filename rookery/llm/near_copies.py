@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, marks, row_key, settled, stored
+from .common import batches_of, marked, marks, row_key, settled, stored
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -45,6 +45,8 @@ BITS, WORDS = 16, 12
 SLACK = 3.0
 #: Shingles taken at a time, to bound the memory for long texts.
 STEP = 1 << 14
+#: Texts that a worker is sent at a time, and of which it holds the shingles: a few MB each.
+BATCH_ROWS = 512
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,10 +125,12 @@ def _fingerprints(size: int, similarity: float) -> Callable:
             for t in _texts(texts):
                 hashes = shingle_hashes(t, size)
                 length, need = prefix_length(len(hashes), similarity)
-                found.append((*fingerprint_words(hashes), hashes[:length].view(np.int64), need))
+                # A copy: a part of the array would keep the whole of it.
+                found.append((*fingerprint_words(hashes), hashes[:length].copy().view(np.int64), need))
             columns = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(3)]
             needs = pa.array([f[3] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*others, *columns, needs], names=[*batch.schema.names[:-1], "words", "ends", "prefix", "need"])
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks with what it keeps
 
     return run
 
@@ -136,6 +140,7 @@ def _shingles(size: int) -> Callable:
         for batch in batches:
             found = [shingle_hashes(t, size).view(np.int64) for t in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -182,7 +187,8 @@ def shingle_sets(spark: SparkSession, docs: DataFrame, prints: DataFrame, tested
     keys = stored(spark, prints.join(tested, F.col("place") == F.col("node"), "left_semi").select("key", F.col("place").alias("node")), "tested")
     texts = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
     texts = marked(texts, "key", marks(spark, keys.select("key"))).where("__marked").join(keys, "key").dropDuplicates(["node"])
-    return stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>"), "shingles")
+    with batches_of(spark, BATCH_ROWS):
+        return stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>"), "shingles")
 
 
 def _alike(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -230,7 +236,8 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, simila
     n = words_used(similarity, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "doc_id", F.monotonically_increasing_id().alias("place"), "text")
-    prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>, need long"), "fingerprints")
+    with batches_of(spark, BATCH_ROWS):
+        prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>, need long"), "fingerprints")
     nodes = stored(spark, prints.groupBy("words", "ends").agg(F.min("place").alias("node")), "nodes")
     found = components(spark, links(spark, docs, prints, nodes, n, shingle, similarity))
     groups = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -287,6 +287,7 @@ def _kept(model: Model, place: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch_statistics(batch.column(place))) >= THRESHOLD))
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks with what it keeps
 
     return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from rookery.llm import near_copies
@@ -135,3 +136,22 @@ def test_prefixes_share_what_they_need():
         if similarity(a, b) >= t:
             (p, need), (q, _) = (near_copies.prefix_length(len(x), t) for x in (a, b))
             assert len(set(sorted(a)[:p]) & set(sorted(b)[:q])) >= need >= 1
+
+
+def test_workers_get_few_texts_at_a_time(spark, docs, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, stored = spark.conf.get(name), {}, near_copies.stored
+
+    def noted(spark, frame, table):
+        seen[table] = int(spark.conf.get(name))
+        return stored(spark, frame, table)
+
+    monkeypatch.setattr(near_copies, "stored", noted)
+    words = [f"word{i}" for i in range(400)]
+    table = docs(*((i, " ".join([*words[:399], f"other{i}"])) for i in range(20)))
+    assert [r.doc_id for r in near_copies.drop_near_copies(spark, table).collect()] == [0]
+    assert seen["fingerprints"] == seen["shingles"] == near_copies.BATCH_ROWS and seen["nodes"] == int(before)
+    assert spark.conf.get(name) == before
+    with near_copies.batches_of(spark, 3):
+        sizes = spark.range(0, 20, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["id"]) for b in batches), "id long")
+        assert max(r.id for r in sizes.collect()) == 3
