@@ -29,23 +29,32 @@ def id_bitmap(ids: DataFrame, column: str, bits: int) -> DataFrame:
     return places.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def may_match(df: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """The rows whose bit is set: all rows with a partner, and few others."""
+def with_hit(df: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """`df` with a column `_hit`: whether the row's bit is set. It is for all rows with a partner, and for few others."""
     pieces = F.broadcast(bitmap.toDF("_piece", "_bits"))
     rows = df.withColumn("_number", _number(F.col(column), bits))
-    rows = rows.join(pieces, F.floor(F.col("_number") / PIECE) == F.col("_piece"))
+    rows = rows.join(pieces, F.floor(F.col("_number") / PIECE) == F.col("_piece"), "left")
     place = (F.col("_number") % PIECE).cast("int")
     byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.filter(F.getbit(byte, place % 8) == 1).drop("_number", "_piece", "_bits")
+    return rows.withColumn("_hit", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("_number", "_piece", "_bits")
+
+
+def may_match(df: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose bit is set: all rows with a partner, and few others."""
+    return with_hit(df, column, bitmap, bits).filter("_hit").drop("_hit")
+
+
+def bitmap_bits(n: int, most_bits: int = MOST_BITS, least_bits: int = BITS_PER_ID) -> int | None:
+    """The bits of a bitmap of `n` ids, or None where it would have fewer than `least_bits` for each."""
+    if n * least_bits > most_bits:
+        return None
+    return min(max(PIECE, 1 << max(n * BITS_PER_ID - 1, 1).bit_length()), max(PIECE, most_bits))
 
 
-def restrict_by_bitmap(df: DataFrame, ids: DataFrame, column: str, most_bits: int = MOST_BITS) -> DataFrame:
-    """`df` without the rows that surely have no partner in `ids`; counts the ids first."""
+def restrict_by_bitmap(df: DataFrame, ids: DataFrame, column: str, most_bits: int = MOST_BITS, least_bits: int = BITS_PER_ID) -> DataFrame:
+    """`df` without the rows that surely have no partner in `ids`; counts the ids first. With fewer than `least_bits` bits for each id there is no bitmap."""
     kind = df.schema[column].dataType
     # Equal ids of different types hash differently.
     known = ids.select(F.col(column).cast(kind).alias(column)).filter(F.col(column).isNotNull())
-    bits = known.count() * BITS_PER_ID
-    if bits > most_bits:
-        return df
-    bits = max(PIECE, 1 << max(bits - 1, 1).bit_length())
-    return may_match(df, column, id_bitmap(known, column, bits), bits)
+    bits = bitmap_bits(known.count(), most_bits, least_bits)
+    return df if bits is None else may_match(df, column, id_bitmap(known, column, bits), bits)

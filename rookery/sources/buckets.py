@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.prefilter import bitmap_bits, id_bitmap, with_hit
 from ..session import delete_folder, finished_versions
 
 Change = Callable[[DataFrame, DataFrame], DataFrame]
@@ -38,12 +39,15 @@ class BucketedTable:
     near: str | None = None
     width: int = 1
 
-    def bucket(self, keys: Sequence[str] | None = None) -> Column:
-        """The bucket of a row; `keys` are the names of its key columns where they differ."""
+    def _typed(self, keys: Sequence[str] | None = None) -> dict[str, Column]:
         names = dict(zip(self.keys, keys or self.keys))
         types = {f.name: f.dataType for f in StructType.fromDDL(self.schema)}
         # Equal keys of different types hash differently.
-        typed = {k: F.col(n).cast(types[k]) for k, n in names.items()}
+        return {k: F.col(n).cast(types[k]) for k, n in names.items()}
+
+    def bucket(self, keys: Sequence[str] | None = None) -> Column:
+        """The bucket of a row; `keys` are the names of its key columns where they differ."""
+        typed = self._typed(keys)
         number = F.pmod(F.xxhash64(*typed.values()), F.lit(self.buckets))
         if self.near:
             number = F.coalesce(F.floor(typed[self.near] / self.width), F.lit(0)) * self.buckets + number
@@ -77,29 +81,62 @@ class BucketedTable:
             raise ValueError(f"{self.path} has versions already")
         self._write(rows, version, {})
 
-    def merge(self, events: DataFrame, change: Change, version: int | None = None, keys: Sequence[str] | None = None) -> int:
+    def merge(self, events: DataFrame, change: Change, version: int | None = None, keys: Sequence[str] | None = None, by_bucket: bool = False) -> int:
         """Write the next version, in which the buckets that `events` touch hold `change(rows, events)`.
 
-        `events` are read twice. Returns the number of buckets that were rewritten.
+        `change` leaves rows alone whose key no event has. Such rows are not handed to it but for a few, a bitmap tells them from the others, so that its joins shuffle
+        little of the table; `events` are written first, as they are read several times. With `by_bucket` all rows are handed over, both frames name their `bucket`, and `change` leaves the rows of a bucket in one task: they
+        are shuffled only there, for tables whose buckets are bounded. Returns the number of buckets that were rewritten.
         """
         there = self.versions()
         version = (there[-1] + 1 if there else 0) if version is None else version
         if there and there[-1] >= version:
             return 0
+        passing = f"{self.path}/events/version={version}"
+        if not by_bucket:
+            events.write.mode("overwrite").parquet(passing)
+            events = self.spark.read.schema(events.schema).parquet(passing)
         touched = self.touched(events, keys)
         held = self.manifest()
-        self._write(change(self.read(only=touched), events), version, {b: v for b, v in held.items() if b not in touched})
+        rows, kept = self.read(only=touched), {b: v for b, v in held.items() if b not in touched}
+        if by_bucket:
+            rows, events = rows.withColumn("bucket", self.bucket()), events.withColumn("bucket", self.bucket(keys))
+            changed = change(rows, events)
+        else:
+            changed = self._changed(rows, events, change, keys)
+        self._write(changed, version, kept, placed=by_bucket)
+        if not by_bucket:
+            delete_folder(self.spark, passing)
         return len(touched)
 
-    def _write(self, rows: DataFrame, version: int, kept: dict[int, int]) -> None:
+    def _changed(self, rows: DataFrame, events: DataFrame, change: Change, keys: Sequence[str] | None) -> DataFrame:
+        """`change(rows, events)`, of which only rows that may have an event take part in the change."""
+        bits = bitmap_bits(events.count(), least_bits=2)
+        if bits is None:
+            return change(rows, events)
+        asked = events.select(F.xxhash64(*self._typed(keys).values()).alias("_key"))
+        flagged = with_hit(rows.withColumn("_key", F.xxhash64(*self._typed().values())), "_key", id_bitmap(asked, "_key", bits), bits)
+        names = rows.columns
+        return change(flagged.filter("_hit").select(*names), events).select(*names).unionByName(flagged.filter("NOT _hit").select(*names))
+
+    def carry(self, version: int) -> None:
+        """Make `version` the same as the one before it, without data of its own."""
+        there = self.versions()
+        if not there or there[-1] < version:
+            self._note(version, self.manifest())
+
+    def _write(self, rows: DataFrame, version: int, kept: dict[int, int], placed: bool = False) -> None:
         folder = f"{self.path}/data/version={version}"
         names = [f.name for f in StructType.fromDDL(self.schema)]
-        # Rebalancing puts a bucket into one file, and splits it where it is large.
-        placed = rows.select(*names, self.bucket().alias("bucket")).hint("rebalance", "bucket")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        if not placed:
+            # Rebalancing puts a bucket into one file, and splits it where it is large.
+            rows = rows.select(*names, self.bucket().alias("bucket")).hint("rebalance", "bucket")
+        rows.select(*names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = finished_versions(self.spark, folder, "bucket", marker=None)
-        entries = [*kept.items(), *((b, version) for b in written)]
-        manifest = self.spark.createDataFrame(entries, "bucket bigint, of bigint")
+        self._note(version, kept | dict.fromkeys(written, version))
+
+    def _note(self, version: int, held: dict[int, int]) -> None:
+        manifest = self.spark.createDataFrame([*held.items()], "bucket bigint, of bigint")
         manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
 
     def retire(self, before: int) -> None:
