@@ -218,3 +218,22 @@ def test_replies_before_their_parents(spark, rows, tmp_path):
     stream = spark.readStream.schema(schema).parquet(source)
     notice_stream.stream_post_notifications(stream, lambda: whole, lambda: users, out, wait_days=10).awaitTermination()
     assert rows(notice_stream.pending_replies(spark, out), "post_id") == [(50,)]
+
+
+def test_votes_are_folded_after_several_batches(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(score_stream, "FOLD", 3)
+    posts = spark.createDataFrame([(1, 7), (1, 7), (2, 8)], VOTED_POSTS)
+    layout = {"buckets": 1, "width": 10, "author_buckets": 1}
+    tables, seen = None, []
+    for n in range(4):
+        day = T0 + dt.timedelta(n)
+        batch = spark.createDataFrame([(0, 1, 1, 1.0 if n % 2 == 0 else -1.0, day, n), (0, 1, 2, 1.0, T0, 0)], EVENTS)
+        tables = score_stream.ScoreTables(spark, str(tmp_path), batch, ["seq"], **layout)
+        score_stream.process_votes(tables, batch, n, lambda: posts)
+        tables.retire(n)
+        seen.append((tables.pending(n + 1), tables.votes.read().count()))
+        if n < 2:  # a repeated post counts once more for each time its vote is repeated
+            assert rows(tables.posts.read()) == [[(1, 2, 2, 0), (2, 1, 1, 0)], [(1, -6, -2, 4), (2, 1, 1, 0)]][n]
+    # Only the third batch writes the table of votes: the last state of each vote with its copies.
+    assert seen == [([0], 0), ([0, 1], 0), ([], 9), ([3], 9)]
+    assert rows(tables.posts.read()) == [(1, -22, -10, 12), (2, 1, 1, 0)]
