@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 from ..operators.prefilter import bitmap_bits, id_bitmap, with_hit
 from ..session import delete_folder, finished_versions
 
+#: Joins with so few events broadcast them, and need no bitmap to shuffle little.
+FEW_EVENTS = 10_000
+
 Change = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -111,8 +114,9 @@ class BucketedTable:
 
     def _changed(self, rows: DataFrame, events: DataFrame, change: Change, keys: Sequence[str] | None) -> DataFrame:
         """`change(rows, events)`, of which only rows that may have an event take part in the change."""
-        bits = bitmap_bits(events.count(), least_bits=2)
-        if bits is None:
+        n = events.count()
+        bits = bitmap_bits(n, least_bits=2)
+        if bits is None or n <= FEW_EVENTS:
             return change(rows, events)
         asked = events.select(F.xxhash64(*self._typed(keys).values()).alias("_key"))
         flagged = with_hit(rows.withColumn("_key", F.xxhash64(*self._typed().values())), "_key", id_bitmap(asked, "_key", bits), bits)

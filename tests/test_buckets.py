@@ -105,3 +105,19 @@ def test_every_change_job_works_on_buckets(spark, rows, tmp_path):
         stored.create(table)
         assert 0 < stored.merge(events, change, keys=event_keys) <= 4
         assert rows(stored.read(), *table.columns) == rows(change(table, events), *table.columns)
+
+
+def test_rows_without_an_event_take_no_part(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("rookery.sources.buckets.FEW_EVENTS", 0)
+    first = spark.createDataFrame([(0, u, 1, 1, T0) for u in range(200)], VOTES)
+    table = BucketedTable(spark, str(tmp_path), VOTES, changes.VOTE_KEY, 1)
+    table.create(first)
+    batch = spark.createDataFrame([(0, 3, 1, -1, T0), (0, 999, 1, 1, T0)], VOTES)
+    handed = []
+
+    def change(old, events):
+        handed.append(old.count())
+        return changes.apply_votes(old, events)
+
+    table.merge(batch, change)
+    assert 1 <= handed[0] < 20 and rows(table.read()) == rows(changes.apply_votes(first, batch))
