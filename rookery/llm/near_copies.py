@@ -45,6 +45,8 @@ BITS, WORDS = 16, 12
 SLACK = 3.0
 #: Shingles taken at a time, to bound the memory for long texts.
 STEP = 1 << 14
+#: Classes of shingles whose parities tell sets apart before their shingles are compared.
+PARITIES = 512
 #: Texts that a worker is sent at a time, and of which it holds the shingles: a few MB each.
 BATCH_ROWS = 512
 
@@ -89,6 +91,12 @@ def fingerprint_words(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return words, np.array(ends, np.uint64).view(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes fall in each of `PARITIES` classes, as bits. Two sets differ in at least as many elements as these in bits."""
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _part_apart(similarity: float) -> float:
     """The part of the bits that two equally large sets of this Jaccard similarity differ in."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -138,8 +146,9 @@ def _fingerprints(size: int, similarity: float) -> Callable:
 def _shingles(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t, size).view(np.int64) for t in _texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            found = [shingle_hashes(t, size) for t in _texts(batch.column(1))]
+            columns = [pa.array(c, pa.list_(pa.int64())) for c in ([h.view(np.int64) for h in found], [parities(h) for h in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "shingles", "parities"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -183,18 +192,19 @@ def _ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(spark: SparkSession, docs: DataFrame, prints: DataFrame, tested: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes in `tested`; the text of a node is that of its first row."""
+    """(node, shingles, parities) of the nodes in `tested`; the text of a node is that of its first row."""
     keys = stored(spark, prints.join(tested, F.col("place") == F.col("node"), "left_semi").select("key", F.col("place").alias("node")), "tested")
     texts = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text")
     texts = marked(texts, "key", marks(spark, keys.select("key"))).where("__marked").join(keys, "key").dropDuplicates(["node"])
     with batches_of(spark, BATCH_ROWS):
-        return stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>"), "shingles")
+        return stored(spark, texts.select("node", "text").mapInArrow(_shingles(shingle), "node long, shingles array<long>, parities array<long>"), "shingles")
 
 
 def _alike(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are near copies by their shingles."""
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    pairs = close.join(of("a"), "a").join(of("b"), "b")
+    # Each side gets the sets of its own ends only; the least ends are few.
+    of = lambda name: sets.join(close.select(F.col(name).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    pairs = close.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     alike = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
     return pairs.where(alike).select("a", "b")
@@ -205,11 +215,16 @@ def missed_links(spark: SparkSession, docs: DataFrame, prints: DataFrame, groups
 
     Exact, by prefixes: of two near copies the first shingles in any one order, two fifths of them, share some. First in order of the hashes, which needs no
     counts and leaves the nodes that share enough of them with other groups. Then among these in order of how many have a shingle, where those that one
-    node alone has come first and need no bucket, and very frequent ones last. What shares a bucket across groups is tested.
+    node alone has come first and need no bucket, and very frequent ones last. What shares a bucket across groups is tested, if by the places of the
+    shingle in both orders and by the parities of all their shingles it may be near copies.
     """
     first = prints.join(groups, F.col("place") == F.col("node"))
-    first = first.select("node", "component", "need", F.explode("prefix").alias("token"))
+    # 40 bits of a token compress better; where two tokens share them, more nodes stay.
+    first = first.select("node", "component", "need", F.explode("prefix").alias("token")).withColumn("token", F.shiftrightunsigned("token", 24))
     spans = F.min("component") != F.max("component")
+    # Most tokens are one node's: counts alone take half the shuffle of components, which only those of several nodes need.
+    several = stored(spark, first.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens-of-several")
+    first = marked(first, "token", marks(spark, several)).where("__marked").drop("__marked")
     across = stored(spark, first.groupBy("token").agg(spans.alias("spans")).where("spans").select("token"), "tokens-across")
     held = marked(first, "token", marks(spark, across)).where("__marked").join(across, "token", "left_semi")
     nodes = stored(spark, held.groupBy("node", "need").agg(F.count("*").alias("n")).where("n >= need").select("node"), "nodes-across")
@@ -218,13 +233,18 @@ def missed_links(spark: SparkSession, docs: DataFrame, prints: DataFrame, groups
     counts = stored(spark, each.groupBy("token").agg(F.count("*").alias("n_nodes")).where("n_nodes > 1"), "token-counts")
     known = marked(each, "token", marks(spark, counts.select("token"))).where("__marked").join(counts, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("n_nodes", "token"))).alias("shared"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    taken = known.select("node", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("t"))
-    posted = stored(spark, taken.join(groups, "node").select("node", "component", "n", F.col("t.token").alias("token")), "postings")
+    left = F.size("shared") - F.col("at")
+    taken = known.select("node", "n", "shared", F.posexplode(F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("at", "t")).select("node", "n", left.alias("left"), "t.token")
+    posted = stored(spark, taken.join(groups, "node").select("node", "component", "n", "left", "token"), "postings")
     open_tokens = stored(spark, posted.groupBy("token").agg(spans.alias("spans")).where("spans").select("token"), "open-tokens")
-    posted = stored(spark, posted.join(open_tokens, "token", "left_semi"), "open-postings")
-    side = lambda x: posted.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n")])
-    sized = (F.col("n_a") >= F.col("n_b") * similarity - 1e-9) & (F.col("n_b") >= F.col("n_a") * similarity - 1e-9)
-    met = side("a").join(side("b"), "token").where(F.col("component_a") > F.col("component_b")).where(sized)
+    posted = posted.join(open_tokens, "token", "left_semi").join(sets.select("node", "parities"), "node")
+    posted = stored(spark, posted, "open-postings")
+    side = lambda x: posted.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left", "parities")])
+    # At the first shingle they share, two near copies both have enough left to share; and they differ in few of all.
+    both = F.col("n_a") + F.col("n_b")
+    enough = F.least("left_a", "left_b") >= both * F.lit(similarity / (1 + similarity)) - 1e-9
+    few = _bits_apart("parities_a", "parities_b") <= both * F.lit((1 - similarity) / (1 + similarity)) + 1e-9
+    met = side("a").join(side("b"), "token").where(F.col("component_a") > F.col("component_b")).where(enough).where(few)
     close = stored(spark, met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "close-across")
     found = _alike(close, sets, similarity)
     of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
@@ -238,14 +258,18 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, simila
     rows = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "doc_id", F.monotonically_increasing_id().alias("place"), "text")
     with batches_of(spark, BATCH_ROWS):
         prints = stored(spark, rows.mapInArrow(_fingerprints(shingle, similarity), f"key string, doc_id {kind}, place long, words array<long>, ends array<long>, prefix array<long>, need long"), "fingerprints")
-    nodes = stored(spark, prints.groupBy("words", "ends").agg(F.min("place").alias("node")), "nodes")
+    nodes = stored(spark, prints.groupBy("words", "ends").agg(F.min("place").alias("node"), F.count("*").alias("n")), "nodes")
     found = components(spark, links(spark, docs, prints, nodes, n, shingle, similarity))
     groups = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     groups = stored(spark, groups, "groups-by-variants")
     joined = components(spark, missed_links(spark, docs, prints, groups, shingle, similarity))
     joined = groups.join(joined.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-    of = nodes.join(joined, "node").select("words", "ends", "component")
-    return prints.join(stored(spark, of, "node-components"), ["words", "ends"]).select("key", "doc_id", "place", "component")
+    joined = stored(spark, joined, "node-components")
+    # Most rows are a node: only the copies of one carry their fingerprints through a join.
+    own = prints.select("key", "doc_id", "place").join(joined, F.col("place") == F.col("node")).select("key", "doc_id", "place", "component")
+    copied = stored(spark, nodes.where("n > 1").join(joined, "node").select("words", "ends", "node", "component"), "copied-nodes")
+    copies = prints.join(copied, ["words", "ends"]).where("place != node").select("key", "doc_id", "place", "component")
+    return own.unionByName(copies)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

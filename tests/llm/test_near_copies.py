@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -155,3 +156,38 @@ def test_workers_get_few_texts_at_a_time(spark, docs, monkeypatch):
     with near_copies.batches_of(spark, 3):
         sizes = spark.range(0, 20, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["id"]) for b in batches), "id long")
         assert max(r.id for r in sizes.collect()) == 3
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    draw = random.Random(6)
+    for n in (0, 1, 40, 700, 5000):
+        a = {draw.getrandbits(63) for _ in range(n)}
+        b = set(draw.sample(sorted(a), n * 3 // 4)) | {draw.getrandbits(63) for _ in range(20)}
+        x, y = (near_copies.parities(np.array(sorted(s), np.uint64)).tolist() for s in (a, b))
+        assert len(x) * 64 == near_copies.PARITIES
+        assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y)) <= len(a ^ b)
+
+
+def test_texts_that_are_nearly_near_copies_are_not_paired(spark, docs, monkeypatch):
+    """Copies of one text that differ too much from each other share most shingles, but few of their pairs are tested; all links stay."""
+    draw, tables, stored = random.Random(8), {}, near_copies.stored
+
+    def noted(spark, frame, table):
+        tables[table] = stored(spark, frame, table)
+        return tables[table]
+
+    monkeypatch.setattr(near_copies, "stored", noted)
+    words = [f"w{i}" for i in range(150)]
+    texts = {i: " ".join(changed(words, 5, draw)) for i in range(200)}
+    texts |= {200 + i: " ".join([*texts[i].split(), "end"]) for i in range(10)}
+    found = {r.doc_id: r.component for r in near_copies.grouped(spark, docs(*texts.items())).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    least = {i: i for i in sets}
+    close = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    for _ in range(20):
+        for a, b in close:
+            least[a] = least[b] = min(least[a], least[b])
+    groups = {c: min(i for i in found if found[i] == c) for c in found.values()}
+    assert {i: groups[c] for i, c in found.items()} == least
+    pairs = len(texts) * (len(texts) - 1) // 2
+    assert tables["close-across"].count() < 0.2 * pairs and len(set(least.values())) > 100
