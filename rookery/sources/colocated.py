@@ -4,6 +4,9 @@ Posts without their text, the texts and the posts' figures are written in the sa
 join by post id then reads its buckets side by side: no side is shuffled, and texts never are. Votes come in as figures, which are
 summed before they are written; the votes of one post can be very many and would all be one bucket's.
 
+Where texts lie in another table (`LateText`) they stay there: the buckets hold what they are found by, and pages find them last. Written to its
+post's bucket, each text would be shuffled once and written once for every post.
+
 The tables are known to the session's catalog by `<name>_<table>`. Another application, whose catalog does not know them, opens them from their folder.
 """
 
@@ -28,7 +31,12 @@ def save_by_post(t: SocialTables, marts: Marts, name: str, path: str, buckets: i
 
     With fewer buckets than shuffles have partitions Spark would shuffle the tables again when it joins them with others.
     """
-    frames = {"facts": lambda: t.post_facts, "texts": lambda: t.posts.select(KEY, "is_deleted", "post_text"), "figures": lambda: marts.figures}
+
+    def texts() -> DataFrame:
+        posts, finders = t.text_refs()
+        return posts.select(KEY, "is_deleted", *finders)
+
+    frames = {"facts": lambda: t.post_facts, "texts": texts, "figures": lambda: marts.figures}
     for table in tables:
         rows = frames[table]().repartition(buckets, KEY)
         rows.write.option("compression", CODEC).bucketBy(buckets, KEY).sortBy(KEY).option("path", f"{path}/{table}").format("parquet").saveAsTable(f"{name}_{table}")
@@ -51,5 +59,6 @@ def load_by_post(t: SocialTables, marts: Marts, name: str, texts: bool = True) -
     """
     spark = marts.figures.sparkSession
     bucketed: dict[str, DataFrame] = {table: spark.table(f"{name}_{table}") for table in TABLES if texts or table != "texts"}
-    tables = (t.with_frames(posts=bucketed["texts"]) if texts else t).with_frames(post_facts=bucketed["facts"])
+    facts = bucketed["facts"]
+    tables = t.with_refs(bucketed["texts"], post_facts=facts) if texts else t.with_frames(post_facts=facts)
     return tables, Marts(bucketed["figures"], marts.authors, marts.hot_authors, marts.hot_followed)

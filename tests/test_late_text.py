@@ -114,3 +114,21 @@ def test_posts_without_a_text_do_not_arrive(spark):
             return few if name == "documents" else StarSource.read(self, name)
 
     assert Empty(spark, "/root/testdata/sf0.001").post_refs().count() > 0 == Empty(spark, "/root/testdata/sf0.001").post_arrivals().count()
+
+
+def test_buckets_hold_no_text_that_lies_elsewhere(spark, rows, tmp_path, no_broadcast):
+    from rookery.sources import colocated
+
+    t = StarSource(spark, "/root/testdata/sf0.001").tables()
+    marts, path = Marts.from_tables(t), str(tmp_path / "by")
+    colocated.save_by_post(t, marts, "late_texts", path, 4)
+    assert set(spark.table("late_texts_texts").columns) == {"post_id", "is_deleted", *StarSource.FINDERS}
+    bucketed, figures = colocated.load_by_post(t, marts, "late_texts")
+    page = threads.post_detail(bucketed, 8, figures)
+    taken = shuffled(spark, page)
+    assert [names for names in taken if "text" in names or "post_text" in names] == [{"text_key", "text"}]
+    # What texts are found by is read where the posts are.
+    assert sum("greeting" in names for names in taken) == 1
+    expected = threads.post_detail(t.with_frames(posts=t.posts, post_facts=t.post_facts), 8, marts)
+    assert rows(page, *expected.columns) == rows(expected) and page.count() > 0
+    assert rows(bucketed.posts, "post_id", "post_text") == rows(t.posts, "post_id", "post_text")
