@@ -132,11 +132,18 @@ def search_users_indexed(users: DataFrame, terms: DataFrame, index: tuple[DataFr
     are written to the shared folder first.
     """
     grams, counts = index
+    path, spark = work_dir(users.sparkSession, "terms"), users.sparkSession
+
+    def written(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
     # Needed three times, and its expressions take long for each term.
-    path = work_dir(users.sparkSession, "terms")
-    needed = _wanted(terms, counts)
-    needed.write.parquet(path)
-    wanted = users.sparkSession.read.schema(needed.schema).parquet(path)
+    wanted = written("wanted", _wanted(terms, counts))
+    # A gram is hot by its comparisons: its users times its terms.
+    load = wanted.groupBy("gram").agg((F.max("_n") * F.count(F.lit(1))).alias("_load")).filter(F.col("_load") > ROWS_PER_SALT)
+    # Written, so that Spark knows how few they are.
+    hot = written("hot", load.select("gram", F.ceil(F.col("_load") / ROWS_PER_SALT).cast("int").alias(SALTS)))
     bits = bitmap_bits(wanted.count() * (BITS_PER_GRAM // BITS_PER_ID), least_bits=1)
     if bits is not None:
         grams = may_match(grams, "gram", id_bitmap(wanted, "gram", bits), bits)
@@ -146,9 +153,6 @@ def search_users_indexed(users: DataFrame, terms: DataFrame, index: tuple[DataFr
         has_text = F.contains(F.lower(F.col(name)), F.col("_text"))
         matches = matches | F.coalesce(has_text & F.ilike(F.col(name), F.col("_pattern")), F.lit(False))
     oldest = [F.col(c).asc() for c in _OLDEST]
-    # A gram is hot by its comparisons: its users times its terms.
-    load = wanted.groupBy("gram").agg((F.max("_n") * F.count(F.lit(1))).alias("_load")).filter(F.col("_load") > ROWS_PER_SALT)
-    hot = load.select("gram", F.ceil(F.col("_load") / ROWS_PER_SALT).cast("int").alias(SALTS))
     asked = wanted.drop("_n")
     found = spread_join(grams, asked, "gram", "id", "inner", hot=hot).filter(matches).select("term", "_pattern", "_text", *_OLDEST)
     if k is not None:
